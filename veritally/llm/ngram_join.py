@@ -12,7 +12,7 @@ Method
   3. *Heavy and light.* A set of n shingles that needs an overlap of a is compared by the n - a + 1 smallest hashes (some
      shingle of them is shared) or by the pairs among the n - a + 2 smallest (some pair is shared). Small sets enumerate
      those fixed-size subsets; large sets, for which there are too many, use the inverted lists of single shingles. The
-     boundary is the size with the least cost: subsets made plus entries scanned, from a histogram over all sets.
+     boundary is the size with the least cost: subsets made, against list entries made and scanned, from a histogram over all sets.
   4. *Verification.* Sets that share a signature form clusters. A cluster is cut into blocks of bounded size by set size;
      pairs of blocks whose sizes can reach the threshold are compared in one task each by scanning an inverted list, and a
      set is skipped once all sets it could reach are in its component. Only a spanning forest leaves the task.
@@ -36,8 +36,12 @@ from veritally.llm.common import connected_components, forest, small, written
 
 #: Shingles of a block: a task compares at most two blocks (one set if it is larger).
 BLOCK_SHINGLES = 400_000
+#: Cost of scanning an entry of an inverted list in memory, where a shuffled row (subset or entry) costs 1.
+SCAN_COST = 0.005
 
 _U = np.uint64
+#: Bytes of a hash that step 2 moves (with the slice, over 50 bits). A chance match there only lets a set through to verification.
+_BYTES = 6
 
 
 def _need(n, num: int, den: int):
@@ -95,7 +99,7 @@ def _slices(k: int, parts: int):
                 rows["part"].append(int(p))
                 rows["keys"].append(o[first].tobytes())
                 rows["counts"].append(np.diff(np.append(first, len(o))).astype(np.int32).tobytes())
-                rows["hashes"].append(h[cut[p] : cut[p + 1]].tobytes())
+                rows["hashes"].append(np.ascontiguousarray(h[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("keys", "counts", "hashes"))], names=list(rows))
 
     return run
@@ -112,7 +116,9 @@ def _repeated(table: pa.Table) -> pa.Table:
             if x not in seen:
                 seen.add(x)
                 new[i] = True
-        hashes.append(np.frombuffer(h.as_py(), _U)[np.repeat(new, n)])
+        wide = np.zeros((int(n.sum()), 8), np.uint8)
+        wide[:, :_BYTES] = np.frombuffer(h.as_py(), np.uint8).reshape(-1, _BYTES)
+        hashes.append(wide.view(_U).ravel()[np.repeat(new, n)])
         owners.append(np.repeat(key, n)[np.repeat(new, n)])
     h, owner = np.concatenate(hashes), np.concatenate(owners)
     order = np.argsort(h)
@@ -169,13 +175,13 @@ def _heads(num: int, den: int):
 
 
 def boundary_by_cost(sets: DataFrame, num: int, den: int) -> int:
-    """The size up to which sets enumerate subsets: least (subsets made + list entries scanned), over the sizes that occur.
+    """The size up to which sets enumerate subsets: least (subsets made + list entries made + their scans), over the sizes that occur.
 
     Reads one row per power-of-1.25 class of sizes, so a few dozen rows reach the driver.
     """
     heads = sets.mapInArrow(_heads(num, den), "sig long, n long")
     lists = heads.groupBy("sig").agg(F.count("*").alias("entries"))
-    scans = heads.join(lists, "sig").groupBy(F.floor(F.log("n") / F.log(F.lit(1.25))).alias("c")).agg(F.sum("entries").alias("scan"))
+    scans = heads.join(lists, "sig").groupBy(F.floor(F.log("n") / F.log(F.lit(1.25))).alias("c")).agg(F.sum(F.lit(1) + F.col("entries") * SCAN_COST).alias("scan"))
     spare = F.col("n") - F.ceil(F.col("n") * num / den) + 2
     made = sets.groupBy(F.floor(F.log("n") / F.log(F.lit(1.25))).alias("c")).agg(F.max("n").alias("top"), F.sum(spare * (spare - 1) / 2).alias("made"))
     rows = sorted(made.join(scans, "c").collect(), key=lambda r: r["c"])
@@ -211,12 +217,12 @@ def _linked(num: int, den: int):
             scan = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
             found = np.bincount(row[scan], minlength=len(n))[i + 1 : hi]
             hit = np.flatnonzero(found * den >= num * (n[i] + n[i + 1 : hi] - found)) + i + 1
-            for low in np.unique(label[hit]):
-                if low != label[i]:
-                    a, b = (low, label[i]) if low < label[i] else (label[i], low)
-                    u.append(key[i])
-                    v.append(key[hit[label[hit] == low][0]])
-                    label[label == b] = a
+            others, first = np.unique(label[hit], return_index=True)
+            new = others != label[i]
+            if new.any():
+                u += [key[i]] * int(new.sum())
+                v += key[hit[first[new]]].tolist()
+                label[np.isin(label, others[new])] = label[i]
         x, y = forest(np.array(u, np.int64), np.array(v, np.int64))
         return pa.table({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
 
