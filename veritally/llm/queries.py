@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from veritally.llm.mixing import op1_mixing_sources
 from veritally.llm.ngram_join import op9_ngram_jaccard_join
+from veritally.llm.quality import op10_quality_classifier
 
 QUERIES = {
+    "op1_mixing_sources": op1_mixing_sources,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
