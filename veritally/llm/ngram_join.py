@@ -105,27 +105,44 @@ def _slices(k: int, parts: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For a slice of the hash space: (key, rep), how many shingles of each set occur in another set too."""
-    seen: set[int] = set()
-    hashes, owners = [], []
-    for keys, counts, h in zip(*(table.column(c) for c in ("keys", "counts", "hashes")), strict=True):
-        key, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
-        new = np.zeros(len(key), np.bool_)
-        for i, x in enumerate(key.tolist()):
-            if x not in seen:
-                seen.add(x)
-                new[i] = True
-        wide = np.zeros((int(n.sum()), 8), np.uint8)
-        wide[:, :_BYTES] = np.frombuffer(h.as_py(), np.uint8).reshape(-1, _BYTES)
-        hashes.append(wide.view(_U).ravel()[np.repeat(new, n)])
-        owners.append(np.repeat(key, n)[np.repeat(new, n)])
-    h, owner = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(h)
-    h, owner = h[order], owner[order]
-    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-    key, rep = np.unique(owner[same[1:] | same[:-1]], return_counts=True)
-    return pa.table({"key": pa.array(key, pa.int64()), "rep": pa.array(rep, pa.int64())})
+def _repeated(parts: int):
+    """For a slice of the hash space: how many shingles of each set occur in another set too; rows (part, keys, reps), dealt anew by key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        seen: set[int] = set()
+        hashes, owners = [], []
+        for keys, counts, h in zip(*(table.column(c) for c in ("keys", "counts", "hashes")), strict=True):
+            key, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
+            new = np.zeros(len(key), np.bool_)
+            for i, x in enumerate(key.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new[i] = True
+            wide = np.zeros((int(n.sum()), 8), np.uint8)
+            wide[:, :_BYTES] = np.frombuffer(h.as_py(), np.uint8).reshape(-1, _BYTES)
+            hashes.append(wide.view(_U).ravel()[np.repeat(new, n)])
+            owners.append(np.repeat(key, n)[np.repeat(new, n)])
+        h, owner = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(h)
+        h, owner = h[order], owner[order]
+        same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+        key, rep = np.unique(owner[same[1:] | same[:-1]], return_counts=True)
+        part = (key.view(_U) % _U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        key, rep, part = key[order], rep[order], part[order]
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(cut))
+        pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].astype(np.int64).tobytes() for p in some], pa.binary())
+        return pa.table({"part": pa.array(some, pa.int32()), "keys": pack(key), "reps": pack(rep)})
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """(key, rep): the counts of all slices."""
+    key, rep = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("keys", "reps"))
+    key, inv = np.unique(key, return_inverse=True)
+    return pa.table({"key": pa.array(key, pa.int64()), "rep": pa.array(np.bincount(inv, rep).astype(np.int64), pa.int64())})
 
 
 def _binary_sets(k: int):
@@ -241,7 +258,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
     sliced = docs.mapInArrow(_slices(k, parts), "part int, keys binary, counts binary, hashes binary")
-    rep = sliced.groupBy("part").applyInArrow(_repeated, "key long, rep long").groupBy("key").agg(F.sum("rep").alias("rep"))
+    rep = sliced.groupBy("part").applyInArrow(_repeated(parts), "part int, keys binary, reps binary").groupBy("part").applyInArrow(_summed, "key long, rep long")
     near = written(rep.join(sets, "key").where(F.col("rep") * den >= F.col("n") * num).select("key", "doc_id"), "ngram-near")
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
     full = texts.mapInArrow(_binary_sets(k), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
