@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from veritally.llm.decontaminate import op7_benchmark_decontamination
+from veritally.llm.html_text import op8_html_extraction
 from veritally.llm.mixing import op1_mixing_sources
 from veritally.llm.ngram_join import op9_ngram_jaccard_join
 from veritally.llm.quality import op10_quality_classifier
+from veritally.llm.secrets import op4_secret_scans
+from veritally.llm.url_filter import op3_url_filters
+from veritally.llm.warc import op5_warc
 
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
+    "op3_url_filters": op3_url_filters,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_warc": op5_warc,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
