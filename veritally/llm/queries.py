@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veritally.llm.decontaminate import op7_benchmark_decontamination
+from veritally.llm.embed_dedup import op2_embedding_near_dedup
 from veritally.llm.html_text import op8_html_extraction
 from veritally.llm.mixing import op1_mixing_sources
 from veritally.llm.ngram_join import op9_ngram_jaccard_join
@@ -13,6 +14,7 @@ from veritally.llm.warc import op5_warc
 
 QUERIES = {
     "op1_mixing_sources": op1_mixing_sources,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
     "op5_warc": op5_warc,
