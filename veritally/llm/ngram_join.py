@@ -307,5 +307,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     return keys.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component only; rows that repeat a doc_id stay or go together."""
+    gone = written(ngram_jaccard_join(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

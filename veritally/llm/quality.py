@@ -147,16 +147,41 @@ def kth_largest(keys: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int = LABELLED) -> DataFrame:
-    """(doc_id, log_weight, key, kept): a row per row of ``docs`` (doc_id long, text string); ``labels`` has doc_id, quality (0 or 1)."""
+def _noise(seed: int):
+    """Gumbel noise, a function of seed and doc_id."""
+    return -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, seed: int, labelled: int):
+    """The fitted cells, the scored documents and the least key that is kept."""
     sample = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(labelled)
     sample = written(sample, "quality-labels")
-    noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    scored = written(score(docs, fit(docs, sample)).withColumn("key", F.col("log_weight") + noise), "quality-scores")
-    cut = cutoff(scored, sample)
-    k = scored.where(F.col("log_weight") > F.lit(cut)).count()
-    least = kth_largest(scored, "key", k) if k else np.inf
-    return scored.select("doc_id", "log_weight", "key", F.coalesce(F.col("key") >= F.lit(float(least)), F.lit(False)).alias("kept"))
+    ratio = fit(docs, sample)
+    scored = written(score(docs, ratio).withColumn("key", F.col("log_weight") + _noise(seed)), "quality-scores")
+    k = scored.where(F.col("log_weight") > F.lit(cutoff(scored, sample))).count()
+    return ratio, scored, float(kth_largest(scored, "key", k) if k else np.inf)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int = LABELLED) -> DataFrame:
+    """(doc_id, log_weight, key, kept): a row per row of ``docs`` (doc_id long, text string); ``labels`` has doc_id, quality (0 or 1)."""
+    _, scored, least = _sampled(docs, labels, seed, labelled)
+    return scored.select("doc_id", "log_weight", "key", F.coalesce(F.col("key") >= F.lit(least), F.lit(False)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int = LABELLED) -> DataFrame:
+    """The rows of ``docs`` that `quality_filter` keeps, with all columns. Texts are scored once more where they are, so none is shuffled."""
+    ratio, _, least = _sampled(docs, labels, seed, labelled)
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            for a, b, cells, at in _grams(batch.column("text")):
+                total = np.add.reduceat(np.append(ratio[cells], 0.0), at[:-1])
+                kept = (at[1:] > at[:-1]) & (total + batch.column("_noise").to_numpy()[a:b] >= least)
+                if kept.any():
+                    yield batch.slice(a, b - a).filter(pa.array(kept)).select(names)
+
+    return docs.withColumn("_noise", _noise(seed)).mapInArrow(run, docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from veritally.llm.mixing import op1_mixing_sources
 from veritally.llm.ngram_join import op9_ngram_jaccard_join
 from veritally.llm.quality import op10_quality_classifier
 from veritally.llm.secrets import op4_secret_scans
+from veritally.llm.tokens import op6_token_counts
 from veritally.llm.url_filter import op3_url_filters
 from veritally.llm.warc import op5_warc
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
     "op5_warc": op5_warc,
+    "op6_token_counts": op6_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
