@@ -81,7 +81,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a run log: key (user), pos, ts in seconds, latency, model (null for errors), failed, retriable, concurrency level, tokens."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("key"), F.col("event_id").alias("pos"), F.unix_micros("ts").alias("at_us"), F.col("value").alias("latency_s"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("model"),
+        F.col("user_id").alias("key"), F.col("event_id").alias("pos"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("at_us"), F.col("value").alias("latency_s"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("model"),
         (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 3 == 0).alias("retriable"), F.element_at(F.array(*map(F.lit, (1, 8, 32, 64))), (F.col("event_id") % 4 + 1).cast("int")).alias("concurrency"),
         (F.col("event_id") % 97 + 16).alias("tokens"),
     )
