@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has at most so many rows.
-BROADCAST_ROWS = 200_000
+from veritally.storage import scratch_path, small, written
 
-_DIR = "spark.checkpoint.dir"
+__all__ = ["connected_components", "forest", "frugal", "lean", "scratch_path", "small", "written"]
 
+#: Rows and bytes of the Arrow batches that go to Python workers.
+BATCH_ROWS, BATCH_BYTES = 4000, "16m"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share; only where the session names none (tests) a local one."""
-    base = spark.conf.get(_DIR, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veritally-")
-        spark.conf.set(_DIR, base)
-    return base.rstrip("/")
 
+def frugal(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, and so what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/veritally-{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
 
+def release() -> None:
+    """Gives freed memory back to the system; Spark keeps its Python workers, and they would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+def lean(run):
+    """A function over Arrow batches, or over a group's table, that ends with `release`; the session it is planned in becomes `frugal`."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        frugal(spark)
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors, and tells Catalyst its size."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    @functools.wraps(run)
+    def over(batches):
+        try:
+            if isinstance(batches, pa.Table):
+                return run(batches)
+            return _each(run, batches)
+        finally:
+            if isinstance(batches, pa.Table):
+                release()
 
+    return over
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a cheap or written table) marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def _each(run, batches):
+    try:
+        yield from run(batches)
+    finally:
+        release()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +91,7 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     nothing changes: O(log n) rounds of aggregations and equi-joins whose hot keys (hubs) Spark can split. Each round is a
     written table, so a lost executor costs one round at most. No edge reaches the driver. Loops and repeats are ignored.
     """
-    spark = edges.sparkSession
-    cur = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, "u long, v long").distinct(), name)
+    cur = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(lean(_contract), "u long, v long").distinct(), name)
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

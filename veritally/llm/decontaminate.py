@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import written
+from veritally.llm.common import lean, small, written
 
 RADIUS = 11
 #: Shifts and widths of the blocks of a fingerprint.
@@ -179,14 +179,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
         if rows:
             index = spark.sparkContext.broadcast(Index(rows, k))
-            out = out.union(docs.select("doc_id", "text").mapInArrow(_leaks(index, num / den), SCHEMA))
+            out = out.union(docs.select("doc_id", "text").mapInArrow(lean(_leaks(index, num / den)), SCHEMA))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    from veritally.llm.common import small
-
     leaks = written(benchmark_leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
     return docs.join(small(leaks), "doc_id", "left_anti").select(*docs.columns)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.common import connected_components, forest, small, written
+from veritally.llm.common import connected_components, forest, lean, small, written
 
 CELL, MAX_CELLS, ROUNDS, MARGIN, BLOCK = 256, 4096, 3, 6.0, 2048
 
@@ -59,7 +59,7 @@ def centres(vectors: DataFrame, k: int, dim: int, rounds: int = ROUNDS) -> np.nd
     seeds = vectors.orderBy(F.xxhash64("id"), "id").limit(k).select("embedding").toArrow()
     c = _matrix(seeds.column("embedding"), dim)
     for _ in range(rounds):
-        rows = vectors.select("embedding").mapInArrow(_sums(c), "slot int, sums binary").groupBy("slot").applyInArrow(_add, "sums binary").collect()
+        rows = vectors.select("embedding").mapInArrow(lean(_sums(c)), "slot int, sums binary").groupBy("slot").applyInArrow(lean(_add), "sums binary").collect()
         s = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0).reshape(c.shape)
         norm = np.linalg.norm(s, axis=1, keepdims=True)
         c = np.where(norm > 0, s / np.where(norm > 0, norm, 1), c)
@@ -138,14 +138,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float = MAR
     for size in sorted(reps.groupBy(F.size("embedding").alias("dim")).count().collect()):
         mine = reps.where(F.size("embedding") == size["dim"])
         k = max(1, min(MAX_CELLS, -(-size["count"] // cell)))
-        placed = mine.select("id", "copies", "embedding").mapInArrow(_assign(centres(mine, k, size["dim"]), margin), "id long, copies long, unit binary, cells array<int>")
+        placed = mine.select("id", "copies", "embedding").mapInArrow(lean(_assign(centres(mine, k, size["dim"]), margin)), "id long, copies long, unit binary, cells array<int>")
         placed = written(placed, "embed-cells")
         each = placed.withColumn("cell", F.explode("cells"))
         blocks = each.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         each = each.join(small(written(blocks, "embed-blocks")), "cell").withColumn("b", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
         task = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y"))))
         each = each.withColumn("t", task).select("cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.when(F.col("t.x") == F.col("b"), 0).otherwise(1).alias("side"), "id", "copies", "unit", "cells")
-        found = found.union(each.groupBy("cell", "x", "y").applyInArrow(_compare(least), "edge boolean, u long, v long"))
+        found = found.union(each.groupBy("cell", "x", "y").applyInArrow(lean(_compare(least)), "edge boolean, u long, v long"))
     found = written(found, "embed-links")
     comp = connected_components(found.where("edge").select("u", "v"), "embed-components").withColumnRenamed("node", "id")
     links = found.where("NOT edge").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("links"))

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veritally.llm.common import lean
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title iframe object select option textarea button canvas audio video".split())
@@ -183,7 +185,7 @@ def _extract(batches):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): a row per row of ``pages`` (page_id long, url string, html string)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

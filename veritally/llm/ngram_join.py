@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import connected_components, forest, small, written
+from veritally.llm.common import connected_components, forest, lean, small, written
 
 #: Shingles of a block: a task compares at most two blocks (one set if it is larger).
 BLOCK_SHINGLES = 400_000
@@ -196,7 +196,7 @@ def boundary_by_cost(sets: DataFrame, num: int, den: int) -> int:
 
     Reads one row per power-of-1.25 class of sizes, so a few dozen rows reach the driver.
     """
-    heads = sets.mapInArrow(_heads(num, den), "sig long, n long")
+    heads = sets.mapInArrow(lean(_heads(num, den)), "sig long, n long")
     lists = heads.groupBy("sig").agg(F.count("*").alias("entries"))
     scans = heads.join(lists, "sig").groupBy(F.floor(F.log("n") / F.log(F.lit(1.25))).alias("c")).agg(F.sum(F.lit(1) + F.col("entries") * SCAN_COST).alias("scan"))
     spare = F.col("n") - F.ceil(F.col("n") * num / den) + 2
@@ -254,18 +254,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = written(docs.mapInArrow(_keys(k), "doc_id long, n long, key long"), "ngram-keys")
+    keys = written(docs.mapInArrow(lean(_keys(k)), "doc_id long, n long, key long"), "ngram-keys")
     sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
 
-    sliced = docs.mapInArrow(_slices(k, parts), "part int, keys binary, counts binary, hashes binary")
-    rep = sliced.groupBy("part").applyInArrow(_repeated(parts), "part int, keys binary, reps binary").groupBy("part").applyInArrow(_summed, "key long, rep long")
+    sliced = docs.mapInArrow(lean(_slices(k, parts)), "part int, keys binary, counts binary, hashes binary")
+    rep = sliced.groupBy("part").applyInArrow(lean(_repeated(parts)), "part int, keys binary, reps binary").groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
     near = written(rep.join(sets, "key").where(F.col("rep") * den >= F.col("n") * num).select("key", "doc_id"), "ngram-near")
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
-    full = texts.mapInArrow(_binary_sets(k), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
+    full = texts.mapInArrow(lean(_binary_sets(k)), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
     full = written(full.dropDuplicates(["key"]), "ngram-sets")
 
     boundary = boundary_by_cost(full, num, den)
-    sig = written(full.mapInArrow(_signatures(num, den, boundary), "sig long, key long"), "ngram-signatures")
+    sig = written(full.mapInArrow(lean(_signatures(num, den, boundary)), "sig long, key long"), "ngram-signatures")
     low = sig.groupBy("sig").agg(F.min("key").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
     shared = sig.join(low, "sig").where("key <> v").select(F.col("key").alias("u"), "v")
     cluster = connected_components(shared, "ngram-clusters")
@@ -297,7 +297,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     heavy = at.withColumn("t", F.explode(tasks)).select("cluster", F.xxhash64("t.x").alias("x"), F.xxhash64("t.y").alias("y"), F.when(F.col("t.x") == own, 0).otherwise(1).alias("side"), "key", "n", "shingles")
     compare = _linked(num, den)
     cols = "u long, v long"
-    links = light.groupBy("cluster", "x", "y").applyInArrow(compare, cols).union(heavy.groupBy("cluster", "x", "y").applyInArrow(compare, cols))
+    links = light.groupBy("cluster", "x", "y").applyInArrow(lean(compare), cols).union(heavy.groupBy("cluster", "x", "y").applyInArrow(lean(compare), cols))
     comp = connected_components(links, "ngram-links")
 
     least = sets.select("key", F.col("doc_id").alias("least"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm import words as W
-from veritally.llm.common import written
+from veritally.llm.common import lean, written
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target model and the cutoff may be taken from.
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(target / raw) per cell; only 64 histograms of fixed size reach the driver. ``labels`` is the bounded sample (doc_id, quality)."""
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    rows = marked.mapInArrow(_count, "slot int, counts binary").groupBy("slot").applyInArrow(_add, "counts binary").collect()
+    rows = marked.mapInArrow(lean(_count), "slot int, counts binary").groupBy("slot").applyInArrow(lean(_add), "counts binary").collect()
     raw, target = np.sum([np.frombuffer(r["counts"], np.int64) for r in rows], axis=0).reshape(2, _CELLS) if rows else np.zeros((2, _CELLS))
     if not target.sum():
         return np.zeros(_CELLS)
@@ -108,7 +108,7 @@ def _score(ratio: np.ndarray):
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, log_weight)."""
-    return docs.select("doc_id", "text").mapInArrow(_score(ratio), "doc_id long, log_weight double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_score(ratio)), "doc_id long, log_weight double")
 
 
 def cutoff(scores: DataFrame, labels: DataFrame) -> float:
@@ -181,7 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int
                 if kept.any():
                     yield batch.slice(a, b - a).filter(pa.array(kept)).select(names)
 
-    return docs.withColumn("_noise", _noise(seed)).mapInArrow(run, docs.schema)
+    return docs.withColumn("_noise", _noise(seed)).mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

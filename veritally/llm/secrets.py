@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritally.llm.common import lean
+
 from veritally.llm.words import text_buffers
 
 # The patterns and lengths of the base kinds.
@@ -146,7 +148,7 @@ def _scan(batches):
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<start, end, kind>>): a row per row of ``docs`` (doc_id long, text string)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(_scan), "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 texts[i] = "".join(out) + text[at:]
             yield batch.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

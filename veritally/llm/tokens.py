@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritally.llm.common import lean
+
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -197,7 +199,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text", "edits").mapInArrow(lean(run), _SCHEMA)
 
 
 def mask_numbers(docs: DataFrame, digits: int = 4, mask: str = "#") -> DataFrame:
@@ -210,7 +212,7 @@ def mask_numbers(docs: DataFrame, digits: int = 4, mask: str = "#") -> DataFrame
             edits = [[{"start": m.start(), "end": m.end(), "text": mask} for m in find.finditer(t or "")] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritally.llm.common import lean
+
 # The rules of the production query (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 LABELLED = 100_000
@@ -173,7 +175,7 @@ def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None)
         rows = labelled_urls()
     else:
         rows = [(r[0], r[1]) for r in labelled.where("url IS NOT NULL AND label IN (0, 1)").select("url", "label").orderBy(F.xxhash64("url"), "url", "label").limit(LABELLED).collect()]
-    scored = pages.select("page_id", "url").mapInArrow(_judge(fit(rows)), "page_id long, url string, score double")
+    scored = pages.select("page_id", "url").mapInArrow(lean(_judge(fit(rows))), "page_id long, url string, score double")
     parts = scored.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("_r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return parts.select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), "score", verdict.alias("verdict"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm.common import scratch_path, small, written
+from veritally.llm.common import lean, scratch_path, small, written
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 32 << 20
@@ -176,7 +176,7 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll
     total = keyed.agg(F.sum("size")).first()[0] or 0
     shard = _shards(keyed, max(1, min(shard_bytes, total // parts)))
     dealt = joined.withColumn("shard", shard.cast("int")).repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
-    dealt.mapInArrow(_writer(f"{root}/data", roll_bytes, date), MANIFEST).write.json(f"{root}/manifest")
+    dealt.mapInArrow(lean(_writer(f"{root}/data", roll_bytes, date)), MANIFEST).write.json(f"{root}/manifest")
     return spark.read.schema(MANIFEST).json(f"{root}/manifest")
 
 
@@ -235,7 +235,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
     if manifest.limit(1).count() == 0:
         return spark.createDataFrame([], ARCHIVE)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{root}/data").withColumn("file", F.element_at(F.split("path", "/"), -1))
-    return files.join(small(manifest.select("file", "sha1")), "file").select("content", "sha1").mapInArrow(_reader, ARCHIVE)
+    return files.join(small(manifest.select("file", "sha1")), "file").select("content", "sha1").mapInArrow(lean(_reader), ARCHIVE)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
