@@ -25,7 +25,8 @@ def duration_seconds(x: Column, now: Column) -> Column:
     sizes = F.transform(F.regexp_extract_all(t, F.lit(_PART), F.lit(1)), lambda n: n.cast("double"))
     units = F.regexp_extract_all(t, F.lit(_PART), F.lit(2))
     total = F.aggregate(F.zip_with(sizes, units, lambda n, u: n * _known(u)), F.lit(0.0), lambda a, b: a + b)
-    whole = F.replace(t, F.lit(" "), F.lit("")).rlike(f"^(?:{_PART})+$")
+    read = F.array_join(F.regexp_extract_all(t, F.lit(_PART), F.lit(0)), "")
+    whole = (read != "") & (read == F.replace(t, F.lit(" "), F.lit("")))
     return F.when(number.isNotNull(), plain).when(whole, total)
 
 
@@ -33,7 +34,8 @@ def retry_after_seconds(x: Column, now: Column) -> Column:
     """Seconds, or an HTTP date, from now; never below 0; null if unreadable."""
     t = F.trim(x)
     date = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))).cast("double")
-    return F.greatest(F.lit(0.0), F.coalesce(t.try_cast("double"), date - now))
+    wait = F.coalesce(t.try_cast("double"), date - now)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def limit_headers(headers: Column) -> Column:

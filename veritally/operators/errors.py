@@ -7,6 +7,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veritally.functions import multiset
 
@@ -35,7 +36,7 @@ def explain(pred, gold) -> list[str]:
     return out + [f"missing {t}={v}" for t, v in missing] + [f"extra {t}={v}" for t, v in extra]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _slot_notes(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series(["; ".join(explain(p, g)) for p, g in zip(pred, gold, strict=True)], dtype=object)
 

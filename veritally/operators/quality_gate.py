@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Shares above which a run is implausible, and below which too little of it is valid.
 DEGENERATE, TRUNCATED, FAILED, VALID = 0.05, 0.2, 0.05, 0.5
@@ -21,7 +22,7 @@ def plain_degenerate(text: Column) -> Column:
     return F.coalesce((F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == "") | ((n >= 8) & (kinds <= 2)) | (bad > F.floor(n / 4)), F.lit(True))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def zlib_ratio(text: pd.Series) -> pd.Series:
     """Compressed by plain size of texts of 64 bytes or more."""
     raw = text.map(lambda t: t.encode("utf-8", "replace") if isinstance(t, str) else b"")
