@@ -124,10 +124,10 @@ def fit(rows: list[tuple[str, int]]) -> Trees:
         host = url.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower() if url and "://" in url else ""
         seen.setdefault(suffix_of(host), []).append(bad)
     suffixes = {s: ((sum(v) + 20 * prior) / (len(v) + 20), math.log1p(len(v))) for s, v in seen.items()}
-    x = np.array([lexical(u, suffixes) for u, _ in rows]).reshape(len(rows), -1)
     base = math.log((prior + 1e-6) / (1 - prior + 1e-6))
-    if not 0 < prior < 1:
+    if not len(y) or not 0 < prior < 1:
         return Trees(base, (), suffixes)
+    x = np.array([lexical(u, suffixes) for u, _ in rows])
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, col, "left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
     f, nodes = np.full(len(y), base), []
