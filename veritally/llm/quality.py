@@ -2,8 +2,10 @@
 
 Method
   1. *Models.* Two hashed n-gram models, for the raw corpus (counted over all documents) and for the target text (labelled
-     documents of quality 1): byte 3-grams of the text between blanks, hashed into ``BUCKETS`` cells, and for each word whether
-     it repeats the word before it. Both in one pass; a task returns one histogram of fixed size.
+     documents of quality 1): 4-grams of character shapes of the text between blanks, hashed into ``BUCKETS`` cells, and for each word whether
+     it repeats the word before it. Letters of any script, capitals and digits are three shapes, every other ASCII character its own; so what share a
+     language has among the labelled documents doesn't pass for quality. Both models come from one pass; a task returns one histogram of fixed size. The target is
+     smoothed towards the raw model.
   2. *Weights.* A document's log weight is the sum over its n-grams of log(target / raw).
   3. *How many.* k is the number of documents above a cutoff. The cutoff is the log weight that separates the labelled documents of quality 1 and 0
      with the best balanced accuracy (0 if one of the two kinds is missing).
@@ -29,25 +31,40 @@ from veritally.llm.common import lean, written
 BUCKETS = 1 << 14
 #: Labelled documents that the target model and the cutoff may be taken from.
 LABELLED = 20_000
+#: Weight of the raw model in the target's, as a share of the target's counts.
+PRIOR = 0.002
 _CELLS = BUCKETS + 2
 _U = np.uint64
 
 
+def _shapes() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    out[ord("a") : ord("z") + 1] = out[128:] = ord("a")
+    out[ord("A") : ord("Z") + 1] = ord("A")
+    out[ord("0") : ord("9") + 1] = ord("0")
+    return out
+
+
+_SHAPE = _shapes()
+
+
 def _grams(col: pa.Array):
     """Yields (first row, last row + 1, cell of each n-gram, offsets of the rows in them), chunk by chunk."""
     raw, off = W.text_buffers(col)
     for a, b in W._chunks(off):
         size = np.diff(off[a : b + 1])
-        at = np.concatenate([[0], np.cumsum(size + 2)])  # blank, text, blank
+        at = np.concatenate([[0], np.cumsum(size + 3)])  # blank, text, two blanks: as many 4-grams as bytes
         part = np.full(int(at[-1]), 32, np.uint8)
         inner = np.ones(len(part), np.bool_)
-        inner[at[:-1]] = inner[at[1:] - 1] = False
+        inner[at[:-1]] = inner[at[1:] - 1] = inner[at[1:] - 2] = False
         part[inner] = raw[off[a] : off[b]]
-        wide = np.concatenate([part, np.zeros(2, np.uint8)]).astype(np.uint32)
-        h = ((wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]) * np.uint32(0x9E3779B1)
-        cell = (h >> np.uint32(18)).astype(np.int64)
-        row = np.repeat(np.arange(b - a), size + 2)
-        real = np.arange(len(part)) < (at[1:] - 2)[row]
+        wide = np.concatenate([_SHAPE[part], np.full(3, 32, np.uint32)])
+        h = wide[:-3]
+        for j in (1, 2, 3):
+            h = h * np.uint32(0x01000193) + wide[j : len(wide) - 3 + j]
+        cell = ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64)
+        row = np.repeat(np.arange(b - a), size + 3)
+        real = np.arange(len(part)) < (at[1:] - 3)[row]
         s, e = W.word_spans(part)
         owner = row[s]
         hashes = W.hash_spans(part, s, e)
@@ -90,9 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     raw, target = np.sum([np.frombuffer(r["counts"], np.int64) for r in rows], axis=0).reshape(2, _CELLS) if rows else np.zeros((2, _CELLS))
     if not target.sum():
         return np.zeros(_CELLS)
-    # the grams and the repeats are two distributions
-    parts = [np.log((t + 1) / (t.sum() + len(t))) - np.log((r + 1) / (r.sum() + len(r))) for t, r in ((target[:BUCKETS], raw[:BUCKETS]), (target[BUCKETS:], raw[BUCKETS:]))]
-    return np.concatenate(parts)
+    out = []
+    for part in (slice(0, BUCKETS), slice(BUCKETS, _CELLS)):  # the grams and the repeats are two distributions
+        p = (raw[part] + 0.01) / (raw[part].sum() + 0.01 * len(raw[part]))
+        prior = max(1.0, PRIOR * target[part].sum())
+        out.append(np.log((target[part] + prior * p) / (target[part].sum() + prior) / p))
+    return np.concatenate(out)
 
 
 def _score(ratio: np.ndarray):
@@ -172,16 +192,19 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int
     """The rows of ``docs`` that `quality_filter` keeps, with all columns. Texts are scored once more where they are, so none is shuffled."""
     ratio, _, least = _sampled(docs, labels, seed, labelled)
     names = docs.columns
+    noise = "_noise"
+    while noise in names:
+        noise += "_"
 
     def run(batches):
         for batch in batches:
             for a, b, cells, at in _grams(batch.column("text")):
                 total = np.add.reduceat(np.append(ratio[cells], 0.0), at[:-1])
-                kept = (at[1:] > at[:-1]) & (total + batch.column("_noise").to_numpy()[a:b] >= least)
+                kept = (at[1:] > at[:-1]) & (total + batch.column(noise).to_numpy()[a:b] >= least)
                 if kept.any():
                     yield batch.slice(a, b - a).filter(pa.array(kept)).select(names)
 
-    return docs.withColumn("_noise", _noise(seed)).mapInArrow(lean(run), docs.schema)
+    return docs.withColumn(noise, _noise(seed)).mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
