@@ -200,3 +200,37 @@ def test_stream_limits_like_a_plain_loop(spark, tmp_path):
     out = s.run_available(s.rate_limited(s.log_stream(spark, f"{tmp_path}/in", df.schema), 2, 10.0), "x", f"{tmp_path}/w", "append")
     got = {r["pos"]: r["allowed"] for r in out.where("key = 1").collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_run_pending_goes_on_where_it_stopped(spark, tmp_path):
+    import pyarrow as pa
+
+    schema = "key long, pos long, failed boolean, retriable boolean"
+
+    def answer(batches):
+        for b in batches:
+            keys = b.column("key").to_pylist()
+            yield pa.RecordBatch.from_pydict({"key": keys, "pos": keys, "failed": [k == 2 for k in keys], "retriable": [True] * len(keys)})
+
+    items = spark.createDataFrame([(1,), (2,), (3,)], "key long")
+    path = str(tmp_path / "log")
+    first = runlog.run_pending(items, spark.createDataFrame([], schema), "key", answer, schema, path)
+    assert sorted(r["key"] for r in first.collect()) == [1, 2, 3]
+    again = runlog.run_pending(items, spark.read.schema(schema).json(path), "key", answer, schema, path)
+    assert [r["key"] for r in again.collect()] == [2]
+
+
+def test_checks(spark):
+    ids = spark.createDataFrame([("2",), ("10",)], "id string")
+    good = ids.agg(sampling.id_set_hash(F.col("id")).alias("h")).first()["h"]
+    assert provenance.checked_subset(ids, ids, good).count() == 2
+    with pytest.raises(ValueError, match="hash"):
+        provenance.checked_subset(ids, ids, "x")
+    with pytest.raises(ValueError, match="1 ids"):
+        provenance.checked_subset(ids, ids.limit(1), good)
+    spec = {"name": "a", "endpoint": "e", "model": "m", "prompt": "p", "subset": "S", "max_output_tokens": 10}
+    assert provenance.check_system(spec, {"p"}, {"S"}, 10) is spec
+    with pytest.raises(ValueError, match="prompt x is unknown; max_output"):
+        provenance.check_system(spec | {"prompt": "x", "max_output_tokens": 11}, {"p"}, {"S"}, 10)
+    body = spark.range(1).select(provenance.request_body("m", F.array(chat.message("user", F.lit("q"))), {"top_p": "1", "seed": "2"}, ("seed",)).alias("b")).first()["b"]
+    assert json.loads(body) == {"model": "m", "messages": [{"role": "user", "content": "q"}], "top_p": "1"}

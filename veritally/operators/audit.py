@@ -1,4 +1,7 @@
-"""Audit of a labelled corpus: coverage, duplicates, overlap between splits, expected figures."""
+"""Audit of a labelled corpus: coverage, duplicates, overlap between splits, expected figures.
+
+Texts are compared by a 256-bit digest of their normal form, so that shuffles carry the digest and never the texts.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,10 @@ from pyspark.sql import functions as F
 from veritally.functions.text import id_key
 
 
+def digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def split_sizes(examples: DataFrame) -> DataFrame:
     """Rows per split, and in all (split null)."""
     return examples.rollup("split").agg(F.count("*").alias("n"))
@@ -22,16 +29,16 @@ def coverage(examples: DataFrame, label: str, splits=("train", "dev", "test")) -
 
 
 def duplicate_groups(examples: DataFrame, text: Column, label_key: Column) -> DataFrame:
-    """Texts that occur more than once: rows, first id, and whether they agree in intent and in all labels."""
-    keyed = examples.select("id", "intent", text.alias("norm"), label_key.alias("_label"))
-    groups = keyed.groupBy("norm").agg(F.count("*").alias("n"), F.min(F.lpad("id", 20, "0")).alias("first"), F.countDistinct("intent").alias("_i"), F.countDistinct("_label").alias("_l")).where("n > 1")
+    """Texts that occur more than once (by digest): rows, first id, and whether they agree in intent and in all labels."""
+    keyed = examples.select("id", "intent", digest(text).alias("digest"), label_key.alias("_label"))
+    groups = keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.lpad("id", 20, "0")).alias("first"), F.countDistinct("intent").alias("_i"), F.countDistinct("_label").alias("_l")).where("n > 1")
     kind = F.when(F.col("_l") == 1, "identical").when(F.col("_i") > 1, "intent conflict").otherwise("slot conflict")
-    return groups.select("norm", "n", "first", kind.alias("kind"))
+    return groups.select("digest", "n", "first", kind.alias("kind"))
 
 
 def overlap(examples: DataFrame, text: Column, label_key: Column, a: str, b: str) -> DataFrame:
     """One row: texts that splits a and b share, rows on either side, and rows of b whose labels also occur with the text in a."""
-    keyed = examples.where(F.col("split").isin(a, b)).select("split", text.alias("norm"), label_key.alias("_label"))
+    keyed = examples.where(F.col("split").isin(a, b)).select("split", digest(text).alias("norm"), label_key.alias("_label"))
     by = keyed.groupBy("norm", "_label").agg(F.count_if(F.col("split") == a).alias("na"), F.count_if(F.col("split") == b).alias("nb"))
     per = by.groupBy("norm").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum(F.when(F.col("na") > 0, F.col("nb")).otherwise(0)).alias("same")).where("na > 0 AND nb > 0")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -40,14 +47,14 @@ def overlap(examples: DataFrame, text: Column, label_key: Column, a: str, b: str
 
 def shared_rows(examples: DataFrame, text: Column, a: str, b: str) -> DataFrame:
     """The rows of split b whose text occurs in split a."""
-    known = examples.where(F.col("split") == a).select(text.alias("_norm")).distinct()
-    return examples.where(F.col("split") == b).withColumn("_norm", text).join(known, "_norm", "left_semi").drop("_norm")
+    known = examples.where(F.col("split") == a).select(digest(text).alias("_norm")).distinct()
+    return examples.where(F.col("split") == b).withColumn("_norm", digest(text)).join(known, "_norm", "left_semi").drop("_norm")
 
 
 def unseen_rows(examples: DataFrame, text: Column, a: str, b: str) -> DataFrame:
     """The rows of split b whose text doesn't occur in split a."""
-    known = examples.where(F.col("split") == a).select(text.alias("_norm")).distinct()
-    return examples.where(F.col("split") == b).withColumn("_norm", text).join(known, "_norm", "left_anti").drop("_norm")
+    known = examples.where(F.col("split") == a).select(digest(text).alias("_norm")).distinct()
+    return examples.where(F.col("split") == b).withColumn("_norm", digest(text)).join(known, "_norm", "left_anti").drop("_norm")
 
 
 def compare_expected(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -29,6 +29,12 @@ def operating_point(levels_: DataFrame, limit_s: float = P95_LIMIT_S, max_errors
     return levels_.agg(F.max(fits).alias("concurrency"))
 
 
+def operating_note(levels_: DataFrame) -> DataFrame:
+    """Why there is or isn't an operating point: a level fits, all levels are too slow, or the fast ones had errors."""
+    fits, fast = F.bool_or(F.col("meets_limit")), F.bool_or(F.coalesce(F.col("p95") <= P95_LIMIT_S, F.lit(False)))
+    return levels_.agg(F.when(fits, "a level meets the limit").when(fast, "levels within the limit had errors").otherwise("no level is within the limit").alias("note"))
+
+
 def cost_by_load(levels_: DataFrame, rentals: DataFrame) -> DataFrame:
     """Levels by price bases (both few): cost per thousand calls (null without throughput) and calls a month."""
     return levels_.crossJoin(F.broadcast(rentals)).select("concurrency", "basis", cost.hosted_per_thousand(F.col("usd_per_hour"), F.col("requests_per_s")).alias("usd_per_1k"), cost.monthly_capacity(F.col("requests_per_s")).alias("capacity"), "p95")

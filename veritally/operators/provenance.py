@@ -73,3 +73,53 @@ def run_warnings(runs: DataFrame) -> DataFrame:
         F.when(~F.col("locked"), F.lit("not locked")), F.when(F.col("n_estimated") > 0, F.lit("estimated tokens")), F.when(F.col("price_then") != F.col("price_now"), F.lit("price changed")),
     )
     return runs.select("system", F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("warning"))
+
+
+def in_order(ids: DataFrame, examples: DataFrame) -> DataFrame:
+    """Rows of ``examples`` for the ids of a subset (id, position), with the position; sort by it at the sink."""
+    return examples.join(F.broadcast(ids), "id")
+
+
+def half_width(low: Column, high: Column) -> Column:
+    return (high - low) / 2
+
+
+def checked_subset(subset: DataFrame, examples: DataFrame, expected_hash: str) -> DataFrame:
+    """The subset's ids, if their hash is the expected one and all are in the split; otherwise an error."""
+    from veritally.operators.sampling import id_set_hash
+
+    found = subset.agg(id_set_hash(F.col("id")).alias("h")).first()["h"]
+    if found != expected_hash:
+        raise ValueError(f"the subset's hash is {found}, not {expected_hash}")
+    missing = subset.join(examples.select("id"), "id", "left_anti").count()
+    if missing:
+        raise ValueError(f"{missing} ids of the subset aren't in the split")
+    return subset
+
+
+def check_system(spec: dict, prompts, subsets, most_tokens: int) -> dict:
+    """A system's configuration, if it has what a run needs; otherwise an error that names what is wrong."""
+    wrong = [f"{k} is missing" for k in ("name", "endpoint", "model", "prompt", "subset", "max_output_tokens") if spec.get(k) is None]
+    if not wrong:
+        if spec["prompt"] not in prompts:
+            wrong.append(f"prompt {spec['prompt']} is unknown")
+        if spec["subset"] not in subsets:
+            wrong.append(f"subset {spec['subset']} is not a test subset")
+        if not 0 < spec["max_output_tokens"] <= most_tokens:
+            wrong.append(f"max_output_tokens must be in 1 .. {most_tokens}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return spec
+
+
+def request_body(model: str, messages: Column, params: dict[str, str], dropped=()) -> Column:
+    """JSON of a request; parameters in ``dropped`` are left out last."""
+    kept = {k: v for k, v in params.items() if k not in dropped}
+    fields = [F.lit(model).alias("model"), messages.alias("messages"), *(F.lit(v).alias(k) for k, v in kept.items())]
+    return F.to_json(F.struct(*fields))
+
+
+def distinct_warnings(warnings: DataFrame) -> DataFrame:
+    """One row for warnings that begin alike (up to the first colon), with how many there are."""
+    start = F.substring_index("warning", ":", 1)
+    return warnings.groupBy(start.alias("warning")).agg(F.count("*").alias("n"))

@@ -103,3 +103,22 @@ def frequency_map(log: DataFrame, by: list[str], col: str) -> DataFrame:
 def last_headers(log: DataFrame, by: list[str]) -> DataFrame:
     """The last header map that isn't empty."""
     return log.where(F.size("headers") > 0).groupBy(*by).agg(F.max_by("headers", "pos").alias("headers"))
+
+
+def run_pending(items: DataFrame, log: DataFrame, id_: str, answer, schema: str, path: str) -> DataFrame:
+    """Answers the items that have no final row and appends the answers to the log at ``path``; returns what was appended.
+
+    ``answer`` maps Arrow batches of items to batches of ``schema`` on the executors. Files appear when Spark commits them, so a lost executor leaves no half-written row, and a
+    run that was stopped goes on where the log ends.
+    """
+    rows = pending(items, log, id_).mapInArrow(answer, schema)
+    before = _files(rows.sparkSession, path)
+    rows.write.mode("append").json(path)
+    new = sorted(_files(rows.sparkSession, path) - before)
+    return rows.sparkSession.read.schema(schema).json(new) if new else rows.sparkSession.createDataFrame([], schema)
+
+
+def _files(spark, path: str) -> set[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().toString() for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-")} if fs.exists(hadoop) else set()

@@ -41,7 +41,7 @@ def slot_stats(spark, d):
 
 
 def duplicates_within_train(spark, d):
-    return audit.duplicate_groups(corpus(spark, d).where("split = 'train'"), _strict(), _label()).select(F.md5("norm").alias("text_md5"), "n", "first", "kind")
+    return audit.duplicate_groups(corpus(spark, d).where("split = 'train'"), _strict(), _label()).select("digest", "n", "first", "kind")
 
 
 def duplicate_kinds(spark, d):
@@ -149,7 +149,7 @@ ORACLE_SQL = {
     "label_coverage": f"{_C}, l AS (SELECT DISTINCT intent FROM corpus), s AS (SELECT DISTINCT split, intent FROM corpus), x AS (SELECT sp.split, l.intent, EXISTS (SELECT 1 FROM s WHERE s.split = sp.split AND s.intent = l.intent) AS has, EXISTS (SELECT 1 FROM s WHERE s.split = 'train' AND s.intent = l.intent) AS tr FROM l, (VALUES ('train'), ('dev'), ('test')) sp(split)) SELECT split, count(*) FILTER (has) AS n_labels, count(*) FILTER (NOT has) AS n_missing, count(*) FILTER (has AND NOT tr) AS n_not_in_train FROM x GROUP BY split",
     "scenario_histogram": f"{_C} SELECT split, scenario, count(*) AS n FROM corpus GROUP BY ALL",
     "slot_stats": f"WITH {SLOTS_SQL}, o AS (SELECT o_orderkey AS id, c_mktsegment AS scenario FROM orders JOIN customer ON c_custkey = o_custkey), s AS (SELECT o.id, scenario, count(gold.type) AS n, coalesce(sum(CASE WHEN contains(CAST(o.id AS VARCHAR), value) THEN 0 ELSE 1 END) FILTER (value IS NOT NULL), 0) AS a FROM o LEFT JOIN gold ON gold.id = o.id GROUP BY ALL) SELECT scenario, count(*) AS n, CAST(sum(n) AS BIGINT) AS slots, count(*) FILTER (n = 0) AS without, max(n) AS most, CAST(sum(a) AS BIGINT) AS not_in_text FROM s GROUP BY scenario",
-    "duplicates_within_train": f"{_DUP} SELECT md5(norm) AS text_md5, n, first, kind FROM k",
+    "duplicates_within_train": f"{_DUP} SELECT sha256(norm) AS digest, n, first, kind FROM k",
     "duplicate_kinds": f"{_DUP} SELECT kind, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM k GROUP BY kind",
     "overlap_strict": _overlap_sql(_STRICT),
     "overlap_loose": _overlap_sql(_LOOSE),

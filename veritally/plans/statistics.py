@@ -93,10 +93,21 @@ s AS (SELECT d.b AS r, avg(l.a) AS ma, avg(l.b) AS mb, sum(l.a) / sum(l.b) AS rt
 t AS (SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 0) AS a_only, count(*) FILTER (b = 1 AND a = 0) AS b_only, avg(a) - avg(b) AS difference, avg(a) AS ma, sum(a) / sum(b) AS rt FROM l),
 c AS (SELECT quantile_cont(ma - mb, 0.025) AS low, quantile_cont(ma - mb, 0.975) AS high, least(1.0, 2.0 * (least(count(*) FILTER (ma - mb <= 0), count(*) FILTER (ma - mb >= 0)) + 1) / {RESAMPLES + 1}) AS bootstrap_p FROM s)"""
 _MC = "least(1.0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))) FROM range(least(a_only, b_only) + 1) k(i)))"
-_ALLOC = """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-i1 AS (SELECT lang, 100.0::DOUBLE * n / sum(n) OVER () AS ideal FROM n), f1 AS (SELECT lang, floor(ideal) + CASE WHEN row_number() OVER (ORDER BY ideal - floor(ideal) DESC, lang) <= 100 - sum(floor(ideal)) OVER () THEN 1 ELSE 0 END AS picks FROM i1),
-i2 AS (SELECT lang, 50.0::DOUBLE * picks / 100 AS ideal FROM f1), f2 AS (SELECT lang, floor(ideal) + CASE WHEN row_number() OVER (ORDER BY ideal - floor(ideal) DESC, lang) <= 50 - sum(floor(ideal)) OVER () THEN 1 ELSE 0 END AS picks FROM i2),
-p AS (SELECT 'D100' AS subset, lang, CAST(picks AS BIGINT) AS picks FROM f1 UNION ALL SELECT 'D50', lang, CAST(picks AS BIGINT) FROM f2)"""
+
+def _alloc_sql(name: str, total: int, sizes: str) -> str:
+    """Recursive CTEs ``{name}_r`` and ``{name}`` (p, the picks as a list): one pick is moved a step, until ``total`` are picked. ``sizes`` yields k and n, the list of sizes."""
+    more = "list_transform(range(1, k + 1), lambda i: CASE WHEN p[i] < n[i] THEN ideal[i] - p[i] ELSE -1e300 END)"
+    less = "list_transform(range(1, k + 1), lambda i: CASE WHEN p[i] > low[i] THEN p[i] - ideal[i] ELSE -1e300 END)"
+    chosen = f"CASE WHEN list_sum(p) < {total} THEN list_position({more}, list_max({more})) ELSE k + 1 - list_position(list_reverse({less}), list_max({less})) END"
+    return f"""{name}_s AS (SELECT k, n, list_transform(n, lambda x: {total}::DOUBLE * x / list_sum(n)) AS ideal, list_transform(n, lambda x: least(least({sampling.FLOOR}, {total} // k), x)) AS low FROM ({sizes})),
+{name}_r AS (SELECT *, list_transform(range(1, k + 1), lambda i: CAST(least(n[i], greatest(low[i], floor(ideal[i]))) AS BIGINT)) AS p FROM {name}_s
+  UNION ALL SELECT k, n, ideal, low, list_transform(range(1, k + 1), lambda i: p[i] + CASE WHEN i = c THEN d ELSE 0 END) FROM (SELECT *, {chosen} AS c, CAST(sign({total} - list_sum(p)) AS BIGINT) AS d FROM {name}_r WHERE list_sum(p) <> {total})),
+{name} AS (SELECT k, p FROM {name}_r WHERE list_sum(p) = {total})"""
+
+
+_ALLOC = f"""WITH RECURSIVE n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), l AS (SELECT list(lang ORDER BY lang) AS langs, list(n ORDER BY lang) AS n, count(*) AS k FROM n),
+{_alloc_sql('d100', 100, 'SELECT k, n FROM l')}, {_alloc_sql('d50', 50, 'SELECT k, p AS n FROM d100')},
+p AS (SELECT 'D100' AS subset, unnest(langs) AS lang, unnest(p) AS picks FROM l, d100 UNION ALL SELECT 'D50', unnest(langs), unnest(p) FROM l, d50)"""
 ORACLE_SQL = {
     "summary_with_ci": f"{_DRAW} SELECT n, round(t.ma, 9) AS value, (SELECT round(quantile_cont(ma, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(ma, 0.975), 9) FROM s) AS high FROM t",
     "ratio_with_ci": f"{_DRAW} SELECT n, round(t.rt, 9) AS value, (SELECT round(quantile_cont(rt, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(rt, 0.975), 9) FROM s) AS high FROM t",
