@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Systems, their modulus multipliers, and prices in USD per million tokens (input, cached input, output).
 SYSTEMS = {"A": (7, 3), "B": (5, 11)}
-PRICES = {"gpt-oss-20b": (1.0, 0.25, 2.0), "gpt-oss-120b": (0.5, 0.25, 1.0), "qwen3.8-27b": (2.0, None, 4.0), "gemini": (1.0, 0.5, 4.0)}
+PRICES = {"cached": (1.0, 0.25, 2.0), "half": (0.5, 0.25, 1.0), "plain": (2.0, None, 4.0), "fast": (1.0, 0.5, 4.0)}
 RENTALS = {"on_demand": 0.5, "spot": 0.25}
 PREFIX_TOKENS = 40
 
@@ -95,4 +95,4 @@ def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, *p) for m, p in PRICES.items()], "model string, price_in double, price_cached double, price_out double")
 
 
-PRICES_SQL = "prices AS (SELECT * FROM (VALUES ('gpt-oss-20b', 1.0::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE), ('gpt-oss-120b', 0.5, 0.25, 1.0), ('qwen3.8-27b', 2.0, NULL, 4.0), ('gemini', 1.0, 0.5, 4.0)) t(model, price_in, price_cached, price_out))"
+PRICES_SQL = "prices AS (SELECT * FROM (VALUES ('cached', 1.0::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE), ('half', 0.5, 0.25, 1.0), ('plain', 2.0, NULL, 4.0), ('fast', 1.0, 0.5, 4.0)) t(model, price_in, price_cached, price_out))"

@@ -1,4 +1,4 @@
-"""Readers and writers of the reference formats: archives, JSONL, chat files, logs, benchmark documents, CSV."""
+"""Readers and writers: archives, JSONL, chat files, logs, benchmark documents, CSV."""
 
 from __future__ import annotations
 
