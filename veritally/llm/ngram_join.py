@@ -255,7 +255,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     docs = docs.select("doc_id", "text")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = written(docs.mapInArrow(lean(_keys(k)), "doc_id long, n long, key long"), "ngram-keys")
-    sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
 
     sliced = docs.mapInArrow(lean(_slices(k, parts)), "part int, keys binary, counts binary, hashes binary")
     rep = sliced.groupBy("part").applyInArrow(lean(_repeated(parts)), "part int, keys binary, reps binary").groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
@@ -300,10 +300,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     links = light.groupBy("cluster", "x", "y").applyInArrow(lean(compare), cols).union(heavy.groupBy("cluster", "x", "y").applyInArrow(lean(compare), cols))
     comp = connected_components(links, "ngram-links")
 
-    least = sets.select("key", F.col("doc_id").alias("least"))
-    joined = least.join(comp.withColumnRenamed("node", "key"), "key")
-    of = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
-    of = least.join(of, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    # only sets that are linked or have copies need a component other than the document itself
+    least = sets.select("key", F.col("doc_id").alias("least"), "copies")
+    linked = least.join(comp.withColumnRenamed("node", "key"), "key", "left").where("component IS NOT NULL OR copies > 1")
+    linked = written(linked, "ngram-linked")
+    first = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("first"))
+    of = linked.join(small(first), "component", "left").select("key", F.coalesce("first", "least").alias("component_id"))
+    of = small(written(of, "ngram-components"))
     return keys.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
