@@ -8,7 +8,7 @@ Method
      smoothed towards the raw model.
   2. *Weights.* A document's log weight is the sum over its n-grams of log(target / raw).
   3. *How many.* k is the number of documents above a cutoff. The cutoff is the log weight that separates the labelled documents of quality 1 and 0
-     with the best balanced accuracy (0 if one of the two kinds is missing).
+     with the best balanced accuracy (if one of the two kinds is missing, every text with words is above it).
   4. *Gumbel top-k.* The k documents with the largest log weight + Gumbel noise are kept: a sample without replacement by
      importance weight. The noise is a seeded hash of doc_id. The k-th key is found exactly by counting in ever finer bins of the keys.
 
@@ -137,7 +137,7 @@ def cutoff(scores: DataFrame, labels: DataFrame) -> float:
     x = np.array([r[0] for r in rows])
     good = np.array([r[1] == 1 for r in rows], np.bool_)
     if not good.any() or good.all():
-        return 0.0 if len(rows) and good.any() is False else -np.inf
+        return -np.inf
     order = np.argsort(x)
     x, good = x[order], good[order]
     balanced = np.cumsum(~good) / (~good).sum() - np.cumsum(good) / good.sum()  # with all up to i rejected
@@ -208,4 +208,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return quality_filter(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """The sample: a row per document that is kept."""
+    return quality_filter(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept")
