@@ -8,7 +8,7 @@ Method
      with equal keys are one vertex from here on, so exact copies cost nothing more.
   2. *Repeated shingles.* A partner needs ``num / den`` of a set's shingles, so a set of which fewer occur in another set
      has no link. Counting that moves each shingle once, packed: one row per batch of documents and slice of the hash space,
-     within which a set's part is cut out only once. Only the sets that remain (near copies, mostly) go on.
+     within which a set's part is cut out only once, and one entry of what several sets of the batch share. Only the sets that remain (near copies, mostly) go on.
   3. *Heavy and light.* A set of n shingles that needs an overlap of a is compared by the n - a + 1 smallest hashes (some
      shingle of them is shared) or by the pairs among the n - a + 2 smallest (some pair is shared). Small sets enumerate
      those fixed-size subsets; large sets, for which there are too many, use the inverted lists of single shingles. The
@@ -71,7 +71,11 @@ def _keys(k: int):
 
 
 def _slices(k: int, parts: int):
-    """Rows (part, keys, counts, hashes): what the sets of a batch have in one slice of the hash space, each set once."""
+    """Rows (part, keys, counts, local, hashes, shared): what the sets of a batch have in one slice of the hash space, each set once.
+
+    Shingles that several sets of the batch have are repeated for certain: they are counted here (``local``), and only one hash of each goes on (``shared``), so a
+    shingle of very many documents is as many entries as there are batches. The others go on with their set (``counts`` of ``hashes`` per key).
+    """
 
     def run(batches):
         for batch in batches:
@@ -91,48 +95,73 @@ def _slices(k: int, parts: int):
             part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             h, owner, part = h[order], owner[order], part[order]
+            order = np.argsort(h)
+            equal = h[order][1:] == h[order][:-1]
+            several = np.zeros(len(h), np.bool_)
+            several[order[1:]] = equal
+            later = several.copy()  # all but the first of equal ones
+            several[order[:-1]] |= equal
             cut = np.searchsorted(part, np.arange(parts + 1))
-            rows: dict[str, list] = {"part": [], "keys": [], "counts": [], "hashes": []}
+            rows: dict[str, list] = {c: [] for c in ("part", "keys", "counts", "local", "hashes", "shared")}
             for p in np.flatnonzero(np.diff(cut)):
-                o = owner[cut[p] : cut[p + 1]]
+                at = slice(cut[p], cut[p + 1])
+                o, many = owner[at], several[at]
                 first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                local = np.add.reduceat(many, first, dtype=np.int32)
                 rows["part"].append(int(p))
                 rows["keys"].append(o[first].tobytes())
-                rows["counts"].append(np.diff(np.append(first, len(o))).astype(np.int32).tobytes())
-                rows["hashes"].append(np.ascontiguousarray(h[cut[p] : cut[p + 1]].view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("keys", "counts", "hashes"))], names=list(rows))
+                rows["counts"].append((np.diff(np.append(first, len(o))) - local).astype(np.int32).tobytes())
+                rows["local"].append(local.tobytes())
+                rows["hashes"].append(_pack(h[at][~many]))
+                rows["shared"].append(_pack(h[at][many & ~later[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in list(rows)[1:])], names=list(rows))
 
     return run
 
 
+def _pack(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :_BYTES] = raw
+    return wide.view(_U).ravel()
+
+
 def _repeated(parts: int):
     """For a slice of the hash space: how many shingles of each set occur in another set too; rows (part, keys, reps), dealt anew by key."""
 
     def run(table: pa.Table) -> pa.Table:
         seen: set[int] = set()
-        hashes, owners = [], []
-        for keys, counts, h in zip(*(table.column(c) for c in ("keys", "counts", "hashes")), strict=True):
-            key, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
+        hashes, owners, keys, reps = [], [], [], []
+        for row in zip(*(table.column(c) for c in ("keys", "counts", "local", "hashes", "shared")), strict=True):
+            key, n, local = (np.frombuffer(x.as_py(), t) for x, t in zip(row[:3], (np.int64, np.int32, np.int32), strict=True))
             new = np.zeros(len(key), np.bool_)
             for i, x in enumerate(key.tolist()):
                 if x not in seen:
                     seen.add(x)
                     new[i] = True
-            wide = np.zeros((int(n.sum()), 8), np.uint8)
-            wide[:, :_BYTES] = np.frombuffer(h.as_py(), np.uint8).reshape(-1, _BYTES)
-            hashes.append(wide.view(_U).ravel()[np.repeat(new, n)])
-            owners.append(np.repeat(key, n)[np.repeat(new, n)])
+            keys.append(key[new])
+            reps.append(local[new])
+            shared = _unpack(row[4].as_py())  # twice, of no set: repeated for certain
+            hashes += [_unpack(row[3].as_py())[np.repeat(new, n)], shared, shared]
+            owners += [np.repeat(key, n)[np.repeat(new, n)], np.zeros(2 * len(shared), np.int64)]
         h, owner = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(h)
         h, owner = h[order], owner[order]
         same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-        key, rep = np.unique(owner[same[1:] | same[:-1]], return_counts=True)
+        hit = owner[same[1:] | same[:-1]]
+        key, inv = np.unique(np.concatenate([*keys, hit]), return_inverse=True)
+        rep = np.bincount(inv, np.concatenate([*reps, np.ones(len(hit))])).astype(np.int64)
+        key, rep = key[(rep > 0) & (key != 0)], rep[(rep > 0) & (key != 0)]
         part = (key.view(_U) % _U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         key, rep, part = key[order], rep[order], part[order]
         cut = np.searchsorted(part, np.arange(parts + 1))
         some = np.flatnonzero(np.diff(cut))
-        pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].astype(np.int64).tobytes() for p in some], pa.binary())
+        pack = lambda x: pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())
         return pa.table({"part": pa.array(some, pa.int32()), "keys": pack(key), "reps": pack(rep)})
 
     return run
@@ -257,7 +286,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     keys = written(docs.mapInArrow(lean(_keys(k)), "doc_id long, n long, key long"), "ngram-keys")
     sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
 
-    sliced = docs.mapInArrow(lean(_slices(k, parts)), "part int, keys binary, counts binary, hashes binary")
+    sliced = docs.mapInArrow(lean(_slices(k, parts)), "part int, keys binary, counts binary, local binary, hashes binary, shared binary")
     rep = sliced.groupBy("part").applyInArrow(lean(_repeated(parts)), "part int, keys binary, reps binary").groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
     near = written(rep.join(sets, "key").where(F.col("rep") * den >= F.col("n") * num).select("key", "doc_id"), "ngram-near")
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -272,8 +301,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
     member = full.join(cluster.withColumnRenamed("node", "key"), "key").select("key", "n", "shingles", F.col("component").alias("cluster"))
     sized = member.select("key", "n", "cluster", F.floor(F.log("n") / F.log(F.lit(den / num))).alias("c"))
-    total = sized.groupBy("cluster").agg(F.sum("n").alias("all_n"))
-    by_class = sized.groupBy("cluster", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    total = small(written(sized.groupBy("cluster").agg(F.sum("n").alias("all_n")), "ngram-cluster-sizes"))
+    by_class = small(written(sized.groupBy("cluster", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "ngram-blocks"))
     pools = F.greatest(F.lit(1), F.ceil(sized.agg(F.sum("n")).collect()[0][0] / F.lit(BLOCK_SHINGLES))) if cluster.limit(1).count() else F.lit(1)
     tiny = total.where(F.col("all_n") <= BLOCK_SHINGLES).select("cluster", F.pmod(F.xxhash64("cluster"), pools).alias("pool"))
     light = member.join(tiny, "cluster").select(F.col("pool").alias("cluster"), F.lit(-1).alias("x"), F.lit(-1).alias("y"), F.lit(0).alias("side"), "key", "n", "shingles")
