@@ -15,38 +15,49 @@ def body_of(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(t, _FENCE, 1), F.lit("")), t)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs in it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_object(text: Column) -> Column:
     """The variant that the text is, if it is one JSON object and nothing else; otherwise null. Nothing is repaired.
 
     The parser tolerates what follows a value, so the body is parsed as the first of two elements, the second a hash of the body that the body can't hold.
     """
-    body = body_of(text)
-    both = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), F.md5(body), F.lit('"]')))
-    alone = (F.size(F.try_variant_get(both, "$", "array<variant>")) == 2) & (F.try_variant_get(both, "$[1]", "string") == F.md5(body))
-    found = F.try_variant_get(both, "$[0]", "variant")
-    return F.when(alone & F.schema_of_variant(found).startswith("OBJECT<"), found)
+
+    def found(body: Column) -> Column:
+        def checked(both: Column) -> Column:
+            alone = (F.size(F.try_variant_get(both, "$", "array<variant>")) == 2) & (F.try_variant_get(both, "$[1]", "string") == F.md5(body))
+            return _once(F.try_variant_get(both, "$[0]", "variant"), lambda v: F.when(alone & F.schema_of_variant(v).startswith("OBJECT<"), v))
+
+        return _once(F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), F.md5(body), F.lit('"]'))), checked)
+
+    return _once(body_of(text), found)
 
 
 def is_valid_call(text: Column, intents: Column | None = None, types: Column | None = None) -> Column:
     """True if the text is an object with exactly a string ``intent`` and a list ``slots`` of objects with exactly strings ``type`` and ``value``, all labels known."""
-    v = parse_object(text)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    slots = F.try_variant_get(v, "$.slots", "array<variant>")
-    keys = F.array_sort(F.array_distinct(F.json_object_keys(body_of(text))))
-    ok = v.isNotNull() & (keys == F.array(F.lit("intent"), F.lit("slots"))) & (kind("$.intent") == "STRING") & kind("$.slots").startswith("ARRAY<")
-    ok = ok & F.forall(slots, lambda s: F.schema_of_variant(s) == "OBJECT<type: STRING, value: STRING>")
-    if intents is not None:
-        ok = ok & F.array_contains(intents, F.try_variant_get(v, "$.intent", "string"))
-    if types is not None:
-        ok = ok & F.forall(slots, lambda s: F.array_contains(types, F.try_variant_get(s, "$.type", "string")))
-    return F.coalesce(ok, F.lit(False))
+
+    def holds(v: Column) -> Column:
+        kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        slots = F.try_variant_get(v, "$.slots", "array<variant>")
+        keys = F.array_sort(F.array_distinct(F.json_object_keys(F.to_json(v))))
+        ok = v.isNotNull() & (keys == F.array(F.lit("intent"), F.lit("slots"))) & (kind("$.intent") == "STRING") & kind("$.slots").startswith("ARRAY<")
+        ok = ok & F.forall(slots, lambda s: F.schema_of_variant(s) == "OBJECT<type: STRING, value: STRING>")
+        if intents is not None:
+            ok = ok & F.array_contains(intents, F.try_variant_get(v, "$.intent", "string"))
+        if types is not None:
+            ok = ok & F.forall(slots, lambda s: F.array_contains(types, F.try_variant_get(s, "$.type", "string")))
+        return F.coalesce(ok, F.lit(False))
+
+    return _once(parse_object(text), holds)
 
 
 def call_of(text: Column) -> Column:
     """The parsed call; meaningful where `is_valid_call` holds."""
-    v = parse_object(text)
-    slots = F.transform(F.try_variant_get(v, "$.slots", "array<variant>"), lambda s: F.struct(F.try_variant_get(s, "$.type", "string").alias("type"), F.try_variant_get(s, "$.value", "string").alias("value")))
-    return F.struct(F.try_variant_get(v, "$.intent", "string").alias("intent"), slots.alias("slots"))
+    slot = lambda s: F.struct(F.try_variant_get(s, "$.type", "string").alias("type"), F.try_variant_get(s, "$.value", "string").alias("value"))
+    return _once(parse_object(text), lambda v: F.struct(F.try_variant_get(v, "$.intent", "string").alias("intent"), F.transform(F.try_variant_get(v, "$.slots", "array<variant>"), slot).alias("slots")))
 
 
 def target_json(intent: Column, slots: Column) -> Column:
