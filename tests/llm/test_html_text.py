@@ -7,6 +7,7 @@ PAGES = {
     "<header>Site</header><main><h1>T</h1><p>A paragraph that goes on for quite a while here.</p><aside>side</aside><form><p>Name</p><button>Go</button></form></main><div id='comments'><p>First!</p></div>": "T A paragraph that goes on for quite a while here.",
     "<div id='cookie-notice'>We use cookies</div><div class='post'><p>Hello <b>w</b>orld, this is a long text with many words.</p><p>Ok.</p></div><div class='comment-list'><p>nice</p></div>": "Hello world, this is a long text with many words. Ok.",
     "<article><p>Long enough text of the article itself, with words.</p><section class='comments'><article class='comment'><p>A comment that is nearly as long as the article's text.</p></article></section><div class='related'>More</div></article>": "Long enough text of the article itself, with words.",
+    "<div id=siteHeader>Brand</div><article><p>All of the text of this article.</p><div class='AdvertBox'>Buy</div><ul class=commentsList><li>Hi</ul></article><div class='pageFooter'>x</div>": "All of the text of this article.",
     "plain text": "plain text",
     "": "",
     "<p>": "",

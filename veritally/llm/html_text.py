@@ -40,7 +40,9 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget header masthead footer share sharing social "
     "related recommended newsletter subscribe signup login search form comment comments reply replies disqus discussion pagination pager complementary contentinfo dialog".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+# Beginnings of such words, for compounds.
+STEMS = tuple("advert sponsor promo banner cookie consent sidebar comment footer breadcrumb navbar navigation newsletter subscri popup recommend pagination".split())
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: Width of the Gaussian, in lines.
 SIGMA = 1.0
@@ -85,10 +87,10 @@ class _Lines(HTMLParser):
         named = set()
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                named.update(_SPLIT.split(value.lower()))
+                named.update(map(str.lower, _SPLIT.split(value)))
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 aside = True
-        if tag in ASIDE or tag == "header" and not in_article or tag not in ("html", "body", "main") and named & MARKS and not (tag == "header" or in_article and tag in ("h1", "h2", "h3")):
+        if tag in ASIDE or tag == "header" and not in_article or tag not in ("html", "body", "main") and (named & MARKS or any(w.startswith(STEMS) for w in named)) and not (tag == "header" or in_article and tag in ("h1", "h2", "h3")):
             aside = True
         if tag in REGION and not aside:
             new = 2 if tag == "article" else 1 if tag == "main" else 0
