@@ -89,21 +89,22 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     per = apportion(per, [], F.col("_seats"), F.col("target"), [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "seats")
     per = written(per.withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")).select("source", "source_size", "target", "seats", "shards"), "mix-seats")
 
-    keyed = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")).withColumnRenamed("source", "_source")
-    dealt = keyed.join(small(per), F.col("_source").eqNullSafe(F.col("source")))
+    # a key that is never null, so that windows, aggregates and joins by source and shard share one partitioning
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    keyed = sized.withColumn("_src", name).drop("source").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
+    dealt = keyed.join(small(per.withColumn("_src", name)), "_src")
     dealt = dealt.withColumn("shard", F.pmod(F.shiftrightunsigned("_hash", 17), F.col("shards")))
-    key = ["source", "shard"]
+    key = ["_src", "shard"]
     words = dealt.groupBy(*key, "seats").agg(F.sum("size").alias("words"))
-    quotas = apportion(words, ["source"], F.col("seats"), F.col("words"), [F.col("shard")]).select("source", "shard", "words", "quota")
+    quotas = apportion(words, ["_src"], F.col("seats"), F.col("words"), [F.col("shard")]).select(*key, "words", "quota")
 
     in_order = Window.partitionBy(*key).orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("_end", F.sum("size").over(in_order)).withColumn("_begin", F.col("_end") - F.col("size"))
-    q = quotas.select(F.col("source").alias("_qs"), F.col("shard").alias("_qd"), "words", "quota")
-    laid = laid.join(q, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("shard") == F.col("_qd")))
+    laid = laid.join(quotas, key)
     blocks = F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("long")
     laid = laid.withColumn("_b", blocks).withColumn("quota", F.least("quota", (F.col("_b") * F.lit(float(cap))).cast("long")))
     # block j holds the words from floor(j * words / b); it is chosen if its place in the permutation is among the first
-    laid = laid.withColumn("_rounds", F.floor(F.col("quota") / F.col("_b"))).withColumn("_more", F.pmod("quota", "_b")).withColumn("_shift", F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("_b")))
+    laid = laid.withColumn("_rounds", F.floor(F.col("quota") / F.col("_b"))).withColumn("_more", F.pmod("quota", "_b")).withColumn("_shift", F.pmod(F.xxhash64(F.lit(seed), "_src", "shard"), F.col("_b")))
     edge = lambda j: F.floor(j * F.col("words") / F.col("_b"))
     chosen = lambda j: F.pmod(F.pmod(F.lit(_PRIME), F.col("_b")) * j + F.col("_shift"), F.col("_b")) < F.col("_more")
     lap = lambda j: F.greatest(F.lit(0).cast("long"), F.least(F.col("_end"), edge(j + 1)) - F.greatest(F.col("_begin"), edge(j)))
@@ -111,7 +112,7 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     js = F.sequence(block_of(F.col("_begin")), block_of(F.col("_end")))
     extra = F.aggregate(js, F.lit(0).cast("long"), lambda a, j: a + F.when(chosen(j), lap(j)).otherwise(F.lit(0).cast("long")))
     taken = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.col("_rounds") * F.col("size") + F.when(F.col("_more") > 0, extra).otherwise(F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return laid.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op1_mixing_sources(spark, sf_dir: str) -> DataFrame:
