@@ -9,8 +9,8 @@ Method
   2. *Repeated shingles.* A partner needs ``num / den`` of a set's shingles, so a set of which fewer occur in another set
      has no link. Counting that moves each shingle once, packed: one row per batch of documents and slice of the hash space,
      within which a set's part is cut out only once, and one entry of what several sets of the batch share. Only the sets that remain (near copies, mostly) go on.
-  3. *Heavy and light.* A set of n shingles that needs an overlap of a is compared by the n - a + 1 smallest hashes (some
-     shingle of them is shared) or by the pairs among the n - a + 2 smallest (some pair is shared). Small sets enumerate
+  3. *Heavy and light.* The shingles of these sets are ordered by how many of the sets have them, rare ones first. A set of n shingles that needs an overlap of a is compared by the first n - a + 1 (some
+     shingle of them is shared) or by the pairs among the first n - a + 2 (some pair is shared). Small sets enumerate
      those fixed-size subsets; large sets, for which there are too many, use the inverted lists of single shingles. The
      boundary is the size with the least cost: subsets made, against list entries made and scanned, from a histogram over all sets.
   4. *Verification.* Sets that share a signature form clusters. A cluster is cut into blocks of bounded size by set size;
@@ -184,13 +184,88 @@ def _binary_sets(k: int):
     return run
 
 
+def _cut(parts: int):
+    """Rows (part, keys, counts, hashes): the sets' shingles by slice of the hash space."""
+
+    def run(batches):
+        for batch in batches:
+            data, n = batch.column("shingles").to_pylist(), batch.column("n").to_numpy()
+            if not data:
+                continue
+            h, owner = np.frombuffer(b"".join(data), _U), np.repeat(batch.column("key").to_numpy(), n)
+            part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            h, owner = h[order], owner[order]
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(cut))
+            rows = []
+            for p in some:
+                o = owner[cut[p] : cut[p + 1]]
+                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                rows.append((o[first].tobytes(), np.diff(np.append(first, len(o))).astype(np.int32).tobytes(), _pack(h[cut[p] : cut[p + 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["part", "keys", "counts", "hashes"])
+
+    return run
+
+
+def _frequency(parts: int):
+    """For a slice: how common each shingle is among the sets, on a scale of 8 steps per doubling; rows (to, part, keys, counts, classes), dealt by key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, n, h = [], [], []
+        for k, c, x in zip(*(table.column(c) for c in ("keys", "counts", "hashes")), strict=True):
+            key.append(np.frombuffer(k.as_py(), np.int64))
+            n.append(np.frombuffer(c.as_py(), np.int32))
+            h.append(_unpack(x.as_py()))
+        key, n, h = map(np.concatenate, (key, n, h))
+        order = np.argsort(h)
+        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        df = np.diff(np.append(start, len(h)))
+        level = np.empty(len(h), np.uint8)
+        level[order] = np.repeat(np.minimum(255, 8 * np.log2(df)).astype(np.uint8), df)
+        to = np.mod(key, parts)
+        by = np.argsort(to, kind="stable")
+        at = np.concatenate([[0], np.cumsum(n)])
+        rows = []
+        for p, group in zip(*_groups(to[by], by), strict=True):
+            rows.append((int(p), key[group].tobytes(), n[group].tobytes(), np.concatenate([level[at[i] : at[i + 1]] for i in group]).tobytes()))
+        cols = list(zip(*rows, strict=True))
+        return pa.table({"to": pa.array(cols[0], pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * len(rows), pa.int32()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "classes": pa.array(cols[3], pa.binary())})
+
+    return run
+
+
+def _groups(sorted_values: np.ndarray, items: np.ndarray):
+    start = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
+    return sorted_values[start], np.split(items, start[1:])
+
+
+def _heads_first(num: int, den: int):
+    """(key, n, shingles, head): ``head`` has the set's rarest shingles, by class and then hash, as many as signatures need."""
+
+    def run(sets: pa.Table, classes: pa.Table) -> pa.Table:
+        found: dict[int, list[bytes]] = {}
+        for k, c, x in zip(*(classes.sort_by("part").column(c) for c in ("keys", "counts", "classes")), strict=True):  # slices ascend with the hash
+            n, data = np.frombuffer(c.as_py(), np.int32), x.as_py()
+            at = np.concatenate([[0], np.cumsum(n)])
+            for i, key in enumerate(np.frombuffer(k.as_py(), np.int64).tolist()):
+                found.setdefault(key, []).append(data[at[i] : at[i + 1]])
+        heads = []
+        for key, n, data in zip(*(sets.column(c).to_pylist() for c in ("key", "n", "shingles")), strict=True):
+            level = np.frombuffer(b"".join(found[key]), np.uint8)
+            heads.append(np.frombuffer(data, _U)[np.argsort(level, kind="stable")[: n - _need(n, num, den) + 2]].tobytes())
+        return sets.select(["key", "n", "shingles"]).append_column("head", pa.array(heads, pa.binary()))
+
+    return run
+
+
 def _signatures(num: int, den: int, boundary: int):
-    """Rows (sig, key). Light sets (n <= boundary): pairs of the smallest hashes; heavy ones, and those that can link with a heavy one: single hashes."""
+    """Rows (sig, key). Light sets (n <= boundary): pairs of the first shingles; heavy ones, and those that can link with a heavy one: single hashes."""
 
     def run(batches):
         for batch in batches:
             sigs, keys = [], []
-            for key, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "shingles")), strict=True):
+            for key, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "head")), strict=True):
                 s, spare = np.frombuffer(data, _U), n - _need(n, num, den)
                 if n <= boundary:
                     head = s[: spare + 2]
@@ -214,7 +289,7 @@ def _heads(num: int, den: int):
         for batch in batches:
             n = batch.column("n").to_numpy()
             spare = n - _need(n, num, den)
-            heads = [np.frombuffer(d, _U)[: x + 1] for d, x in zip(batch.column("shingles").to_pylist(), spare, strict=True)]
+            heads = [np.frombuffer(d, _U)[: x + 1] for d, x in zip(batch.column("head").to_pylist(), spare, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.repeat(n, spare + 1), pa.int64())], names=["sig", "n"])
 
     return run
@@ -292,6 +367,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
     full = texts.mapInArrow(lean(_binary_sets(k)), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
     full = written(full.dropDuplicates(["key"]), "ngram-sets")
+    levels = full.mapInArrow(lean(_cut(parts)), "part int, keys binary, counts binary, hashes binary").groupBy("part").applyInArrow(lean(_frequency(parts)), "to int, part int, keys binary, counts binary, classes binary")
+    ordered = full.withColumn("to", F.pmod("key", F.lit(parts)).cast("int")).groupBy("to").cogroup(levels.groupBy("to"))
+    full = written(ordered.applyInArrow(_heads_first(num, den), "key long, n long, shingles binary, head binary"), "ngram-ordered")
 
     boundary = boundary_by_cost(full, num, den)
     sig = written(full.mapInArrow(lean(_signatures(num, den, boundary)), "sig long, key long"), "ngram-signatures")
@@ -299,7 +377,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     shared = sig.join(low, "sig").where("key <> v").select(F.col("key").alias("u"), "v")
     cluster = connected_components(shared, "ngram-clusters")
 
-    member = full.join(cluster.withColumnRenamed("node", "key"), "key").select("key", "n", "shingles", F.col("component").alias("cluster"))
+    member = written(full.join(cluster.withColumnRenamed("node", "key"), "key").select("key", "n", "shingles", F.col("component").alias("cluster")), "ngram-members")
     sized = member.select("key", "n", "cluster", F.floor(F.log("n") / F.log(F.lit(den / num))).alias("c"))
     total = small(written(sized.groupBy("cluster").agg(F.sum("n").alias("all_n")), "ngram-cluster-sizes"))
     by_class = small(written(sized.groupBy("cluster", "c").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks")), "ngram-blocks"))
