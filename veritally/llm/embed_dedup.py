@@ -36,7 +36,11 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     """Rows of unit length in double precision."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return _unit(col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
@@ -83,22 +87,23 @@ def _assign(c: np.ndarray, margin: float, least: float):
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
-                x = _matrix(part.column("embedding"), c.shape[1])
+                raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
+                x = _unit(raw)
                 angle = np.arccos(np.clip(x @ c.T, -1, 1))
                 near = angle <= np.maximum(angle.min(axis=1, keepdims=True) + math.radians(margin), near_by)
                 rows, cells = np.nonzero(near)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], near.sum(axis=1).cumsum()]), pa.int32()), pa.array(cells, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()), lists], names=["id", "copies", "unit", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary()), lists], names=["id", "copies", "vector", "cells"])
 
     return run
 
 
-def _compare(least: float):
+def _compare(least: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("id")
         ids, copies, side = (t.column(c).to_numpy() for c in ("id", "copies", "side"))
         cell = t.column("cell")[0].as_py()
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(len(ids), -1)
+        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(ids), -1))
         lists = t.column("cells").to_pylist()
         width = max(map(len, lists))
         cells = np.full((len(lists), width), -1)
@@ -141,8 +146,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float = MAR
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"  # moved as they are, multiplied in double precision
     sound = F.coalesce((F.size(e) > 0) & F.forall(e, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(e, lambda c: c != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.when(sound, F.col("embedding").cast("array<double>")).alias("embedding"))
+    rows = vectors.select("vec_id", F.when(sound, F.col("embedding").cast(f"array<{kind}>")).alias("embedding"))
     reps = written(rows.where("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "embed-distinct")
     # equal vec_ids may hold different vectors, so vertices have ids of their own that ascend with vec_id only within equal vectors
     reps = written(reps.withColumn("id", F.xxhash64("embedding")), "embed-vertices")
@@ -150,14 +156,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float = MAR
     for size in sorted(reps.groupBy(F.size("embedding").alias("dim")).count().collect()):
         mine = reps.where(F.size("embedding") == size["dim"])
         k = max(1, min(MAX_CELLS, -(-size["count"] // cell)))
-        placed = mine.select("id", "copies", "embedding").mapInArrow(lean(_assign(centres(mine, k, size["dim"]), margin, least)), "id long, copies long, unit binary, cells array<int>")
+        placed = mine.select("id", "copies", "embedding").mapInArrow(lean(_assign(centres(mine, k, size["dim"]), margin, least)), "id long, copies long, vector binary, cells array<int>")
         placed = written(placed, "embed-cells")
         each = placed.withColumn("cell", F.explode("cells"))
         blocks = each.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         each = each.join(small(written(blocks, "embed-blocks")), "cell").withColumn("b", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
         task = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y"))))
-        each = each.withColumn("t", task).select("cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.when(F.col("t.x") == F.col("b"), 0).otherwise(1).alias("side"), "id", "copies", "unit", "cells")
-        found = found.union(each.groupBy("cell", "x", "y").applyInArrow(lean(_compare(least)), "edge boolean, u long, v long"))
+        each = each.withColumn("t", task).select("cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.when(F.col("t.x") == F.col("b"), 0).otherwise(1).alias("side"), "id", "copies", "vector", "cells")
+        found = found.union(each.groupBy("cell", "x", "y").applyInArrow(lean(_compare(least, {"float": "f4", "double": "f8"}[kind])), "edge boolean, u long, v long"))
     found = written(found, "embed-links")
     comp = connected_components(found.where("edge").select("u", "v"), "embed-components").withColumnRenamed("node", "id")
     links = found.where("NOT edge").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("links"))
