@@ -75,3 +75,19 @@ def test_recall_at_the_threshold(spark, rows):
         data += [(2 * i, list(x)), (2 * i + 1, list(0.951 * x + np.sqrt(1 - 0.951**2) * z))]
     got = rows(E.near_duplicates(frame(spark, data), cell=16), "vec_id", "n_links")
     assert sum(n for _, n in got) >= 0.99 * 800
+
+
+def test_low_rank_vectors_at_the_production_margin(spark):
+    """Pairs just above the least, in 64 dimensions but few directions, far from all centres: no link is missed."""
+    for rank in (8, 12):
+        rng = np.random.default_rng(rank)
+        x, z = rng.normal(size=(2, 3000, rank))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        z -= (z * x).sum(axis=1)[:, None] * x
+        z /= np.linalg.norm(z, axis=1)[:, None]
+        y = (np.concatenate([x, 0.9505 * x + np.sqrt(1 - 0.9505**2) * z]) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T).astype(np.float32)
+        d = y.astype(np.float64)
+        d /= np.sqrt((d * d).sum(axis=1))[:, None]
+        want = (d @ d.T >= 0.95).sum(axis=1) - 1
+        got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(frame(spark, list(enumerate(y.tolist()))), cell=64).select("vec_id", "n_links").collect()}
+        assert [got[i] for i in range(len(y))] == want.tolist()

@@ -4,12 +4,11 @@ Method
   1. Vectors that are null, zero or hold null or non-finite components link with nothing. Equal vectors become one vertex with a count.
   2. *Cells.* Centres start from the vectors with the smallest hashes (about one per ``CELL`` vectors, ``MAX_CELLS`` at most) and are moved by ``ROUNDS`` rounds of spherical k-means
      over all vectors; only sums of fixed size reach the driver.
-  3. *Assignment.* Centres within ``NEAR`` degrees of a larger cell's are dropped, so a tight group is few cells. A vector goes to its nearest centre's cell, to every cell whose centre is at most
-     ``MARGIN`` degrees farther, and to every cell whose centre is within ``NEAR`` degrees plus the threshold's angle. So a pair of which one vector is near its centre shares a cell
-     for certain; so does any pair if the margin is twice the threshold's angle (36.4 degrees for cosine 0.95). At 8 degrees all of 20,000 random pairs in 64 dimensions at exactly
-     0.95 did, with 6 to 8 cells a vector.
-  4. *Products.* A cell is compared in blocks of at most ``BLOCK`` vectors; a task holds two blocks, so a cell with a third of all vectors is many tasks. Cosines are matrix products in
-     double precision. A pair that shares several cells counts in the smallest of them. A task returns link counts and a spanning forest, never pairs.
+  3. *Assignment.* Centres within ``NEAR`` degrees of a larger cell's are dropped, so a tight group is few cells. A vector is at home in its nearest centre's cell, and visits each cell that can
+     be the home of a vector within the threshold's angle: one whose bisector with the home is no farther than that angle. Of two cells only one is visited from the other, so a pair
+     shares the home of one of its vectors for certain, in any dimension and for any spread. Vectors that vary evenly in many directions visit most cells.
+  4. *Products.* The vectors at home in a cell are compared with each other and with the visitors, in blocks of at most ``BLOCK`` and twice as many visitors; a task holds two blocks, so a
+     cell with a third of all vectors is many tasks. Cosines are matrix products in double precision. A pair is met in one task. A task returns link counts and a spanning forest, never pairs.
   5. Connected components over the forests.
 
 The vec_id kept for a component is its smallest. Equal vec_ids are rows of their own that share a component if their vectors link. Vectors of other lengths are compared among
@@ -27,8 +26,10 @@ from pyspark.sql import functions as F
 
 from veritally.llm.common import connected_components, forest, lean, small, written
 
-CELL, MAX_CELLS, ROUNDS, MARGIN, BLOCK = 256, 4096, 3, 8.0, 2048
-#: Degrees within which a vector counts as near its centre, and within which two centres become one.
+CELL, MAX_CELLS, ROUNDS, BLOCK = 2048, 4096, 3, 2048
+#: Degrees beyond the nearest centre up to which cells are visited; None: no such limit, so that no link is missed.
+MARGIN = None
+#: Degrees within which two centres become one.
 NEAR = 30.0
 
 
@@ -80,20 +81,27 @@ def centres(vectors: DataFrame, k: int, dim: int, rounds: int = ROUNDS) -> np.nd
     return c[kept]
 
 
-def _assign(c: np.ndarray, margin: float, least: float):
-    near_by = math.radians(NEAR) + math.acos(least)
+def _assign(c: np.ndarray, margin: float | None, least: float):
+    apart = np.linalg.norm(c[:, None] - c[None, :], axis=2)
+    reach = math.sqrt(1 - least * least) if least > 0 else 1.0  # the sine of the threshold's angle
+    number = np.arange(len(c))
+    from_home = (number[None, :] < number[:, None]) == ((number[None, :] + number[:, None]) % 2 == 0)  # of two cells one is visited
 
     def run(batches):
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
                 raw = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1])
-                x = _unit(raw)
-                angle = np.arccos(np.clip(x @ c.T, -1, 1))
-                near = angle <= np.maximum(angle.min(axis=1, keepdims=True) + math.radians(margin), near_by)
-                rows, cells = np.nonzero(near)
+                cosine = _unit(raw) @ c.T
+                home = cosine.argmax(axis=1)
+                near = cosine.max(axis=1, keepdims=True) - cosine <= reach * apart[home] + 1e-9
+                if margin is not None:
+                    angle = np.arccos(np.clip(cosine, -1, 1))
+                    near &= angle <= angle.min(axis=1, keepdims=True) + math.radians(margin)
+                near &= from_home[home]
+                cells = np.nonzero(near)[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], near.sum(axis=1).cumsum()]), pa.int32()), pa.array(cells, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary()), lists], names=["id", "copies", "vector", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), pa.array([v.tobytes() for v in np.ascontiguousarray(raw)], pa.binary()), pa.array(home, pa.int32()), lists], names=["id", "copies", "vector", "home", "visits"])
 
     return run
 
@@ -102,47 +110,35 @@ def _compare(least: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("id")
         ids, copies, side = (t.column(c).to_numpy() for c in ("id", "copies", "side"))
-        cell = t.column("cell")[0].as_py()
         x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), kind).reshape(len(ids), -1))
-        lists = t.column("cells").to_pylist()
-        width = max(map(len, lists))
-        cells = np.full((len(lists), width), -1)
-        for i, v in enumerate(lists):
-            cells[i, : len(v)] = v
-        first = cells.copy()
-        first[first < 0] = np.iinfo(np.int32).max
-        two = len(np.unique(side)) > 1
+        two = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(ids)),) * 2
+        y = x[right]
         links = np.zeros(len(ids), np.int64)
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in range(0, len(ids), 256):
-            hit = x[a : a + 256] @ x[a:].T >= least
-            i, j = np.nonzero(np.triu(hit, 1))
-            i, j = i + a, j + a
-            if two:
-                i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        for a in range(0, len(left), 256):
+            b = 0 if two else a
+            hit = x[left[a : a + 256]] @ y[b:].T >= least
+            i, j = np.nonzero(hit if two else np.triu(hit, 1))
+            i, j = left[i + a], right[j + b]
             for s in range(0, len(i), 100_000):
                 p, q = i[s : s + 100_000], j[s : s + 100_000]
-                # the smallest cell that both have
-                low = np.full(len(p), np.iinfo(np.int32).max)
-                for m in range(width):
-                    low = np.minimum(low, np.where((cells[q] == first[p, m][:, None]).any(axis=1), first[p, m], low))
-                p, q = p[low == cell], q[low == cell]
                 np.add.at(links, p, copies[q])
                 np.add.at(links, q, copies[p])
-                b, r = forest(ids[p], ids[q])
-                u.append(b)
+                e, r = forest(ids[p], ids[q])
+                u.append(e)
                 v.append(r)
-        b, r = forest(np.concatenate(u), np.concatenate(v))
+        e, r = forest(np.concatenate(u), np.concatenate(v))
         some = links > 0
-        return pa.table({"edge": pa.array(np.repeat([False, True], [some.sum(), len(b)])), "u": pa.array(np.concatenate([ids[some], b]), pa.int64()), "v": pa.array(np.concatenate([links[some], r]), pa.int64())})
+        return pa.table({"edge": pa.array(np.repeat([False, True], [some.sum(), len(e)])), "u": pa.array(np.concatenate([ids[some], e]), pa.int64()), "v": pa.array(np.concatenate([links[some], r]), pa.int64())})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float = MARGIN, cell: int = CELL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float | None = MARGIN, cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row per row of ``vectors`` (vec_id long, embedding array of float or double).
 
-    ``n_links`` counts the other rows whose cosine with this one is at least ``least``.
+    ``n_links`` counts the other rows whose cosine with this one is at least ``least``. With a ``margin`` links across cells may be missed.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -156,13 +152,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, margin: float = MAR
     for size in sorted(reps.groupBy(F.size("embedding").alias("dim")).count().collect()):
         mine = reps.where(F.size("embedding") == size["dim"])
         k = max(1, min(MAX_CELLS, -(-size["count"] // cell)))
-        placed = mine.select("id", "copies", "embedding").mapInArrow(lean(_assign(centres(mine, k, size["dim"]), margin, least)), "id long, copies long, vector binary, cells array<int>")
+        placed = mine.select("id", "copies", "embedding").mapInArrow(lean(_assign(centres(mine, k, size["dim"]), margin, least)), "id long, copies long, vector binary, home int, visits array<int>")
         placed = written(placed, "embed-cells")
-        each = placed.withColumn("cell", F.explode("cells"))
-        blocks = each.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        each = each.join(small(written(blocks, "embed-blocks")), "cell").withColumn("b", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
-        task = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("x"), F.greatest(o, F.col("b")).alias("y"))))
-        each = each.withColumn("t", task).select("cell", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.when(F.col("t.x") == F.col("b"), 0).otherwise(1).alias("side"), "id", "copies", "vector", "cells")
+        cells = F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(True).alias("lives"))), F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("lives"))))
+        each = placed.select("id", "copies", "vector", F.inline(cells))
+        blocks = each.groupBy("cell").agg(*(F.ceil(F.count_if(who) / n).cast("int").alias(name) for name, who, n in (("homes", F.col("lives"), BLOCK), ("guests", ~F.col("lives"), 2 * BLOCK))))
+        each = each.join(small(written(blocks, "embed-blocks")), "cell").withColumn("b", F.pmod("id", F.when(F.col("lives"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
+        # blocks of guests are numbered after those at home
+        task = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.alias("side"))
+        upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda o: o < n)
+        home, b = F.col("homes"), F.col("b")
+        among = F.transform(upto(home), lambda o: task(F.least(o, b), F.greatest(o, b), (o < b).cast("int")))
+        with_guests = F.transform(upto(F.col("guests")), lambda o: task(b, home + o, F.lit(0)))
+        guest = F.transform(upto(home), lambda o: task(o, home + b, F.lit(1)))
+        each = each.select("cell", "id", "copies", "vector", F.inline(F.when(F.col("lives"), F.concat(among, with_guests)).otherwise(guest)))
         found = found.union(each.groupBy("cell", "x", "y").applyInArrow(lean(_compare(least, {"float": "f4", "double": "f8"}[kind])), "edge boolean, u long, v long"))
     found = written(found, "embed-links")
     comp = connected_components(found.where("edge").select("u", "v"), "embed-components").withColumnRenamed("node", "id")
