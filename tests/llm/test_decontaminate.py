@@ -68,3 +68,35 @@ def test_items_in_blocks(spark, docs, rows, monkeypatch):
     whole = rows(benchmark_leaks(docs(d), bench), "doc_id", "item_id")
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
     assert rows(benchmark_leaks(docs(d), bench), "doc_id", "item_id") == whole
+
+
+def near_copies_of_shared_items(n=12):
+    """Items of 50 words: each stands ten times, and with other ends in two more items; a document per item with one inner word changed."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items, d = [], []
+    for i in range(n):
+        w = [word() for _ in range(50)]
+        items += [" ".join(w)] * 10 + [" ".join(w[:45] + [word() for _ in range(5)]) for _ in range(2)]
+        d.append((i, " ".join(["pre"] * i + w[:25] + ["changed"] + w[26:] + ["post"] * 20), "s"))
+    return list(enumerate(items)), d
+
+
+def test_near_copies_of_items_that_repeat_or_share_passages(spark, docs):
+    items, d = near_copies_of_shared_items()
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_leaks(docs(d), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, 12 * i + j) for i in range(12) for j in range(10)}
+    assert all(similar(d[i][1].split(), items[j][1].split()) >= 0.8 for i, j in want)
+    assert len(got & want) >= 110
+
+
+def test_similarity_without_regard_to_blocks(spark, docs, rows, monkeypatch):
+    from veritally.llm import decontaminate
+
+    items, d = near_copies_of_shared_items()
+    d += [(100 + i, x, "s") for i, x in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    leaks = lambda: rows(benchmark_leaks(docs(d), bench, num=1, den=2), "doc_id", "item_id", "similarity", "start_word")
+    whole = leaks()
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 50)
+    assert leaks() == whole and len(whole) > 150

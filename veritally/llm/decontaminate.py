@@ -7,12 +7,12 @@ Method
   2. *Fingerprints.* 64-bit SimHash of a window's word pairs. All windows of a batch come from one running sum of byte-wide counters.
   3. *Multi-index.* Fingerprints are cut into 3 blocks. Within ``RADIUS`` = 11 bits at least one block differs in at most 3 bits, so a bitmap per
      block of all values within 3 bits of an item's block lets every fingerprint within the radius through; those are then compared in full.
-  4. *Verification.* Each hit names an item and a place. There the similarity of the item and the L words of the text is computed exactly: the sum
-     of the weights of the shingles that they share, by that of all they have. A shingle of k words weighs 1 / (items that have it), so what
-     many items share counts less; shingles that no item has weigh 1. It must be at least ``num / den``.
+  4. *Verification.* Each hit names an item and a place. There the item and the L words of the text are compared exactly, by the larger of two similarities of their
+     shingles: the Jaccard similarity, and the sum of the weights of the shingles that they share by that of all they have. A shingle of k words weighs
+     1 / (different items that have it), counted over all items, so what many items share counts less; shingles that no item has weigh 1. It must be at least ``num / den``.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items are taken in blocks of at most ``ITEMS_AT_ONCE``, so what is sent to the executors is bounded, and every
-document meets every item. Null or empty items and texts match nothing. Items of fewer than k words count as one shingle. Equal items match each on
+document meets every item; the weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing. Items of fewer than k words count as one shingle. Equal items match each on
 its own. Repeated documents give repeated rows. Extra columns are ignored.
 """
 
@@ -72,6 +72,34 @@ def _simhash(running: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
     return np.packbits(counts > n // 2, axis=1).view(_U).ravel()
 
 
+def _weigh(hashes: np.ndarray, shared: np.ndarray, weight: np.ndarray) -> float:
+    """Sum of the weights of ``hashes``; those not in ``shared`` (ascending) weigh 1."""
+    if not len(shared):
+        return float(len(hashes))
+    at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+    return float(np.where(shared[at] == hashes, weight[at], 1.0).sum())
+
+
+def _item_shingles(k: int):
+    def run(batches):
+        for batch in batches:
+            for _, _, h, off in W.hashed_words(batch.column("text")):
+                s, at = W.sorted_sets(*W.shingles(h, off, k))
+                item = pa.array([h[off[i] : off[i + 1]].tobytes() for i in range(len(off) - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([item, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))], names=["words", "shingles"])
+
+    return run
+
+
+def shared_weights(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several different items (other words) have, ascending, and their weights."""
+    each = items.select("text").mapInArrow(lean(_item_shingles(k)), "words binary, shingles array<long>").withColumn("item", F.sha2("words", 256)).drop("words")
+    found = each.dropDuplicates(["item"]).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").toArrow()
+    s = found.column("s").to_numpy().view(_U)
+    order = np.argsort(s)
+    return s[order], (1.0 / found.column("count").to_numpy())[order]
+
+
 class Index:
     """Fingerprints, bitmaps and shingles of one block of items."""
 
@@ -91,8 +119,6 @@ class Index:
                     w = max(x for x in window_sizes() if x + stride(x) - 1 <= n)
                     at = np.arange(n - w + 1)
                     found.setdefault(w, []).append((_simhash(_running(_pairs(words)), at, w), np.full(len(at), a + i), at))
-        shared, df = np.unique(np.concatenate(self.sets) if self.sets else np.zeros(0, _U), return_counts=True)
-        self.weight = dict(zip(shared.tolist(), (1.0 / df).tolist(), strict=True))
         self.by_size = {w: tuple(np.concatenate(x) for x in zip(*rows, strict=True)) for w, rows in found.items()}
         self.maps = {w: [self._near(prints, *block) for block in BLOCKS] for w, (prints, _, _) in self.by_size.items()}
 
@@ -106,15 +132,15 @@ class Index:
                 hit[block ^ _U(sum(1 << x for x in flip))] = True
         return np.packbits(hit, bitorder="little")
 
-    def similarity(self, item: int, words: np.ndarray) -> float:
+    def similarity(self, item: int, words: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> float:
         mine = self.sets[item]
         other = np.unique(W.shingles(words, np.array([0, len(words)]), self.k)[0])
-        weigh = lambda s: sum(self.weight.get(x, 1.0) for x in s.tolist())
         both = np.intersect1d(mine, other, assume_unique=True)
-        common = weigh(both)
-        return common / (weigh(mine) + weigh(other) - common)
+        plain = len(both) / (len(mine) + len(other) - len(both))
+        common = _weigh(both, *shared)
+        return max(plain, common / (_weigh(mine, *shared) + _weigh(other, *shared) - common))
 
-    def search(self, words: np.ndarray, off: np.ndarray, least: float):
+    def search(self, words: np.ndarray, off: np.ndarray, least: float, shared: tuple[np.ndarray, np.ndarray]):
         """Yields (row, item position, similarity, start word)."""
         if not len(words):
             return
@@ -145,20 +171,20 @@ class Index:
                     if (r, i, at) in tried or best.get((r, i), (0.0,))[0] == 1.0:
                         continue
                     tried.add((r, i, at))
-                    s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))])
+                    s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))], shared)
                     if s >= least and (s, -at) > (best.get((r, i), (0.0, 0))[0], -best.get((r, i), (0.0, 0))[1]):
                         best[r, i] = (s, at)
         for (r, i), (s, at) in sorted(best.items()):
             yield r, i, s, at - int(off[r])
 
 
-def _leaks(index, least: float):
+def _leaks(index, least: float, weights):
     def run(batches):
-        found = index.value
+        found, shared = index.value, weights.value
         for batch in batches:
             ids = batch.column("doc_id")
             for a, _, h, off in W.hashed_words(batch.column("text")):
-                rows = [(ids[a + r].as_py(), int(found.ids[i]), s, at, found.length[i]) for r, i, s, at in found.search(h, off, least)]
+                rows = [(ids[a + r].as_py(), int(found.ids[i]), s, at, found.length[i]) for r, i, s, at in found.search(h, off, least, shared)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
@@ -174,12 +200,13 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    weights = spark.sparkContext.broadcast(shared_weights(items, k))
     out = spark.createDataFrame([], SCHEMA)
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
         if rows:
             index = spark.sparkContext.broadcast(Index(rows, k))
-            out = out.union(docs.select("doc_id", "text").mapInArrow(lean(_leaks(index, num / den)), SCHEMA))
+            out = out.union(docs.select("doc_id", "text").mapInArrow(lean(_leaks(index, num / den, weights)), SCHEMA))
     return out
 
 
