@@ -64,3 +64,24 @@ def test_long_text(spark, docs):
     t = "é" * 500_000 + " token: abcdefghijkl " + "f" * 40
     (r,) = S.secret_spans(docs([(1, t, "s")])).collect()
     assert [(s["start"], s["kind"]) for s in r["spans"]] == [(500_001, "assign"), (500_021, "hex")]
+
+
+def openssh(cipher=b"none", checks=(b"abcd", b"abcd"), tail=b""):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"public") + field(b"".join(checks) + b"private!") + tail
+
+
+def test_private_keys_of_openssh_and_with_header_lines(spark, docs, rows):
+    import base64
+
+    def block(raw, kind="OPENSSH ", head="", end="\n"):
+        body = base64.b64encode(raw).decode()
+        return f"-----BEGIN {kind}PRIVATE KEY-----{end}{head}" + end.join(body[i : i + 70] for i in range(0, len(body), 70)) + f"{end}-----END {kind}PRIVATE KEY-----"
+
+    der, aes = b"\x30\x03\x02\x01\x07", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    good = [block(openssh()), block(openssh(b"aes256-gcm@openssh.com", (b"abcd", b"efgh"), b"t" * 16)), block(openssh(), end="\r\n"), block(b"k" * 32, "RSA ", aes), block(b"k" * 32, "RSA ", aes.replace("\n", "\r\n"), "\r\n"), block(der, "EC ", "Comment: made here,\n  by hand\n\n")]
+    bad = [block(openssh()[:-1]), block(openssh() + b"x"), block(openssh(checks=(b"abcd", b"abce"))), block(openssh()[:20]), block(b"openssh-key-v1\0"), block(b"k" * 33, "RSA ", aes), block(b"k" * 32, "RSA "), block(b"k" * 32, "RSA ", "Comment: x\n\n")]
+    d = docs([(i, f"é {t} z", "s") for i, t in enumerate(good + bad)])
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] == "private"] for r in S.secret_spans(d).collect()}
+    assert [got[i] for i in range(len(got))] == [[(2, 2 + len(t), "private")] for t in good] + [[] for _ in bad]
+    assert rows(S.redact(d.where(f"doc_id < {len(good)}")), "text") == [("é <private> z",)] * len(good)

@@ -6,7 +6,8 @@ Method
   2. Only at a hit is its expression tried, anchored at the keyword's place. Going through the hits from left to right, and past the end of each
      match, gives what a leftmost non-overlapping search of the whole text gives.
   3. Kinds with an embedded check are kept only if it holds: CRC-32 in base 62 at the end of ``ghp_``-like and ``npm_`` tokens, a JSON
-     header in a signed web token, a DER sequence whose length fits in a private key block.
+     header in a signed web token, and in a private key block a DER sequence whose length fits, an OpenSSH key whose fields fit, or, after header lines
+     that name a cipher, whole cipher blocks.
 
 Base kinds, in the order that breaks ties: ``assign`` (a password, secret, token or API key that is assigned 12 or more characters), ``access`` (``AKIA`` and
 18 or more characters in all) and ``hex`` (16 or more digits). Added kinds: ``forge``, ``package``, ``signed``, ``private``.
@@ -40,9 +41,11 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 PACKAGE = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-PRIVATE = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+?)-----END \1-----")
+PRIVATE = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s+((?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+(?:\r?\n[ \t]++\S[^\r\n]*+)*+\s++)*+)([A-Za-z0-9+/=\s]+?)-----END \1-----")
 
 KINDS = ("assign", "access", "hex", "forge", "package", "signed", "private")
+CIPHER = re.compile(r"^\s*DEK-Info:\s*([A-Za-z0-9-]+)\s*,\s*[0-9A-Fa-f]+\s*$", re.MULTILINE)
+OPENSSH = b"openssh-key-v1\0"
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,11 +71,7 @@ def _header(m: re.Match) -> bool:
         return False
 
 
-def _der(m: re.Match) -> bool:
-    try:
-        raw = base64.b64decode("".join(m[2].split()), validate=True)
-    except ValueError:
-        return False
+def _der(raw: bytes) -> bool:
     if len(raw) < 2 or raw[0] != 0x30:
         return False
     n = raw[1]
@@ -82,6 +81,50 @@ def _der(m: re.Match) -> bool:
     return len(raw) == int.from_bytes(raw[2 : 2 + n], "big") + 2 + n
 
 
+def _openssh(raw: bytes) -> bool:
+    """Cipher, derivation, its options, the number of keys, so many public keys, and the private part, which opens with a number twice if it isn't encrypted."""
+    at = len(OPENSSH)
+
+    def number() -> int:
+        nonlocal at
+        if at + 4 > len(raw):
+            raise ValueError("too short")
+        at += 4
+        return int.from_bytes(raw[at - 4 : at], "big")
+
+    def field() -> bytes:
+        nonlocal at
+        n = number()
+        if at + n > len(raw):
+            raise ValueError("too short")
+        at += n
+        return raw[at - n : at]
+
+    try:
+        cipher, _, _ = field(), field(), field()
+        keys = number()
+        for _ in range(keys):
+            field()
+        private = field()
+    except ValueError:
+        return False
+    if not keys:
+        return False
+    if cipher == b"none":
+        return at == len(raw) and len(private) >= 8 and private[:4] == private[4:8]
+    return len(private) > 0 and len(raw) - at in (0, 16)  # some ciphers put a tag after it
+
+
+def _private(m: re.Match) -> bool:
+    try:
+        raw = base64.b64decode("".join(m[3].split()), validate=True)
+    except ValueError:
+        return False
+    if cipher := CIPHER.search(m[2]):
+        return len(raw) > 0 and (len(raw) % 8 == 0 or not cipher[1].upper().endswith(("CBC", "ECB")))
+    return _openssh(raw) if raw.startswith(OPENSSH) else _der(raw)
+
+
 #: kind: (keywords in lower case, expression, what a match must meet to count)
 RULES = {
     "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), ASSIGN, lambda m: len(m[2]) >= LEAST["assign"]),
@@ -89,7 +132,7 @@ RULES = {
     "forge": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), FORGE, _checked),
     "package": (("npm_",), PACKAGE, _checked),
     "signed": (("eyj",), SIGNED, _header),
-    "private": (("-----begin ",), PRIVATE, _der),
+    "private": (("-----begin ",), PRIVATE, _private),
 }
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
