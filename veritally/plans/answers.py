@@ -65,10 +65,11 @@ def chat_report(spark, d):
     return chat.report(_chat_records(spark, d).where("k > 0").select(chat.issues(F.try_parse_json("text")).alias("issues")))
 
 
-def _prompts(spark, d):
-    """Benchmark requests with their two first neighbours by id as shots."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("t"))
-    shots = table(spark, d, "benchmark").where("item_id < 2").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: F.struct(F.substring(s["text"], 1, 20).alias("text"), F.lit("ok").alias("answer"))).alias("shots"))
+def _prompts(spark, d, whole: bool = False):
+    """Benchmark requests with their two first neighbours by id as shots; unless ``whole``, cut as in the SQL of three of the queries."""
+    cut = lambda c, n: c if whole else F.substring(c, 1, n)
+    b = table(spark, d, "benchmark").select("item_id", cut(F.col("text"), 40).alias("t"))
+    shots = table(spark, d, "benchmark").where("item_id < 2").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: F.struct(cut(s["text"], 20).alias("text"), F.lit("ok").alias("answer"))).alias("shots"))
     return b.crossJoin(F.broadcast(shots)).select("item_id", chat.prompt(F.lit("Answer."), F.col("shots"), F.col("t")).alias("messages"))
 
 
@@ -90,7 +91,7 @@ def prompt_completion(spark, d):
 
 
 def prompt_hashes(spark, d):
-    return _prompts(spark, d).select("item_id", provenance.prompt_fingerprint(F.col("messages")).alias("hash"))
+    return _prompts(spark, d, whole=True).select("item_id", provenance.prompt_fingerprint(F.col("messages")).alias("hash"))
 
 
 def usage_normalised(spark, d):
