@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import time
 
 from veritally.llm.html_text import extract_text, main_text
 
@@ -38,3 +41,102 @@ def test_query_edge_cases(spark, rows):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", long, "t"), (4, "u", "<p>x</p>", "t"), (4, "u", "<p>x</p>", "t"), (None, "u", "y", "t")], "page_id long, url string, html string, text string")
     assert rows(extract_text(df), "page_id", "url", "n_chars") == [(1, "u", 0), (2, None, 0), (3, "u", 30_000 * 9 - 1), (4, "u", 1), (4, "u", 1), (None, "u", 1)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+#: Markup that nothing closes, unknown sections, references of absurd length; with what stands before and after it.
+BROKEN = {
+    "<![foo[bar]]>": "one two",
+    "<![ [": "one",
+    "<![%[]": "one",
+    "<![CDATA[x]]>": "one two",
+    "<![CDATA[x": "one",
+    "<![if !IE]>": "one two",
+    "<!-- x": "one",
+    "<!-->": "one two",
+    "<?php echo 1": "one",
+    "<!doctype x": "one",
+    "<i x=x=": "one",
+    '<i x="1"y=2 / z>': "one two",
+    "</i x": "one",
+    "<": "one < two",
+    "&#" + "9" * 5000 + ";": "one � two",
+    "&#" + "0" * 5000 + "65;": "one A two",
+}
+
+
+def test_broken_markup_is_neither_text_nor_an_error():
+    for markup, text in BROKEN.items():
+        tail = markup if text == "one" else markup + " two</p></article>"
+        assert main_text("<article><p>one " + tail) == text, markup
+        main_text(markup)
+
+
+def test_time_is_linear_in_the_page():
+    """Each of these was quadratic in some parser; megabytes of them take seconds at most."""
+    for unit in ("<b>x", "</q>", "<![CDATA[ >", "<!--x>", "<?", "<a <a ", "<a x='", '<a x=">', "<b><hr>", "<p><b>", "</", "<b></i>"):
+        start = time.monotonic()
+        main_text("<div>" + unit * (1_000_000 // len(unit)))
+        assert time.monotonic() - start < 8, unit
+    start = time.monotonic()
+    main_text("<div>" + "<b>" * 200_000 + "<hr>" * 200_000 + "</z>" * 200_000)
+    assert time.monotonic() - start < 8
+
+
+def plain(lines):
+    """Ratio, smoothing, threshold and choice by the definitions, for (region, tags, text, prose) without articles or names."""
+    ratio = [len(t) / n for _, n, t, _ in lines]
+    weight = lambda d: math.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+    level = [sum(weight(i - j) * r for j, r in enumerate(ratio)) / sum(weight(i - j) for j in range(len(ratio))) for i in range(len(ratio))]
+    low, high = min(level), max(level)
+    cut = (low + high) / 2
+    while True:
+        a, b = [x for x in level if x <= cut], [x for x in level if x > cut]
+        if not b:
+            break
+        if (sum(a) / len(a), sum(b) / len(b)) == (low, high):
+            break
+        low, high = sum(a) / len(a), sum(b) / len(b)
+        cut = (low + high) / 2
+    above = {}
+    for i, (region, *_) in enumerate(lines):
+        if level[i] > cut:
+            above.setdefault(region, []).append(i)
+    if not above:
+        size = {r: sum(len(t) for x, _, t, _ in lines if x == r) for r, *_ in lines}
+        above = {max(size, key=lambda r: (size[r], -r)): [0, len(lines)]}
+    return " ".join(t for i, (region, _, t, prose) in enumerate(lines) if region in above and (prose or above[region][0] <= i <= above[region][-1]))
+
+
+def test_neutral_names_against_a_plain_second_version():
+    """No name or element tells what a container is; only ratios do. Menus are short bare lines, articles paragraphs."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    dropped = 0
+    for _ in range(200):
+        html, lines = "<body>", []
+        for c in range(rng.randint(1, 5)):
+            html += f"<div class=c{c}>"
+            for i in range(rng.randint(1, 6)):
+                long = rng.random() < 0.5
+                text = " ".join(word() for _ in range(rng.randint(30, 80) if long else rng.randint(1, 3)))
+                prose = long or rng.random() < 0.3
+                html += f"<p>{text}</p>" if prose else f"<dl>{text}</dl>"
+                lines.append((c, text, prose))
+            html += "</div>"
+        # a line's tags: those since the line before, with the one that ends it
+        count, at = [], 0
+        for before, tag in re.findall(r"([^<]*)(<[^>]*>)", html):
+            at += 1
+            if before:
+                count.append(at)
+                at = 0
+        want = plain([(c, n, t, p) for (c, t, p), n in zip(lines, count, strict=True)])
+        assert main_text(html) == want
+        dropped += len(want) < len(" ".join(t for _, t, _ in lines))
+    assert dropped > 50
+
+
+def test_a_menu_and_a_footer_in_the_articles_own_container():
+    article = "".join(f"<p>{'Words of the article go on and on here. ' * 5}</p>" for _ in range(4))
+    page = f"<div class=c1><dl>Home</dl><dl>News</dl><dl>Sport</dl><dl>Contact</dl><h1>Title</h1>{article}<p>By me</p><dl>Imprint</dl><dl>Legal</dl><dl>Top</dl></div>"
+    assert main_text(page) == "Title " + " ".join(["Words of the article go on and on here. " * 5] * 4).replace("  ", " ").strip() + " By me"

@@ -2,16 +2,18 @@
 
 Method
   1. The standard library's parser streams through the whole page. Each block of text between block-level tags is a line; its ratio is its
-     characters per tag that stands in or right before it. Scripts, styles and the like give no text.
+     characters per tag since the line before, with the one that ends it. Scripts, styles and the like give no text.
   2. A line is set aside if it stands in a menu, header (outside an article), footer, sidebar, form, dialog, or in an element whose class, id or
      role names an advert, notice, comment section and so on, or if it lies outside articles and is mostly link text.
   3. The ratios of all lines (those set aside count as 0) are smoothed by a Gaussian; two-means clustering of the smoothed ratios gives the threshold.
   4. A region is the innermost article, or else main element, or else container, of a line. Regions with a line above the threshold are content; if the page has articles
-     or main elements, only those come into question, and the one with most text is taken if none passes. All lines of the regions that aren't set aside are kept, however
-     short.
+     or main elements, only those come into question, and the one with most text is taken if none passes. All lines of an article or main element that aren't set aside are
+     kept, however short. Of a mere container, lines that are neither paragraphs nor headings and stand below the threshold at its beginning or end (before its first or after its last
+     line above it) go as well: there only the ratio tells a menu or a footer from the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page order. A null or empty
-page, or one without content, gives the empty text. Broken markup is read as the parser reads it; an unclosed element ends with its parent.
+page, or one without content, gives the empty text. An unclosed element ends with its parent; a comment or tag that nothing closes runs to the end of the page, a marked section
+to its ``]]>`` or else the next ``>``; a tag with malformed attributes is a tag. No page raises, and the time is linear in its length.
 Repeated rows are extracted each on its own; extra columns are ignored.
 """
 
@@ -19,7 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,24 +53,70 @@ _SPACE = re.compile(r"\s+")
 SIGMA = 1.0
 
 
+# Elements whose lines are prose.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_TAG = re.compile(r"<([A-Za-z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_COMMENT_END = re.compile(r"--!?\s*+>")
+_LONG_NUMBER = re.compile(r"&#[0-9]{1000}")
+_NUMBER = re.compile(r"&#0*+([0-9]*+)")
+
+
+class _Open(NamedTuple):
+    """An open element, with what holds for the text in it."""
+
+    tag: str
+    silent: bool
+    aside: bool
+    region: int
+    rank: int
+    linked: bool
+    #: Place of the paragraph that the next block ends, or -1.
+    paragraph: int
+    #: The innermost block.
+    block: str
+
+
+_ROOT = _Open("", False, False, 0, 0, False, -1, "")
+
+
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    aside: bool
+    region: int
+    rank: int
+    linked: float
+    prose: bool
+
+
 class _Lines(HTMLParser):
+    """Lines of a page that is fed as a whole; what the end of the page cuts off counts as closed there."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int, int]] = []  # tag, silent, set aside, region, rank of the region
+        self.stack: list[_Open] = []
+        self.open: Counter[str] = Counter()
         self.regions = 0
         self.text: list[str] = []
         self.linked = 0
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, int, int, float]] = []
+        self.lines: list[_Line] = []
+        self.cdata_ends = True
+
+    def _top(self) -> _Open:
+        return self.stack[-1] if self.stack else _ROOT
 
-    def _top(self):
-        return self.stack[-1] if self.stack else ("", False, False, 0, 0)
+    def _cut(self, i: int):
+        """Closes the elements from place ``i`` on."""
+        self.open.subtract(e.tag for e in self.stack[i:])
+        del self.stack[i:]
 
     def flush(self):
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         if line:
-            _, _, aside, region, rank = self._top()
-            self.lines.append((line, max(1, self.tags), aside, region, rank, self.linked / len(line)))
+            top = self._top()
+            self.lines.append(_Line(line, max(1, self.tags), top.aside, top.region, top.rank, self.linked / len(line), top.block in PROSE))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -74,15 +125,14 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-            if self.stack and (tag in ("li", "dt", "dd", "tr", "td", "th", "option") or tag != "p"):
-                self._end_p()
-            elif tag == "p":
-                self._end_p()
+            if (p := self._top().paragraph) >= 0:  # a block ends an open paragraph, with what was left open in it
+                self._cut(p)
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        _, silent, aside, region, rank = self._top()
+        top = self._top()
+        aside, region, rank = top.aside, top.region, top.rank
         in_article = rank == 2
         named = set()
         for name, value in attrs:
@@ -97,26 +147,19 @@ class _Lines(HTMLParser):
             if new >= rank:
                 self.regions += 1
                 region, rank = self.regions, new
-        self.stack.append((tag, silent or tag in SILENT, aside, region, rank))
-
-    def _end_p(self):
-        """A block ends an open paragraph, with what was left open in it."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
-            if tag == "p":
-                del self.stack[i:]
-                return
-            if tag in BLOCK:
-                return
+        paragraph = len(self.stack) if tag == "p" else -1 if tag in BLOCK else top.paragraph
+        self.stack.append(_Open(tag, top.silent or tag in SILENT, aside, region, rank, top.linked or tag == "a", paragraph, tag if tag in BLOCK else top.block))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open[tag] > 0:
+            i = len(self.stack) - 1
+            while self.stack[i].tag != tag:  # all that is passed over is closed with it
+                i -= 1
+            self._cut(i)
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -127,11 +170,67 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         top = self._top()
-        if not top[1]:
+        if not top.silent:
             self.text.append(data)
-            if any(s[0] == "a" for s in self.stack):
+            if top.linked:
                 self.linked += len(data)
 
+    # markup that the library's parser would give out as text, or refuse
+
+    def parse_starttag(self, i):
+        page = self.rawdata
+        name = _TAG.match(page, i)
+        at, attrs = name.end(), []
+        while at < len(page) and page[at] != ">":
+            m = _ATTRIBUTE.match(page, at)
+            if m[1] or m.end() > at:
+                if m[1]:
+                    value = next((v for v in m.groups()[1:] if v is not None), None)
+                    attrs.append((m[1].lower(), unescape(value) if value else value))
+                at = m.end()
+            else:
+                at += 1
+        if at >= len(page):
+            return len(page)
+        self.lasttag = tag = name[1].lower()
+        if page[at - 1] == "/" and at - 1 >= name.end():
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+            if tag in self.CDATA_CONTENT_ELEMENTS:
+                self.set_cdata_mode(tag)
+        return at + 1
+
+    def parse_endtag(self, i):
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=True):
+        page = self.rawdata
+        for empty in (">", "->"):
+            if page.startswith(empty, i + 4):
+                return i + 4 + len(empty)
+        end = _COMMENT_END.search(page, i + 4)
+        return end.end() if end else len(page)
+
+    def parse_pi(self, i):
+        return self._after(">", i)
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![CDATA[", i) and self.cdata_ends:
+            if self.rawdata.find("]]>", i) >= 0:
+                return self._after("]]>", i)
+            self.cdata_ends = False  # nor does any later one
+        return self._after(">", i)
+
+    def _after(self, mark: str, i: int) -> int:
+        at = self.rawdata.find(mark, i)
+        return at + len(mark) if at >= 0 else len(self.rawdata)
+
+
+def _numbers(page: str) -> str:
+    """``page`` with numeric references of absurd length cut to one that is beyond all characters, too."""
+    return _NUMBER.sub(lambda m: f"&#{m[1][:9] or 0}", page) if _LONG_NUMBER.search(page) else page
+
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; beyond the ends the weights that are left count as all."""
@@ -157,26 +256,32 @@ def threshold(x: np.ndarray) -> float:
 
 def main_text(html: str) -> str:
     parser = _Lines()
-    parser.feed(html)
+    parser.feed(_numbers(html))
     parser.close()
     parser.flush()
     lines = parser.lines
-    kept = [not aside and not (rank == 0 and linked > 0.5) for _, _, aside, _, rank, linked in lines]
+    kept = [not x.aside and not (x.rank == 0 and x.linked > 0.5) for x in lines]
     if not any(kept):
         return ""
-    best = max(rank for (_, _, _, _, rank, _), ok in zip(lines, kept, strict=True) if ok)
-    ratio = np.array([len(text) / tags if ok else 0.0 for (text, tags, *_), ok in zip(lines, kept, strict=True)])
-    level = smooth(ratio)
+    best = max(x.rank for x, ok in zip(lines, kept, strict=True) if ok)
+    level = smooth(np.array([len(x.text) / x.tags if ok else 0.0 for x, ok in zip(lines, kept, strict=True)]))
     cut = threshold(level)
     amount: dict[int, int] = {}
-    above: set[int] = set()
-    for (text, _, _, region, rank, _), ok, x in zip(lines, kept, level, strict=True):
-        if ok and rank == best:
-            amount[region] = amount.get(region, 0) + len(text)
-            if x > cut:
-                above.add(region)
-    above = above or {max(amount, key=lambda r: (amount[r], -r))}
-    return " ".join(text for (text, _, _, region, rank, _), ok in zip(lines, kept, strict=True) if ok and rank == best and region in above)
+    span: dict[int, tuple[int, int]] = {}  # of a region: its first and last line above the threshold
+    for i, (x, ok) in enumerate(zip(lines, kept, strict=True)):
+        if ok and x.rank == best:
+            amount[x.region] = amount.get(x.region, 0) + len(x.text)
+            if level[i] > cut:
+                span[x.region] = (span.get(x.region, (i, i))[0], i)
+    span = span or {max(amount, key=lambda r: (amount[r], -r)): (0, len(lines))}
+
+    def chosen(i: int, x: _Line) -> bool:
+        if not kept[i] or x.rank != best or x.region not in span:
+            return False
+        first, last = span[x.region]
+        return best > 0 or x.prose or first <= i <= last
+
+    return " ".join(x.text for i, x in enumerate(lines) if chosen(i, x))
 
 
 def _extract(batches):
