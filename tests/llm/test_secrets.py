@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from veritally.llm import secrets as S
 
@@ -85,3 +86,47 @@ def test_private_keys_of_openssh_and_with_header_lines(spark, docs, rows):
     got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] == "private"] for r in S.secret_spans(d).collect()}
     assert [got[i] for i in range(len(got))] == [[(2, 2 + len(t), "private")] for t in good] + [[] for _ in bad]
     assert rows(S.redact(d.where(f"doc_id < {len(good)}")), "text") == [("é <private> z",)] * len(good)
+
+
+def test_a_nested_header_is_no_error(spark, docs):
+    import base64
+
+    nested = lambda n: base64.urlsafe_b64encode(b'{"a":' + b"[" * n + b"]" * n + b"}").rstrip(b"=").decode()
+    numbers = base64.urlsafe_b64encode(b'{"alg":' + b"1" * 6000 + b"}").rstrip(b"=").decode()
+    rows = [(i, f"token=abcdefghijklm {h}.{h}.x", "s") for i, h in enumerate([nested(1), nested(3000), nested(100_000), "eyJ" + "x" * 50_000, numbers])]
+    assert all(h.startswith("eyJ") for h in (nested(3000), numbers))
+    assert [[s["kind"] for s in r["spans"]] for r in S.secret_spans(docs(rows)).orderBy("doc_id").collect()] == [["assign"]] * 5
+
+
+def test_time_is_linear_in_the_text():
+    """Megabytes of what made an expression read the same stretch again and again."""
+    key = "-----BEGIN PRIVATE KEY-----"
+    for text in (
+        key + " " * 3_000_000,
+        (key + " " * 50) * 30_000,
+        key + "\n" + "a:b\n" * 500_000,
+        f"a:{key}\n" * 60_000,
+        f"{key}\na: b\n c{key}\n" * 30_000,
+        key + "\nDEK-Info: " + "\n" * 2_000_000 + "AAAA-----END PRIVATE KEY-----",
+        "eyJ" * 1_000_000,
+        "eyJeyJ" * 300_000 + ".eyJ" + "eyJ" * 300_000,
+        "eyJa.eyJb " * 200_000,
+        "password" + " " * 2_000_000,
+        "token=" * 400_000,
+        "AKIA" * 600_000,
+        "ghp_" * 600_000,
+        "0123456789abcde " * 150_000,
+    ):
+        start = time.monotonic()
+        S.spans(text, text.encode(), S.automaton())
+        assert time.monotonic() - start < 6, text[:40]
+
+
+def test_a_run_that_fails_hides_no_token_after_it():
+    import base64
+
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).rstrip(b"=").decode()
+    good = f"{head}.{head}.sig"
+    for before in ("eyJeyJeyJ ", "eyjeyJx.", "eyJx.eyJy ", "eyJ"):
+        text = before + " " + good
+        assert [text[a:b] for a, b, k in S.spans(text, text.encode(), S.automaton()) if k == "signed"] == [good]
