@@ -87,3 +87,46 @@ def test_members():
     assert list(warc.members(blob, step=7)) == parts
     with pytest.raises(ValueError, match="ends within"):
         list(warc.members(blob[:-20]))
+
+
+def shards(spark, tmp_path, rows, name, **options):
+    manifest = warc.write_warc(pages(spark, rows), f"file://{tmp_path}/{name}", **options)
+    out = {}
+    for r in manifest.orderBy("file").collect():
+        out.setdefault(r["shard"], []).append((r["records"], r["first_id"], r["last_id"]))
+    return [(sum(n for n, _, _ in x), x[0][1], x[-1][2]) for _, x in sorted(out.items())]
+
+
+def test_shards_are_even_however_the_ids_are_spread(spark, tmp_path, rows):
+    html = "<p>" + "x" * 300
+    ids = {"outlier": [*range(200), 1 << 40], "ends": [-(1 << 63), *range(-100, 100), (1 << 63) - 1], "dense": list(range(202))}
+    for name, mine in ids.items():
+        got = shards(spark, tmp_path, [(i, "u", html + str(i)) for i in mine], name, shard_bytes=8000)
+        assert len(got) >= 15 and sum(n for n, _, _ in got) == len(mine) and max(n for n, _, _ in got) <= 12
+        assert all(a[2] < b[1] for a, b in zip(got, got[1:]))
+        back = warc.read_warc(spark, f"file://{tmp_path}/{name}")
+        assert [i for (i,) in rows(back, "page_id")] == sorted(mine)
+
+
+def test_one_id_with_very_many_records_is_many_shards(spark, tmp_path, rows):
+    """By digest where they differ, by url and place where they don't; null ids alike."""
+    for name, data in {
+        "digest": [(7, "u", f"{i:05d}" + "x" * 300) for i in range(200)] + [(9, "u", "z")],
+        "equal": [(7, f"u{i}", "y" * 300) for i in range(200)] + [(9, "u", "z")],
+        "null": [(None, "u", f"{i:05d}" + "x" * 300) for i in range(200)] + [(-5, "u", "z"), (9, None, None)],
+    }.items():
+        got = shards(spark, tmp_path, data, name, shard_bytes=8000)
+        assert len(got) >= 15 and max(n for n, _, _ in got) <= 40, name
+        assert rows(warc.read_warc(spark, f"file://{tmp_path}/{name}"), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(expected(data), key=lambda t: tuple((x is None, x) for x in t))
+
+
+def test_reader_yields_by_bytes(spark, tmp_path, monkeypatch):
+    data = [(i, "u", "z" * 100_000 + str(i)) for i in range(40)]
+    warc.write_warc(pages(spark, data), f"file://{tmp_path}/w")
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 18)
+    import pyarrow as pa
+
+    for path in (tmp_path / "w/data").glob("*.gz"):
+        raw = path.read_bytes()
+        batch = pa.RecordBatch.from_arrays([pa.array([raw]), pa.array([hashlib.sha1(raw).hexdigest()])], names=["content", "sha1"])
+        assert all(len(b) <= 3 for b in warc._reader([batch]))

@@ -3,14 +3,17 @@
 Method
   1. *Records.* A page's payload is its html in UTF-8 (null: empty). Of pages with equal payloads (by SHA-1 and length) of at least ``REVISIT_BYTES``, that with the
      largest page_id is a response, the others are revisits of it; all smaller payloads are responses. Revisits carry no payload, and theirs isn't shuffled.
-  2. *Range sort.* Page ids are counted in ``BINS`` bins of equal width with the bytes they hold; consecutive bins make up shards of about equal size. A record
-     goes to its shard's task, which sorts by page_id: shards are ascending ranges, and the same input gives the same shards wherever it runs.
+  2. *Range sort.* The records' ids, digests and bytes, without payloads, are put in order over all machines; the running sum of the bytes cuts that order into shards of equal
+     size, whatever the spread of the ids. The shards' first (page_id, digest) go to every task, ``MAX_SHARDS`` of them at most. A record goes to its shard's task,
+     which sorts by page_id: shards are ascending ranges, and the same input gives the same shards wherever it runs. One page_id with very many records is cut by digest; records
+     equal in both, if there are more than a shard holds, are dealt over their shards by url and place in the input.
   3. *Files.* A shard's task writes gzip members, one per record, rolls to a new file when the compressed size reaches ``ROLL_BYTES``, and
      regenerates headers, lengths, block and payload digests. Record ids derive from page id and digest; dates are a parameter. So reruns write the same bytes.
   4. *Commit.* A file is written under a temporary name and moved to its final one when complete. Its row of the manifest (name, records, bytes, SHA-1, id range)
-     becomes visible only when Spark commits the manifest as a whole; readers use only what the manifest names, and check it.
+     becomes visible only when Spark commits the manifest as a whole; readers use only what the manifest names, and check it. A reader holds one compressed file and
+     ``READ_BYTES`` of records (one record if it is larger).
 
-Null page_ids stand first, in shard 0. Rows with the page_id of the response of their payload are all responses. A url is percent-encoded where it holds
+Null page_ids stand first. Ids may be any long. Rows with the page_id of the response of their payload are all responses. A url is percent-encoded where it holds
 control characters or blanks; a null url gives no target. Extra columns are ignored. Without rows there is an empty manifest.
 The archive's folder may be on any store that both Spark and pyarrow know by URI.
 """
@@ -23,7 +26,10 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +38,9 @@ from veritally.llm.common import lean, scratch_path, small, written
 REVISIT_BYTES = 1000
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 64 << 20
-BINS = 4096
+#: The most shards, and so tasks of the writer, and the bytes that a record's headers count for.
+MAX_SHARDS, HEAD_BYTES = 65_536, 500
+READ_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 # Fixed value: the profile of revisits with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,24 +147,44 @@ def _writer(root: str, roll: int, date: str):
     return run
 
 
-def _shards(keyed: DataFrame, shard_bytes: int):
-    """An expression for the shard of page_id: at most BINS counters reach the driver."""
-    lo, hi = keyed.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return F.lit(0)
-    width = max(1, -(-(hi - lo + 1) // BINS))
-    b = ((F.col("page_id") - lo) / width).cast("int")
-    rows = keyed.where("page_id IS NOT NULL").groupBy(b.alias("b")).agg(F.sum(F.col("size") + 500).alias("n")).collect()
-    starts, held = [], 0
-    for r in sorted(rows, key=lambda r: r["b"]):
-        if held and held + r["n"] > shard_bytes:
-            starts.append(r["b"])
-            held = 0
-        held += r["n"]
+def _places(batches):
+    """The bytes before each record within its part of the order."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        weight = batch.column("weight").to_numpy()
+        before = at + np.cumsum(weight) - weight
+        at += int(weight.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part), pa.int32()), batch.column("page_id"), batch.column("digest"), batch.column("weight"), pa.array(before)], names=["part", "page_id", "digest", "weight", "before"])
+
+
+def _order(sound: np.ndarray, ids: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Bytes that sort like (page_id, digest); rows that aren't ``sound`` have no id and come first."""
+    out = np.zeros(len(ids), np.dtype([("sound", "u1"), ("id", ">u8"), ("digest", "S16")]))
+    out["sound"] = sound
+    out["id"] = ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out["digest"] = digest.astype("S16")
+    return out.view("S25").ravel()
+
+
+def _cuts(weighed: DataFrame, shard_bytes: int, parts: int) -> np.ndarray:
+    """The first record's (page_id, digest) of each shard, in order."""
+    spark = weighed.sparkSession
+    order = [F.col("page_id").asc_nulls_first(), "digest"]
+    laid = weighed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    laid = written(laid.mapInArrow(lean(_places), "part int, page_id long, digest string, weight long, before long"), "warc-order")
+    held = {r["part"]: r["n"] for r in laid.groupBy("part").agg(F.sum("weight").alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(held):
+        starts.append((p, total))
+        total += held[p]
     if not starts:
-        return F.lit(0)
-    ids = F.array(*(F.lit(lo + s * width).cast("long") for s in starts))
-    return F.coalesce(F.size(F.filter(ids, lambda s: s <= F.col("page_id"))), F.lit(0))
+        return _order(*(np.zeros(0, t) for t in ("?", "i8", "S16")))
+    size = max(1, -(-total // MAX_SHARDS), min(shard_bytes, -(-total // parts)))
+    at = laid.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")  # as many rows as there are shuffle partitions
+    key = F.struct(F.col("page_id").isNotNull().alias("sound"), "page_id", "digest")
+    first = at.groupBy(F.floor((F.col("start") + F.col("before")) / F.lit(size)).alias("shard")).agg(F.min(key).alias("key"))
+    cuts = first.select("shard", "key.sound", F.coalesce("key.page_id", F.lit(0)).alias("page_id"), F.left("key.digest", F.lit(16)).alias("digest")).toArrow().sort_by("shard")
+    return _order(*(cuts.column(c).to_numpy() for c in ("sound", "page_id", "digest")))
 
 
 def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
@@ -169,13 +197,24 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll
     rows = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("digest"))
     keyed = written(rows.select("page_id", "size", "digest"), "warc-keys")
     first = keyed.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "response")
-    joined = rows.join(small(written(first, "warc-responses")), ["digest", "size"], "left")
+    first = small(written(first, "warc-responses"))
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response"))
-    joined = joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html")).alias("html"), "size", "digest", refers_to.alias("refers_to"))
+    weight = F.lit(HEAD_BYTES) + F.when(refers_to.isNull(), F.col("size")).otherwise(F.lit(0))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = keyed.agg(F.sum("size")).first()[0] or 0
-    shard = _shards(keyed, max(1, min(shard_bytes, total // parts)))
-    dealt = joined.withColumn("shard", shard.cast("int")).repartition(parts, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    cuts = _cuts(keyed.join(first, ["digest", "size"], "left").select("page_id", "digest", weight.cast("long").alias("weight")), shard_bytes, parts)
+    bounds = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def shard_of(sound: pd.Series, page_id: pd.Series, digest: pd.Series, salt: pd.Series) -> pd.Series:
+        key = _order(sound.to_numpy(), page_id.to_numpy(), digest.to_numpy())
+        low, high = (np.searchsorted(bounds.value, key, side) for side in ("left", "right"))
+        return pd.Series(np.where(high - low > 1, low + salt.to_numpy() % np.maximum(1, high - low), np.maximum(high, 1) - 1))
+
+    shard = shard_of(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), F.left("digest", F.lit(16)), "salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1 << 30)))
+    joined = salted.join(first, ["digest", "size"], "left")
+    joined = joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html")).alias("html"), "size", "digest", refers_to.alias("refers_to"), shard.alias("shard"))
+    dealt = joined.repartitionById(max(1, len(cuts)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
     dealt.mapInArrow(lean(_writer(f"{root}/data", roll_bytes, date)), MANIFEST).write.json(f"{root}/manifest")
     return spark.read.schema(MANIFEST).json(f"{root}/manifest")
 
@@ -219,14 +258,21 @@ def parse(data: bytes):
 def _reader(batches):
     names = [c.split()[0] for c in ARCHIVE.split(", ")]
     types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
     for batch in batches:
         for content, sha1 in zip(batch.column("content"), batch.column("sha1").to_pylist(), strict=True):
             data = content.as_py()
             if hashlib.sha1(data).hexdigest() != sha1:
                 raise ValueError("a file differs from the manifest")
-            rows = list(parse(data))
-            for a in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[a : a + 500], strict=True), types, strict=True)], names=names)
+            held, size = [], 0
+            for row in parse(data):
+                held.append(row)
+                size += HEAD_BYTES + len(row[4] or b"")
+                if size >= READ_BYTES:
+                    yield table(held)
+                    held, size = [], 0
+            if held:
+                yield table(held)
 
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
