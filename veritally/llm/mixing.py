@@ -5,16 +5,19 @@ Method
   2. *Targets.* The sources, ordered by code point with null last, have the weights ``weights`` in turn. They share
      ``share`` of all sizes by weight; no target exceeds ``cap`` times its source's size, and what that frees is shared again
      by weight until no target is above. That ends at one level: target = min(cap * size, level * weight).
-  3. *Quotas.* All blocks of ``block_words`` words are given to the sources one by one by the highest quotient
+  3. *Quotas.* All blocks are given to the sources one by one by the highest quotient
      target / (2 * seats + 1). Two divisors bound each source's seats from below and above; only the quotients between them
      (about one per source) are ranked. A source's seats go to its shards in the same way, by the shards' words.
+     A block has ``block_words`` words, or fewer where the smallest target would have less than ``FEWEST`` blocks (one word at least).
   4. *Shards.* A source is dealt into shards by a seeded hash of doc_id, so a source with a third of all rows is many shards,
-     each of bounded size. In a shard, documents stand in seeded order and are cut into equal blocks.
-  5. *Blocks.* A shard with q seats and b blocks takes each block q div b times, and q mod b blocks once more, chosen by a
-     seeded permutation of the block numbers. A document's ``taken`` is the words of its blocks, repeats counted.
+     each of bounded size. In a shard, documents stand in seeded order and are cut into equal blocks (the last may be shorter).
+  5. *Blocks.* A shard with q seats and b blocks takes each block q div b times, and m = q mod b blocks once more: one of each of m equal runs of blocks, by a seeded
+     hash of the run. So a document's ``taken``, the words of its blocks, repeats counted, follows from its first and last word alone, however long it is.
+
+Sources may be as many as documents: they are ranked and summed like other rows, never in one task.
 
 Determinism: everything follows from the seed, doc_id and text; equal doc_ids are ordered by size. Null or empty texts have size 0
-and are taken with 0 words. A source without words has target 0. Extra columns are ignored.
+and are taken with 0 words. A source without words has target 0. An empty table gives an empty mix. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.llm.common import small, written
+from veritally.operators.ranks import with_rank
 
-#: Words of a block.
-BLOCK_WORDS = 16
+#: Words of a block, and the blocks that the smallest target has at least while a block has more than one word.
+BLOCK_WORDS, FEWEST = 16, 40
 #: Words of a shard, and the most shards of a source.
 SHARD_WORDS, MAX_SHARDS = 65_536, 65_536
-#: A prime above any number of blocks in a shard; multiples of it permute the block numbers.
-_PRIME = 2_147_483_647
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -38,55 +40,70 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target): one row per source; windows over the sources alone."""
-    total = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), turn + 1)
-    by = total.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap))).withColumn("ratio", F.col("most") / F.col("weight"))
-    # sources fill up in the order of most / weight; before a source fills, those after it (and it) share what is left
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after, everything = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    by = by.withColumn("level", left / F.sum("weight").over(after)).withColumn("place", F.row_number().over(fill))
-    # the first source that its level doesn't fill sets the level of the rest
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything)
-    by = by.withColumn("at", first["level"])
-    return by.select("source", "source_size", F.least("most", F.coalesce(F.col("at") * F.col("weight"), F.col("most"))).alias("target"))
+    """(source, source_size, target): one row per source.
+
+    The level rises from one round to the next, as the sources that it fills leave theirs to the others; a round is one sum over the sources, and rounds are about as many as
+    doublings between the smallest and the largest size at most.
+    """
+    total = with_rank(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], name="turn")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("turn") - 1, F.lit(len(weights))).cast("int") + 1)
+    by = written(total.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(cap))).alias("most")), "mix-weights")
+    left = (by.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level = 0.0
+    while True:
+        full = F.col("most") < F.col("weight") * F.lit(level)
+        filled, open_ = by.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).first()
+        new = (left - (filled or 0.0)) / open_ if open_ else float("inf")
+        if new <= level:
+            break
+        level = new
+        if not open_:
+            break
+    target = F.least("most", F.col("weight") * F.lit(level)) if level < float("inf") else F.col("most")
+    return by.select("source", "source_size", target.alias("target"))
 
 
 def apportion(votes: DataFrame, group: list[str], seats: Column, vote: Column, tie: list[Column]) -> DataFrame:
     """``votes`` with ``quota``: within each group, ``seats`` given one by one by the highest vote / (2 * quota + 1).
 
-    Exact, by ranking only quotients between two divisors; ties go to the first by ``tie``. Groups without votes get 0.
+    Exact, by ranking only quotients between two divisors; ties go to the first by ``tie``. Groups without votes get 0. Without a group all rows share ``seats`` (a constant), and sums and
+    ranks are made over all machines; with one, a group is a window.
     """
-    by = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     v = votes.withColumn("_v", vote.cast("double")).withColumn("_s", seats.cast("long"))
-    v = v.withColumn("_sum", F.sum("_v").over(by)).withColumn("_n", F.count("*").over(by))
+    if group:
+        by = Window.partitionBy(*group)
+        v = v.withColumn("_sum", F.sum("_v").over(by)).withColumn("_n", F.count("*").over(by))
+    else:
+        v = written(v, "mix-votes")
+        total, n = v.agg(F.sum("_v"), F.count("*")).first()
+        v = v.withColumn("_sum", F.lit(total or 0.0)).withColumn("_n", F.lit(n))
     at = lambda spread: F.floor(F.col("_v") * (F.col("_s") + spread) / F.col("_sum") + 0.5)
-    some = (F.col("_sum") > 0) & (F.col("_s") > 0)
-    v = v.withColumn("_lo", F.when(some, F.greatest(F.lit(0).cast("long"), at(-F.col("_n") / 2.0))).otherwise(F.lit(0).cast("long")))
-    v = v.withColumn("_hi", F.when(some, at(F.col("_n") / 2.0)).otherwise(F.lit(0).cast("long")))
-    v = v.withColumn("_open", F.when(some, F.col("_s") - F.sum("_lo").over(by)).otherwise(F.lit(0).cast("long")))
+    some, zero = (F.col("_sum") > 0) & (F.col("_s") > 0), F.lit(0).cast("long")
+    v = v.withColumn("_lo", F.when(some, F.greatest(zero, at(-F.col("_n") / 2.0))).otherwise(zero))
+    v = v.withColumn("_hi", F.when(some, at(F.col("_n") / 2.0)).otherwise(zero))
     # _lo seats are sure; of the quotients for seats _lo .. _hi, the highest _open win
-    ranked = v.withColumn("_k", F.explode_outer(F.when(F.col("_hi") >= F.col("_lo"), F.sequence("_lo", "_hi"))))
+    sure = F.sum("_lo").over(by) if group else F.lit(v.agg(F.sum("_lo")).first()[0] or 0)
+    v = v.withColumn("_open", F.when(some, F.col("_s") - sure).otherwise(zero))
+    # a vote far above the others has a wide span, but of its quotients no more than there are open seats can win
+    top = F.least("_hi", F.col("_lo") + F.greatest(zero, F.col("_open")))
+    ranked = v.withColumn("_k", F.explode_outer(F.when(top >= F.col("_lo"), F.sequence("_lo", top))))
     ranked = ranked.withColumn("_q", F.col("_v") / (2 * F.col("_k") + 1))
-    order = by.orderBy(F.col("_q").desc_nulls_last(), *tie, F.col("_k"))
-    won = ranked.withColumn("_won", F.when(F.col("_k").isNotNull() & (F.row_number().over(order) <= F.col("_open")), 1).otherwise(0))
-    keep = [c for c in votes.columns]
-    return won.groupBy(*keep, "_lo").agg(F.sum("_won").alias("_won")).withColumn("quota", F.col("_lo") + F.col("_won")).select(*keep, "quota")
+    order = [F.col("_q").desc_nulls_last(), *tie, F.col("_k")]
+    ranked = ranked.withColumn("_rank", F.row_number().over(by.orderBy(*order))) if group else with_rank(ranked, order, name="_rank")
+    won = ranked.withColumn("_won", F.when(F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_open")), 1).otherwise(0))
+    return won.groupBy(*votes.columns, "_lo").agg(F.sum("_won").alias("_won")).select(*votes.columns, (F.col("_lo") + F.col("_won")).alias("quota"))
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): a row per row of ``docs`` (doc_id long, text string, source string).
 
-    ``taken`` is at most ``cap`` times the size, rounded up to whole blocks' words and cut there.
+    ``taken`` is at most ``cap`` times the size (rounded up to a whole number).
     """
     sized = written(sizes(docs), "mix-sizes")
     per = written(targets(sized, weights, share, cap), "mix-targets")
-    seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words)
-    per = per.withColumn("_seats", seats)
-    per = apportion(per, [], F.col("_seats"), F.col("target"), [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "seats")
+    all_, least = per.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    block = max(1, min(block_words, int((least or 0) // FEWEST)))
+    per = apportion(per, [], F.lit(round((all_ or 0.0) / block)), F.col("target"), [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "seats")
     per = written(per.withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")).select("source", "source_size", "target", "seats", "shards"), "mix-seats")
 
     # a key that is never null, so that windows, aggregates and joins by source and shard share one partitioning
@@ -101,17 +118,24 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     in_order = Window.partitionBy(*key).orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("_end", F.sum("size").over(in_order)).withColumn("_begin", F.col("_end") - F.col("size"))
     laid = laid.join(quotas, key)
-    blocks = F.greatest(F.lit(1), F.round(F.col("words") / block_words)).cast("long")
-    laid = laid.withColumn("_b", blocks).withColumn("quota", F.least("quota", (F.col("_b") * F.lit(float(cap))).cast("long")))
-    # block j holds the words from floor(j * words / b); it is chosen if its place in the permutation is among the first
-    laid = laid.withColumn("_rounds", F.floor(F.col("quota") / F.col("_b"))).withColumn("_more", F.pmod("quota", "_b")).withColumn("_shift", F.pmod(F.xxhash64(F.lit(seed), "_src", "shard"), F.col("_b")))
-    edge = lambda j: F.floor(j * F.col("words") / F.col("_b"))
-    chosen = lambda j: F.pmod(F.pmod(F.lit(_PRIME), F.col("_b")) * j + F.col("_shift"), F.col("_b")) < F.col("_more")
-    lap = lambda j: F.greatest(F.lit(0).cast("long"), F.least(F.col("_end"), edge(j + 1)) - F.greatest(F.col("_begin"), edge(j)))
-    block_of = lambda word: F.greatest(F.lit(0).cast("long"), F.least(F.col("_b") - 1, F.floor(word * F.col("_b") / F.greatest(F.lit(1).cast("long"), F.col("words")))))
-    js = F.sequence(block_of(F.col("_begin")), block_of(F.col("_end")))
-    extra = F.aggregate(js, F.lit(0).cast("long"), lambda a, j: a + F.when(chosen(j), lap(j)).otherwise(F.lit(0).cast("long")))
-    taken = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.col("_rounds") * F.col("size") + F.when(F.col("_more") > 0, extra).otherwise(F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    div = lambda a, b: F.call_function("div", a, b)
+    one = F.lit(1).cast("long")
+    laid = laid.withColumn("_b", F.greatest(one, div(F.col("words") + (block - 1), F.lit(block).cast("long"))))
+    laid = laid.withColumn("quota", F.least("quota", (F.col("_b") * F.lit(float(cap))).cast("long")))
+    laid = laid.withColumn("_rounds", div(F.col("quota"), F.col("_b"))).withColumn("_m", F.pmod("quota", "_b"))
+    # run r of the m runs has the blocks from r * b div m on; the last block alone may be short, and it is in the last run
+    start = lambda r: div(r * F.col("_b"), F.col("_m"))
+    run_of = lambda j: div((j + 1) * F.col("_m") - 1, F.col("_b"))
+    chosen = lambda r: start(r) + F.pmod(F.xxhash64(F.lit(seed), "_src", "shard", r), start(r + 1) - start(r))
+
+    def before(word):
+        """Words of the chosen blocks before this one."""
+        j = F.least(F.col("_b") - 1, div(word, F.lit(block).cast("long")))
+        r, c = run_of(j), chosen(run_of(j))
+        return r * block + F.when(c < j, F.lit(block)).when(c == j, word - j * block).otherwise(F.lit(0))
+
+    extra = F.when(F.col("_m") > 0, before(F.col("_end")) - before(F.col("_begin"))).otherwise(F.lit(0))
+    taken = F.when(F.col("size") > 0, F.col("_rounds") * F.col("size") + extra).otherwise(F.lit(0)).cast("long")
     return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
