@@ -2,17 +2,18 @@
 
 Method
   1. *Windows.* An item of L words belongs to the largest window size W of a fixed ladder with W + stride - 1 <= L, where the stride is
-     W // 8 (at least 1). Documents are read in windows of W words at multiples of the stride, items at every offset. So a copy
-     of an item at any place of a text holds a window that is also a window of the item, word for word.
+     W // 8 (at least 1). Documents are read in windows of W words at multiples of the stride, items at every offset (long items in ``RUNS`` runs of a stride's offsets
+     each, from the first to the last). So a copy of an item at any place of a text holds a window that is also a window of the item, word for word.
   2. *Fingerprints.* 64-bit SimHash of a window's word pairs. All windows of a batch come from one running sum of byte-wide counters.
-  3. *Multi-index.* Fingerprints are cut into 3 blocks. Within ``RADIUS`` = 11 bits at least one block differs in at most 3 bits, so a bitmap per
-     block of all values within 3 bits of an item's block lets every fingerprint within the radius through; those are then compared in full.
+  3. *Multi-index.* Fingerprints are cut into 4 blocks of 16 bits. Within ``RADIUS`` = 11 bits at least one block differs in at most 2 bits. For each block a table leads from a value
+     to the items' fingerprints whose block is near it; a window looks up its 4 values and is compared with what it finds there, about 1 % of all fingerprints, and with nothing else.
+     Where a size has few fingerprints they are entered under all values within 2 bits; where it has many, under those within 1, and a window looks up all values within 1 of its own.
   4. *Verification.* Each hit names an item and a place. There the item and the L words of the text are compared exactly, by the larger of two similarities of their
      shingles: the Jaccard similarity, and the sum of the weights of the shingles that they share by that of all they have. A shingle of k words weighs
      1 / (different items that have it), counted over all items, so what many items share counts less; shingles that no item has weigh 1. It must be at least ``num / den``.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items are taken in blocks of at most ``ITEMS_AT_ONCE``, so what is sent to the executors is bounded, and every
-document meets every item; the weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing. Items of fewer than k words count as one shingle. Equal items match each on
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items are taken in blocks of about ``ITEMS_AT_ONCE`` items and ``ITEM_BYTES`` of text at most (one item if it is longer), so what is sent
+to the executors is bounded, and every document meets every item; a pass over the documents takes a block. The weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing. Items of fewer than k words count as one shingle. Equal items match each on
 its own. Repeated documents give repeated rows. Extra columns are ignored.
 """
 
@@ -29,9 +30,14 @@ from veritally.llm import words as W
 from veritally.llm.common import lean, small, written
 
 RADIUS = 11
-#: Shifts and widths of the blocks of a fingerprint.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-ITEMS_AT_ONCE = 5_000
+#: Shifts of the 16-bit blocks of a fingerprint.
+BLOCKS = (0, 16, 32, 48)
+#: Items and bytes of items that a pass over the documents takes: some 7 fingerprints an item of 40 words, with up to 2,200 bytes of tables each, so about 150 MB in a worker.
+ITEMS_AT_ONCE, ITEM_BYTES = 10_000, 16 << 20
+#: Up to so many fingerprints of a size are entered under all values within 2 bits.
+FEW = 16_384
+#: Runs of offsets of a long item, and pairs of windows and fingerprints that are compared at once.
+RUNS, PAIRS_AT_ONCE = 8, 1 << 19
 #: The longest window; counters are bytes. A longer item is met by the windows inside it.
 _LONGEST = 256
 
@@ -100,8 +106,53 @@ def shared_weights(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], (1.0 / found.column("count").to_numpy())[order]
 
 
+def _ball(radius: int) -> np.ndarray:
+    """All 16-bit masks of at most so many bits."""
+    return np.array([sum(1 << x for x in flip) for r in range(radius + 1) for flip in combinations(range(16), r)], np.uint16)
+
+
+def offsets(n: int, w: int) -> np.ndarray:
+    """Where the windows of an item of n words start: everywhere, or in a long item in ``RUNS`` runs of a stride each."""
+    last, step = n - w, stride(w)
+    if last + 1 <= RUNS * step:
+        return np.arange(last + 1)
+    return (np.linspace(0, last + 1 - step, RUNS).astype(np.int64)[:, None] + np.arange(step)).ravel()
+
+
+class Table:
+    """Fingerprints of one window size by the values near their blocks."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        mine = 2 if len(prints) <= FEW else 1
+        near, self.probe = _ball(mine), _ball(RADIUS // len(BLOCKS) - mine)
+        self.starts, self.entries = [], []
+        for shift in BLOCKS:
+            value = ((prints >> _U(shift)).astype(np.uint16)[:, None] ^ near[None, :]).ravel()
+            self.entries.append((np.argsort(value, kind="stable") // len(near)).astype(np.int32))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 16))]))
+
+    def pairs(self, sim: np.ndarray):
+        """Yields (window, fingerprint) arrays: all pairs within the radius, some more than once; and how many were compared."""
+        for shift, start, entries in zip(BLOCKS, self.starts, self.entries, strict=True):
+            value = (sim >> _U(shift)).astype(np.uint16)
+            for mask in self.probe:
+                v = value ^ mask
+                lo = start[v]
+                n = start[v.astype(np.int64) + 1] - lo
+                total = np.concatenate([[0], np.cumsum(n)])
+                a = 0
+                while a < len(sim):
+                    b = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS_AT_ONCE, "right")) - 1)
+                    window = np.repeat(np.arange(a, b), n[a:b])
+                    found = entries[np.arange(total[b] - total[a]) + np.repeat(lo[a:b] - total[a:b] + total[a], n[a:b])]
+                    hit = np.bitwise_count(sim[window] ^ self.prints[found]) <= RADIUS
+                    yield window[hit], found[hit], len(found)
+                    a = b
+
+
 class Index:
-    """Fingerprints, bitmaps and shingles of one block of items."""
+    """Fingerprints and shingles of one block of items. What is sent is compact; a worker makes the tables when it first needs them."""
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k = k
@@ -117,20 +168,15 @@ class Index:
                 self.sets.append(np.unique(W.shingles(words, np.array([0, n]), k)[0]))
                 if n:
                     w = max(x for x in window_sizes() if x + stride(x) - 1 <= n)
-                    at = np.arange(n - w + 1)
+                    at = offsets(n, w)
                     found.setdefault(w, []).append((_simhash(_running(_pairs(words)), at, w), np.full(len(at), a + i), at))
         self.by_size = {w: tuple(np.concatenate(x) for x in zip(*rows, strict=True)) for w, rows in found.items()}
-        self.maps = {w: [self._near(prints, *block) for block in BLOCKS] for w, (prints, _, _) in self.by_size.items()}
-
-    @staticmethod
-    def _near(prints: np.ndarray, shift: int, width: int) -> np.ndarray:
-        """Bitmap of the block values within RADIUS // 3 bits of that of a fingerprint."""
-        block = np.unique((prints >> _U(shift)) & _U((1 << width) - 1))
-        hit = np.zeros(1 << width, np.bool_)
-        for r in range(RADIUS // len(BLOCKS) + 1):
-            for flip in combinations(range(width), r):
-                hit[block ^ _U(sum(1 << x for x in flip))] = True
-        return np.packbits(hit, bitorder="little")
+        self.tables: dict[int, Table] = {}
+
+    def table(self, w: int) -> Table:
+        if w not in self.tables:
+            self.tables[w] = Table(self.by_size[w][0])
+        return self.tables[w]
 
     def similarity(self, item: int, words: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> float:
         mine = self.sets[item]
@@ -147,33 +193,26 @@ class Index:
         running = _running(_pairs(words))
         size = np.diff(off)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
-        for w, (prints, item, offset) in self.by_size.items():
+        length = np.array(self.length, np.int64)
+        for w, (_, item, offset) in self.by_size.items():
             step = stride(w)
             n = np.maximum(0, (size - w) // step + 1)
             if not n.any():
                 continue
             row = np.repeat(np.arange(len(size)), n)
             start = off[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
-            sim = _simhash(running, start, w)
-            near = np.zeros(len(sim), np.bool_)
-            for bits, (shift, width) in zip(self.maps[w], BLOCKS, strict=True):
-                v = (sim >> _U(shift)) & _U((1 << width) - 1)
-                near |= (bits[v >> _U(3)] >> (v & _U(7)).astype(np.uint8)) & 1 == 1
-            some = np.flatnonzero(near)
-            step_rows = max(1, (1 << 19) // max(1, len(prints)))
-            for c in range(0, len(some), step_rows):
-                part = some[c : c + step_rows]
-                x, y = np.nonzero(np.bitwise_count(sim[part][:, None] ^ prints[None, :]) <= RADIUS)
-                for p, f in zip(part[x].tolist(), y.tolist(), strict=True):
-                    r, i = int(row[p]), int(item[f])
-                    at = max(int(off[r]), min(int(start[p]) - int(offset[f]), int(off[r + 1]) - self.length[i]))
-                    if (r, i, at) in tried or best.get((r, i), (0.0,))[0] == 1.0:
-                        continue
-                    tried.add((r, i, at))
-                    s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))], shared)
-                    if s >= least and (s, -at) > (best.get((r, i), (0.0, 0))[0], -best.get((r, i), (0.0, 0))[1]):
-                        best[r, i] = (s, at)
+            places = []
+            for x, y, _ in self.table(w).pairs(_simhash(running, start, w)):
+                r = row[x]
+                at = np.maximum(off[r], np.minimum(start[x] - offset[y], off[r + 1] - length[item[y]]))
+                places.append(np.unique(np.stack([r, item[y], at], axis=1), axis=0))
+            # by row, item and place, so that the first of equal places is met first
+            for r, i, at in np.unique(np.concatenate(places), axis=0).tolist() if places else ():
+                if best.get((r, i), (0.0,))[0] == 1.0:
+                    continue
+                s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))], shared)
+                if s >= least and s > best.get((r, i), (0.0,))[0]:
+                    best[r, i] = (s, at)
         for (r, i), (s, at) in sorted(best.items()):
             yield r, i, s, at - int(off[r])
 
@@ -198,7 +237,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int
     """
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-size // ITEM_BYTES))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     weights = spark.sparkContext.broadcast(shared_weights(items, k))
     out = spark.createDataFrame([], SCHEMA)
