@@ -63,6 +63,21 @@ def test_edge_cases(spark, rows):
     assert rows(E.near_duplicates(frame(spark, [])), "vec_id") == []
 
 
+def test_null_ids_link_with_nothing(spark, rows):
+    data = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [0.0, 1.0]), (None, None), (None, [1.0, 0.0])]
+    got = rows(E.near_duplicates(frame(spark, data)), "vec_id", "n_links", "component_id", "kept")
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (7, 0, 7, True)] + [(None, 0, None, False)] * 4
+
+
+@pytest.mark.parametrize("cell", [None, 25])
+def test_blocks_by_bytes_and_few_products_at_once(spark, rows, monkeypatch, cell):
+    """Blocks of a few vectors, with all cells visited: every pair is met once."""
+    monkeypatch.setattr(E, "BLOCK_BYTES", 8 * 16 * 9)
+    monkeypatch.setattr(E, "PRODUCTS", 20)
+    data = vectors(5, 120)
+    assert rows(E.near_duplicates(frame(spark, data), cell=cell), "vec_id", "n_links", "component_id", "kept") == brute(data)
+
+
 def test_recall_at_the_threshold(spark, rows):
     """Pairs at a cosine just above the least, spread over many cells."""
     rng = np.random.default_rng(4)
