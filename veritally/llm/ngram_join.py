@@ -7,8 +7,8 @@ Method
   1. *Sets.* Each text becomes the sorted set of its 64-bit shingle hashes (`words.py`), and a key of that set. Documents
      with equal keys are one vertex from here on, so exact copies cost nothing more.
   2. *Repeated shingles.* A partner needs ``num / den`` of a set's shingles, so a set of which fewer occur in another set
-     has no link. Counting that moves each shingle once, packed: one row per batch of documents and slice of the hash space,
-     within which a set's part is cut out only once, and one entry of what several sets of the batch share. Only the sets that remain (near copies, mostly) go on.
+     has no link. Counting that moves each shingle once, packed: one row per batch of documents and slice of the hash space (as many slices as keep
+     each below ``SLICE_BYTES``, counted first, and a task per few of them), within which a set's part is cut out only once, and one entry of what several sets of the batch share. Only the sets that remain (near copies, mostly) go on.
   3. *Heavy and light.* The shingles of these sets are ordered by how many of the sets have them, rare ones first. A set of n shingles that needs an overlap of a is compared by the first n - a + 1 (some
      shingle of them is shared) or by the pairs among the first n - a + 2 (some pair is shared). Small sets enumerate
      those fixed-size subsets; large sets, for which there are too many, use the inverted lists of single shingles. The
@@ -36,6 +36,8 @@ from veritally.llm.common import connected_components, forest, lean, small, writ
 
 #: Shingles of a block: a task compares at most two blocks (one set if it is larger).
 BLOCK_SHINGLES = 400_000
+#: Bytes of shingles in a slice of the hash space, and slices per task of a shuffle.
+SLICE_BYTES, SLICES_PER_TASK = 16 << 20, 2
 #: Cost of scanning an entry of an inverted list in memory, where a shuffled row (subset or entry) costs 1.
 SCAN_COST = 0.005
 
@@ -79,19 +81,15 @@ def _slices(k: int, parts: int):
 
     def run(batches):
         for batch in batches:
-            seen: set[int] = set()
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for _, _, s, at, key in _sets(batch.column("text"), k):
-                new = np.zeros(len(key), np.bool_)
-                for i, x in enumerate(key.tolist()):
-                    if at[i] < at[i + 1] and x not in seen:
-                        seen.add(x)
-                        new[i] = True
-                mask = np.repeat(new, np.diff(at))
-                held.append((s[mask], np.repeat(key, np.diff(at))[mask]))
-            if not seen:
+            held = list(_sets(batch.column("text"), k))
+            if not held:
+                continue
+            key = np.concatenate([x[4] for x in held])
+            size = np.concatenate([np.diff(x[3]) for x in held])
+            mask = np.repeat(_first(key) & (size > 0), size)
+            h, owner = np.concatenate([x[2] for x in held])[mask], np.repeat(key, size)[mask]
+            if not len(h):
                 continue
-            h, owner = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             h, owner, part = h[order], owner[order], part[order]
@@ -110,8 +108,8 @@ def _slices(k: int, parts: int):
                 local = np.add.reduceat(many, first, dtype=np.int32)
                 rows["part"].append(int(p))
                 rows["keys"].append(o[first].tobytes())
-                rows["counts"].append((np.diff(np.append(first, len(o))) - local).astype(np.int32).tobytes())
-                rows["local"].append(local.tobytes())
+                rows["counts"].append(_narrow(np.diff(np.append(first, len(o))) - local))
+                rows["local"].append(_narrow(local))
                 rows["hashes"].append(_pack(h[at][~many]))
                 rows["shared"].append(_pack(h[at][many & ~later[at]]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in list(rows)[1:])], names=list(rows))
@@ -119,6 +117,22 @@ def _slices(k: int, parts: int):
     return run
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _wide(counts: pa.ChunkedArray, n: list[int]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), f"u{len(x.as_py()) // k}") for x, k in zip(counts, n, strict=True)]).astype(np.int64)
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Marks each value where it occurs for the first time."""
+    out = np.zeros(len(values), np.bool_)
+    out[np.unique(values, return_index=True)[1]] = True
+    return out
+
+
 def _pack(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
 
@@ -134,20 +148,15 @@ def _repeated(parts: int):
     """For a slice of the hash space: how many shingles of each set occur in another set too; rows (part, keys, reps), dealt anew by key."""
 
     def run(table: pa.Table) -> pa.Table:
-        seen: set[int] = set()
-        hashes, owners, keys, reps = [], [], [], []
-        for row in zip(*(table.column(c) for c in ("keys", "counts", "local", "hashes", "shared")), strict=True):
-            key, n, local = (np.frombuffer(x.as_py(), t) for x, t in zip(row[:3], (np.int64, np.int32, np.int32), strict=True))
-            new = np.zeros(len(key), np.bool_)
-            for i, x in enumerate(key.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new[i] = True
-            keys.append(key[new])
-            reps.append(local[new])
-            shared = _unpack(row[4].as_py())  # twice, of no set: repeated for certain
-            hashes += [_unpack(row[3].as_py())[np.repeat(new, n)], shared, shared]
-            owners += [np.repeat(key, n)[np.repeat(new, n)], np.zeros(2 * len(shared), np.int64)]
+        each = [np.frombuffer(x.as_py(), np.int64) for x in table.column("keys")]
+        key, size = np.concatenate(each), [len(x) for x in each]
+        n, local = _wide(table.column("counts"), size), _wide(table.column("local"), size)
+        new = _first(key)
+        shared = _unpack(b"".join(table.column("shared").to_pylist()))  # twice, of no set: repeated for certain
+        mine = np.repeat(new, n)
+        hashes = [_unpack(b"".join(table.column("hashes").to_pylist()))[mine], shared, shared]
+        owners = [np.repeat(key, n)[mine], np.zeros(2 * len(shared), np.int64)]
+        keys, reps = [key[new]], [local[new]]
         h, owner = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(h)
         h, owner = h[order], owner[order]
@@ -167,6 +176,27 @@ def _repeated(parts: int):
     return run
 
 
+def _slice_by_slice(run):
+    """Applies ``run`` to the rows of each slice; a task's rows come slice by slice."""
+
+    def over(batches):
+        held, part = [], None
+        for batch in batches:
+            p = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    if held and p[a] != part:
+                        yield from run(pa.Table.from_batches(held)).to_batches()
+                        held = []
+                    part = p[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    return over
+
+
 def _summed(table: pa.Table) -> pa.Table:
     """(key, rep): the counts of all slices."""
     key, rep = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("keys", "reps"))
@@ -357,12 +387,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = written(docs.mapInArrow(lean(_keys(k)), "doc_id long, n long, key long"), "ngram-keys")
+    size = (keys.agg(F.sum("n")).first()[0] or 0) * _BYTES
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLICE_BYTES))
     sets = keys.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"))
 
     sliced = docs.mapInArrow(lean(_slices(k, parts)), "part int, keys binary, counts binary, local binary, hashes binary, shared binary")
-    rep = sliced.groupBy("part").applyInArrow(lean(_repeated(parts)), "part int, keys binary, reps binary").groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
+    dealt = sliced.repartitionById(-(-parts // SLICES_PER_TASK), F.floor(F.col("part") / SLICES_PER_TASK).cast("int")).sortWithinPartitions("part")
+    counted = dealt.mapInArrow(lean(_slice_by_slice(_repeated(parts))), "part int, keys binary, reps binary")
+    rep = counted.groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
     near = written(rep.join(sets, "key").where(F.col("rep") * den >= F.col("n") * num).select("key", "doc_id"), "ngram-near")
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
     full = texts.mapInArrow(lean(_binary_sets(k)), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
