@@ -70,22 +70,48 @@ def test_audit(spark):
     assert [r["id"] for r in audit.sorted_ids(d).collect()][-3:] == ["30", "32", "33"]
 
 
-def test_allocation():
+def strata(spark, sizes):
+    return spark.createDataFrame(list(sizes.items()), "stratum string, n long")
+
+
+def picked(spark, sizes, total, floor):
+    return {r["stratum"]: r["picks"] for r in sampling.allocate(strata(spark, sizes), total, F.lit(floor)).collect()}
+
+
+def planned(spark, sizes, plan):
+    out = {name: {} for name, _ in plan}
+    for r in sampling.nested_plan(strata(spark, sizes), plan).collect():
+        out[r["subset"]][r["stratum"]] = r["picks"]
+    return out
+
+
+def test_allocation(spark):
     sizes = {"a": 100, "b": 50, "c": 2, "d": 1}
-    picks = sampling.allocate(sizes, 20, 2)
+    picks = picked(spark, sizes, 20, 2)
     assert sum(picks.values()) == 20 and picks["c"] == 2 and picks["d"] == 1 and picks["a"] > picks["b"]
-    assert sampling.allocate(sizes, 153, 5) == sizes
+    assert picked(spark, sizes, 153, 5) == sizes
     for bad in (154, 1):
         with pytest.raises(ValueError, match="can't be picked"):
-            sampling.allocate(sizes, bad, 2)
-    assert sampling.floor_for(50, 18) == 2 and sampling.floor_for(100, 18) == 5
-    plan = sampling.nested_plan({f"s{i:02d}": 40 for i in range(18)}, [("L", 100), ("S", 50)])
-    assert all(plan["S"][s] <= plan["L"][s] and plan["S"][s] >= 2 for s in plan["L"])
+            picked(spark, sizes, bad, 2)
+    plan = planned(spark, {f"s{i:02d}": 40 for i in range(18)}, [("L", 100), ("S", 50)])
+    assert all(plan["S"][s] <= plan["L"][s] and plan["S"][s] >= 2 for s in plan["L"]) and min(plan["L"].values()) >= 5
+
+
+def test_allocation_is_the_best_of_all(spark):
+    """Among all picks within the bounds that make up the total, it has the least sum of squared distances from the shares."""
+    from itertools import product
+
+    for sizes, total, floor in (({"a": 7, "b": 5, "c": 1}, 6, 1), ({"a": 9, "b": 2, "c": 2, "d": 1}, 7, 2), ({"a": 3, "b": 3, "c": 3}, 4, 0), ({"a": 10, "b": 1}, 5, 1)):
+        share = {s: total * n / sum(sizes.values()) for s, n in sizes.items()}
+        cost = lambda p: sum((x - share[s]) ** 2 for s, x in zip(sizes, p, strict=True))  # noqa: E731, B023
+        legal = [p for p in product(*(range(min(floor, n), n + 1) for n in sizes.values())) if sum(p) == total]
+        got = picked(spark, sizes, total, floor)
+        assert cost(tuple(got[s] for s in sizes)) == pytest.approx(min(map(cost, legal)))
 
 
 def test_nested_subsets_are_prefixes(spark):
     d = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("s"))
-    plan = sampling.nested_plan({f"s{i}": n for i, n in enumerate((67, 67, 66))}, [("L", 60), ("S", 20)])
+    plan = sampling.nested_plan(strata(spark, {f"s{i}": n for i, n in enumerate((67, 67, 66))}), [("L", 60), ("S", 20)])
     got = {n: {r["id"] for r in sampling.nested_subsets(d, "s", "id", plan).where(F.col("subset") == n).collect()} for n in ("L", "S")}
     assert len(got["L"]) == 60 and len(got["S"]) == 20 and got["S"] < got["L"]
     again = {r["id"] for r in sampling.nested_subsets(d.orderBy(F.rand()), "s", "id", plan).where("subset = 'S'").collect()}
@@ -114,13 +140,45 @@ def test_topk_ties_and_zero_vectors(spark):
     assert got == {(9, 1): 1, (9, 2): 2, (8, 1): 1, (8, 2): 2}
     with pytest.raises(Exception, match="train split only"):
         retrieval.guarded_index(index, F.lit("test")).collect()
-
-
-def test_differences():
-    pred = [{"type": "time", "value": "five"}, {"type": "place", "value": "rome"}, {"type": "x", "value": "y"}]
-    gold = [{"type": "time", "value": "five am"}, {"type": "city", "value": "rome"}, {"type": "m", "value": "n"}]
-    assert errors.explain(pred, gold) == ["time 'five' (gold 'five am')", "'rome' as place (gold city)", "missing m=n", "extra x=y"]
-    assert errors.explain(gold, gold) == [] and errors.explain(None, None) == []
+    with pytest.raises(ValueError, match="each id once"):
+        retrieval.guarded_index(index.union(index.limit(1)), F.lit("train"))
+
+
+def explained(spark, rows):
+    slots = "array<struct<type:string,value:string>>"
+    df = spark.createDataFrame(rows, f"i int, pred {slots}, gold {slots}")
+    return [r["d"] for r in df.select("i", errors.explain(F.col("pred"), F.col("gold")).alias("d")).orderBy("i").collect()]
+
+
+def test_differences(spark):
+    pred = [("time", "five"), ("place", "rome"), ("x", "y")]
+    gold = [("time", "five am"), ("city", "rome"), ("m", "n")]
+    assert explained(spark, [(1, pred, gold), (2, gold, gold), (3, None, None), (4, [], gold), (5, [("a", "1"), ("a", "1"), ("b", "2")], [("a", "1"), ("c", "2"), ("d", "2")])]) == [
+        ["time 'five' (gold 'five am')", "'rome' as place (gold city)", "missing m=n", "extra x=y"],
+        [],
+        [],
+        ["missing city=rome", "missing m=n", "missing time=five am"],
+        ["'2' as b (gold c)", "missing d=2", "extra a=1"],
+    ]
+
+
+def test_malformed_chat_records(spark):
+    """Each defect on its own and together; (severity, rule, at)."""
+    records = {
+        '{"messages":[]}': [("error", "messages missing", -1)],
+        "{broken": [("error", "invalid JSON", -1)],
+        '["x"]': [("error", "record is not an object", -1)],
+        '{"messages":[{"role":"tool","content":"x"},{"role":"user","content":" "},{"role":"assistant","content":null,"tool_calls":[]},7]}': [("unsupported", "tool role", 0), ("error", "empty content", 1), ("unsupported", "tool call", 2), ("error", "message is not an object", 3)],
+        '{"messages":[{"role":"user","content":[{"text":"a"}]},{"role":"system","content":"s"},{"role":"assistant","content":"a","weight":1}]}': [("unsupported", "content parts", 0), ("error", "system is not first", -1), ("unsupported", "weight", 2)],
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}],"tools":[],"note":1}': [("unsupported", "tools", -1), ("warning", "extra keys", -1)],
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}': [],
+        '{"messages":[{"role":"assistant","content":"a"}]}': [("error", "no user message", -1)],
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"},{"role":"user","content":"q"}]}': [("error", "last is not the assistant", -1), ("unsupported", "several turns", -1)],
+        '{"messages":[{"role":"judge","content":"q"},{"role":"user","content":3},{"role":"assistant","content":"a"}]}': [("error", "invalid role", 0), ("error", "content is not text", 1)],
+    }
+    df = spark.createDataFrame([(t,) for t in records], "t string")
+    for r in df.select("t", chat.issues(F.try_parse_json("t")).alias("i")).collect():
+        assert sorted((x["severity"], x["rule"], x["at"]) for x in r["i"]) == sorted(records[r["t"]]), r["t"]
 
 
 def test_gate(spark):

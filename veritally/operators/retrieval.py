@@ -22,8 +22,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def guarded_index(vectors: DataFrame, split: Column) -> DataFrame:
-    """The vectors, all of the train split; anything else is an error, so nothing leaks."""
+def guarded_index(vectors: DataFrame, split: Column, id_: str = "id") -> DataFrame:
+    """The vectors, all of the train split and each with an id of its own; anything else is an error, so nothing leaks and no neighbour is counted twice."""
+    if vectors.groupBy(id_).count().where("count > 1").limit(1).count():
+        raise ValueError("an index holds each id once")
     return vectors.where(F.assert_true(split == "train", "an index holds the train split only").isNull())
 
 
@@ -46,24 +48,22 @@ def topk(queries: DataFrame, index: DataFrame, k: int, digits: int = 9) -> DataF
 
         def run(batches, sent=sent):
             q, x = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+            rows, cand, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
-                y = np.array(batch.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
                 if not len(ids):
                     continue
+                y = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
                 s = np.sqrt((y * y).sum(axis=1))
                 score = np.round(x @ (y / np.where(s == 0, 1, s)[:, None]).T, digits)
-                for i in range(len(q)):
-                    cand, value = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], score[i]])
-                    if len(cand) > 4 * k:
-                        keep = np.flatnonzero(value >= np.partition(value, -k)[-k])
-                        cand, value = cand[keep], value[keep]
-                    order = np.lexsort((cand, -value))[:k]
-                    best[i] = cand[order], value[order]
-            rows = [len(b[0]) for b in best]
-            if sum(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, rows)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["q", "id", "score"])
+                i, j = np.nonzero(score >= np.partition(score, -k, axis=1)[:, [-k]]) if len(ids) > k else np.divmod(np.arange(score.size), len(ids))
+                rows, cand, value = np.concatenate([rows, i]), np.concatenate([cand, ids[j]]), np.concatenate([value, score[i, j]])
+                order = np.lexsort((cand, -value, rows))
+                rows, cand, value = rows[order], cand[order], value[order]
+                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k  # the first k of each query
+                rows, cand, value = rows[keep], cand[keep], value[keep]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(cand), pa.array(value)], names=["q", "id", "score"])
 
         out = out.union(index.select("id", "v").mapInArrow(run, "q long, id long, score double"))
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")

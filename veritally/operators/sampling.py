@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions.text import order_hash
+from veritally.storage import small, written
 
 # Fixed values.
 SEED, FLOOR = 20261001, 5
 
 
-def allocate(sizes: Mapping[str, int], total: int, floor: int) -> dict[str, int]:
-    """Picks per stratum in proportion to its size, at least min(floor, size), at most size, ``total`` in all.
+def allocate(sizes: DataFrame, total: int, floor: Column) -> DataFrame:
+    """(stratum, n) with ``picks`` added: ``total`` in all, in proportion to n, within the bounds min(floor, n) and n.
 
-    Starts from the bounded whole parts, then moves one pick at a time: up where the ideal is farthest above, down where it is farthest below. Strata are few (a dimension table), so this runs on the driver.
+    A stratum's share is total * n / (all n), its whole part moved into the bounds. What is then missing from ``total`` (or too much) is a number of units, each one pick more (or less) of
+    some stratum; a stratum's j-th unit is worth its share less the picks before it (or the other way round), and the units of highest worth are the ones that are made,
+    by name among equals (or from the last name). Strata are a dimension table, and one window ranks the units.
+    """
+    least = F.least(floor, F.col("n"))
+    low, everything = sizes.agg(F.sum(least), F.sum("n")).first()
+    if not (low or 0) <= total <= (everything or 0):
+        raise ValueError(f"{total} can't be picked from {everything or 0} with at least {low or 0}")
+    based = sizes.withColumn("_share", total * F.col("n") / F.lit(float(everything or 1)))
+    based = based.withColumn("_base", F.least("n", F.greatest(least, F.floor("_share"))))
+    gap = total - (based.agg(F.sum("_base")).first()[0] or 0)
+    room = F.least(F.lit(abs(gap)), F.col("n") - F.col("_base") if gap > 0 else F.col("_base") - least)
+    step = 1 if gap > 0 else -1
+    unit = based.withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), room))) if gap else based.withColumn("_j", F.lit(0).cast("long"))
+    unit = unit.where((F.col("_j") >= 1) & (F.col("_j") <= room))
+    worth = (F.col("_share") - F.col("_base") - step * (F.col("_j") - 1)) * step
+    order = Window.orderBy(worth.desc(), F.col("stratum").asc() if gap > 0 else F.col("stratum").desc(), "_j")
+    made = unit.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= abs(gap)).groupBy("stratum").agg(F.count("*").alias("_made"))
+    return based.join(made, "stratum", "left").select("stratum", "n", (F.col("_base") + step * F.coalesce("_made", F.lit(0))).cast("long").alias("picks"))
+
+
+def nested_plan(sizes: DataFrame, plan: list[tuple[str, int]]) -> DataFrame:
+    """(subset, stratum, picks) for each subset (name, size), from large to small; a child is allocated over its parent's picks, so children are prefixes.
+
+    Each stratum of (stratum string, n long) gets `FLOOR` picks where that fits, else as many as all strata can have alike.
     """
-    least = {s: min(floor, n) for s, n in sizes.items()}
-    everything = sum(sizes.values())
-    if not sum(least.values()) <= total <= everything:
-        raise ValueError(f"{total} can't be picked from {everything} with at least {sum(least.values())}")
-    ideal = {s: total * n / everything for s, n in sizes.items()} if everything else {}
-    picks = {s: min(sizes[s], max(least[s], math.floor(ideal[s]))) for s in sizes}
-    names = sorted(sizes)
-    while (gap := total - sum(picks.values())) != 0:
-        if gap > 0:
-            chosen = max((s for s in names if picks[s] < sizes[s]), key=lambda s: ideal[s] - picks[s])
-        else:
-            chosen = max((s for s in reversed(names) if picks[s] > least[s]), key=lambda s: picks[s] - ideal[s])
-        picks[chosen] += 1 if gap > 0 else -1
-    return picks
-
-
-def floor_for(size: int, strata: int) -> int:
-    return min(FLOOR, size // strata) if strata else 0
-
-
-def nested_plan(population: Mapping[str, int], plan: list[tuple[str, int]]) -> dict[str, dict[str, int]]:
-    """Picks of each subset (name, size), from large to small; a child is allocated over its parent's picks, so children are prefixes."""
-    out, sizes = {}, dict(population)
+    strata = sizes.count()
+    out = sizes.sparkSession.createDataFrame([], "subset string, stratum string, picks long")
     for name, size in plan:
-        sizes = out[name] = allocate(sizes, size, floor_for(size, len(population)))
+        sizes = written(allocate(sizes, size, F.lit(min(FLOOR, size // strata) if strata else 0)).select("stratum", F.col("picks").alias("n")), "allocation")
+        out = out.union(sizes.select(F.lit(name), "stratum", "n"))
     return out
 
 
@@ -53,13 +55,11 @@ def shuffled(df: DataFrame, stratum: str, id_: str, seed: int = SEED) -> DataFra
     return df.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def nested_subsets(df: DataFrame, stratum: str, id_: str, picks: Mapping[str, Mapping[str, int]], seed: int = SEED) -> DataFrame:
-    """(subset, stratum, id): each subset is a prefix of every stratum's seeded order."""
-    rows = [(name, s, n) for name, by in picks.items() for s, n in by.items()]
-    wanted = df.sparkSession.createDataFrame(rows, f"subset string, {stratum} string, picks long")
+def nested_subsets(df: DataFrame, stratum: str, id_: str, picks: DataFrame, seed: int = SEED) -> DataFrame:
+    """(subset, stratum, id): each subset of ``picks`` (subset, stratum, picks) is a prefix of every stratum's seeded order."""
     placed = shuffled(df.select(stratum, id_), stratum, id_, seed)
-    most = max((n for _, _, n in rows), default=0)
-    return placed.where(F.col("place") <= most).join(F.broadcast(wanted), stratum).where("place <= picks").select("subset", stratum, id_)
+    most = picks.agg(F.max("picks")).first()[0] or 0
+    return placed.where(F.col("place") <= most).join(small(picks.withColumnRenamed("stratum", stratum)), stratum).where("place <= picks").select("subset", stratum, id_)
 
 
 def sample_per_stratum(df: DataFrame, strata: list[str], id_: str, n: int, seed: int = SEED) -> DataFrame:

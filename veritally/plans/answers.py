@@ -39,37 +39,31 @@ def parsed_calls(spark, d):
     return t.select("id", calls.call_text(F.col("c.intent"), F.col("c.slots")).alias("call"))
 
 
-def _chat_records(spark, d):
-    """Conversations as chat records, with a defect planted by number."""
+def _chat_issues(spark, d):
+    """(conv_id, issues) of every conversation as a chat record."""
     c = table(configure(spark), d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     messages = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    k = F.pmod("conv_id", F.lit(8))
-    j = F.to_json(F.struct(messages.alias("messages")))
-    made = F.when(k == 1, F.regexp_replace(j, r"\}$", ',"tools":[],"note":1}')).when(k == 2, F.lit('{"messages":[]}')).when(k == 3, F.lit("{broken")).when(k == 4, F.lit('["x"]')).when(k == 5, F.lit('{"messages":[{"role":"tool","content":"x"},{"role":"user","content":" "},{"role":"assistant","content":null,"tool_calls":[]},7]}'))
-    made = made.when(k == 6, F.lit('{"messages":[{"role":"user","content":[{"text":"a"}]},{"role":"system","content":"s"},{"role":"assistant","content":"a","weight":1}]}')).when(k == 7, F.lit('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}')).otherwise(j)
-    return c.select("conv_id", "t", k.alias("k"), made.alias("text"))
+    return c.select("conv_id", chat.issues(F.try_parse_json(F.to_json(F.struct(messages.alias("messages"))))).alias("issues"))
 
 
 def chat_validation_issues(spark, d):
-    r = _chat_records(spark, d).where("k > 0").select("conv_id", F.explode(chat.issues(F.try_parse_json("text"))).alias("i"))
+    r = _chat_issues(spark, d).select("conv_id", F.explode("issues").alias("i"))
     return r.select("conv_id", F.col("i.severity").alias("severity"), F.col("i.rule").alias("rule"), F.col("i.at").alias("at"))
 
 
 def chat_turn_issues(spark, d):
-    """The issues that real conversations have: order and number of turns."""
-    r = _chat_records(spark, d).where("k = 0").select("conv_id", F.explode(chat.issues(F.try_parse_json("text"))).alias("i"))
-    return r.select("conv_id", F.col("i.severity").alias("severity"), F.col("i.rule").alias("rule")).distinct()
+    """The kinds of issues of each conversation."""
+    return chat_validation_issues(spark, d).select("conv_id", "severity", "rule").distinct()
 
 
 def chat_report(spark, d):
-    return chat.report(_chat_records(spark, d).where("k > 0").select(chat.issues(F.try_parse_json("text")).alias("issues")))
+    return chat.report(_chat_issues(spark, d))
 
 
-def _prompts(spark, d, whole: bool = False):
-    """Benchmark requests with their two first neighbours by id as shots; unless ``whole``, cut as in the SQL of three of the queries."""
-    cut = lambda c, n: c if whole else F.substring(c, 1, n)
-    b = table(spark, d, "benchmark").select("item_id", cut(F.col("text"), 40).alias("t"))
-    shots = table(spark, d, "benchmark").where("item_id < 2").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: F.struct(cut(s["text"], 20).alias("text"), F.lit("ok").alias("answer"))).alias("shots"))
+def _prompts(spark, d):
+    """Benchmark requests with their two first neighbours by id as shots."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("t"))
+    shots = table(spark, d, "benchmark").where("item_id < 2").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda s: F.struct(s["text"].alias("text"), F.lit("ok").alias("answer"))).alias("shots"))
     return b.crossJoin(F.broadcast(shots)).select("item_id", chat.prompt(F.lit("Answer."), F.col("shots"), F.col("t")).alias("messages"))
 
 
@@ -91,7 +85,7 @@ def prompt_completion(spark, d):
 
 
 def prompt_hashes(spark, d):
-    return _prompts(spark, d, whole=True).select("item_id", provenance.prompt_fingerprint(F.col("messages")).alias("hash"))
+    return _prompts(spark, d).select("item_id", provenance.prompt_fingerprint(F.col("messages")).alias("hash"))
 
 
 def usage_normalised(spark, d):
@@ -187,7 +181,7 @@ def lock_status(spark, d):
 
 
 def new_locks(spark, d):
-    return provenance.new_locks(_history(spark, d).where("pos >= 12"), _history(spark, d).where("pos < 12")).select("pos", "system")
+    return provenance.new_locks(_history(spark, d).where("pos >= 5"), _history(spark, d).where("pos < 7")).select("pos", "system")
 
 
 def merged_probes(spark, d):
@@ -220,7 +214,7 @@ def comparison_report(spark, d):
 
 
 def run_warnings(spark, d):
-    c = table(spark, d, "supplier").where("s_suppkey <= 100")
+    c = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     runs = c.select(F.col("s_name").alias("system"), (k % 3).alias("n"), F.lit(2).alias("n_subset"), (k % 2 == 0).alias("locked"), (k % 5).alias("n_estimated"), F.lit(1.0).alias("price_then"), F.when(k % 7 == 0, 2.0).otherwise(1.0).alias("price_now"))
     return provenance.run_warnings(runs)
@@ -265,30 +259,38 @@ QUERIES = {
 }
 
 _S = f"WITH {SLOTS_SQL}"
-_TURNS = "t AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations WHERE conv_id % 8 = 0 GROUP BY conv_id), e AS (SELECT conv_id FROM conversations WHERE conv_id % 8 = 0 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' GROUP BY conv_id)"
-_PLANTED = """p(k, severity, rule, pos) AS (VALUES (2, 'error', 'messages missing', -1), (3, 'error', 'invalid JSON', -1), (4, 'error', 'record is not an object', -1),
-(5, 'unsupported', 'tool role', 0), (5, 'error', 'empty content', 1), (5, 'unsupported', 'tool call', 2), (5, 'error', 'message is not an object', 3),
-(6, 'unsupported', 'content parts', 0), (6, 'error', 'system is not first', -1), (6, 'unsupported', 'weight', 2), (1, 'unsupported', 'tools', -1), (1, 'warning', 'extra keys', -1)),
-c AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, unnest(r) AS role, unnest(range(len(r))) AS i FROM c WHERE conv_id % 8 = 1),
-i AS (SELECT conv_id, severity, rule, pos FROM c JOIN p ON conv_id % 8 = k
- UNION ALL SELECT conv_id, 'error', 'last is not the assistant', -1 FROM c WHERE conv_id % 8 = 1 AND r[-1] <> 'assistant'
- UNION ALL SELECT conv_id, 'error', 'system is not first', -1 FROM c WHERE conv_id % 8 = 1 AND list_contains(r[2:], 'system')
- UNION ALL SELECT conv_id, 'unsupported', 'several turns', -1 FROM c WHERE conv_id % 8 = 1 AND (len(list_filter(r, lambda x: x = 'user')) > 1 OR len(list_filter(r, lambda x: x = 'assistant')) > 1)
- UNION ALL SELECT conv_id, 'error', 'no user message', -1 FROM c WHERE conv_id % 8 = 1 AND len(list_filter(r, lambda x: x = 'user')) = 0 AND len(list_filter(r, lambda x: x = 'assistant')) <= 1
- UNION ALL SELECT conv_id, CASE WHEN role IN ('tool', 'function') THEN 'unsupported' ELSE 'error' END, CASE WHEN role IN ('tool', 'function') THEN 'tool role' ELSE 'invalid role' END, i FROM m WHERE role NOT IN ('system', 'user', 'assistant')
- UNION ALL SELECT x.conv_id, 'error', 'empty content', x.n FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) x WHERE x.conv_id % 8 = 1 AND trim(regexp_replace(x.text, '\\s+', ' ', 'g')) = '')"""
-_SHOT = "(SELECT string_agg('user:' || substring(text, 1, 20) || '|assistant:ok', '|' ORDER BY item_id DESC) FROM benchmark WHERE item_id < 2)"
-_PROMPT = f"'system:Answer.|' || {_SHOT} || '|user:' || substring(text, 1, 40)"
+_ISSUES = """c AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
+m AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+i(conv_id, severity, rule, pos) AS (SELECT conv_id, 'error', 'last is not the assistant', -1 FROM c WHERE r[-1] <> 'assistant'
+ UNION ALL SELECT conv_id, 'error', 'system is not first', -1 FROM c WHERE list_contains(r[2:], 'system')
+ UNION ALL SELECT conv_id, 'unsupported', 'several turns', -1 FROM c WHERE len(list_filter(r, lambda x: x = 'user')) > 1 OR len(list_filter(r, lambda x: x = 'assistant')) > 1
+ UNION ALL SELECT conv_id, 'error', 'no user message', -1 FROM c WHERE len(list_filter(r, lambda x: x = 'user')) = 0 AND len(list_filter(r, lambda x: x = 'assistant')) <= 1
+ UNION ALL SELECT conv_id, CASE WHEN role IN ('tool', 'function') THEN 'unsupported' ELSE 'error' END, CASE WHEN role IN ('tool', 'function') THEN 'tool role' ELSE 'invalid role' END, n FROM m WHERE role NOT IN ('system', 'user', 'assistant')
+ UNION ALL SELECT conv_id, 'error', 'empty content', n FROM m WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) = '')"""
+_SHOT = "(SELECT string_agg('user:' || text || '|assistant:ok', '|' ORDER BY item_id DESC) FROM benchmark WHERE item_id < 2)"
+_PROMPT = f"'system:Answer.|' || {_SHOT} || '|user:' || text"
+#: Pairs of missing and extra slots by type, then by value, by their places; then what is left.
+_DIFFERENCES = """g AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, type, value) AS k FROM gold),
+p AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, type, value) AS k FROM pred WHERE system = 'A'),
+m1 AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, type ORDER BY value) AS r FROM g ANTI JOIN p USING (id, type, value, k)),
+e1 AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, type ORDER BY value) AS r FROM p ANTI JOIN g USING (id, type, value, k)),
+m2 AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, value ORDER BY type) AS r FROM m1 ANTI JOIN e1 USING (id, type, r)),
+e2 AS (SELECT id, type, value, row_number() OVER (PARTITION BY id, value ORDER BY type) AS r FROM e1 ANTI JOIN m1 USING (id, type, r)),
+s AS (SELECT id, 1 AS step, type, m1.value, r, type || ' ''' || e1.value || ''' (gold ''' || m1.value || ''')' AS line FROM m1 JOIN e1 USING (id, type, r)
+ UNION ALL SELECT id, 2, m2.type, value, r, '''' || value || ''' as ' || e2.type || ' (gold ' || m2.type || ')' FROM m2 JOIN e2 USING (id, value, r)
+ UNION ALL SELECT id, 3, type, value, r, 'missing ' || type || '=' || value FROM m2 ANTI JOIN e2 USING (id, value, r)
+ UNION ALL SELECT id, 4, type, value, r, 'extra ' || type || '=' || value FROM e2 ANTI JOIN m2 USING (id, value, r)),
+notes AS (SELECT id, string_agg(line, '; ' ORDER BY step, type, value, r) AS notes FROM s GROUP BY id)"""
 ORACLE_SQL = {
     "json_call_validity": "SELECT o_orderkey AS id, CAST(o_orderkey % 12 AS BIGINT) AS k, o_orderkey % 12 IN (0, 1, 5, 6, 7, 9, 10) AS is_object, o_orderkey % 12 IN (0, 1, 9) AS valid FROM orders",
     "json_known_labels": "SELECT o_orderkey AS id, o_orderkey % 12 IN (0, 1, 9) AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS valid FROM orders",
     "parsed_calls": f"{_S} SELECT o_orderkey AS id, o_orderpriority || coalesce(' | ' || string_agg(type || '=' || value, '; ' ORDER BY line, type, value), '') AS call FROM orders LEFT JOIN gold ON gold.id = o_orderkey WHERE o_orderkey % 12 IN (0, 1, 9) GROUP BY o_orderkey, o_orderpriority",
-    "chat_validation_issues": f"WITH {_PLANTED} SELECT conv_id, severity, rule, CAST(pos AS INTEGER) AS \"at\" FROM i",
-    "chat_turn_issues": f"WITH {_TURNS} SELECT conv_id, 'error' AS severity, 'last is not the assistant' AS rule FROM t WHERE r[-1] <> 'assistant' UNION SELECT conv_id, 'error', 'system is not first' FROM t WHERE list_contains(r[2:], 'system') UNION SELECT conv_id, 'unsupported', 'several turns' FROM t WHERE len(list_filter(r, lambda x: x = 'user')) > 1 OR len(list_filter(r, lambda x: x = 'assistant')) > 1 UNION SELECT conv_id, 'error', 'no user message' FROM t WHERE len(list_filter(r, lambda x: x = 'user')) = 0 AND len(list_filter(r, lambda x: x = 'assistant')) <= 1 UNION SELECT conv_id, 'error', 'empty content' FROM e UNION SELECT conv_id, CASE WHEN role IN ('tool', 'function') THEN 'unsupported' ELSE 'error' END, CASE WHEN role IN ('tool', 'function') THEN 'tool role' ELSE 'invalid role' END FROM conversations WHERE conv_id % 8 = 0 AND role NOT IN ('system', 'user', 'assistant')",
-    "chat_report": f"WITH {_PLANTED} SELECT (SELECT count(*) FROM c WHERE conv_id % 8 > 0) AS records, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'unsupported') AS unsupported, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity <> 'warning') = 0 AS ok FROM i",
+    "chat_validation_issues": f'WITH {_ISSUES} SELECT conv_id, severity, rule, CAST(pos AS INTEGER) AS "at" FROM i',
+    "chat_turn_issues": f"WITH {_ISSUES} SELECT DISTINCT conv_id, severity, rule FROM i",
+    "chat_report": f"WITH {_ISSUES} SELECT (SELECT count(*) FROM c) AS records, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'unsupported') AS unsupported, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity <> 'warning') = 0 AS ok FROM i",
     "render_prompts": f"SELECT item_id, {_PROMPT} AS prompt FROM benchmark",
     "sft_records": f"SELECT item_id, {_PROMPT} || '|assistant:ok' AS record FROM benchmark",
-    "prompt_completion": "SELECT item_id, 5::BIGINT AS n_prompt, 'user:' || substring(text, 1, 40) AS completion FROM benchmark",
+    "prompt_completion": "SELECT item_id, 5::BIGINT AS n_prompt, 'user:' || text AS completion FROM benchmark",
     "usage_normalised": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 100 ELSE event_id % 50 END AS prompt_tokens, CAST(CASE event_id % 4 WHEN 0 THEN 7 WHEN 2 THEN 9 ELSE 20 END AS BIGINT) AS completion_tokens, CAST(CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS BIGINT) AS cached_tokens, CAST(CASE event_id % 4 WHEN 2 THEN 5 END AS BIGINT) AS reasoning_tokens, event_id % 4 IN (0, 2) AS reported, event_id % 4 IN (1, 3) AS estimated FROM events",
     "content_texts": "SELECT * FROM (VALUES (1, 'plain'), (2, 'ab'), (3, NULL), (4, NULL)) t(i, text)",
     "duration_parse": "SELECT * FROM (VALUES (0, 90.5::DOUBLE), (1, 0.25), (2, 2), (3, 0), (4, 0), (5, 60), (6, 3600), (7, 93600), (8, NULL), (9, NULL), (10, NULL), (11, NULL), (12, NULL)) t(i, seconds)",
@@ -298,15 +300,16 @@ ORACLE_SQL = {
     "degenerate_texts": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR (length(text) >= 8 AND len(list_distinct(string_split(text, ''))) <= 2) OR length(regexp_replace(text, '[^�]', '', 'g')) > length(text) // 4 AS degenerate FROM documents",
     "quality_gate_reasons": f"WITH {LOG_SQL}, s AS (SELECT concurrency, count(*) AS n, round(avg(CASE WHEN pos % 10 = 0 THEN 1 ELSE 0 END), 9) AS degenerate, round(avg(CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END), 9) AS truncated, round(avg(CASE WHEN failed THEN 1 ELSE 0 END), 9) AS failed, round(avg(CASE WHEN NOT failed AND pos % 2 = 0 THEN 1 ELSE 0 END), 9) AS valid FROM log GROUP BY concurrency) SELECT *, concat_ws('; ', CASE WHEN degenerate > 0.05 THEN 'degenerate texts' END, CASE WHEN truncated > 0.2 THEN 'truncated texts' END, CASE WHEN failed > 0.05 THEN 'failed calls' END, CASE WHEN valid < 0.5 THEN 'few valid answers' END) AS reasons FROM s",
     "error_strata_sample": f"{_S}, w AS (SELECT system, id, CASE WHEN valid = 0 THEN 'invalid' WHEN intent_ok = 0 THEN 'intent' ELSE 'slots' END AS kind FROM scored WHERE em = 0) SELECT system, kind, id FROM w QUALIFY row_number() OVER (PARTITION BY system, kind ORDER BY md5('{sampling.SEED}:' || system || ':' || kind || ':' || id), id) <= 10",
+    "slot_differences": f"{_S}, {_DIFFERENCES} SELECT id, CASE WHEN NOT ok THEN 'no valid answer' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN pred_intent <> intent THEN 'intent ' || pred_intent || ' (gold ' || intent || ')' END, notes), ''), 'none') END AS difference FROM item LEFT JOIN notes USING (id) WHERE system = 'A'",
     "error_category_counts": "SELECT CASE WHEN event_id % 6 = 0 OR event_id % 7 = 0 THEN '(blank)' ELSE event_type END AS category, count(*) AS n FROM events GROUP BY 1",
     "config_fingerprint": """WITH c AS (SELECT * FROM (VALUES ('model', sha256('"m1"')), ('params', sha256('{"temperature":0}')), ('prompt', sha256('{"k":10,"text":"Answer."}'))) t(component, hash)) SELECT * FROM c UNION ALL SELECT 'config', sha256('{' || string_agg('"' || component || '":"' || hash || '"', ',' ORDER BY component) || '}') FROM c""",
     "lock_status": "WITH h AS (SELECT n_nationkey AS pos, 's' || n_nationkey % 4 AS system, 'm' || n_nationkey % 3 AS m, 'p' || n_nationkey % 2 AS p FROM nation), w AS (SELECT * FROM h WHERE pos >= 18), l AS (SELECT * FROM h WHERE pos < 20 QUALIFY row_number() OVER (PARTITION BY system ORDER BY pos DESC) = 1) SELECT w.system, 'S500' AS subset, EXISTS (SELECT 1 FROM h WHERE h.pos < 20 AND h.system = w.system AND h.m = w.m AND h.p = w.p) AS locked, concat_ws(',', CASE WHEN w.m <> l.m THEN 'model' END, CASE WHEN w.p <> l.p THEN 'prompt' END) AS changed FROM w LEFT JOIN l USING (system)",
-    "new_locks": "WITH h AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, 's' || n_nationkey % 4 AS system, n_nationkey % 3 AS m, n_nationkey % 2 AS p FROM nation) SELECT pos, system FROM h w WHERE pos >= 12 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pos < 12 AND h.system = w.system AND h.m = w.m AND h.p = w.p)",
+    "new_locks": "WITH h AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, 's' || n_nationkey % 4 AS system, n_nationkey % 3 AS m, n_nationkey % 2 AS p FROM nation) SELECT pos, system FROM h w WHERE pos >= 5 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pos < 7 AND h.system = w.system AND h.m = w.m AND h.p = w.p)",
     "merged_probes": "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'new' ELSE 'old' END AS state, n_name FROM nation",
     "probe_plan": "SELECT c_mktsegment AS endpoint, c_nationkey % 3 AS model, min(c_custkey) AS pos, arg_min(c_name, c_custkey) AS system FROM customer GROUP BY 1, 2",
     "model_catalogue": "SELECT * FROM (VALUES (1, 'a', 'gold'), (1, 'b', 'basic'), (2, 'c', NULL)) t(i, id, tier)",
     "paired_items": f"{_S} SELECT 'B' AS system, count(*) AS n, count(*) FILTER (b.em = 1 AND a.em = 0) AS only_system, count(*) FILTER (b.em = 0 AND a.em = 1) AS only_reference FROM scored a JOIN scored b USING (id) WHERE a.system = 'A' AND b.system = 'B'",
     "comparison_report": f"{_S}, s AS (SELECT system, count(*) AS n, avg(em) AS e, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f FROM scored GROUP BY system) SELECT system, n, round(e, 9) AS exact_match, round(f, 9) AS slot_f1, round((e - (SELECT e FROM s WHERE system = 'A')) * 100, 6) AS points, printf('%.1f', round(e * 100, 1)) || ' %' AS cell FROM s",
-    "run_warnings": "WITH r AS (SELECT s_name AS system, s_suppkey AS k FROM supplier WHERE s_suppkey <= 100) SELECT system, 'partial: ' || k % 3 || ' of 2' AS warning FROM r WHERE k % 3 < 2 UNION ALL SELECT system, 'not locked' FROM r WHERE k % 2 <> 0 UNION ALL SELECT system, 'estimated tokens' FROM r WHERE k % 5 > 0 UNION ALL SELECT system, 'price changed' FROM r WHERE k % 7 = 0",
+    "run_warnings": "WITH r AS (SELECT s_name AS system, s_suppkey AS k FROM supplier) SELECT system, 'partial: ' || k % 3 || ' of 2' AS warning FROM r WHERE k % 3 < 2 UNION ALL SELECT system, 'not locked' FROM r WHERE k % 2 <> 0 UNION ALL SELECT system, 'estimated tokens' FROM r WHERE k % 5 > 0 UNION ALL SELECT system, 'price changed' FROM r WHERE k % 7 = 0",
     "stream_run_log": f"WITH {LOG_SQL} SELECT key, count(DISTINCT at_us // 86400000000) AS days, count(*) AS n, count(*) FILTER (failed) AS failed FROM log GROUP BY key",
 }

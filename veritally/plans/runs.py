@@ -17,7 +17,7 @@ def latest_rows(spark, d):
 
 
 def pending_items(spark, d):
-    items = table(spark, d, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("key"))
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     return runlog.pending(items, run_log(spark, d), "key")
 
 
@@ -148,7 +148,7 @@ _BUD = "SELECT key, pos, count(*) OVER w AS requests, CAST(sum(tokens) OVER w AS
 _RENT = "(VALUES ('on_demand', 0.5::DOUBLE), ('spot', 0.25)) b(basis, usd_per_hour)"
 ORACLE_SQL = {
     "latest_rows": f"{_L} SELECT key, pos, latency_s, model, failed, retriable FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1",
-    "pending_items": f"{_L}, l AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1) SELECT c_custkey AS key FROM customer WHERE c_custkey < 1000 AND c_custkey NOT IN (SELECT key FROM l WHERE NOT failed OR NOT retriable)",
+    "pending_items": f"{_L}, l AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) = 1) SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT key FROM l WHERE NOT failed OR NOT retriable)",
     "stale_rows": f"{_L}, h AS (SELECT CASE WHEN pos % 5 > 0 THEN substring(md5(CAST(pos % 2 AS VARCHAR)), 1, 8) END AS config_hash FROM log) SELECT config_hash, count(*) AS n FROM h WHERE config_hash <> 'cfcd2084' GROUP BY ALL",
     "model_segments": f"{_SEG} SELECT * FROM g",
     "models_returned": f"{_SEG}, f AS (SELECT key, model, min(first_row) AS seen FROM g GROUP BY ALL) SELECT key, string_agg(model, ',' ORDER BY seen) AS returned, count(*) > 1 AS changed FROM f GROUP BY key",

@@ -8,7 +8,7 @@ from veritally.functions.stats import disagreement, verdict
 from veritally.operators import resample, retrieval, sampling
 from veritally.plans.bindings import CORPUS_SQL, corpus, table
 
-RESAMPLES = 200
+RESAMPLES = resample.RESAMPLES
 PLAN = [("D100", 100), ("D50", 50)]
 
 
@@ -47,12 +47,12 @@ def numpy_bootstrap(spark, d):
 
 
 def _picks(spark, d):
-    sizes = {r["lang"]: r["count"] for r in table(spark, d, "documents").groupBy("lang").count().collect()}
+    sizes = table(spark, d, "documents").groupBy(F.col("lang").alias("stratum")).agg(F.count("*").alias("n"))
     return sampling.nested_plan(sizes, PLAN)
 
 
 def allocate_subsets(spark, d):
-    return spark.createDataFrame([(n, s, k) for n, by in _picks(spark, d).items() for s, k in by.items()], "subset string, lang string, picks long")
+    return _picks(spark, d).withColumnRenamed("stratum", "lang")
 
 
 def nested_subset_prefix(spark, d):
@@ -65,14 +65,14 @@ def subset_hash(spark, d):
 
 
 def cycled_prompts(spark, d):
-    items = table(spark, d, "benchmark").where("item_id < 30").select("item_id")
+    items = table(spark, d, "benchmark").select("item_id")
     return sampling.cycle(items, F.md5(F.concat(F.lit("7:"), F.col("item_id").cast("string"))), 100)
 
 
 def topk_cosine(spark, d):
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    index = retrieval.guarded_index(e.where("vec_id % 5 <> 0"), F.when(F.col("vec_id") % 5 != 0, "train")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    index = retrieval.guarded_index(e, F.lit("train"), "vec_id").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return retrieval.topk(queries, index, 10, digits=6).select("q", "id", "score", "rank")
 
 
@@ -116,8 +116,8 @@ ORACLE_SQL = {
     "allocate_subsets": f"{_ALLOC} SELECT * FROM p",
     "nested_subset_prefix": f"{_ALLOC}, o AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('{sampling.SEED}:' || lang || ':' || doc_id), doc_id) AS place FROM documents) SELECT subset, lang, doc_id FROM o JOIN p USING (lang) WHERE place <= picks",
     "subset_hash": f"WITH {CORPUS_SQL} SELECT split, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS hash FROM corpus WHERE split <> 'train' GROUP BY split",
-    "cycled_prompts": "WITH o AS (SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id)) - 1 AS p, count(*) OVER () AS n FROM benchmark WHERE item_id < 30) SELECT r.i AS request, item_id FROM range(100) r(i) JOIN o ON r.i % o.n = o.p",
-    "topk_cosine": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+    "cycled_prompts": "WITH o AS (SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id)) - 1 AS p, count(*) OVER () AS n FROM benchmark) SELECT r.i AS request, item_id FROM range(100) r(i) JOIN o ON r.i % o.n = o.p",
+    "topk_cosine": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "bag_embeddings": "WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS w FROM benchmark), c AS (SELECT item_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS cell, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS x FROM c",
     "vector_cache_key": "SELECT sha256('test' || chr(10) || string_agg(CAST(item_id AS VARCHAR) || chr(9) || md5(text), chr(10) ORDER BY CAST(item_id AS VARCHAR) || chr(9) || md5(text))) AS key FROM benchmark",
 }
