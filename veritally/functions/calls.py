@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# An enclosing code fence; the type of a call.
 _FENCE = r"(?s)^```[A-Za-z0-9_-]*\s*\n?(.*?)\n?```$"
 CALL = "struct<intent:string,slots:array<struct<type:string,value:string>>>"
 
@@ -38,6 +39,11 @@ def parse_object(text: Column) -> Column:
 
 def is_valid_call(text: Column, intents: Column | None = None, types: Column | None = None) -> Column:
     """True if the text is an object with exactly a string ``intent`` and a list ``slots`` of objects with exactly strings ``type`` and ``value``, all labels known."""
+    return is_valid_object(parse_object(text), intents, types)
+
+
+def is_valid_object(parsed: Column, intents: Column | None = None, types: Column | None = None) -> Column:
+    """The same of a variant that `parse_object` gave."""
 
     def holds(v: Column) -> Column:
         kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
@@ -51,7 +57,7 @@ def is_valid_call(text: Column, intents: Column | None = None, types: Column | N
             ok = ok & F.forall(slots, lambda s: F.array_contains(types, F.try_variant_get(s, "$.type", "string")))
         return F.coalesce(ok, F.lit(False))
 
-    return _once(parse_object(text), holds)
+    return _once(parsed, holds)
 
 
 def call_of(text: Column) -> Column:

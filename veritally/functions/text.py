@@ -24,11 +24,19 @@ def parse_markup(annotated: Column) -> Column:
 
     Blank values are dropped from the slots and counted, though their text stays; a bracket left over makes the row malformed.
     """
-    pairs = F.arrays_zip(F.regexp_extract_all(annotated, F.lit(MARKUP), F.lit(1)).alias("type"), F.regexp_extract_all(annotated, F.lit(MARKUP), F.lit(2)).alias("value"))
-    pairs = F.transform(pairs, lambda p: F.struct(F.trim(p["type"]).alias("type"), F.trim(p["value"]).alias("value")))
-    kept = F.filter(pairs, lambda p: p["value"] != "")
-    plain = F.regexp_replace(annotated, MARKUP, "$2")
-    return F.struct(plain.alias("text"), kept.alias("slots"), (F.size(pairs) - F.size(kept)).cast("long").alias("empty_dropped"), plain.rlike(r"[\[\]]").alias("malformed"))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731 bound to a variable, so computed once
+
+    def pair(span: Column) -> Column:
+        cut = F.locate(" : ", span, 3)  # the label has a character at least
+        return F.struct(F.trim(F.substring(span, F.lit(2), cut - 2)).alias("type"), F.trim(F.substring(span, cut + 3, F.length(span) - cut - 3)).alias("value"))
+
+    def parsed(p: Column) -> Column:
+        kept = F.filter(p["pairs"], lambda x: x["value"] != "")
+        open_ = F.contains(p["text"], F.lit("[")) | F.contains(p["text"], F.lit("]"))
+        return F.struct(p["text"].alias("text"), kept.alias("slots"), (F.size(p["pairs"]) - F.size(kept)).cast("long").alias("empty_dropped"), open_.alias("malformed"))
+
+    pairs = F.transform(F.regexp_extract_all(annotated, F.lit(MARKUP), F.lit(0)), pair)
+    return once(F.struct(F.regexp_replace(annotated, MARKUP, "$2").alias("text"), pairs.alias("pairs")), parsed)
 
 
 def id_key(x: Column) -> tuple[Column, Column]:

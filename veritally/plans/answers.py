@@ -26,7 +26,8 @@ def _texts(spark, d):
 
 
 def json_call_validity(spark, d):
-    return _texts(spark, d).select("id", F.col("k").cast("long").alias("k"), calls.parse_object(F.col("text")).isNotNull().alias("is_object"), calls.is_valid_call(F.col("text")).alias("valid"))
+    parsed = _texts(spark, d).select("id", F.col("k").cast("long").alias("k"), calls.parse_object(F.col("text")).alias("v"))
+    return parsed.select("id", "k", F.col("v").isNotNull().alias("is_object"), calls.is_valid_object(F.col("v")).alias("valid"))
 
 
 def json_known_labels(spark, d):

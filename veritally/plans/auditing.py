@@ -115,17 +115,17 @@ def leakage_guard(spark, d):
 
 
 def benchmark_contamination(spark, d, words: int = 8):
-    """Documents that hold a benchmark text verbatim: an equi-join on words inside the text finds candidates, a substring test decides.
+    """Documents that hold a benchmark text verbatim: an equi-join on the hash of words inside the text finds candidates, a substring test decides.
 
     A text's first and last word may be glued to others in a document, those between them can't. A text with too few of those is held against every document.
     """
     split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda w, i: F.array_join(F.slice(w, i, words), " ")
+    gram = lambda w, i: F.xxhash64(F.slice(w, i, words))
     items = table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("_w"))
     long = items.where(F.size("_w") >= words + 2).select("item_id", "item", gram(F.col("_w"), 2).alias("g"))
     texts = table(spark, d, "documents").select("doc_id", "text")
     docs = texts.withColumn("_w", split(F.col("text"))).where(F.size("_w") >= words)
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: gram(F.col("_w"), i)))).alias("g"))
+    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: gram(F.col("_w"), i))).alias("g"))
     from veritally.storage import small, written
 
     pairs = written(grams.join(small(long.select("g", "item_id")), "g").select("doc_id", "item_id").distinct(), "contained")
