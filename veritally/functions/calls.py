@@ -82,6 +82,12 @@ def response_schema(intents: list[str], types: list[str]) -> dict:
     return {"type": "object", "properties": {"intent": {"type": "string", "enum": intents}, "slots": {"type": "array", "items": slot}}, "required": ["intent", "slots"], "additionalProperties": False}
 
 
+def response_format(intents: list[str], types: list[str], name: str = "call") -> dict:
+    """What a request asks for so that the answer keeps to `response_schema`."""
+    # The form of a strict format.
+    return {"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": response_schema(intents, types)}}
+
+
 def message_text(content: Column) -> Column:
     """Of a content variant: the string, or the texts of a list of parts joined; null for anything else."""
     parts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))

@@ -91,3 +91,14 @@ def format_p(p: Column) -> Column:
 def format_usd(x: Column) -> Column:
     """More digits for smaller amounts."""
     return F.concat(F.lit("$"), F.when(F.abs(x) >= 100, F.format_number(x, 0)).when(F.abs(x) >= 1, F.format_number(x, 2)).otherwise(F.format_number(x, 4)))
+
+
+def format_points(half: Column) -> Column:
+    """Half the width of an interval in percentage points."""
+    return F.format_string("%.1f pp", half * 100)
+
+
+def iso_time(epoch: Column) -> Column:
+    """Seconds as a date and time in UTC; ``unknown`` for null. The session's time zone doesn't matter."""
+    shown = F.date_format(F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=epoch.cast("decimal(18,6)")), "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(F.concat(shown, F.lit(" UTC")), F.lit("unknown"))

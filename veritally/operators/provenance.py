@@ -84,6 +84,12 @@ def half_width(low: Column, high: Column) -> Column:
     return (high - low) / 2
 
 
+def with_widest(intervals: DataFrame, low: Column, high: Column) -> DataFrame:
+    """``intervals`` (a report's pairs, few) with ``half``, the half-width of each, and ``widest``, the largest."""
+    each = intervals.withColumn("half", half_width(low, high))
+    return each.crossJoin(F.broadcast(each.agg(F.max("half").alias("widest"))))
+
+
 def checked_subset(subset: DataFrame, examples: DataFrame, expected_hash: str) -> DataFrame:
     """The subset's ids, if their hash is the expected one and all are in the split; otherwise an error."""
     from veritally.operators.sampling import id_set_hash

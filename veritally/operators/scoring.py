@@ -42,3 +42,9 @@ def summary_columns() -> list[Column]:
 
 def summarize(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(*summary_columns())
+
+
+def best_epoch(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the row (epoch, correct) with most correct answers, the earlier epoch among equals; rows without an epoch don't count."""
+    best = scores.where("epoch IS NOT NULL").groupBy(*by).agg(F.max_by(F.struct("epoch", "correct"), F.struct("correct", -F.col("epoch"))).alias("_b"))
+    return best.select(*by, "_b.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("scoring", "auditing", "runs", "statistics", "answers")
+TOPICS = ("scoring", "auditing", "runs", "statistics", "answers", "sources")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritally.operators.ranks import with_rank
+from veritally.storage import written
+
 RAW = "id string, locale string, partition string, scenario string, intent string, utt string, annot_utt string, worker_id string"
 EXAMPLE = "id string, split string, scenario string, intent string, text string, slots array<struct<type:string,value:string>>"
 CHAT = "messages array<struct<role:string,content:string>>"
@@ -65,16 +68,34 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chat(records: DataFrame, path: str) -> None:
-    """One line per record with its messages; the ids go beside them, in the same order, under ``ids``."""
-    ordered = records.select(F.to_json(F.struct("messages")).alias("value"), "id")
-    ordered.select("value").write.text(f"{path}/records")
-    ordered.select(F.col("id").cast("string").alias("value")).write.text(f"{path}/ids")
+    """One line per record with its messages; the ids go beside them under ``ids``, file by file and line by line, each with its record's digest."""
+    line = F.to_json(F.struct("messages"))
+    laid = written(records.select(line.alias("record"), F.col("id").cast("string").alias("id")), "chat")
+    laid.select("record").write.text(f"{path}/records")
+    laid.select(F.to_json(F.struct("id", F.sha2("record", 256).alias("sha256")))).write.text(f"{path}/ids")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 1 within a file, blank ones too, however the files are split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_in"))
+    return with_rank(lines, [F.col("_start"), F.col("_in")], ["file"], "line").select("file", "line", "value")
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """(line, record): non-blank lines with their variant, null for bad JSON."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("line"), F.try_parse_json("value").alias("record"))
+    """(file, line, record): non-blank lines with their variant, null for bad JSON."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    return lines.select("file", "line", F.try_parse_json("value").alias("record"))
+
+
+def read_chat_with_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id, record) of what `write_chat` wrote; a record without its id, or an id of another record, is an error."""
+    digest = lambda c: F.sha2(c, 256)
+    places = lambda df: df.select(F.regexp_extract("file", r"part-(\d+)", 1).alias("part"), "line", *df.columns[2:])
+    records = places(numbered_lines(spark, f"{path}/records"))
+    ids = places(numbered_lines(spark, f"{path}/ids")).withColumnRenamed("value", "beside")
+    both = records.join(ids, ["part", "line"], "full_outer").withColumn("i", F.from_json("beside", "id string, sha256 string"))
+    tied = F.assert_true(F.coalesce(digest(F.col("value")) == F.col("i.sha256"), F.lit(False)), "records and ids differ")
+    return both.where(tied.isNull()).select("i.id", F.try_parse_json("value").alias("record"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +136,7 @@ def tables_equal(a: DataFrame, b: DataFrame) -> bool:
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(line, messages): of a ``.txt`` each line is a user message; of a ``.jsonl`` each has ``messages`` or ``text``. A bad line is an error that names it."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() + 1).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     one = lambda c: F.array(F.struct(F.lit("user").alias("role"), c.alias("content")))
     if not path.endswith(".jsonl"):
         return lines.select("line", one(F.trim("value")).alias("messages"))
