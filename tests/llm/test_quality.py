@@ -1,7 +1,14 @@
+import math
 import random
+import re
+import struct
+from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
+from veritally.llm import quality as Q
 from veritally.llm.quality import keep_good, kth_largest, quality_filter
 
 
@@ -52,3 +59,67 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     for k in (1, 2, 30, 41, 42, 300, len(x) - 1):
         assert kth_largest(df, "x", k) == np.sort(x)[-k]
+
+
+def gram_cells(text):
+    """Cells of a text's 4-grams of character shapes and of its words, gram by gram."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    if not words:
+        return []
+    shape = lambda b: ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("a") if 97 <= b <= 122 or b >= 128 else b
+    padded = [32, *map(shape, raw), 32, 32]
+    out = []
+    for i in range(len(padded) - 3):
+        h = padded[i]
+        for j in (1, 2, 3):
+            h = (h * 0x01000193 + padded[i + j]) & 0xFFFFFFFF
+        out.append(((h ^ (h >> 15)) * 0x9E3779B1 & 0xFFFFFFFF) >> 18)
+    low = [w.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))) for w in words]
+    return out + [Q.BUCKETS + (i > 0 and low[i] == low[i - 1]) for i in range(len(low))]
+
+
+def noise(doc_id, seed):
+    """Gumbel noise of a document, from the hash's definition."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+    h -= (h >> 63) << 64
+    return -math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52)))
+
+
+def test_models_weights_and_sample_against_a_plain_second_version(spark, docs):
+    rng = random.Random(4)
+    rows, labels = data()
+    rows = rows[:300] + [(5000, None, "s"), (5001, " \t", "s"), (5002, "Same same SAME é ü 12 3", None), (5003, "x" * 3000, "s")]
+    labels = [(i, q if rng.random() < 0.9 else 1 - q) for i, q in labels if i < 300]
+    cells = {i: gram_cells(t) for i, t, _ in rows}
+    good = {i for i, q in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for i, c in cells.items():
+        raw.update(c)
+        if i in good:
+            target.update(c)
+    ratio = {}
+    for part in (range(Q.BUCKETS), range(Q.BUCKETS, Q.BUCKETS + 2)):
+        n, m = sum(raw[c] for c in part), sum(target[c] for c in part)
+        prior = max(1.0, Q.PRIOR * m)
+        for c in part:
+            p = (raw[c] + 0.01) / (n + 0.01 * len(part))
+            ratio[c] = math.log((target[c] + prior * p) / (m + prior) / p)
+    weight = {i: sum(ratio[x] for x in c) if c else None for i, c in cells.items()}
+    # the cutoff: of all places between two labelled weights, the first with the best balanced accuracy
+    marked = sorted((weight[i], q) for i, q in labels if weight[i] is not None)
+    n_good, n_bad = sum(q for _, q in marked), sum(1 - q for _, q in marked)
+    best, cut = -9.0, None
+    for k in range(len(marked)):
+        balanced = sum(1 - q for _, q in marked[: k + 1]) / n_bad - sum(q for _, q in marked[: k + 1]) / n_good
+        if balanced > best + 1e-12:
+            best, cut = balanced, (marked[k][0] + marked[k + 1][0]) / 2 if k + 1 < len(marked) else marked[k][0]
+    k = sum(w is not None and w > cut for w in weight.values())
+    key = {i: w + noise(i, 23) for i, w in weight.items() if w is not None}
+    chosen = set(sorted(key, key=lambda i: -key[i])[:k])
+    got = {r["doc_id"]: r for r in quality_filter(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert len(got) == len(rows) and 0 < k < len(key)
+    for i, w in weight.items():
+        assert got[i]["log_weight"] == (None if w is None else pytest.approx(w, abs=1e-7))
+        assert got[i]["key"] == (None if w is None else pytest.approx(key[i], abs=1e-7))
+    assert {i for i, r in got.items() if r["kept"]} == chosen

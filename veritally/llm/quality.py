@@ -132,8 +132,9 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def cutoff(scores: DataFrame, labels: DataFrame) -> float:
-    """The log weight with the best balanced accuracy on the labelled sample (bounded, so it is collected)."""
-    rows = scores.join(F.broadcast(labels), "doc_id").where("log_weight IS NOT NULL").select("log_weight", "quality").collect()
+    """The log weight with the best balanced accuracy on the labelled sample (bounded, so it is collected; of rows that repeat a doc_id the least weight counts)."""
+    met = scores.join(F.broadcast(labels), "doc_id").where("log_weight IS NOT NULL")
+    rows = met.groupBy("doc_id", "quality").agg(F.min("log_weight").alias("log_weight")).select("log_weight", "quality").collect()
     x = np.array([r[0] for r in rows])
     good = np.array([r[1] == 1 for r in rows], np.bool_)
     if not good.any() or good.all():
