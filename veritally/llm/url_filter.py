@@ -3,18 +3,19 @@
 Method
   1. *Rules.* The host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path follows up to ``?``, ``#`` or the end. A rule (host, path)
      fits its host and all subdomains if the path starts with the rule's; the longest rule that fits gives the verdict.
-  2. *Features.* Lengths of url, host and path, depth, digit ratio, entropy of the characters, number of parameters, hyphens, host labels, the longest
-     run of consonants, and statistics of the host's suffix (share of bad urls and count among the labelled ones, smoothed).
+  2. *Features.* Lengths of url, host and path in bytes, depth, digit ratio, digits in the host, entropy of the bytes, number of parameters, hyphens, dots, the longest run of consonants in the host,
+     and statistics of the host's last label, of its last two, and of the path's first step: share of bad urls (smoothed) and count among the labelled ones.
   3. *Trees.* Binary log-loss gradient boosting with depth-limited trees on binned features, fitted on labelled urls; a score above 0 means block.
 
-The labelled urls are a bounded sample: at most ``LABELLED`` rows, the smallest by hash. If none are given, a seeded generator writes them (`labelled_urls`).
-A null url, or one without ``://``, has empty host and path, fits no rule and is judged by its features (of the empty url if null). Repeated rows get equal verdicts; extra columns are ignored.
+The labelled urls are a bounded sample: at most ``LABELLED`` rows, the smallest by hash. If none are given, the pages that a rule decides are the labelled ones (distant supervision), and the trees judge
+the others in their likeness. Without labelled urls, or with labels of one kind only, the score is constant. A url that a rule decides has no score.
+A null url, or one without ``://``, has empty host and path, fits no rule and is judged by its features (of the empty url if null). An empty table gives an empty result. Repeated rows get equal
+verdicts; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.llm.common import lean
+from veritally.llm.words import text_buffers
 
 # The rules of the production query (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -47,54 +49,65 @@ def rule_for(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def labelled_urls(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
-    """Labelled urls (1: bad) written by a seeded generator after the habits of ordinary and of spam sites."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    plain = "garden river north paper stone market school music history travel kitchen science forest letter window bridge harbor valley village study".split()
-    bait = "cheap free win casino pills bets spam adult track ads bonus loan deal click promo lucky prize dating crypto cash farm".split()
-    letters = "aeiounrstldmcpbhgk"
-    name = lambda: pick(plain) if rng.random() < 0.4 else "".join(pick(letters) for _ in range(rng.integers(4, 13)))
-    out = []
-    for _ in range(n):
-        bad = int(rng.random() < 0.4)
-        if bad:
-            site = "-".join(pick(bait) if rng.random() < 0.8 else name() for _ in range(rng.integers(2, 4))) + ("" if rng.random() < 0.6 else str(rng.integers(1, 9999)))
-            suffix = pick(["com", "net", "org", "com", "xyz", "top", "click", "info"])
-        else:
-            site = name() if rng.random() < 0.93 else name() + "-" + name()
-            suffix = pick(["com", "net", "org", "org", "com", "edu", "io", "info"])
-        parts = [pick(["www", "m", "blog"])] if rng.random() < 0.5 else []
-        host = ".".join([*parts, site, *(["example"] if rng.random() < 0.5 else []), suffix])
-        path = "/" + "/".join([pick(["en", "de", "fr", "es", *plain[:4]]), *(str(rng.integers(1, 999)) if rng.random() < 0.7 else name() for _ in range(rng.integers(0, 3)))])
-        if bad and rng.random() < 0.4:
-            path += "/" + "".join(pick("0123456789abcdef") for _ in range(rng.integers(8, 24)))
-        path += pick(["", "", "/", ".html"])
-        query = pick(["", "", "", "?page=2&ref=x", "?utm_source=feed", "#top"]) if not bad or rng.random() < 0.5 else "?" + "&".join(f"{pick(['id', 'aff', 'sid', 'clk', 'ref'])}={rng.integers(1, 10**9)}" for _ in range(rng.integers(1, 6)))
-        out.append((pick(["http://", "https://", "https://"]) + host + path + query, bad))
+#: What is taken from a url on the JVM: its parts and the keys of its statistics.
+PARTS = ("host", "path", "query", "last", "last_two", "step")
+_CONSONANT = np.isin(np.arange(256), list(b"bcdfghjklmnpqrstvwxz"))
+_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
+
+
+def parts_of(url: Column) -> list[Column]:
+    """The columns of `PARTS` for a url."""
+    host, path = host_of(url), path_of(url)
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
+    found = (host, path, query, F.regexp_extract(host, r"([^.]*)$", 1), F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1), F.regexp_extract(path, r"(?s)^/?([^/]*)", 1))
+    return [c.alias(n) for n, c in zip(PARTS, found, strict=True)]
+
+
+def _count(raw: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are among ``which`` (a table of 256)."""
+    return np.diff(np.concatenate([[0], np.cumsum(which[raw])])[off])
+
+
+def _one(char: str) -> np.ndarray:
+    return np.arange(256) == ord(char)
+
+
+def _entropy(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(off) - 1)
+    for a in range(0, len(out), 1024):
+        o = off[a : a + 1025]
+        rows = np.repeat(np.arange(len(o) - 1), np.diff(o))
+        n = np.bincount(rows * 256 + raw[o[0] : o[-1]], minlength=256 * (len(o) - 1)).reshape(-1, 256)
+        p = n / np.maximum(1, n.sum(axis=1, keepdims=True))
+        out[a : a + 1024] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
     return out
 
 
-def suffix_of(host: str) -> str:
-    return host.rsplit(".", 1)[-1]
+def _longest(raw: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The longest run of bytes among ``which`` in each row."""
+    rows = np.arange(len(off) - 1)
+    inside = np.zeros(len(raw) + len(rows) + 1, np.bool_)  # something else between the rows
+    owner = np.repeat(rows, np.diff(off))
+    inside[np.arange(len(raw)) + owner + 1] = which[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    out = np.zeros(len(rows), np.int64)
+    np.maximum.at(out, np.searchsorted(off + np.arange(len(off)), edge[0::2], "right") - 1, edge[1::2] - edge[0::2])
+    return out
 
 
-def lexical(url: str | None, suffixes: dict[str, tuple[float, float]]) -> list[float]:
-    url = url or ""
-    rest = url.split("://", 1)[1] if "://" in url else ""
-    cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
-    host, tail = rest[:cut].lower(), rest[cut:]
-    path = tail.split("#", 1)[0].split("?", 1)[0]
-    query = tail.split("?", 1)[1].split("#", 1)[0] if "?" in tail else ""
-    n = max(1, len(url))
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(url).values())
-    run = most = 0
-    for c in host:
-        run = run + 1 if "a" <= c <= "z" and c not in "aeiouy" else 0
-        most = max(most, run)
-    digits = sum(map(str.isdigit, url))
-    share, count = suffixes.get(suffix_of(host), suffixes.get("", (0.5, 0.0)))
-    return [len(url), len(host), len(path), path.count("/"), digits / n, sum(map(str.isdigit, host)), entropy, query.count("=") + query.count("&"), host.count("-"), host.count("."), most, share, count]
+def features(batch, stats: list[dict[str, tuple[float, float]]]) -> np.ndarray:
+    """A row of numbers per url of a batch with ``url`` and `PARTS`."""
+    buffers = {c: text_buffers(batch.column(c)) for c in ("url", "host", "path", "query")}
+    size = lambda c: np.diff(buffers[c][1])
+    url, host, query = buffers["url"], buffers["host"], buffers["query"]
+    columns = [
+        size("url"), size("host"), size("path"), _count(*buffers["path"], _one("/")), _count(*url, _DIGIT) / np.maximum(1, size("url")), _count(*host, _DIGIT), _entropy(*url),
+        _count(*query, _one("=") | _one("&")), _count(*host, _one("-")), _count(*host, _one(".")), _longest(*host, _CONSONANT),
+    ]
+    for key, known in zip(PARTS[3:], stats, strict=True):
+        found = np.array([known.get(k, known[""]) for k in batch.column(key).to_pylist()], float).reshape(-1, 2)
+        columns += [found[:, 0], found[:, 1]]
+    return np.stack(columns, axis=1).astype(float)
 
 
 @dataclass(frozen=True)
@@ -103,7 +116,7 @@ class Trees:
 
     base: float
     nodes: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
-    suffixes: dict[str, tuple[float, float]]
+    stats: list[dict[str, tuple[float, float]]]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -115,19 +128,19 @@ class Trees:
         return out
 
 
-def fit(rows: list[tuple[str, int]]) -> Trees:
-    """Gradient boosting on labelled urls (url, 1 for bad)."""
-    y = np.array([b for _, b in rows], float)
+def fit(rows: pa.Table) -> Trees:
+    """Gradient boosting on labelled urls: ``url``, `PARTS` and ``label`` (1 for bad)."""
+    y = rows.column("label").to_numpy().astype(float)
     prior = float(y.mean()) if len(y) else 0.5
-    seen: dict[str, list[int]] = {"": []}
-    for url, bad in rows:
-        host = url.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower() if url and "://" in url else ""
-        seen.setdefault(suffix_of(host), []).append(bad)
-    suffixes = {s: ((sum(v) + 20 * prior) / (len(v) + 20), math.log1p(len(v))) for s, v in seen.items()}
+    stats = []
+    for key in PARTS[3:]:
+        names, inverse = np.unique(np.array(rows.column(key).to_pylist(), dtype=object).astype(str), return_inverse=True)
+        bad, n = np.bincount(inverse, y, len(names)), np.bincount(inverse, minlength=len(names))
+        stats.append({"": (prior, 0.0)} | {k: ((b + 20 * prior) / (m + 20), math.log1p(m)) for k, b, m in zip(names.tolist(), bad.tolist(), n.tolist(), strict=True) if k})
     base = math.log((prior + 1e-6) / (1 - prior + 1e-6))
     if not len(y) or not 0 < prior < 1:
-        return Trees(base, (), suffixes)
-    x = np.array([lexical(u, suffixes) for u, _ in rows])
+        return Trees(base, (), stats)
+    x = features(rows, stats)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, col, "left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
     f, nodes = np.full(len(y), base), []
@@ -156,29 +169,45 @@ def fit(rows: list[tuple[str, int]]) -> Trees:
             at[mine] = 2 * node + 1 + (x[mine, feature[node]] > cut[node])
         nodes.append((feature, cut, value))
         f += value[at]
-    return Trees(base, tuple(nodes), suffixes)
+    return Trees(base, tuple(nodes), stats)
 
 
 def _judge(trees: Trees):
     def run(batches):
         for batch in batches:
-            urls = batch.column("url").to_pylist()
-            score = trees.score(np.array([lexical(u, trees.suffixes) for u in urls]).reshape(len(urls), -1)) if urls else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            score = np.full(len(batch), np.nan)
+            open_ = ~batch.column("decided").to_numpy(zero_copy_only=False)
+            if open_.any():
+                score[open_] = trees.score(features(batch.filter(pa.array(open_)), trees.stats))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("path"), batch.column("rule"), pa.array(score, mask=~open_), batch.column("ruled")], names=_JUDGED)
 
     return run
 
 
+_JUDGED = ["page_id", "url", "host", "path", "rule", "score", "ruled"]
+
+
+def ruled_pages(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, url, `PARTS`, rule, ruled, decided): what the rules say, ``ruled`` being their verdict."""
+    split = pages.select("page_id", "url", *parts_of(F.col("url"))).withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
+    return split.select("page_id", "url", *PARTS, F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"), F.col("_r").isNotNull().alias("decided"))
+
+
+def sample(labelled: DataFrame) -> pa.Table:
+    """At most ``LABELLED`` of the rows (url, label), with their parts."""
+    some = labelled.where("url IS NOT NULL AND label IN (0, 1)").orderBy(F.xxhash64("url"), "url", "label").limit(LABELLED)
+    return some.select("url", *parts_of(F.col("url")), F.col("label").cast("int").alias("label")).toArrow()
+
+
 def url_filter(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, url, host, path, rule, score, verdict): a row per row of ``pages`` (page_id long, url string); ``labelled`` has url, label (1: bad)."""
+    ruled = ruled_pages(pages, rules)
     if labelled is None:
-        rows = labelled_urls()
-    else:
-        rows = [(r[0], r[1]) for r in labelled.where("url IS NOT NULL AND label IN (0, 1)").select("url", "label").orderBy(F.xxhash64("url"), "url", "label").limit(LABELLED).collect()]
-    scored = pages.select("page_id", "url").mapInArrow(lean(_judge(fit(rows))), "page_id long, url string, score double")
-    parts = scored.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce("_r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return parts.select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), "score", verdict.alias("verdict"))
+        labelled = ruled.where("decided").select("url", (F.col("ruled") == "block").cast("int").alias("label"))
+    schema = "page_id long, url string, host string, path string, rule string, score double, ruled string"
+    judged = ruled.mapInArrow(lean(_judge(fit(sample(labelled)))), schema)
+    verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.select("page_id", "url", "host", "path", "rule", "score", verdict.alias("verdict"))
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:
