@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import tiktoken
@@ -48,3 +49,20 @@ def test_given_edits_and_empty(spark, counter):
     got = {r["doc_id"]: r for r in T.count_tokens(spark.createDataFrame(rows, schema)).collect()}
     assert got[1]["n_tokens_edited"] == len(counter.bpe.encode_ordinary("bye, world!")) and got[2]["n_edits"] == 0 and got[3]["n_tokens_edited"] == 0
     assert T.count_tokens(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_many_edits_of_a_long_text(counter):
+    """Thousands of edits of megabytes take seconds, as none copies the text; long runs of white space and letters around them are met, too."""
+    text = "word 12345 and more 98765 \n\n" * 100_000
+    tree = T.TokenTree(text, counter)
+    start = time.monotonic()
+    for i in range(5000):
+        at = i * 500
+        tree.edit(at, at + 3, "xyz ")
+    assert time.monotonic() - start < 20 and tree.touched < 5000 * 40
+    assert tree.tokens == len(counter.bpe.encode_ordinary(tree.text)) and len(tree.text) == len(text) + 5000
+    for text in ("a" + " " * 10_000 + "b", "x" * 5000 + " " + "y" * 5000, "1 " * 3000):
+        for at in (0, 1, 5000, 5001, len(text)):
+            tree = T.TokenTree(text, counter)
+            tree.edit(at, at + 1, " z")
+            assert tree.text == text[:at] + " z" + text[at + 1 :] and tree.tokens == len(counter.bpe.encode_ordinary(tree.text))

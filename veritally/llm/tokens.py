@@ -5,7 +5,8 @@ Method
      the leaves' entries of a segment tree whose inner nodes hold sums of characters, tokens and entries.
   2. An edit (start, end, text) finds its place by the sums. Splitting starts again before it, at a boundary whose pre-tokens can't have seen the edit: all white space
      before the edit and ``LOOK`` characters are context. It goes on in the new text until a boundary falls on an old one after the edit; from there on
-     old and new agree, as the pattern looks only ahead. Only the pre-tokens between are encoded; the leaves they fall in and the sums on the path to the root change.
+     old and new agree, as the pattern looks only ahead. Only the pre-tokens between are encoded; the leaves they fall in, which hold the text, and the sums on the path to the root change.
+     So an edit takes time by its own length and the depth of the tree, not by the text's length.
   3. The document's count is the root's sum. It equals that of encoding the new text from scratch.
 
 Edits are code-point spans of the original text, not overlapping, applied from right to left (of edits at one place, the later in the list first); ends beyond the text are cut.
@@ -22,7 +23,6 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veritally.llm.common import lean
 
@@ -32,11 +32,28 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 64 << 20
 #: Characters after its end that may decide where a pre-token ends, white space apart.
 LOOK = 3
+#: Characters after an edit that are split anew at first; four times as many if no old boundary is met in them.
+WINDOW = 64
 #: Pre-tokens of a leaf; one of twice as many is split.
 LEAF = 128
 REMEMBERED = 500_000
 
 
+class _Known(dict):
+    """Token counts of pre-tokens; an unknown one is encoded, and remembered if it is short, within a bound."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encode(piece.encode("utf-8", "replace")))
+        if len(piece) <= 32:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class Counter:
     """Counts the tokens of pre-tokens."""
 
@@ -44,27 +61,17 @@ class Counter:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, int] = {}
-        self.encoded = 0
-
-    def count(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            n = len(self.bpe._core_bpe.encode_single_piece(piece.encode("utf-8", "replace")))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(piece) <= 32:
-                self.known[piece] = n
-        return n
+        self.known = _Known(self.bpe._core_bpe.encode_single_piece)
+        self.count = self.known.__getitem__
 
 
 class _Node:
-    """Of a leaf: arrays of lengths and counts; of an inner node: two children. Sums: chars, tokens, entries."""
+    """Of a leaf: its text, and arrays of lengths and counts; of an inner node: two children. Sums: chars, tokens, entries."""
 
-    __slots__ = ("left", "right", "lens", "toks", "chars", "tokens", "entries")
+    __slots__ = ("left", "right", "text", "lens", "toks", "chars", "tokens", "entries")
 
-    def __init__(self, lens=None, toks=None, left=None, right=None):
-        self.left, self.right, self.lens, self.toks = left, right, lens, toks
+    def __init__(self, text=None, lens=None, toks=None, left=None, right=None):
+        self.left, self.right, self.text, self.lens, self.toks = left, right, text, lens, toks
         self.update()
 
     def update(self):
@@ -75,30 +82,53 @@ class _Node:
             self.chars, self.tokens, self.entries = a.chars + b.chars, a.tokens + b.tokens, a.entries + b.entries
 
     @staticmethod
-    def build(lens, toks) -> _Node:
-        if len(lens) <= LEAF:
-            return _Node(lens, toks)
-        half = len(lens) // 2
-        return _Node(left=_Node.build(lens[:half], toks[:half]), right=_Node.build(lens[half:], toks[half:]))
+    def build(text: str, lens, toks) -> _Node:
+        """A tree of leaves that each hold their part of the text."""
+        ends = np.concatenate([[0], np.cumsum(lens)])
 
-    def replace(self, i: int, j: int, lens, toks):
+        def part(i: int, j: int) -> _Node:
+            if j - i <= LEAF:
+                return _Node(text[ends[i] : ends[j]], lens[i:j], toks[i:j])
+            half = i + (j - i) // 2
+            return _Node(left=part(i, half), right=part(half, j))
+
+        return part(0, len(lens))
+
+    def replace(self, i: int, j: int, text: str, lens, toks):
         """Entries i to j (exclusive) become these."""
         if self.left is None:
+            a, b = int(self.lens[:i].sum()), int(self.lens[:j].sum())
+            self.text = self.text[:a] + text + self.text[b:]
             self.lens = np.concatenate([self.lens[:i], lens, self.lens[j:]])
             self.toks = np.concatenate([self.toks[:i], toks, self.toks[j:]])
             if len(self.lens) > 2 * LEAF:
-                new = _Node.build(self.lens, self.toks)
-                self.left, self.right, self.lens, self.toks = new.left, new.right, None, None
+                new = _Node.build(self.text, self.lens, self.toks)
+                self.left, self.right, self.text, self.lens, self.toks = new.left, new.right, None, None, None
         else:
             k = self.left.entries
             none = lens[:0]
             if i <= k:
-                self.left.replace(i, min(j, k), lens, toks)
+                self.left.replace(i, min(j, k), text, lens, toks)
             if j > k or i > k:
-                at, add = (0, (none, none)) if i <= k else (i - k, (lens, toks))
+                at, add = (0, ("", none, none)) if i <= k else (i - k, (text, lens, toks))
                 self.right.replace(at, j - k, *add)
         self.update()
 
+    def part(self, a: int, b: int) -> str:
+        """Characters a to b (exclusive), from the leaves that hold them."""
+        out, todo = [], [(self, a, b)]
+        while todo:
+            node, a, b = todo.pop()
+            if a >= b:
+                continue
+            if node.left is None:
+                out.append(node.text[max(0, a) : b])
+            else:
+                k = node.left.chars
+                todo.append((node.right, max(0, a - k), b - k))
+                todo.append((node.left, a, min(b, k)))
+        return "".join(out)
+
     def before(self, pos: int) -> tuple[int, int]:
         """(entry, its start): the last entry that starts at or before ``pos``; the end if there is none after."""
         node, entry, start = self, 0, 0
@@ -113,49 +143,69 @@ class _Node:
 
 
 class TokenTree:
-    """The pre-tokens of one text; ``tokens`` is its count, ``touched`` the pre-tokens that edits have encoded."""
+    """The pre-tokens of one text; ``tokens`` is its count, ``touched`` the pre-tokens that edits have encoded. The leaves hold the text, so an edit copies what is around it alone."""
 
     def __init__(self, text: str, counter: Counter):
-        self.text, self.counter, self.touched = text, counter, 0
+        self.counter, self.touched = counter, 0
         pieces = counter.pattern.findall(text)
-        self.root = _Node.build(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(counter.count, pieces), np.int64, len(pieces)))
+        self.root = _Node.build(text, np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(counter.count, pieces), np.int64, len(pieces)))
 
     @property
     def tokens(self) -> int:
         return self.root.tokens
 
+    @property
+    def text(self) -> str:
+        return self.root.part(0, self.root.chars)
+
+    def _context(self, start: int) -> int:
+        """Where the white space before ``start`` begins."""
+        size = 64
+        while start:
+            before = self.root.part(max(0, start - size), start)
+            solid = before.rstrip()
+            if solid or len(before) == start:
+                return start - len(before) + len(solid)
+            size *= 4
+        return 0
+
     def edit(self, start: int, end: int, new: str) -> None:
-        start = min(max(start, 0), len(self.text))
-        end = min(max(end, start), len(self.text))
-        text = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        b = start
-        while b and text[b - 1].isspace():
-            b -= 1
+        root, n = self.root, self.root.chars
+        start = min(max(start, 0), n)
+        end = min(max(end, start), n)
         # the boundary to start from: all pre-tokens before it end LOOK characters before the context
-        first, at = self.root.before(max(0, b - LOOK))
-        lens, toks = [], []
-        total = self.root.entries
-        last, last_at = self.root.before(end)
+        first, at = root.before(max(0, self._context(start) - LOOK))
+        total = root.entries
+        last, last_at = root.before(end)
         if last < total and last_at < end:  # within a pre-token: its end is the first boundary after the edit
             last_at += self._length(last)
             last += 1
-        old, old_at = last, last_at
-        pos = at
-        for m in self.counter.pattern.finditer(text, at):
-            while old < total and old_at + shift < pos:
-                old_at += self._length(old)
-                old += 1
-            if pos >= start + len(new) and old_at + shift == pos:
+        head = root.part(at, start) + new
+        shift = len(head) - end  # from places of the old text, after the edit, to those of the piece that is split anew
+        span = WINDOW
+        while True:
+            stop = min(n, max(end, last_at) + span)
+            piece = head + root.part(end, stop)
+            lens, toks, pos, old, old_at = [], [], 0, last, last_at
+            met = False
+            for m in self.counter.pattern.finditer(piece):
+                while old < total and old_at + shift < pos:
+                    old_at += self._length(old)
+                    old += 1
+                met = pos >= len(head) and old_at + shift == pos
+                if met or stop < n and m.end() > len(piece) - LOOK:  # the rest of the text may have a say
+                    break
+                lens.append(m.end() - pos)
+                toks.append(self.counter.count(m[0]))
+                pos = m.end()
+            else:
+                if stop == n:
+                    old, met = total, True
+            if met:
                 break
-            lens.append(m.end() - pos)
-            toks.append(self.counter.count(m[0]))
-            pos = m.end()
-        else:
-            old = total
+            span *= 4
         self.touched += len(lens)
-        self.root.replace(first, old, np.array(lens, np.int64), np.array(toks, np.int64))
-        self.text = text
+        root.replace(first, old, piece[:pos], np.array(lens, np.int64), np.array(toks, np.int64))
 
     def _length(self, entry: int) -> int:
         node = self.root
@@ -179,6 +229,20 @@ def _ranks(docs: DataFrame, vocabulary: str):
 _SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_encoded long"
 
 
+def _edited(counter: Counter, rows):
+    """Rows of the schema for (doc_id, text, edits as (start, end, text))."""
+    for doc_id, text, edits in rows:
+        tree = TokenTree(text or "", counter)
+        before = tree.tokens
+        for start, end, new in sorted(edits, key=lambda e: e[0])[::-1]:
+            tree.edit(start, end, new or "")
+        yield doc_id, before, len(edits), tree.tokens, tree.touched
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_edited, n_encoded): a row per row of ``docs`` (doc_id long, text string, edits array<struct<start, end, text>>).
 
@@ -189,31 +253,29 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         counter = Counter(ranks.value)
         for batch in batches:
-            rows = []
-            for doc_id, text, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = TokenTree(text or "", counter)
-                before = tree.tokens
-                for e in sorted(edits or [], key=lambda e: e["start"])[::-1]:
-                    tree.edit(e["start"], e["end"], e["text"] or "")
-                rows.append((doc_id, before, len(edits or []), tree.tokens, tree.touched))
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "edits"))
+            rows = list(_edited(counter, ((i, t, [(e["start"], e["end"], e["text"]) for e in edits or ()]) for i, t, edits in zip(*columns, strict=True))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+                yield _table(rows)
 
     return docs.select("doc_id", "text", "edits").mapInArrow(lean(run), _SCHEMA)
 
 
-def mask_numbers(docs: DataFrame, digits: int = 4, mask: str = "#") -> DataFrame:
-    """``docs`` with ``edits``: each run of at least so many digits becomes the mask (telephone and card numbers, keys)."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
-    find = regex.compile(rf"[0-9]{{{digits},}}")
+def count_masked(docs: DataFrame, digits: int = 4, mask: str = "#", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The same for ``docs`` (doc_id long, text string) with the edits that turn each run of at least so many digits into the mask (telephone and card numbers, keys)."""
+    ranks = _ranks(docs, vocabulary)
+    find = regex.compile(rf"[0-9]{{{digits},}}+")
 
     def run(batches):
+        counter = Counter(ranks.value)
         for batch in batches:
-            edits = [[{"start": m.start(), "end": m.end(), "text": mask} for m in find.finditer(t or "")] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], names=["doc_id", "text", "edits"])
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            rows = list(_edited(counter, ((i, t, [(m.start(), m.end(), mask) for m in find.finditer(t or "")]) for i, t in zip(*columns, strict=True))))
+            if rows:
+                yield _table(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, text string, edits array<struct<start:long,end:long,text:string>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(mask_numbers(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return count_masked(spark.read.parquet(f"{sf_dir}/documents.parquet"))

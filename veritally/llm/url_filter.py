@@ -28,7 +28,7 @@ from veritally.llm.words import text_buffers
 
 # The rules of the production query (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-LABELLED = 100_000
+LABELLED = 20_000
 ROUNDS, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 20
 
 
