@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritally.functions import cost
-from veritally.operators.ranks import percentiles
+from veritally.operators.ranks import percentiles, with_rank
 
 P95_LIMIT_S = 1.0
 
@@ -49,5 +49,8 @@ def break_even(levels_: DataFrame, rentals: DataFrame, calls: DataFrame) -> Data
 
 def probe_summary(log: DataFrame, by: list[str]) -> DataFrame:
     """Round trips that worked: how many, least, upper median, most."""
-    good = log.where(~F.col("failed")).groupBy(*by).agg(F.count("*").alias("ok"), F.min("latency_s").alias("least_s"), F.element_at(F.array_sort(F.collect_list("latency_s")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median_s"), F.max("latency_s").alias("most_s"))
-    return good
+    good = log.where(~F.col("failed"))
+    counted = good.groupBy(*by).agg(F.count("*").alias("ok"), F.min("latency_s").alias("least_s"), F.max("latency_s").alias("most_s"))
+    ranked = with_rank(good.where("latency_s IS NOT NULL").groupBy(*by, "latency_s").agg(F.count("*").alias("_n")), [F.col("latency_s")], by, "_upto", "_n")
+    upper = ranked.join(counted.select(*by, "ok"), by).where(F.col("_upto") >= F.floor(F.col("ok") / 2) + 1).groupBy(*by).agg(F.min("latency_s").alias("median_s"))
+    return counted.join(upper, by, "left").select(*by, "ok", "least_s", "median_s", "most_s")

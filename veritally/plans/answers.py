@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions import calls, headers, text
-from veritally.operators import chat, errors, probes, provenance, quality_gate, sampling
+from veritally.operators import chat, comparison, errors, probes, provenance, quality_gate, sampling
 from veritally.operators.scoring import SCORES, item_scores, summarize
 from veritally.plans.bindings import LOG_SQL, SLOTS_SQL, answered, examples, run_log, table
 from veritally.session import configure
@@ -214,6 +214,31 @@ def comparison_report(spark, d):
     return both.select("system", "n", F.round("exact_match", 9).alias("exact_match"), F.round("slot_f1", 9).alias("slot_f1"), F.round((F.col("exact_match") - F.col("ref")) * 100, 6).alias("points"), text.format_percent(F.col("exact_match")).alias("cell"))
 
 
+def _systems(spark):
+    """Systems with the names and billing that prices are looked up by; one has no price."""
+    return spark.createDataFrame([("A", "Model One (4B)", "Paid"), ("B", "model: two", "FREE"), ("C", "none", "paid")], "system string, name string, billing string")
+
+
+def _price_list(spark):
+    return spark.createDataFrame([("model-one-4b/paid", 1.0, 0.25, 2.0), ("model-two/free", 0.5, None, 1.0)], "key string, price_in double, price_cached double, price_out double")
+
+
+def resolved_prices(spark, d):
+    return comparison.resolved_prices(_systems(spark), _price_list(spark))
+
+
+def system_comparison(spark, d):
+    """The whole comparison: scores, pairs, prices, costs, latencies, break-even, warnings, formatted cells."""
+    system = lambda c: F.element_at(F.array(F.lit("A"), F.lit("B")), (c % 2 + 1).cast("int")).alias("system")
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("turns"))
+    calls = turns.select(system(F.col("conv_id")), F.col("chars").alias("prompt"), F.col("turns").alias("completion"))
+    log = run_log(spark, d).select(system(F.col("key")), "failed", "latency_s")
+    s = _scored(spark, d)
+    runs = s.groupBy("system").agg(F.count("*").alias("n")).select("system", "n", (F.col("n") + F.when(F.col("system") == "B", 1).otherwise(0)).alias("n_subset"), (F.col("system") == "A").alias("locked"), F.when(F.col("system") == "B", 3).otherwise(0).alias("n_estimated"), F.lit(1.0).alias("price_then"), F.lit(1.0).alias("price_now"))
+    out = comparison.compare(s, "A", calls, comparison.resolved_prices(_systems(spark), _price_list(spark)), F.lit(40), log, runs, 0.5)
+    return out.select("system", *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "system"))
+
+
 def run_warnings(spark, d):
     c = table(spark, d, "supplier")
     k = F.col("s_suppkey")
@@ -237,9 +262,7 @@ def stream_run_log(spark, d):
 
     path, schema, work = _stream(spark, d)
     counted = s.windowed_counts(s.log_stream(spark, path, schema), "ts", "key", late="100 days")
-    query = counted.writeStream.outputMode("complete").format("memory").queryName("veritally_log").option("checkpointLocation", f"{work}/counts").trigger(availableNow=True).start()
-    query.awaitTermination()
-    t = spark.table("veritally_log")
+    t = s.run_complete(counted, "counts", work)
     return t.groupBy("key").agg(F.count("*").alias("days"), F.sum("n").alias("n"), F.sum("failed").alias("failed"))
 
 
@@ -255,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_call_validity, json_known_labels, parsed_calls, chat_validation_issues, chat_turn_issues, chat_report, render_prompts, sft_records, prompt_completion, prompt_hashes, usage_normalised, content_texts, duration_parse, retry_hints, daily_quota_hints, backoff_delays,
-        degenerate_texts, compressible_texts, quality_gate_reasons, error_strata_sample, slot_differences, error_category_counts, config_fingerprint, lock_status, new_locks, merged_probes, probe_plan, model_catalogue, paired_items, comparison_report, run_warnings, stream_run_log, stream_rate_limit,
+        degenerate_texts, compressible_texts, quality_gate_reasons, error_strata_sample, slot_differences, error_category_counts, config_fingerprint, lock_status, new_locks, merged_probes, probe_plan, model_catalogue, paired_items, comparison_report, resolved_prices, system_comparison, run_warnings, stream_run_log, stream_rate_limit,
     )
 }
 
@@ -311,6 +334,20 @@ ORACLE_SQL = {
     "model_catalogue": "SELECT * FROM (VALUES (1, 'a', 'gold'), (1, 'b', 'basic'), (2, 'c', NULL)) t(i, id, tier)",
     "paired_items": f"{_S} SELECT 'B' AS system, count(*) AS n, count(*) FILTER (b.em = 1 AND a.em = 0) AS only_system, count(*) FILTER (b.em = 0 AND a.em = 1) AS only_reference FROM scored a JOIN scored b USING (id) WHERE a.system = 'A' AND b.system = 'B'",
     "comparison_report": f"{_S}, s AS (SELECT system, count(*) AS n, avg(em) AS e, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f FROM scored GROUP BY system) SELECT system, n, round(e, 9) AS exact_match, round(f, 9) AS slot_f1, round((e - (SELECT e FROM s WHERE system = 'A')) * 100, 6) AS points, printf('%.1f', round(e * 100, 1)) || ' %' AS cell FROM s",
+    "resolved_prices": "SELECT 'model-one-4b/paid' AS key, 'A' AS system, 'Model One (4B)' AS name, 'Paid' AS billing, 1.0::DOUBLE AS price_in, 0.25::DOUBLE AS price_cached, 2.0::DOUBLE AS price_out UNION ALL SELECT 'model-two/free', 'B', 'model: two', 'FREE', 0.5, NULL, 1.0 UNION ALL SELECT 'none/paid', 'C', 'none', 'paid', NULL, NULL, NULL",
+    "system_comparison": f"""{_S}, {LOG_SQL}, pl AS (SELECT * FROM (VALUES ('A', 1.0::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE), ('B', 0.5, 0.5, 1.0)) t(system, pi, pc, po)),
+ca AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'B' END AS system, sum(length(text)) AS pr, count(*) AS co FROM conversations GROUP BY conv_id),
+cc AS (SELECT system, count(*) AS calls, sum((pr * pi + co * po) / 1e6) / count(*) AS usd_per_call, sum((pr * pi + co * po) / 1e6) / count(*) * 1000 AS upper_per_1k, sum(((pr - least(40, pr)) * pi + least(40, pr) * pc + co * po) / 1e6) / count(*) * 1000 AS lower_per_1k FROM ca JOIN pl USING (system) GROUP BY system),
+su AS (SELECT system, count(*) AS n, avg(em) AS exact_match, avg(intent_ok) AS intent_accuracy, avg(valid) AS schema_valid, sum(tp) / (sum(tp) + sum(fp)) AS slot_precision, sum(tp) / (sum(tp) + sum(fn)) AS slot_recall, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS slot_f1, sum(n_unfound) / sum(n_pred) AS unfound_rate FROM scored GROUP BY system),
+pa AS (SELECT b.system, count(*) AS n_pairs, (avg(b.em) - avg(a.em)) * 100 AS points, count(*) FILTER (b.em = 1 AND a.em = 0) AS only_system, count(*) FILTER (b.em = 0 AND a.em = 1) AS only_reference FROM scored a JOIN scored b USING (id) WHERE a.system = 'A' AND b.system <> 'A' GROUP BY b.system),
+pp AS (SELECT *, CASE WHEN only_system + only_reference = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(only_system + only_reference + 1) - lgamma(i + 1) - lgamma(only_system + only_reference - i + 1) - (only_system + only_reference) * ln(2))) FROM range(least(only_system, only_reference) + 1) k(i))) END AS p FROM pa),
+la AS (SELECT CASE WHEN key % 2 = 0 THEN 'A' ELSE 'B' END AS system, latency_s, row_number() OVER (PARTITION BY key % 2 ORDER BY latency_s) AS r, count(*) OVER (PARTITION BY key % 2) AS m FROM log WHERE NOT failed),
+sl AS (SELECT system, min(latency_s) FILTER (r >= greatest(1, ceil(round(50 * m / 100, 9)))) AS p50, min(latency_s) FILTER (r >= greatest(1, ceil(round(95 * m / 100, 9)))) AS p95 FROM la GROUP BY system)
+SELECT system, n, round(exact_match, 6) AS exact_match, round(intent_accuracy, 6) AS intent_accuracy, round(schema_valid, 6) AS schema_valid, round(slot_precision, 6) AS slot_precision, round(slot_recall, 6) AS slot_recall, round(slot_f1, 6) AS slot_f1, round(unfound_rate, 6) AS unfound_rate,
+ n_pairs, round(points, 6) AS points, only_system, only_reference, round(p, 6) AS p, calls, round(usd_per_call, 6) AS usd_per_call, round(upper_per_1k, 6) AS upper_per_1k, round(lower_per_1k, 6) AS lower_per_1k, round(p50, 6) AS p50, round(p95, 6) AS p95,
+ CASE WHEN system = 'B' THEN 'estimated tokens; not locked; partial: ' || n || ' of ' || (n + 1) ELSE '' END AS warnings, round(0.5 * 730 / usd_per_call, 6) AS break_even,
+ concat_ws(' | ', printf('%.1f', round(exact_match * 100, 1)) || ' %', CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END, '$' || CASE WHEN upper_per_1k >= 1 THEN printf('%.2f', upper_per_1k) ELSE printf('%.4f', upper_per_1k) END) AS cells
+FROM su LEFT JOIN pp USING (system) LEFT JOIN cc USING (system) LEFT JOIN sl USING (system)""",
     "run_warnings": "WITH r AS (SELECT s_name AS system, s_suppkey AS k FROM supplier) SELECT system, 'partial: ' || k % 3 || ' of 2' AS warning FROM r WHERE k % 3 < 2 UNION ALL SELECT system, 'not locked' FROM r WHERE k % 2 <> 0 UNION ALL SELECT system, 'estimated tokens' FROM r WHERE k % 5 > 0 UNION ALL SELECT system, 'price changed' FROM r WHERE k % 7 = 0",
     "stream_run_log": f"WITH {LOG_SQL} SELECT key, count(DISTINCT at_us // 86400000000) AS days, count(*) AS n, count(*) FILTER (failed) AS failed FROM log GROUP BY key",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions.text import loose, normalize_value, parse_markup
-from veritally.operators import audit
+from veritally.operators import audit, resample
 from veritally.plans.bindings import CORPUS_SQL, SLOTS_SQL, corpus, examples, table
+from veritally.storage import small, written
 
 
 
@@ -67,11 +68,13 @@ def shared_test_rows(spark, d):
 
 
 def unseen_text_em(spark, d):
-    """Labelled quality on test documents whose text isn't in train, and how many were left out."""
+    """Labelled quality on test documents whose text isn't in train, with its interval, and how many were left out."""
     test = corpus(spark, d).where("split = 'test'")
     marks = table(spark, d, "labels").select("doc_id", "quality")
-    unseen = audit.unseen_rows(corpus(spark, d), _strict(), "train", "test").join(marks, "doc_id").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 9).alias("exact_match"))
-    return unseen.crossJoin(F.broadcast(test.join(marks, "doc_id").agg(F.count("*").alias("_all")))).select("n", "exact_match", (F.col("_all") - F.col("n")).alias("excluded"))
+    rows = audit.unseen_rows(corpus(spark, d), _strict(), "train", "test").join(marks, "doc_id").select("doc_id", "quality")
+    block = resample.interval(written(rows, "unseen"), [F.col("doc_id")], "mean", ["quality"], resample.RESAMPLES)
+    everything = test.join(marks, "doc_id").agg(F.count("*").alias("_all"))
+    return block.crossJoin(F.broadcast(everything)).select("n", F.round("value", 9).alias("exact_match"), F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), (F.col("_all") - F.col("n")).alias("excluded"))
 
 
 def expected_vs_actual(spark, d):
@@ -126,8 +129,6 @@ def benchmark_contamination(spark, d, words: int = 8):
     texts = table(spark, d, "documents").select("doc_id", "text")
     docs = texts.withColumn("_w", split(F.col("text"))).where(F.size("_w") >= words)
     grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: gram(F.col("_w"), i))).alias("g"))
-    from veritally.storage import small, written
-
     pairs = written(grams.join(small(long.select("g", "item_id")), "g").select("doc_id", "item_id").distinct(), "contained")
     found = texts.join(small(pairs), "doc_id").join(small(long.select("item_id", "item")), "item_id").where(F.contains("text", "item"))
     short = items.where(F.size("_w") < words + 2).select("item_id", "item")
@@ -160,7 +161,11 @@ ORACLE_SQL = {
     "overlap_strict": _overlap_sql(_STRICT),
     "overlap_loose": _overlap_sql(_LOOSE),
     "shared_test_rows": f"{_C} SELECT id, intent FROM corpus WHERE split = 'test' AND {_STRICT} IN (SELECT {_STRICT} FROM corpus WHERE split = 'train')",
-    "unseen_text_em": f"{_C}, t AS (SELECT quality, {_STRICT} IN (SELECT {_STRICT} FROM corpus WHERE split = 'train') AS seen FROM corpus JOIN labels USING (doc_id) WHERE split = 'test') SELECT count(*) FILTER (NOT seen) AS n, round(avg(quality) FILTER (NOT seen), 9) AS exact_match, count(*) FILTER (seen) AS excluded FROM t",
+    "unseen_text_em": f"""{_C}, t AS (SELECT doc_id, quality, {_STRICT} IN (SELECT {_STRICT} FROM corpus WHERE split = 'train') AS seen FROM corpus JOIN labels USING (doc_id) WHERE split = 'test'),
+l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality FROM t WHERE NOT seen), n AS (SELECT count(*) AS n FROM l),
+d AS (SELECT r.b, ('0x' || substr(md5('{resample.SEED}:' || r.b || ':' || i.i), 1, 8))::BIGINT % n.n AS pos FROM n, range({resample.RESAMPLES}) r(b), range(n.n) i(i)),
+s AS (SELECT d.b, avg(l.quality) AS m FROM d JOIN l USING (pos) GROUP BY 1)
+SELECT count(*) FILTER (NOT seen) AS n, round(avg(quality) FILTER (NOT seen), 9) AS exact_match, (SELECT round(quantile_cont(m, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(m, 0.975), 9) FROM s) AS high, count(*) FILTER (seen) AS excluded FROM t""",
     "expected_vs_actual": f"{_C}, a AS (SELECT 'rows_' || split AS key, count(*) AS actual FROM corpus GROUP BY ALL), e AS (SELECT * FROM (VALUES ('rows_train', 11514::BIGINT), ('rows_dev', 100), ('rows_test', 100), ('rows_extra', 1)) t(key, expected)) SELECT key, expected, actual, key || ': expected ' || coalesce(CAST(expected AS VARCHAR), 'nothing') || ', got ' || coalesce(CAST(actual AS VARCHAR), 'nothing') AS note FROM a FULL JOIN e USING (key) WHERE expected IS DISTINCT FROM actual",
     "integrity_counts": "SELECT count(*) AS n, count(*) FILTER (l_linenumber = 6) AS text_differs, CAST(count(*) FILTER (l_linenumber = 7) AS BIGINT) AS empty_dropped, count(*) FILTER (l_linenumber = 6) AS malformed FROM lineitem",
     "markup_parse": "SELECT l_orderkey, l_linenumber, 'send ' || CAST(l_quantity AS INT) || ' of ' || l_returnflag || ' at 5 : 30' AS text, 'quantity=' || CAST(l_quantity AS INT) || ';flag=' || l_returnflag || ';time=5 : 30' AS slots, 0::BIGINT AS empty_dropped, false AS malformed FROM lineitem",

@@ -20,7 +20,11 @@ def windowed_counts(log: DataFrame, ts: str, key: str, window: str = "1 day", la
 
 
 def rate_limited(log: DataFrame, per_window: int, span_s: float) -> DataFrame:
-    """(key, pos, allowed): a row is allowed if fewer than so many allowed rows of its key lie within the span before it. State per key: the allowed times of the last span."""
+    """(key, pos, allowed): a row is allowed if fewer than so many allowed rows of its key lie within the span before it. State per key: the allowed times of the last span.
+
+    Rows are judged in the order of time within a micro-batch, and batches in the order in which they come: like a live limiter, it never takes back a verdict, so a row that comes late is judged
+    against what has been allowed by then. There is no watermark, as no row is dropped.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
@@ -43,3 +47,11 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str) -> DataF
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-checkpoint").trigger(availableNow=True)
     writer.format("parquet").option("path", out).start().awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+def run_complete(df: DataFrame, name: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there and returns its complete result, which each batch writes anew under ``checkpoint``."""
+    out = f"{checkpoint}/{name}-out"
+    writer = df.writeStream.outputMode("complete").option("checkpointLocation", f"{checkpoint}/{name}-checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
