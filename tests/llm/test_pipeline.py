@@ -58,3 +58,25 @@ def test_mix(steps):
 def test_run(spark, steps):
     cols = ["doc_id", "taken"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(*cols).collect())) == sorted(map(tuple, steps[-1].select(*cols).collect()))
+
+
+def test_every_stage_takes_any_row(spark, tmp_path, docs):
+    """Nulls in every column, empty and long texts, repeated rows and ids, copies, leaks, secrets, columns with clashing names; and an empty table."""
+    item = " ".join(f"item{i}" for i in range(40))
+    word = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = [(1, None, "a"), (2, "", None), (3, " \n", "a"), (None, word(1), "a"), (None, None, None), (4, word(1), None), (4, word(1), None), (5, word(1) + " more", "b"), (6, "w " * 60_000, "b"), (7, f"before {item} after", "b"), (8, word(2) + " token=abcdefghijklmnop", "c"), (None, f"{item}", "c"), (9, "Ünï " + word(3), "c")]
+    spark.createDataFrame([(1, item), (2, None), (None, ""), (None, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(4, 1, 0), (9, 1, 0), (6, 0, 1), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = docs(rows)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, str(tmp_path))
+        out[name] = [(r["doc_id"], r["text"] if "text" in got.columns else r["taken"]) for r in got.collect()]
+        assert name == "mixing sources" or got.columns == d.columns
+        assert stage(spark, docs([]), str(tmp_path)).count() == 0
+    kept = lambda name: sorted((i is None, i or 0) for i, _ in out[name])
+    assert not {1, 2, 3} & {i for i, _ in out["quality classifier"]} and {4, 9} <= {i for i, _ in out["quality classifier"]}
+    assert 5 not in {i for i, _ in out["n-gram jaccard join"]} and {1, 2, 3, 4, 6, 7, 8, 9} <= {i for i, _ in out["n-gram jaccard join"]}
+    assert {i for i, _ in out["benchmark decontamination"]} == {1, 2, 3, 4, 5, 6, 8, 9} and len(out["benchmark decontamination"]) == 9
+    assert len(out["secret scans"]) == len(rows) and any(t and t.endswith("<assign>") for _, t in out["secret scans"])
+    assert kept("mixing sources") == sorted((i is None, i or 0) for i, _, _ in rows) and all(n == 0 for i, n in out["mixing sources"] if i in (1, 2, 3))

@@ -15,7 +15,7 @@ from veritally.storage import scratch_path, small, written
 __all__ = ["connected_components", "forest", "frugal", "lean", "scratch_path", "small", "written"]
 
 #: Rows and bytes of the Arrow batches that go to Python workers.
-BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+BATCH_ROWS, BATCH_BYTES = 2000, "4m"
 
 
 def frugal(spark: SparkSession) -> None:

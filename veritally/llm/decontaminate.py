@@ -13,7 +13,7 @@ Method
      1 / (different items that have it), counted over all items, so what many items share counts less; shingles that no item has weigh 1. It must be at least ``num / den``.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items are taken in blocks of about ``ITEMS_AT_ONCE`` items and ``ITEM_BYTES`` of text at most (one item if it is longer), so what is sent
-to the executors is bounded, and every document meets every item; a pass over the documents takes a block. The weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing. Items of fewer than k words count as one shingle. Equal items match each on
+to the executors is bounded, and every document meets every item; a pass over the documents takes a block. The weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing; items and documents without an id match with a null id. Items of fewer than k words count as one shingle. Equal items match each on
 its own. Repeated documents give repeated rows. Extra columns are ignored.
 """
 
@@ -156,7 +156,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], k: int):
         self.k = k
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = [i for i, _ in items]
         self.sets, self.length = [], []
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         texts = pa.array([t for _, t in items], pa.large_string())
@@ -223,7 +223,7 @@ def _leaks(index, least: float, weights):
         for batch in batches:
             ids = batch.column("doc_id")
             for a, _, h, off in W.hashed_words(batch.column("text")):
-                rows = [(ids[a + r].as_py(), int(found.ids[i]), s, at, found.length[i]) for r, i, s, at in found.search(h, off, least, shared)]
+                rows = [(ids[a + r].as_py(), found.ids[i], s, at, found.length[i]) for r, i, s, at in found.search(h, off, least, shared)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
@@ -251,9 +251,12 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    leaks = written(benchmark_leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(small(leaks), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item.
+
+    Null and empty texts hold none and stay. Rows that repeat a doc_id stay or go together; so do all rows without a doc_id. Without documents or items all stay.
+    """
+    leaks = written(benchmark_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return docs.join(small(leaks), F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -451,7 +451,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; rows that repeat a doc_id stay or go together."""
+    """``docs`` with the smallest doc_id of each component only.
+
+    Null and empty texts link with nothing and stay, as do rows without a doc_id; rows that repeat a doc_id stay or go together. An empty table stays empty.
+    """
     gone = written(ngram_jaccard_join(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 

@@ -190,7 +190,10 @@ def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 23, labelled: int = LABELLED) -> DataFrame:
-    """The rows of ``docs`` that `quality_filter` keeps, with all columns. Texts are scored once more where they are, so none is shuffled."""
+    """The rows of ``docs`` that `quality_filter` keeps, with all columns. Texts are scored once more where they are, so none is shuffled.
+
+    Null texts and texts without words go. Rows that repeat a doc_id are judged by their own texts with the same noise; so are rows without a doc_id. An empty table stays empty.
+    """
     ratio, _, least = _sampled(docs, labels, seed, labelled)
     names = docs.columns
     noise = "_noise"

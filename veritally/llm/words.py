@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into words at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
 
