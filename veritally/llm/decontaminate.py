@@ -36,6 +36,8 @@ BLOCKS = (0, 16, 32, 48)
 ITEMS_AT_ONCE, ITEM_BYTES = 10_000, 16 << 20
 #: Up to so many fingerprints of a size are entered under all values within 2 bits.
 FEW = 16_384
+#: Bytes of text that are searched at once: larger than elsewhere, as each chunk goes through the tables of all sizes.
+CHUNK = 1 << 19
 #: Runs of offsets of a long item, and pairs of windows and fingerprints that are compared at once.
 RUNS, PAIRS_AT_ONCE = 8, 1 << 19
 #: The longest window; counters are bytes. A longer item is met by the windows inside it.
@@ -222,7 +224,7 @@ def _leaks(index, least: float, weights):
         found, shared = index.value, weights.value
         for batch in batches:
             ids = batch.column("doc_id")
-            for a, _, h, off in W.hashed_words(batch.column("text")):
+            for a, _, h, off in W.hashed_words(batch.column("text"), CHUNK):
                 rows = [(ids[a + r].as_py(), found.ids[i], s, at, found.length[i]) for r, i, s, at in found.search(h, off, least, shared)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])

@@ -79,21 +79,21 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return _mix(np.add.reduceat(vals, first) + lens.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def _chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
+def _chunks(off: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
     a = 0
     while a < len(off) - 1:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + (size or CHUNK_BYTES), "right")) - 1)
         yield a, b
         a = b
 
 
-def hashed_words(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(col: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, last row + 1, hashes of the words, offsets of the rows in them) chunk by chunk.
 
-    A row boundary always ends a word.
+    A row boundary always ends a word. ``size`` is the bytes of a chunk.
     """
     raw, off = text_buffers(col)
-    for a, b in _chunks(off):
+    for a, b in _chunks(off, size):
         part = np.full(int(off[b] - off[a]) + (b - a), 32, np.uint8)  # one blank after each row
         o = off[a : b + 1] - off[a]
         mark = np.ones(len(part), np.bool_)
