@@ -9,6 +9,7 @@ from veritally.llm.mixing import op1_mixing_sources
 from veritally.llm.ngram_join import op9_ngram_jaccard_join
 from veritally.llm.quality import op10_quality_classifier
 from veritally.llm.secrets import op4_secret_scans
+from veritally.llm.spelling import op11_spelling_variants
 from veritally.llm.tokens import op6_token_counts
 from veritally.llm.url_filter import op3_url_filters
 from veritally.llm.warc import op5_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
