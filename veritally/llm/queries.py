@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veritally.llm.alignment import op12_cross_tokenizer_alignment
 from veritally.llm.decontaminate import op7_benchmark_decontamination
 from veritally.llm.embed_dedup import op2_embedding_near_dedup
 from veritally.llm.html_text import op8_html_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
