@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veritally.llm.alignment import op12_cross_tokenizer_alignment
+from veritally.llm.chat_format import op13_chat_formatting
 from veritally.llm.decontaminate import op7_benchmark_decontamination
 from veritally.llm.embed_dedup import op2_embedding_near_dedup
 from veritally.llm.html_text import op8_html_extraction
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -218,7 +218,8 @@ class TokenTree:
         return int(node.lens[entry])
 
 
-def _ranks(docs: DataFrame, vocabulary: str):
+def vocabulary_bytes(docs: DataFrame, vocabulary: str):
+    """The file of ranks as a broadcast variable."""
     with open(vocabulary, "rb") as f:
         data = f.read(VOCABULARY_BYTES + 1)
     if len(data) > VOCABULARY_BYTES:
@@ -248,7 +249,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     ``n_tokens`` counts the text, ``n_tokens_edited`` the text after its edits; ``n_encoded`` is the number of pre-tokens that the edits had encoded again.
     """
-    ranks = _ranks(docs, vocabulary)
+    ranks = vocabulary_bytes(docs, vocabulary)
 
     def run(batches):
         counter = Counter(ranks.value)
@@ -263,7 +264,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def count_masked(docs: DataFrame, digits: int = 4, mask: str = "#", vocabulary: str = VOCABULARY) -> DataFrame:
     """The same for ``docs`` (doc_id long, text string) with the edits that turn each run of at least so many digits into the mask (telephone and card numbers, keys)."""
-    ranks = _ranks(docs, vocabulary)
+    ranks = vocabulary_bytes(docs, vocabulary)
     find = regex.compile(rf"[0-9]{{{digits},}}+")
 
     def run(batches):
