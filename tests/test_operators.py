@@ -292,3 +292,31 @@ def test_checks(spark):
         provenance.check_system(spec | {"prompt": "x", "max_output_tokens": 11}, {"p"}, {"S"}, 10)
     body = spark.range(1).select(provenance.request_body("m", F.array(chat.message("user", F.lit("q"))), {"top_p": "1", "seed": "2"}, ("seed",)).alias("b")).first()["b"]
     assert json.loads(body) == {"model": "m", "messages": [{"role": "user", "content": "q"}], "top_p": "1"}
+
+
+def test_resamples_in_one_pass(spark):
+    """The vectors of all tasks together are the weighted sums of the multiplicities, which have mean and variance 1 and don't depend on the partitioning; the interval is that of theory."""
+    import hashlib
+
+    n, resamples = 600, 400
+    rows = [(f"g{i % 2}", i, float(i % 7), i % 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, x double, y int")
+    number = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    p = resample.PRIME
+    want = {}
+    for r in range(resamples):
+        a, c = 1 + number(5, "a", r) % (p - 1), number(5, "c", r) % p
+        for g, i, x, y in rows:
+            m = sum((number(5, i) % p * a + c) % p >= bound for bound in resample.BOUNDS)
+            w = want.setdefault((g, r), [0, 0, 0])
+            want[g, r] = [w[0] + m, w[1] + m * x, w[2] + m * y]
+    for parts in (1, 7):
+        got = resample.resampled(df.repartition(parts), [F.col("i")], ["x", "y"], resamples, 5, ["g"]).collect()
+        assert {(r.g, r._b): [r._w, r.x, r.y] for r in got} == want
+    sizes = np.array([w[0] for w in want.values()])
+    assert abs(sizes.mean() - 300) < 3 and abs(sizes.var() / 300 - 1) < 0.2
+    ci = resample.interval(df, [F.col("i")], "mean", ["x"], 2000).first()
+    half = 1.96 * np.std([r[2] for r in rows]) / n**0.5
+    assert (ci.high - ci.low) / 2 == pytest.approx(half, rel=0.08) and ci.value == pytest.approx((ci.low + ci.high) / 2, abs=half / 4)
+    one = resample.interval(df.where("i = 1").withColumn("z", F.col("y")).withColumn("w", F.col("y")), [F.col("i")], "f1", ["y", "z", "w"], 50).first()
+    assert one.n == 1 and one.low is not None

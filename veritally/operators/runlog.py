@@ -1,10 +1,13 @@
-"""Operators on append-only run logs. Windows run within a log's key; ``pos`` is the order of writing."""
+"""Operators on append-only run logs. Running values are segmented scans, so a key may hold all rows; ``pos`` is the order of writing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritally.operators.scan import decaying, lay, running
+from veritally.storage import written
+
 MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
 
 
@@ -31,12 +34,12 @@ def stale(log: DataFrame, current: str) -> DataFrame:
 
 def segments(log: DataFrame) -> DataFrame:
     """Runs of the same model name per key: positions count the key's answered rows from 1; rows without a name belong to none and break none."""
-    order = Window.partitionBy("key").orderBy("pos")
-    answered = log.where(~F.col("failed")).withColumn("row", F.row_number().over(order))
-    named = answered.where(F.col("model").isNotNull())
-    named = named.withColumn("_new", F.coalesce((F.col("model") != F.lag("model").over(order)).cast("int"), F.lit(1)))
-    named = named.withColumn("segment", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return named.groupBy("key", "segment", "model").agg(F.count("*").alias("rows"), F.min("row").cast("long").alias("first_row"), F.max("row").cast("long").alias("last_row"))
+    answered = lay(log.where(~F.col("failed")).select("key", "pos", "model"), ["key"], [F.col("pos")], "segments")
+    placed = running(answered, ["key"], {"row": ("sum", F.lit(1))})
+    named = running(written(placed.where(F.col("model").isNotNull()), "segments-named"), ["key"], {"_before": ("last", F.col("model"))}, before=True)
+    new = written(named.withColumn("_new", F.coalesce((F.col("model") != F.col("_before")).cast("int"), F.lit(1))), "segments-new")
+    runs = running(new, ["key"], {"segment": ("sum", F.col("_new"))})
+    return runs.groupBy("key", "segment", "model").agg(F.count("*").alias("rows"), F.min("row").alias("first_row"), F.max("row").alias("last_row"))
 
 
 def models_returned(log: DataFrame) -> DataFrame:
@@ -48,42 +51,50 @@ def models_returned(log: DataFrame) -> DataFrame:
 
 
 def budgets(log: DataFrame, span_us: int) -> DataFrame:
-    """For each row the requests and tokens of its key in the window (t - span, t]; the window leaves out its lower end, so it is one microsecond shorter than a closed one."""
-    w = Window.partitionBy("key").orderBy("at_us").rangeBetween(-(span_us - 1), 0)
-    return log.select("*", F.count("*").over(w).alias("requests"), F.sum("tokens").over(w).alias("window_tokens"))
+    """For each row the requests and tokens of its key in the window (t - span, t].
+
+    What enters at t leaves at t + span; running sums of the changes at each time are the window's content, without a window's buffer, for a key of any size.
+    """
+    change = lambda at, sign: log.select("key", at.alias("at_us"), F.lit(sign).cast("long").alias("_n"), (F.col("tokens") * sign).alias("_t"))
+    changes = change(F.col("at_us"), 1).union(change(F.col("at_us") + span_us, -1)).groupBy("key", "at_us").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"))
+    sums = running(lay(changes, ["key"], [F.col("at_us")], "budgets"), ["key"], {"requests": ("sum", F.col("_n")), "window_tokens": ("sum", F.col("_t"))})
+    return log.join(sums.select("key", "at_us", "requests", "window_tokens"), ["key", "at_us"]).select(*log.columns, "requests", "window_tokens")
 
 
 def frees_at(log: DataFrame, need: int, span_us: int) -> DataFrame:
     """Per key: when so many tokens of the log have aged out, counted from the oldest."""
-    w = Window.partitionBy("key").orderBy("at_us", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = log.withColumn("_run", F.sum("tokens").over(w))
+    laid = lay(log.select("key", "at_us", "pos", "tokens"), ["key"], [F.col("at_us"), F.col("pos")], "ageing")
+    run = running(laid, ["key"], {"_run": ("sum", F.col("tokens"))})
     return run.where(F.col("_run") >= need).groupBy("key").agg((F.min("at_us") + span_us).alias("frees_at_us"))
 
 
 def streaks(log: DataFrame, stop: int = 8) -> DataFrame:
-    """Per key: the longest run of failures, and the position where it first reached ``stop``."""
-    order = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    island = log.withColumn("_ok", F.sum((~F.col("failed")).cast("int")).over(order)).where("failed")
-    island = island.withColumn("_n", F.row_number().over(Window.partitionBy("key", "_ok").orderBy("pos")))
-    return island.groupBy("key").agg(F.max("_n").cast("long").alias("longest"), F.min(F.when(F.col("_n") >= stop, F.col("pos"))).alias("stopped_at"))
+    """Per key: the longest run of failures, and the position where it first reached ``stop``. A failure's place in its run is its distance from the last row that didn't fail."""
+    laid = lay(log.select("key", "pos", "failed"), ["key"], [F.col("pos")], "streaks")
+    placed = written(running(laid, ["key"], {"_row": ("sum", F.lit(1))}), "streaks-placed")
+    run = running(placed, ["key"], {"_ok": ("max", F.when(~F.col("failed"), F.col("_row")))}).where("failed")
+    run = run.withColumn("_n", F.col("_row") - F.coalesce("_ok", F.lit(0)))
+    return run.groupBy("key").agg(F.max("_n").alias("longest"), F.min(F.when(F.col("_n") >= stop, F.col("pos"))).alias("stopped_at"))
 
 
 def spend(log: DataFrame, cost: Column, cap: float, planned: int, least: int = 5) -> DataFrame:
     """Running cost per key, its projection to ``planned`` calls, and whether the run must stop there: total at the cap, or after ``least`` calls the projection above it."""
-    order = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = log.withColumn("calls", F.count("*").over(order)).withColumn("total", F.sum(cost).over(order))
+    laid = lay(log.withColumn("_cost", cost), ["key"], [F.col("pos")], "spend")
+    run = running(laid, ["key"], {"calls": ("sum", F.lit(1)), "total": ("sum", F.col("_cost"))}).drop("_cost", "_part", "_at")
     run = run.withColumn("projected", F.col("total") + F.col("total") / F.col("calls") * F.greatest(F.lit(0), F.lit(planned) - F.col("calls")))
     return run.withColumn("stop", (F.col("total") >= cap) | ((F.col("calls") >= least) & (F.col("projected") > cap)))
 
 
-def output_average(log: DataFrame, most: int) -> DataFrame:
-    """Per key: the exponential average (0.8 old, 0.2 new) of tokens in order, and the reservation 1.5 times it between 16 and ``most``.
+def reservations(log: DataFrame, most: int) -> DataFrame:
+    """``log`` with the exponential average (0.8 old, 0.2 new) of its key's tokens up to each row, and the reservation for the next call: 1.5 times the average, between 16 and ``most``."""
+    run = decaying(lay(log, ["key"], [F.col("pos")], "averages"), ["key"], "tokens", 0.8, "average").drop("_part", "_at")
+    return run.withColumn("reserve", F.greatest(F.lit(16), F.least(F.lit(most), F.ceil(F.round(F.col("average") * 1.5, 9)))).cast("long"))
 
-    A key's tokens are gathered in one array: a log of one run, at most as long as its evaluation set.
-    """
-    seq = log.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"].cast("double")).alias("t"))
-    ema = F.aggregate(F.slice("t", 2, F.greatest(F.lit(1), F.size("t"))), F.element_at("t", 1), lambda a, x: a * 0.8 + x * 0.2)
-    return seq.select("key", F.round(ema, 6).alias("average"), F.greatest(F.lit(16), F.least(F.lit(most), F.ceil(F.round(ema * 1.5, 9)))).cast("long").alias("reserve"))
+
+def output_average(log: DataFrame, most: int) -> DataFrame:
+    """Per key the last of `reservations`."""
+    last = latest(reservations(log.select("key", "pos", "tokens"), most), ["key"])
+    return last.select("key", F.round("average", 6).alias("average"), "reserve")
 
 
 def counters(log: DataFrame, by: list[str]) -> DataFrame:

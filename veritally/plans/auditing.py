@@ -162,10 +162,8 @@ ORACLE_SQL = {
     "overlap_loose": _overlap_sql(_LOOSE),
     "shared_test_rows": f"{_C} SELECT id, intent FROM corpus WHERE split = 'test' AND {_STRICT} IN (SELECT {_STRICT} FROM corpus WHERE split = 'train')",
     "unseen_text_em": f"""{_C}, t AS (SELECT doc_id, quality, {_STRICT} IN (SELECT {_STRICT} FROM corpus WHERE split = 'train') AS seen FROM corpus JOIN labels USING (doc_id) WHERE split = 'test'),
-l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality FROM t WHERE NOT seen), n AS (SELECT count(*) AS n FROM l),
-d AS (SELECT r.b, ('0x' || substr(md5('{resample.SEED}:' || r.b || ':' || i.i), 1, 8))::BIGINT % n.n AS pos FROM n, range({resample.RESAMPLES}) r(b), range(n.n) i(i)),
-s AS (SELECT d.b, avg(l.quality) AS m FROM d JOIN l USING (pos) GROUP BY 1)
-SELECT count(*) FILTER (NOT seen) AS n, round(avg(quality) FILTER (NOT seen), 9) AS exact_match, (SELECT round(quantile_cont(m, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(m, 0.975), 9) FROM s) AS high, count(*) FILTER (seen) AS excluded FROM t""",
+l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality FROM t WHERE NOT seen), {resample.resampled_sql("l", ["quality"], resample.RESAMPLES)}
+SELECT count(*) FILTER (NOT seen) AS n, round(avg(quality) FILTER (NOT seen), 9) AS exact_match, (SELECT round(quantile_cont(quality / w, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(quality / w, 0.975), 9) FROM s) AS high, count(*) FILTER (seen) AS excluded FROM t""",
     "expected_vs_actual": f"{_C}, a AS (SELECT 'rows_' || split AS key, count(*) AS actual FROM corpus GROUP BY ALL), e AS (SELECT * FROM (VALUES ('rows_train', 11514::BIGINT), ('rows_dev', 100), ('rows_test', 100), ('rows_extra', 1)) t(key, expected)) SELECT key, expected, actual, key || ': expected ' || coalesce(CAST(expected AS VARCHAR), 'nothing') || ', got ' || coalesce(CAST(actual AS VARCHAR), 'nothing') AS note FROM a FULL JOIN e USING (key) WHERE expected IS DISTINCT FROM actual",
     "integrity_counts": "SELECT count(*) AS n, count(*) FILTER (l_linenumber = 6) AS text_differs, CAST(count(*) FILTER (l_linenumber = 7) AS BIGINT) AS empty_dropped, count(*) FILTER (l_linenumber = 6) AS malformed FROM lineitem",
     "markup_parse": "SELECT l_orderkey, l_linenumber, 'send ' || CAST(l_quantity AS INT) || ' of ' || l_returnflag || ' at 5 : 30' AS text, 'quantity=' || CAST(l_quantity AS INT) || ';flag=' || l_returnflag || ';time=5 : 30' AS slots, 0::BIGINT AS empty_dropped, false AS malformed FROM lineitem",

@@ -60,6 +60,11 @@ def token_average(spark, d):
     return runlog.output_average(run_log(spark, d), 512)
 
 
+def call_reservations(spark, d):
+    """What is reserved for the call after each row."""
+    return runlog.reservations(run_log(spark, d), 512).select("key", "pos", F.round("average", 6).alias("average"), "reserve")
+
+
 def run_counters(spark, d):
     return runlog.counters(run_log(spark, d), ["concurrency"])
 
@@ -135,7 +140,7 @@ def probe_round_trips(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (latest_rows, pending_items, stale_rows, model_segments, models_returned, rolling_budget_minute, rolling_budget_day, budget_frees_at, failure_streaks, spend_projection, token_average, run_counters, outcome_frequencies, last_headers, latency_percentiles, operating_point, cost_by_load, call_cost, cost_bounds_per_1k, break_even_capacity, batch_projection, token_estimates, probe_round_trips)
+    for f in (latest_rows, pending_items, stale_rows, model_segments, models_returned, rolling_budget_minute, rolling_budget_day, budget_frees_at, failure_streaks, spend_projection, token_average, call_reservations, run_counters, outcome_frequencies, last_headers, latency_percentiles, operating_point, cost_by_load, call_cost, cost_bounds_per_1k, break_even_capacity, batch_projection, token_estimates, probe_round_trips)
 }
 
 _L = f"WITH {LOG_SQL}"
@@ -158,6 +163,7 @@ ORACLE_SQL = {
     "failure_streaks": f"{_L}, i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY pos) AS ok FROM log), n AS (SELECT key, pos, row_number() OVER (PARTITION BY key, ok ORDER BY pos) AS n FROM i WHERE failed) SELECT key, max(n) AS longest, min(pos) FILTER (n >= 2) AS stopped_at FROM n GROUP BY key",
     "spend_projection": f"{_L}, c AS (SELECT key, pos, (1000 + tokens * 2.0::DOUBLE) / 1e6 AS usd FROM log), r AS (SELECT key, count(*) OVER w AS calls, sum(usd) OVER w AS total FROM c WINDOW w AS (PARTITION BY key ORDER BY pos)), s AS (SELECT *, total >= 0.06 OR (calls >= 5 AND total + total / calls * greatest(0, 60 - calls) > 0.06) AS stop FROM r) SELECT key, min(calls) FILTER (stop) AS stops_after, round(max(total), 9) AS total FROM s GROUP BY key",
     "token_average": f"{_L}, t AS (SELECT key, list(CAST(tokens AS DOUBLE) ORDER BY pos) AS t FROM log GROUP BY key), e AS (SELECT key, list_reduce(t, lambda a, x: a * 0.8 + x * 0.2) AS e FROM t) SELECT key, round(e, 6) AS average, CAST(greatest(16, least(512, ceil(round(e * 1.5, 9)))) AS BIGINT) AS reserve FROM e",
+    "call_reservations": f"{_L}, o AS (SELECT key, pos, CAST(tokens AS DOUBLE) AS x, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM log), e AS (SELECT key, pos, i, x AS e FROM o WHERE i = 1 UNION ALL SELECT o.key, o.pos, o.i, e.e * 0.8 + o.x * 0.2 FROM e JOIN o ON o.key = e.key AND o.i = e.i + 1) SELECT key, pos, round(e, 6) AS average, CAST(greatest(16, least(512, ceil(round(e * 1.5, 9)))) AS BIGINT) AS reserve FROM e".replace("WITH", "WITH RECURSIVE", 1),
     "run_counters": f"{_L} SELECT concurrency, count(*) AS n, count(*) FILTER (NOT failed) AS scored, count(*) FILTER (failed AND NOT retriable) AS failed_for_good, count(*) FILTER (failed AND retriable) AS retries FROM log GROUP BY ALL",
     "outcome_frequencies": f"{_L} SELECT concurrency, model, count(*) AS n FROM log WHERE model IS NOT NULL GROUP BY ALL",
     "last_headers": f"{_L} SELECT key, CAST(arg_max(tokens, pos) AS VARCHAR) AS remaining FROM log WHERE pos % 4 = 0 GROUP BY key",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veritally.functions.stats import disagreement, verdict
 from veritally.operators import resample, retrieval, sampling
-from veritally.plans.bindings import CORPUS_SQL, corpus, table
+from veritally.operators.scoring import item_scores
+from veritally.plans.bindings import CORPUS_SQL, SLOTS_SQL, answered, corpus, table
 
 RESAMPLES = resample.RESAMPLES
 PLAN = [("D100", 100), ("D50", 50)]
@@ -32,6 +33,22 @@ def ratio_with_ci(spark, d):
     return _rounded(resample.interval(_labels(spark, d), _order(), "ratio", ["a", "b"], RESAMPLES))
 
 
+def _scored(spark, d):
+    return item_scores(answered(spark, d)).select("system", "id", "tp", "fp", "fn")
+
+
+def precision_with_ci(spark, d):
+    return _rounded(resample.interval(_scored(spark, d), [F.col("system"), F.col("id")], "precision", ["tp", "fp"], 1000, by=["system"]))
+
+
+def recall_with_ci(spark, d):
+    return _rounded(resample.interval(_scored(spark, d), [F.col("system"), F.col("id")], "recall", ["tp", "fn"], 1000, by=["system"]))
+
+
+def f1_with_ci(spark, d):
+    return _rounded(resample.interval(_scored(spark, d), [F.col("system"), F.col("id")], "f1", ["tp", "fp", "fn"], 1000, by=["system"]))
+
+
 def paired_bootstrap_labels(spark, d):
     p = resample.paired(_labels(spark, d), _order(), "a", "b", RESAMPLES)
     return _rounded(p.drop("mcnemar_p"))
@@ -85,13 +102,21 @@ def vector_cache_key(spark, d):
     return table(spark, d, "benchmark").agg(retrieval.cache_key(F.col("item_id"), F.col("text"), "test").alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (summary_with_ci, ratio_with_ci, paired_bootstrap_labels, mcnemar_exact, numpy_bootstrap, allocate_subsets, nested_subset_prefix, subset_hash, cycled_prompts, topk_cosine, bag_embeddings, vector_cache_key)}
+QUERIES = {f.__name__: f for f in (summary_with_ci, ratio_with_ci, precision_with_ci, recall_with_ci, f1_with_ci, paired_bootstrap_labels, mcnemar_exact, numpy_bootstrap, allocate_subsets, nested_subset_prefix, subset_hash, cycled_prompts, topk_cosine, bag_embeddings, vector_cache_key)}
 
-_DRAW = f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality AS a, 1 - toxic AS b FROM labels), n AS (SELECT count(*) AS n FROM l),
-d AS (SELECT r.b, ('0x' || substr(md5('{resample.SEED}:' || r.b || ':' || i.i), 1, 8))::BIGINT % n.n AS pos FROM n, range({RESAMPLES}) r(b), range(n.n) i(i)),
-s AS (SELECT d.b AS r, avg(l.a) AS ma, avg(l.b) AS mb, sum(l.a) / sum(l.b) AS rt FROM d JOIN l USING (pos) GROUP BY 1),
+_DRAW = f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality AS a, 1 - toxic AS b FROM labels), {resample.resampled_sql("l", ["a", "b"], RESAMPLES)},
 t AS (SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 0) AS a_only, count(*) FILTER (b = 1 AND a = 0) AS b_only, avg(a) - avg(b) AS difference, avg(a) AS ma, sum(a) / sum(b) AS rt FROM l),
-c AS (SELECT quantile_cont(ma - mb, 0.025) AS low, quantile_cont(ma - mb, 0.975) AS high, least(1.0, 2.0 * (least(count(*) FILTER (ma - mb <= 0), count(*) FILTER (ma - mb >= 0)) + 1) / {RESAMPLES + 1}) AS bootstrap_p FROM s)"""
+c AS (SELECT quantile_cont((a - b) / w, 0.025) AS low, quantile_cont((a - b) / w, 0.975) AS high, least(1.0, 2.0 * (least(count(*) FILTER (a - b <= 0), count(*) FILTER (a - b >= 0)) + 1) / {RESAMPLES + 1}) AS bootstrap_p FROM s)"""
+
+
+def _scores_sql(value: str, cols: list[str]) -> str:
+    """Intervals per system; ``value`` is a formula of summed columns."""
+    summed = f"SELECT system, count(*) AS n, {', '.join(f'sum({c}) AS {c}' for c in cols)} FROM l GROUP BY system"
+    return f"""WITH {SLOTS_SQL}, l AS (SELECT row_number() OVER (ORDER BY system, id) - 1 AS pos, system, {", ".join(cols)} FROM scored), {resample.resampled_sql("l", cols, 1000, ("system",))},
+q AS (SELECT system, quantile_cont({value}, 0.025) AS low, quantile_cont({value}, 0.975) AS high FROM s GROUP BY system), t AS ({summed})
+SELECT system, n, round({value}, 9) AS value, round(low, 9) AS low, round(high, 9) AS high FROM t JOIN q USING (system)"""
+
+
 _MC = "least(1.0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))) FROM range(least(a_only, b_only) + 1) k(i)))"
 
 def _alloc_sql(name: str, total: int, sizes: str) -> str:
@@ -109,8 +134,11 @@ _ALLOC = f"""WITH RECURSIVE n AS (SELECT lang, count(*) AS n FROM documents GROU
 {_alloc_sql('d100', 100, 'SELECT k, n FROM l')}, {_alloc_sql('d50', 50, 'SELECT k, p AS n FROM d100')},
 p AS (SELECT 'D100' AS subset, unnest(langs) AS lang, unnest(p) AS picks FROM l, d100 UNION ALL SELECT 'D50', unnest(langs), unnest(p) FROM l, d50)"""
 ORACLE_SQL = {
-    "summary_with_ci": f"{_DRAW} SELECT n, round(t.ma, 9) AS value, (SELECT round(quantile_cont(ma, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(ma, 0.975), 9) FROM s) AS high FROM t",
-    "ratio_with_ci": f"{_DRAW} SELECT n, round(t.rt, 9) AS value, (SELECT round(quantile_cont(rt, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(rt, 0.975), 9) FROM s) AS high FROM t",
+    "summary_with_ci": f"{_DRAW} SELECT n, round(t.ma, 9) AS value, (SELECT round(quantile_cont(a / w, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(a / w, 0.975), 9) FROM s) AS high FROM t",
+    "ratio_with_ci": f"{_DRAW} SELECT n, round(t.rt, 9) AS value, (SELECT round(quantile_cont(a / b, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(a / b, 0.975), 9) FROM s) AS high FROM t",
+    "precision_with_ci": _scores_sql("tp / (tp + fp)", ["tp", "fp"]),
+    "recall_with_ci": _scores_sql("tp / (tp + fn)", ["tp", "fn"]),
+    "f1_with_ci": _scores_sql("2 * tp / (2 * tp + fp + fn)", ["tp", "fp", "fn"]),
     "paired_bootstrap_labels": f"{_DRAW} SELECT n, round(difference, 9) AS difference, a_only, b_only, round(low, 9) AS low, round(high, 9) AS high, round(bootstrap_p, 9)::DOUBLE AS bootstrap_p FROM t, c",
     "mcnemar_exact": f"{_DRAW} SELECT n, a_only, b_only, round({_MC}, 9) AS p, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'no difference shown' END AS verdict, (low > 0 OR high < 0) <> ({_MC} < 0.05) AS disagree FROM t, c",
     "allocate_subsets": f"{_ALLOC} SELECT * FROM p",
