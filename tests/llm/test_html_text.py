@@ -140,3 +140,63 @@ def test_a_menu_and_a_footer_in_the_articles_own_container():
     article = "".join(f"<p>{'Words of the article go on and on here. ' * 5}</p>" for _ in range(4))
     page = f"<div class=c1><dl>Home</dl><dl>News</dl><dl>Sport</dl><dl>Contact</dl><h1>Title</h1>{article}<p>By me</p><dl>Imprint</dl><dl>Legal</dl><dl>Top</dl></div>"
     assert main_text(page) == "Title " + " ".join(["Words of the article go on and on here. " * 5] * 4).replace("  ", " ").strip() + " By me"
+
+
+PROSE = [f"Paragraph {i} of the article goes on with words and more words, as prose does." for i in range(5)]
+BODY = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PROSE)
+WHOLE = " ".join(["Title", *PROSE])
+
+#: Wrappers, as blog software writes them, whose names hold words of boilerplate; {} is the article.
+WRAPPERS = [
+    '<div id="page" class="layout has-sidebar"><article>{}</article></div>',
+    '<div class="content no-sidebar">{}</div>',
+    '<article class="post has-ad comments-open">{}</article>',
+    '<main><div class="article-body related-content">{}</div></main>',
+    '<div id="wrap" class="sidebar-right"><div id="content">{}</div><div id="sidebar"><p>About me, at length enough.</p></div></div>',
+    '<form id="aspnetForm"><div class="main">{}</div></form>',
+    '<div class="comments-open with-comments"><main>{}</main></div>',
+    '<div class="page-with-banner search-enabled">{}</div>',
+    '<section class="notice-board">{}</section>',
+    '<div class="newsletter">{}</div>',
+    '<div class="widget-area"><div class="social side">{}</div></div>',
+]
+
+
+def test_wrappers_with_telling_names_hold_the_article():
+    for wrapper in WRAPPERS:
+        around = "<nav><a href=x>Home</a></nav>" + wrapper.format(BODY) + "<footer>End</footer><div class='cookie-banner'>We use cookies</div>"
+        assert main_text(around) == WHOLE, wrapper
+
+
+def test_parts_of_an_article_with_ambiguous_names():
+    article = '<article><div class="post-header"><h1 class="page-header">Title</h1><p class="lead">The lead.</p></div>' + "".join(f"<p>{p}</p>" for p in PROSE) + '<p class="side-note">A note.</p><section class="notice-board"><p>On the board.</p></section><p>So <math><mi>x</mi><mo>+</mo><mn>1</mn></math> it is.</p>{}</article>'
+    want = " ".join(["Title", "The lead.", *PROSE, "A note.", "On the board.", "So x+1 it is."])
+    for extra in ("", '<div class="ad">Buy</div>', '<div class="share-buttons">Share</div>', '<div class="related-posts">More</div>', '<form><p>Mail</p></form>', '<div id="comments"><p>First!</p><p>Second.</p></div>'):
+        assert main_text(article.format(extra)) == want, extra
+    assert main_text("<main>" + article.format("").replace("article>", "div>") + "</main>") == want
+    assert main_text('<main><header><h1 class="page-header">Title</h1></header>' + BODY[14:] + "</main>") == WHOLE
+
+
+def test_comments_go_even_where_they_are_most_of_the_text():
+    talk = "".join(f"<article class=comment><p>{p}</p></article>" for p in PROSE * 4)
+    assert main_text(f"<div class=post>{BODY}</div><section class=comments>{talk}</section>") == WHOLE
+    assert main_text(f"<article>{BODY}<ol class=comment-list>{talk}</ol></article>") == WHOLE
+
+
+def test_random_wrappers():
+    rng = random.Random(9)
+    names = ["layout", "has-sidebar", "no-ads", "with-comments", "content", "comments-open", "is-promo", "page", "entry", "single-post", "sidebar-left", "col-8", "supports-popup", "not-sponsored"]
+    for _ in range(200):
+        html = f"<h1>Title</h1>{BODY[14:]}"
+        for _ in range(rng.randint(1, 4)):
+            html = f"<{(t := rng.choice(['div', 'section', 'article']))} class='{' '.join(rng.sample(names, rng.randint(1, 3)))}'>{html}</{t}>"
+        around = ["<div class='ad'>Buy now</div>", "<nav><a>Menu</a></nav>", "<div id='sidebar'><p>Archive of things</p></div>", "<div class='cookie-notice'><p>We use cookies</p></div>"]
+        rng.shuffle(around)
+        assert main_text("<body>" + around[0] + around[1] + html + around[2] + around[3] + "</body>") == WHOLE, html
+
+
+def test_invalid_utf8(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("cast(unhex('3C703E61FF623C2F703E') as string)").alias("html"))
+    assert extract_text(df).first().text == "a�b"

@@ -3,8 +3,10 @@
 Method
   1. The standard library's parser streams through the whole page. Each block of text between block-level tags is a line; its ratio is its
      characters per tag since the line before, with the one that ends it. Scripts, styles and the like give no text.
-  2. A line is set aside if it stands in a menu, header (outside an article), footer, sidebar, form, dialog, or in an element whose class, id or
-     role names an advert, notice, comment section and so on, or if it lies outside articles and is mostly link text.
+  2. A line is set aside if it stands in a menu, page header, footer, sidebar or dialog element, or if it lies outside articles and is mostly link text. Names are evidence only: an element
+     whose class, id or role names an advert, notice, comment section and so on, and a form, is set aside unless most of the page's text is in it (of comments: with an article, main or h1 element, too);
+     where nothing else is left its paragraphs and headings stay. Forms like ``has-sidebar`` or ``comments-open`` say what an element holds, not what it is, and count for nothing. Words that may mean
+     either (``side-note``, ``notice-board``) halve their lines' ratios and set nothing aside; names of headings don't count, nor do header words within articles and main elements.
   3. The ratios of all lines (those set aside count as 0) are smoothed by a Gaussian; two-means clustering of the smoothed ratios gives the threshold.
   4. A region is the innermost article, or else main element, or else container, of a line. Regions with a line above the threshold are content; if the page has articles
      or main elements, only those come into question, and the one with most text is taken if none passes. All lines of an article or main element that aren't set aside are
@@ -13,7 +15,7 @@ Method
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page order. A null or empty
 page, or one without content, gives the empty text. An unclosed element ends with its parent; a comment or tag that nothing closes runs to the end of the page, a marked section
-to its ``]]>`` or else the next ``>``; a tag with malformed attributes is a tag. No page raises, and the time is linear in its length.
+to its ``]]>`` or else the next ``>``; a tag with malformed attributes is a tag. Invalid UTF-8 is read with replacement characters. No page raises, and the time is linear in its length.
 Repeated rows are extracted each on its own; extra columns are ignored.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -29,24 +32,37 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veritally.llm.common import lean
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object select option textarea button canvas audio video".split())
+SILENT = frozenset("script style noscript template svg head title iframe object select option textarea button canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-ASIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
+ASIDE = frozenset("nav footer aside menu dialog search".split())
 REGION = frozenset("article main section div td body".split())
 # Words in class, id or role that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget header masthead footer share sharing social "
     "related recommended newsletter subscribe signup login search form comment comments reply replies disqus discussion pagination pager complementary contentinfo dialog".split()
 )
-# Beginnings of such words, for compounds.
-STEMS = tuple("advert sponsor promo banner cookie consent sidebar comment footer breadcrumb navbar navigation newsletter subscri popup recommend pagination".split())
+# Beginnings of words that keep this meaning in any compound.
+STEMS = tuple("advert sponsor promo cookie consent gdpr sidebar comment disqus footer breadcrumb navbar navigation newsletter subscri popup recommend pagination".split())
+# Words that don't change what the others of a compound mean.
+GENERIC = frozenset(
+    "area bar block bottom box button buttons container content contents global group holder icons inner item items left link links list main message messages module news outer page panel posts articles stories primary region right secondary section site slot text top unit wrap wrapper zone".split()
+)
+# Words of names that tell what an element holds or which state it is in.
+STATES = frozenset("has no with without not is are show hide shown hidden open closed on off enabled disabled allow allowed support supports".split())
+# Words of reader comments, of page headers, and of what names the article itself.
+TALK = frozenset("comment comments reply replies disqus discussion".split())
+TOPS = frozenset("header masthead banner".split())
+OWN = frozenset("article post entry story body prose content text".split())
+#: What names say of an element.
+NOTHING, MAYBE, OTHER, COMMENTS = range(4)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: Width of the Gaussian, in lines.
@@ -55,6 +71,7 @@ SIGMA = 1.0
 
 # Elements whose lines are prose.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<([A-Za-z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
 _COMMENT_END = re.compile(r"--!?\s*+>")
@@ -62,6 +79,31 @@ _LONG_NUMBER = re.compile(r"&#[0-9]{1000}")
 _NUMBER = re.compile(r"&#0*+([0-9]*+)")
 
 
+@lru_cache(10_000)
+def meaning(names: str, inside: bool, heading: bool) -> int:
+    """What the blank-separated names (classes, id, role) of an element say; ``inside`` an article or main element, or of a ``heading``, words of headers don't count."""
+    out = NOTHING
+    own = False
+    for name in names.split():
+        words = [w for w in map(str.lower, _SPLIT.split(name)) if w and not w.isdigit()]
+        marks = [w for w in words if (w in MARKS or w.startswith(STEMS)) and not (w in TOPS and (inside or heading))]
+        if not marks:
+            own |= any(w in OWN for w in words)
+        elif not STATES.intersection(words):
+            sure = any(w.startswith(STEMS) for w in marks) or all(w in MARKS or w in GENERIC for w in words)
+            out = max(out, (COMMENTS if any(w in TALK for w in marks) else OTHER) if sure else MAYBE)
+    return min(out, MAYBE) if own and out == OTHER else out
+
+
+class _Mark:
+    """An element that is set aside unless the page's text is in it."""
+
+    __slots__ = ("parent", "talk", "holds", "chars")
+
+    def __init__(self, parent: int, talk: bool):
+        self.parent, self.talk, self.holds, self.chars = parent, talk, False, 0
+
+
 class _Open(NamedTuple):
     """An open element, with what holds for the text in it."""
 
@@ -75,9 +117,12 @@ class _Open(NamedTuple):
     paragraph: int
     #: The innermost block.
     block: str
+    #: The innermost marked element, or -1, and whether its lines count half.
+    mark: int
+    half: bool
 
 
-_ROOT = _Open("", False, False, 0, 0, False, -1, "")
+_ROOT = _Open("", False, False, 0, 0, False, -1, "", -1, False)
 
 
 class _Line(NamedTuple):
@@ -88,6 +133,8 @@ class _Line(NamedTuple):
     rank: int
     linked: float
     prose: bool
+    mark: int
+    half: bool
 
 
 class _Lines(HTMLParser):
@@ -102,6 +149,7 @@ class _Lines(HTMLParser):
         self.linked = 0
         self.tags = 0
         self.lines: list[_Line] = []
+        self.marks: list[_Mark] = []
         self.cdata_ends = True
 
     def _top(self) -> _Open:
@@ -116,7 +164,7 @@ class _Lines(HTMLParser):
         line = _SPACE.sub(" ", "".join(self.text)).strip()
         if line:
             top = self._top()
-            self.lines.append(_Line(line, max(1, self.tags), top.aside, top.region, top.rank, self.linked / len(line), top.block in PROSE))
+            self.lines.append(_Line(line, max(1, self.tags), top.aside, top.region, top.rank, self.linked / len(line), top.block in PROSE, top.mark, top.half))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -132,23 +180,36 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         top = self._top()
-        aside, region, rank = top.aside, top.region, top.rank
-        in_article = rank == 2
-        named = set()
+        aside, region, rank, mark, half = top.aside, top.region, top.rank, top.mark, top.half
+        names = []
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                named.update(map(str.lower, _SPLIT.split(value)))
+                names.append(value)
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 aside = True
-        if tag in ASIDE or tag == "header" and not in_article or tag not in ("html", "body", "main") and (named & MARKS or any(w.startswith(STEMS) for w in named)) and not (tag == "header" or in_article and tag in ("h1", "h2", "h3")):
+        said = NOTHING
+        if tag not in ("html", "body", "main"):
+            said = meaning(" ".join(names), rank > 0, tag in HEADINGS) if names else NOTHING
+            if tag in ("form", "fieldset"):
+                said = max(said, OTHER)
+        if tag in ASIDE or tag == "header" and rank == 0:
             aside = True
+        elif said >= OTHER and tag != "header":
+            self.marks.append(_Mark(mark, said == COMMENTS))
+            mark = len(self.marks) - 1
+        elif tag in ("article", "main", "h1"):
+            m = mark
+            while m >= 0 and not self.marks[m].holds:
+                self.marks[m].holds = True
+                m = self.marks[m].parent
+        half = half or said == MAYBE
         if tag in REGION and not aside:
             new = 2 if tag == "article" else 1 if tag == "main" else 0
             if new >= rank:
                 self.regions += 1
                 region, rank = self.regions, new
         paragraph = len(self.stack) if tag == "p" else -1 if tag in BLOCK else top.paragraph
-        self.stack.append(_Open(tag, top.silent or tag in SILENT, aside, region, rank, top.linked or tag == "a", paragraph, tag if tag in BLOCK else top.block))
+        self.stack.append(_Open(tag, top.silent or tag in SILENT, aside, region, rank, top.linked or tag == "a", paragraph, tag if tag in BLOCK else top.block, mark, half))
         self.open[tag] += 1
 
     def handle_endtag(self, tag):
@@ -254,17 +315,39 @@ def threshold(x: np.ndarray) -> float:
         lo, hi = new
 
 
+def _set_aside(lines: list[_Line], marks: list[_Mark]) -> list[bool]:
+    """Which marked elements go: those that don't hold most of the text, and what is in them."""
+    total = 0
+    for x in lines:
+        if not x.aside:
+            total += len(x.text)
+            if x.mark >= 0:
+                marks[x.mark].chars += len(x.text)
+    for m in reversed(marks):
+        if m.parent >= 0:
+            marks[m.parent].chars += m.chars
+    gone: list[bool] = []
+    for m in marks:
+        stays = 2 * m.chars > total and (m.holds or not m.talk)
+        gone.append(not stays or m.parent >= 0 and gone[m.parent])
+    return gone
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(_numbers(html))
     parser.close()
     parser.flush()
     lines = parser.lines
-    kept = [not x.aside and not (x.rank == 0 and x.linked > 0.5) for x in lines]
+    gone = _set_aside(lines, parser.marks)
+    plausible = [not x.aside and not (x.rank == 0 and x.linked > 0.5) for x in lines]
+    kept = [ok and (x.mark < 0 or not gone[x.mark]) for x, ok in zip(lines, plausible, strict=True)]
+    if not any(kept):
+        kept = [ok and x.prose for x, ok in zip(lines, plausible, strict=True)]
     if not any(kept):
         return ""
     best = max(x.rank for x, ok in zip(lines, kept, strict=True) if ok)
-    level = smooth(np.array([len(x.text) / x.tags if ok else 0.0 for x, ok in zip(lines, kept, strict=True)]))
+    level = smooth(np.array([len(x.text) / x.tags / (1 + x.half) if ok else 0.0 for x, ok in zip(lines, kept, strict=True)]))
     cut = threshold(level)
     amount: dict[int, int] = {}
     span: dict[int, tuple[int, int]] = {}  # of a region: its first and last line above the threshold
@@ -286,13 +369,13 @@ def main_text(html: str) -> str:
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
+        texts = [main_text(h.decode("utf-8", "replace")) if h else "" for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): a row per row of ``pages`` (page_id long, url string, html string)."""
-    return pages.select("page_id", "url", "html").mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
