@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ FILE_BYTES = 64 << 20
 WIDTH = 1 << 18
 #: Pairs that are sent to all tasks at most (13 bytes each).
 HEAVY = 1_000_000
-#: Stretches that are remembered, and their longest; pairs that a task sums before it hands them on.
-REMEMBERED, LONGEST, SUMMED = 150_000, 48, 2_000_000
+#: Stretches that are remembered (in each of two generations), and their longest; pairs that a task sums before it hands them on.
+REMEMBERED, LONGEST, SUMMED = 200_000, 48, 2_000_000
+#: Stretches of a text that are aligned together.
+AT_ONCE = 20_000
 
 def _class(*ranges: tuple[int, int]) -> str:
     return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
@@ -108,38 +111,52 @@ class PieceBpe:
         """Of a space and ``text``."""
         return self.model.encode(text, num_threads=1)
 
-    def stretch(self, piece: str) -> list[int] | None:
-        """Of a piece that begins with white space, as it is within a text; None if that can't be told."""
-        if piece == " ":
-            return [self.space]
-        if piece[0] == " ":
-            return self.encode(piece[1:])
-        ids = self.encode(piece)
-        return ids[1:] if ids and ids[0] == self.space else None
+    def stretches(self, pieces: list[str]) -> list[list[int] | None]:
+        """Of pieces that begin with white space, each as it is within a text; None if that can't be told."""
+        out = self.model.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1) if pieces else []
+        for k, piece in enumerate(pieces):
+            if piece == " ":
+                out[k] = [self.space]
+            elif piece[0] != " ":
+                out[k] = out[k][1:] if out[k] and out[k][0] == self.space else None
+        return out
+
+
+class _State:
+    """Which side leads, its unmatched bytes, and the states that the lagging side's tokens lead to."""
+
+    __slots__ = ("a_leads", "residual", "after")
+
+    def __init__(self, a_leads: bool, residual: bytes):
+        self.a_leads, self.residual, self.after = a_leads, residual, {}
 
 
 class Transducer:
     """Aligns two lists of tokens that spell the same bytes."""
 
     def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
-        self.a, self.b, self.known = a, b, {}
+        self.a, self.b, self.states, self.known = a, b, {}, 0
+
+    def state(self, a_leads: bool, residual: bytes) -> _State:
+        if self.known > REMEMBERED:
+            self.states, self.known = {}, 0
+        key = a_leads, residual
+        if key not in self.states:
+            self.states[key] = _State(a_leads, residual)
+        return self.states[key]
 
-    def step(self, a_leads: bool, residual: bytes, token: int) -> tuple[bool, bytes]:
+    def step(self, state: _State, token: int) -> _State:
         """The state after the lagging side's next token; an empty residual closes the group."""
-        key = a_leads, residual, token
-        state = self.known.get(key)
-        if state is None:
-            new = (self.b if a_leads else self.a)[token]
-            if residual.startswith(new):
-                state = a_leads, residual[len(new) :]
-            elif new.startswith(residual):
-                state = not a_leads, new[len(residual) :]
-            else:
-                raise ValueError("the tokens spell different bytes")
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[key] = state
-        return state
+        residual, new = state.residual, (self.b if state.a_leads else self.a)[token]
+        if residual.startswith(new):
+            onward = self.state(state.a_leads, residual[len(new) :])
+        elif new.startswith(residual):
+            onward = self.state(not state.a_leads, new[len(residual) :])
+        else:
+            raise ValueError("the tokens spell different bytes")
+        state.after[token] = onward
+        self.known += 1
+        return onward
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
         """Groups as (first, last + 1) of both lists, and the linked ids."""
@@ -147,10 +164,10 @@ class Transducer:
         groups, links = [], []
         while i < len(a):
             i0, j0 = i, j
-            a_leads, residual = True, self.a[a[i]]
+            state = self.states.get((True, self.a[a[i]])) or self.state(True, self.a[a[i]])
             i += 1
-            while residual:
-                if a_leads:
+            while state.residual:
+                if state.a_leads:
                     token = b[j]
                     links.append((a[i - 1], token))
                     j += 1
@@ -158,7 +175,7 @@ class Transducer:
                     token = a[i]
                     links.append((token, b[j - 1]))
                     i += 1
-                a_leads, residual = self.step(a_leads, residual, token)
+                state = state.after.get(token) or self.step(state, token)
             groups.append((i0, i, j0, j))
         return groups, links
 
@@ -170,23 +187,16 @@ class Aligner:
         self.a, self.b = ByteBpe(a_file), PieceBpe(b_file)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def _aligned(self, text: str, a: list[int], b: list[int] | None):
         """Of ``text``, which holds the space before it already."""
-        want = text.encode()
-        if b is None or b"".join([self.a.bytes[x] for x in a]) != want or b"".join([self.b.bytes[x] for x in b]) != want:
+        want, spelt = text.encode(), self.a.bytes
+        if b is None or b"".join([spelt[x] for x in a]) != want or b"".join([self.b.bytes[x] for x in b]) != want:
             return None
         groups, links = self.transducer.align(a, b)
-        said = ";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups])
-        return len(a), len(b), len(groups), said, np.array([x * WIDTH + y for x, y in links], np.int64).tobytes()
-
-    def _stretch(self, piece: str):
-        out = self._aligned(piece, self.a.encode(piece), self.b.stretch(piece))
-        if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = out
-        return out
+        said = ";".join([f"{a[i]}|{b[j]}" if k - i == m - j == 1 else f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups])
+        return len(a), len(b), len(groups), said, array("q", [x * WIDTH + y for x, y in links]).tobytes()
 
     def align(self, text: str | None):
         if not text or "▁" in text:
@@ -195,11 +205,27 @@ class Aligner:
         if not self.b.splits or _ODD.search(text):
             return self._aligned(spaced, self.a.encode(spaced), self.b.encode(text))
         known, parts = self.known, []
-        for piece in _STRETCH.findall(spaced):
-            part = known.get(piece) or self._stretch(piece)
-            if part is None:
-                return None
-            parts.append(part)
+        pieces = _STRETCH.findall(spaced)
+        for k in range(0, len(pieces), AT_ONCE):
+            some = pieces[k : k + AT_ONCE]
+            new = []
+            for piece in dict.fromkeys(some):
+                if piece not in known:
+                    if piece in self.older:
+                        known[piece] = self.older[piece]
+                    else:
+                        new.append(piece)
+            for piece, b in zip(new, self.b.stretches(new), strict=True):
+                known[piece] = self._aligned(piece, self.a.encode(piece), b)
+            parts += [known[p] for p in some]
+            for piece in new:
+                if len(piece) > LONGEST or known[piece] is None:
+                    del known[piece]
+            if len(known) > REMEMBERED:
+                self.older, self.known = known, {}
+                known = self.known
+        if None in parts:
+            return None
         a, b, groups, said, links = zip(*parts, strict=True)
         return sum(a), sum(b), sum(groups), ";".join(said), b"".join(links)
 
