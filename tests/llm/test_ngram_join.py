@@ -91,3 +91,19 @@ def test_one_of_each_keeps_columns(docs, rows):
     kept = J.one_of_each(d)
     assert kept.columns == d.columns
     assert rows(kept, "doc_id", "source") == [(1, "y"), (2, None)]
+
+
+def test_rows_without_an_id_keep_their_links(spark, docs, rows):
+    """A near copy of two documents ties them together, whether it has an id or not; so does an exact copy without one."""
+    words = [f"w{i}" for i in range(120)]
+    a, b = " ".join(words), " ".join([*words[:112], *(f"x{i}" for i in range(8))])
+    middle = " ".join([*words[:118], "y", "z"])
+    far = " ".join(f"q{i}" for i in range(50))
+    left = " ".join(["l1", "l2", "l3", "l4", "l5", "l6", "l7", *words[7:]])
+    right = " ".join([*words[:113], "r1", "r2", "r3", "r4", "r5", "r6", "r7"])
+    for middle_id in (3, None):
+        got = dict(rows(J.ngram_jaccard_join(docs([(5, left, "s"), (7, right, "s"), (middle_id, a, "s"), (9, far, "s"), (None, far + " more words here", "s")])), "doc_id", "component_id"))
+        assert got[5] == got[7] == (3 if middle_id else 5) and got[9] == 9
+    got = rows(J.ngram_jaccard_join(docs([(None, a, "s"), (None, middle, "s"), (None, a, "s"), (8, b, "s"), (None, None, "s")])), "doc_id", "component_id")
+    assert sorted(got, key=repr) == [(8, 8), (None, 8), (None, 8), (None, 8), (None, None)]
+    assert rows(J.ngram_jaccard_join(docs([(None, a, "s"), (None, middle, "s")])), "component_id") == [(None,), (None,)]

@@ -19,7 +19,7 @@ Method
   5. Connected components over those forests.
 
 Nulls, empty texts and texts without words have the empty set and link with nothing. Repeated doc_ids fall into the component
-of any of their texts and keep their own rows. Extra columns are ignored. The similarity is exact up to collisions of 64-bit hashes.
+of any of their texts and keep their own rows. Rows without a doc_id link like others, and what they link is one component; they don't name it (null, if no row of it has an id). Extra columns are ignored. The similarity is exact up to collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -398,6 +398,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     rep = counted.groupBy("part").applyInArrow(lean(_summed), "key long, rep long")
     near = written(rep.join(sets, "key").where(F.col("rep") * den >= F.col("n") * num).select("key", "doc_id"), "ngram-near")
     texts = docs.join(small(near.select("doc_id").distinct()), "doc_id", "left_semi")
+    if near.where("doc_id IS NULL").limit(1).count():  # sets that only rows without an id have: these are told apart by key, below
+        texts = texts.union(docs.where("doc_id IS NULL"))
     full = texts.mapInArrow(lean(_binary_sets(k)), "key long, n long, shingles binary").join(near.select("key"), "key", "left_semi")
     full = written(full.dropDuplicates(["key"]), "ngram-sets")
     levels = full.mapInArrow(lean(_cut(parts)), "part int, keys binary, counts binary, hashes binary").groupBy("part").applyInArrow(lean(_frequency(parts)), "to int, part int, keys binary, counts binary, classes binary")
