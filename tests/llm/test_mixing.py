@@ -139,3 +139,23 @@ def test_blocks_are_whole_and_differ_by_seed(docs):
     assert len(whole) == 375 and a != b
     at = [i for i, x in enumerate(whole) if x]
     assert len({j - i for i, j in zip(at, at[1:])}) > 1
+
+
+def test_a_tiny_source_leaves_the_others_choice_alone(docs, rows):
+    d = [(i, " ".join(f"w{j}" for j in range(200)), "a") for i in range(300)]
+    before = dict(rows(mix_sources(docs(d)), "doc_id", "taken"))
+    after = dict(rows(mix_sources(docs([*d, (1000, "one", "b")])), "doc_id", "taken"))
+    assert after.pop(1000) == 2
+    changed = sum(before[i] != after[i] for i in before)
+    assert changed <= 2 and abs(sum(before.values()) - sum(after.values())) <= 20
+
+
+def test_rows_without_ids_are_many_shards(docs, monkeypatch):
+    from veritally.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 200)
+    d = docs([(None if i % 3 else 5, f"text {i} " * (i % 30), "hot") for i in range(600)])
+    keyed = mixing.sizes(d).selectExpr("xxhash64(17, doc_id, size, digest) AS h")
+    assert keyed.distinct().count() > 500
+    got = near_targets(mix_sources(d).collect())
+    assert got.keys() == {"hot"}

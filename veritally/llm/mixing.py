@@ -5,18 +5,17 @@ Method
   2. *Targets.* The sources, ordered by code point with null last, have the weights ``weights`` in turn. They share
      ``share`` of all sizes by weight; no target exceeds ``cap`` times its source's size, and what that frees is shared again
      by weight until no target is above. That ends at one level: target = min(cap * size, level * weight).
-  3. *Quotas.* All blocks are given to the sources one by one by the highest quotient
-     target / (2 * seats + 1). Two divisors bound each source's seats from below and above; only the quotients between them
-     (about one per source) are ranked. A source's seats go to its shards in the same way, by the shards' words.
-     A block has ``block_words`` words, or fewer where the smallest target would have less than ``FEWEST`` blocks (one word at least).
-  4. *Shards.* A source is dealt into shards by a seeded hash of doc_id, so a source with a third of all rows is many shards,
-     each of bounded size. In a shard, documents stand in seeded order and are cut into equal blocks (the last may be shorter).
+  3. *Quotas.* All words are given to the sources one by one by the highest quotient target / (2 * words + 1). Two divisors bound each source's words from below and above; only the
+     quotients between them (about one per source) are ranked. A source's words are whole blocks of equal size: ``block_words`` words, or fewer where its target would have less than ``FEWEST`` blocks
+     (one word at least), so the size follows from the source alone. Its blocks go to its shards by the highest quotients in the same way, by the shards' words.
+  4. *Shards.* A source is dealt into shards by a seeded hash of doc_id, size and text, so a source with a third of all rows is many shards,
+     each of bounded size, with or without different doc_ids. In a shard, documents stand in seeded order and are cut into equal blocks (the last may be shorter).
   5. *Blocks.* A shard with q seats and b blocks takes each block q div b times, and m = q mod b blocks once more: one of each of m equal runs of blocks, by a seeded
      hash of the run. So a document's ``taken``, the words of its blocks, repeats counted, follows from its first and last word alone, however long it is.
 
 Sources may be as many as documents: they are ranked and summed like other rows, never in one task.
 
-Determinism: everything follows from the seed, doc_id and text; equal doc_ids are ordered by size. Null or empty texts have size 0
+Determinism: everything follows from the seed, doc_id and text; rows equal in both are alike. Null or empty texts have size 0
 and are taken with 0 words. A source without words has target 0. An empty table gives an empty mix. Extra columns are ignored.
 """
 
@@ -28,15 +27,15 @@ from pyspark.sql import functions as F
 from veritally.llm.common import small, written
 from veritally.operators.ranks import with_rank
 
-#: Words of a block, and the blocks that the smallest target has at least while a block has more than one word.
+#: Words of a block, and the blocks that a target has at least while the source's blocks have more than one word.
 BLOCK_WORDS, FEWEST = 16, 40
 #: Words of a shard, and the most shards of a source.
 SHARD_WORDS, MAX_SHARDS = 65_536, 65_536
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words of each document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, digest, size): the number of words of each document, and a hash of its text."""
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -101,26 +100,28 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
     """
     sized = written(sizes(docs), "mix-sizes")
     per = written(targets(sized, weights, share, cap), "mix-targets")
-    all_, least = per.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    block = max(1, min(block_words, int((least or 0) // FEWEST)))
-    per = apportion(per, [], F.lit(round((all_ or 0.0) / block)), F.col("target"), [F.col("source").asc_nulls_last()]).withColumnRenamed("quota", "seats")
-    per = written(per.withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")).select("source", "source_size", "target", "seats", "shards"), "mix-seats")
+    all_ = per.agg(F.sum("target")).first()[0] or 0.0
+    per = apportion(per, [], F.lit(round(all_)), F.col("target"), [F.col("source").asc_nulls_last()])
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / FEWEST))).cast("long")
+    shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("long")
+    per = per.select("source", "source_size", "target", "quota", block.alias("block"), shards.alias("shards"))
+    per = written(per.select("source", "source_size", "target", F.round(F.col("quota") / F.col("block")).cast("long").alias("seats"), "block", "shards"), "mix-seats")
 
     # a key that is never null, so that windows, aggregates and joins by source and shard share one partitioning
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    keyed = sized.withColumn("_src", name).drop("source").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
+    keyed = sized.withColumn("_src", name).drop("source").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size", "digest"))
     dealt = keyed.join(small(per.withColumn("_src", name)), "_src")
     dealt = dealt.withColumn("shard", F.pmod(F.shiftrightunsigned("_hash", 17), F.col("shards")))
     key = ["_src", "shard"]
     words = dealt.groupBy(*key, "seats").agg(F.sum("size").alias("words"))
     quotas = apportion(words, ["_src"], F.col("seats"), F.col("words"), [F.col("shard")]).select(*key, "words", "quota")
 
-    in_order = Window.partitionBy(*key).orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy(*key).orderBy("_hash", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumn("_end", F.sum("size").over(in_order)).withColumn("_begin", F.col("_end") - F.col("size"))
     laid = laid.join(quotas, key)
     div = lambda a, b: F.call_function("div", a, b)
     one = F.lit(1).cast("long")
-    laid = laid.withColumn("_b", F.greatest(one, div(F.col("words") + (block - 1), F.lit(block).cast("long"))))
+    laid = laid.withColumn("_b", F.greatest(one, div(F.col("words") + F.col("block") - 1, F.col("block"))))
     laid = laid.withColumn("quota", F.least("quota", (F.col("_b") * F.lit(float(cap))).cast("long")))
     laid = laid.withColumn("_rounds", div(F.col("quota"), F.col("_b"))).withColumn("_m", F.pmod("quota", "_b"))
     # run r of the m runs has the blocks from r * b div m on; the last block alone may be short, and it is in the last run
@@ -130,9 +131,10 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: flo
 
     def before(word):
         """Words of the chosen blocks before this one."""
-        j = F.least(F.col("_b") - 1, div(word, F.lit(block).cast("long")))
+        size = F.col("block")
+        j = F.least(F.col("_b") - 1, div(word, size))
         r, c = run_of(j), chosen(run_of(j))
-        return r * block + F.when(c < j, F.lit(block)).when(c == j, word - j * block).otherwise(F.lit(0))
+        return r * size + F.when(c < j, size).when(c == j, word - j * size).otherwise(F.lit(0))
 
     extra = F.when(F.col("_m") > 0, before(F.col("_end")) - before(F.col("_begin"))).otherwise(F.lit(0))
     taken = F.when(F.col("size") > 0, F.col("_rounds") * F.col("size") + extra).otherwise(F.lit(0)).cast("long")
