@@ -66,3 +66,46 @@ def test_many_edits_of_a_long_text(counter):
             tree = T.TokenTree(text, counter)
             tree.edit(at, at + 1, " z")
             assert tree.text == text[:at] + " z" + text[at + 1 :] and tree.tokens == len(counter.bpe.encode_ordinary(tree.text))
+
+
+def depth(node):
+    deepest, todo = 0, [(node, 1)]
+    while todo:
+        node, d = todo.pop()
+        deepest = max(deepest, d)
+        if node.left is not None:
+            todo += [(node.left, d + 1), (node.right, d + 1)]
+    return deepest
+
+
+@pytest.mark.parametrize("where", ["same", "behind", "middle", "random"])
+def test_many_edits_at_one_place(counter, where):
+    """The tree stays flat whatever the order of places; the counts are those of the text."""
+    rng, tree, n = random.Random(4), T.TokenTree("start of a text and its end", counter), 20_000
+    start = time.monotonic()
+    at = 5
+    for i in range(n):
+        tree.edit(at, at, f"w{i} ")
+        at = at if where == "same" else at + len(f"w{i} ") if where == "behind" else tree.root.chars // 2 if where == "middle" else rng.randrange(tree.root.chars)
+    assert time.monotonic() - start < 30
+    assert depth(tree.root) <= 4 + 2.1 * tree.root.leaves.bit_length() and tree.root.leaves > 100
+    assert tree.tokens == len(counter.bpe.encode_ordinary(tree.text))
+    for _ in range(400):  # and after deletions
+        tree.edit(3, 3 + tree.root.chars // 50, "")
+    assert tree.tokens == len(counter.bpe.encode_ordinary(tree.text)) and depth(tree.root) < 40
+
+
+def test_insertions_at_one_place_are_one_edit(spark, counter):
+    edits = [(6, 6, f"x{i} ") for i in range(200_000)] + [(6, 11, "there")]
+    start = time.monotonic()
+    (row,) = T._edited(counter, [(1, "hello world", edits)])
+    assert time.monotonic() - start < 10 and row[2] == 200_001
+    assert row[3] == len(counter.bpe.encode_ordinary("hello " + "".join(f"x{i} " for i in range(200_000)) + "there"))
+    assert T.merged([(5, 5, "a"), (1, 3, "b"), (5, 5, None), (5, 7, "c"), (7, 7, "d"), (1, 1, "e")]) == [(1, 3, "b"), (1, 1, "e"), (5, 7, "ac"), (7, 7, "d")]
+
+
+def test_invalid_utf8(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('61FF3132333435') as string)").alias("text"))
+    assert T.count_masked(df).first().n_edits == 1

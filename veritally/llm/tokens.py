@@ -6,12 +6,13 @@ Method
   2. An edit (start, end, text) finds its place by the sums. Splitting starts again before it, at a boundary whose pre-tokens can't have seen the edit: all white space
      before the edit and ``LOOK`` characters are context. It goes on in the new text until a boundary falls on an old one after the edit; from there on
      old and new agree, as the pattern looks only ahead. Only the pre-tokens between are encoded; the leaves they fall in, which hold the text, and the sums on the path to the root change.
-     So an edit takes time by its own length and the depth of the tree, not by the text's length.
+     So an edit takes time by its own length and the depth of the tree, not by the text's length. A part of the tree that has become uneven is built anew, so the depth stays in proportion to the
+     logarithm of the leaves, wherever the edits are; insertions at one place are one edit.
   3. The document's count is the root's sum. It equals that of encoding the new text from scratch.
 
 Edits are code-point spans of the original text, not overlapping, applied from right to left (of edits at one place, the later in the list first); ends beyond the text are cut.
 Null and empty texts have 0 tokens; a null list has no edits; a null replacement is empty. The vocabulary is a parameter: a file of ranks that the driver reads and sends to the executors, at most
-``VOCABULARY_BYTES`` long. Repeated rows count each on its own; extra columns are ignored.
+``VOCABULARY_BYTES`` long. Invalid UTF-8 is read with replacement characters. Repeated rows count each on its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veritally.llm.common import lean
 
@@ -68,7 +70,7 @@ class Counter:
 class _Node:
     """Of a leaf: its text, and arrays of lengths and counts; of an inner node: two children. Sums: chars, tokens, entries."""
 
-    __slots__ = ("left", "right", "text", "lens", "toks", "chars", "tokens", "entries")
+    __slots__ = ("left", "right", "text", "lens", "toks", "chars", "tokens", "entries", "leaves")
 
     def __init__(self, text=None, lens=None, toks=None, left=None, right=None):
         self.left, self.right, self.text, self.lens, self.toks = left, right, text, lens, toks
@@ -76,10 +78,36 @@ class _Node:
 
     def update(self):
         if self.left is None:
-            self.chars, self.tokens, self.entries = int(self.lens.sum()), int(self.toks.sum()), len(self.lens)
+            self.chars, self.tokens, self.entries, self.leaves = int(self.lens.sum()), int(self.toks.sum()), len(self.lens), 1
         else:
             a, b = self.left, self.right
-            self.chars, self.tokens, self.entries = a.chars + b.chars, a.tokens + b.tokens, a.entries + b.entries
+            self.chars, self.tokens, self.entries, self.leaves = a.chars + b.chars, a.tokens + b.tokens, a.entries + b.entries, a.leaves + b.leaves
+
+    def become(self, other: _Node):
+        self.left, self.right, self.text, self.lens, self.toks = other.left, other.right, other.text, other.lens, other.toks
+        self.update()
+
+    def even(self) -> bool:
+        """Whether neither side has much more than half of the leaves."""
+        return self.left is None or 10 * max(self.left.leaves, self.right.leaves) <= 7 * self.leaves + 10
+
+    @staticmethod
+    def over(leaves: list[_Node]) -> _Node:
+        """A tree of these leaves."""
+        while len(leaves) > 1:
+            leaves = [_Node(left=leaves[i], right=leaves[i + 1]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0]
+
+    def parts(self) -> list[_Node]:
+        """The leaves in order."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if node.left is None:
+                out.append(node)
+            else:
+                todo += (node.right, node.left)
+        return out
 
     @staticmethod
     def build(text: str, lens, toks) -> _Node:
@@ -102,8 +130,7 @@ class _Node:
             self.lens = np.concatenate([self.lens[:i], lens, self.lens[j:]])
             self.toks = np.concatenate([self.toks[:i], toks, self.toks[j:]])
             if len(self.lens) > 2 * LEAF:
-                new = _Node.build(self.text, self.lens, self.toks)
-                self.left, self.right, self.text, self.lens, self.toks = new.left, new.right, None, None, None
+                self.become(_Node.build(self.text, self.lens, self.toks))
         else:
             k = self.left.entries
             none = lens[:0]
@@ -178,7 +205,7 @@ class TokenTree:
         total = root.entries
         last, last_at = root.before(end)
         if last < total and last_at < end:  # within a pre-token: its end is the first boundary after the edit
-            last_at += self._length(last)
+            last_at += next(self._lengths(last))
             last += 1
         head = root.part(at, start) + new
         shift = len(head) - end  # from places of the old text, after the edit, to those of the piece that is split anew
@@ -186,11 +213,11 @@ class TokenTree:
         while True:
             stop = min(n, max(end, last_at) + span)
             piece = head + root.part(end, stop)
-            lens, toks, pos, old, old_at = [], [], 0, last, last_at
+            lens, toks, pos, old, old_at, lengths = [], [], 0, last, last_at, self._lengths(last)
             met = False
             for m in self.counter.pattern.finditer(piece):
                 while old < total and old_at + shift < pos:
-                    old_at += self._length(old)
+                    old_at += next(lengths)
                     old += 1
                 met = pos >= len(head) and old_at + shift == pos
                 if met or stop < n and m.end() > len(piece) - LOOK:  # the rest of the text may have a say
@@ -206,16 +233,40 @@ class TokenTree:
             span *= 4
         self.touched += len(lens)
         root.replace(first, old, piece[:pos], np.array(lens, np.int64), np.array(toks, np.int64))
+        self._even_out(first)
+
+    def _lengths(self, entry: int):
+        """Lengths of the entries from this one on, leaf by leaf."""
+        later, node = [], self.root
+        while node.left is not None:
+            if entry < node.left.entries:
+                later.append(node.right)
+                node = node.left
+            else:
+                entry -= node.left.entries
+                node = node.right
+        yield from node.lens[entry:].tolist()
+        while later:
+            node = later.pop()
+            if node.left is None:
+                yield from node.lens.tolist()
+            else:
+                later += (node.right, node.left)
 
-    def _length(self, entry: int) -> int:
+    def _even_out(self, entry: int) -> None:
+        """Builds the highest uneven node on the way to an entry anew: a node becomes uneven only by changes in proportion to it, so this costs each edit the tree's depth on average."""
         node = self.root
         while node.left is not None:
+            if not node.even():
+                kept = [leaf for leaf in node.parts() if leaf.entries]
+                if kept:
+                    node.become(_Node.over(kept))
+                return
             if entry < node.left.entries:
                 node = node.left
             else:
                 entry -= node.left.entries
                 node = node.right
-        return int(node.lens[entry])
 
 
 def vocabulary_bytes(docs: DataFrame, vocabulary: str):
@@ -230,16 +281,32 @@ def vocabulary_bytes(docs: DataFrame, vocabulary: str):
 _SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_encoded long"
 
 
+def merged(edits: list[tuple[int, int, str | None]]) -> list[tuple[int, int, str]]:
+    """The edits from left to right, with insertions at one place, and the edit that begins there, as one."""
+    out: list[list] = []
+    for start, end, new in sorted(edits, key=lambda e: e[0]):
+        if out and out[-1][0] == out[-1][1] == start:
+            out[-1][1] = end
+            out[-1][2].append(new or "")
+        else:
+            out.append([start, end, [new or ""]])
+    return [(start, end, "".join(new)) for start, end, new in out]
+
+
 def _edited(counter: Counter, rows):
     """Rows of the schema for (doc_id, text, edits as (start, end, text))."""
     for doc_id, text, edits in rows:
         tree = TokenTree(text or "", counter)
         before = tree.tokens
-        for start, end, new in sorted(edits, key=lambda e: e[0])[::-1]:
-            tree.edit(start, end, new or "")
+        for start, end, new in reversed(merged(edits)):
+            tree.edit(start, end, new)
         yield doc_id, before, len(edits), tree.tokens, tree.touched
 
 
+def _decoded(raw: bytes | None) -> str:
+    return "" if raw is None else raw.decode("utf-8", "replace")
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
@@ -255,11 +322,11 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         counter = Counter(ranks.value)
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "edits"))
-            rows = list(_edited(counter, ((i, t, [(e["start"], e["end"], e["text"]) for e in edits or ()]) for i, t, edits in zip(*columns, strict=True))))
+            rows = list(_edited(counter, ((i, _decoded(t), [(e["start"], e["end"], e["text"]) for e in edits or ()]) for i, t, edits in zip(*columns, strict=True))))
             if rows:
                 yield _table(rows)
 
-    return docs.select("doc_id", "text", "edits").mapInArrow(lean(run), _SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "edits").mapInArrow(lean(run), _SCHEMA)
 
 
 def count_masked(docs: DataFrame, digits: int = 4, mask: str = "#", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -270,12 +337,12 @@ def count_masked(docs: DataFrame, digits: int = 4, mask: str = "#", vocabulary:
     def run(batches):
         counter = Counter(ranks.value)
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            rows = list(_edited(counter, ((i, t, [(m.start(), m.end(), mask) for m in find.finditer(t or "")]) for i, t in zip(*columns, strict=True))))
+            ids, texts = batch.column("doc_id").to_pylist(), map(_decoded, batch.column("text").to_pylist())
+            rows = list(_edited(counter, ((i, t, [(m.start(), m.end(), mask) for m in find.finditer(t)]) for i, t in zip(ids, texts, strict=True))))
             if rows:
                 yield _table(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), _SCHEMA)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), _SCHEMA)
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
