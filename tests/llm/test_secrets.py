@@ -130,3 +130,14 @@ def test_a_run_that_fails_hides_no_token_after_it():
     for before in ("eyJeyJeyJ ", "eyjeyJx.", "eyJx.eyJy ", "eyJ"):
         text = before + " " + good
         assert [text[a:b] for a, b, k in S.spans(text, text.encode(), S.automaton()) if k == "signed"] == [good]
+
+
+def test_invalid_utf8(spark):
+    from pyspark.sql import functions as F
+
+    raw = b"\xff key AKIA" + b"A" * 20 + b" \xc3( end"
+    df = spark.range(2).select(F.col("id").alias("doc_id"), F.expr(f"cast(unhex(if(id = 0, '{raw.hex()}', '61FF62')) as string)").alias("text"))
+    (spans,) = (r.spans for r in S.secret_spans(df).where("doc_id = 0").collect())
+    assert [(s.start, s.end, s.kind) for s in spans] == [(6, 30, "access")]
+    got = {r.doc_id: r.b for r in S.redact(df).selectExpr("doc_id", "hex(cast(text AS binary)) AS b").collect()}
+    assert got == {0: "� key <access> �( end".encode().hex().upper(), 1: "61FF62"}

@@ -94,3 +94,13 @@ def test_given_labels(spark):
     one = U.url_filter(pages, (), labels.where("label = 1"))
     assert [r["verdict"] for r in one.collect()] == ["block", "block"]
     assert {r["verdict"] for r in U.url_filter(pages, (), labels.limit(0)).collect()} == {"allow"}
+
+
+def test_invalid_utf8(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from veritally.llm.url_filter import op3_url_filters
+
+    hosts = F.expr("concat(if(id % 2 = 0, 'http://a.fr/fr/', 'https://b.com/de/'), cast(unhex('FF78') as string), id)")
+    spark.range(20).select(F.col("id").alias("page_id"), F.when(F.col("id") < 18, hosts).otherwise(F.expr("cast(unhex('687474703A2F2FFF2E78FF2F') as string)")).alias("url")).write.parquet(str(tmp_path / "pages.parquet"))
+    assert op3_url_filters(spark, str(tmp_path)).where("verdict IN ('allow', 'block')").count() == 20

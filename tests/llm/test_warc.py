@@ -130,3 +130,16 @@ def test_reader_yields_by_bytes(spark, tmp_path, monkeypatch):
         raw = path.read_bytes()
         batch = pa.RecordBatch.from_arrays([pa.array([raw]), pa.array([hashlib.sha1(raw).hexdigest()])], names=["content", "sha1"])
         assert all(len(b) <= 3 for b in warc._reader([batch]))
+
+
+def test_invalid_utf8_is_written_as_it_is(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    raw = b"\xff<p>x\xc3(" * 200
+    df = spark.range(2).select(F.col("id").alias("page_id"), F.expr("cast(unhex('687474703A2F2F78FF') as string)").alias("url"), F.expr(f"cast(unhex('{raw.hex()}') as string)").alias("html"))
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    sha = hashlib.sha1(raw).hexdigest()
+    assert got == {0: (len(raw), sha, "revisit"), 1: (len(raw), sha, "response")}

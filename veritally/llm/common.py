@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veritally.storage import scratch_path, small, written
 
-__all__ = ["connected_components", "forest", "frugal", "lean", "scratch_path", "small", "written"]
+__all__ = ["connected_components", "forest", "frugal", "lean", "scratch_path", "small", "strings", "written"]
 
 #: Rows and bytes of the Arrow batches that go to Python workers.
 BATCH_ROWS, BATCH_BYTES = 2000, "4m"
@@ -59,6 +59,11 @@ def _each(run, batches):
         release()
 
 
+def strings(column: pa.Array | pa.ChunkedArray) -> list[str | None]:
+    """A string column, invalid UTF-8 with replacement characters."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for the nodes of the edges a-b that aren't the smallest of their component."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -13,6 +13,7 @@ Base kinds, in the order that breaks ties: ``assign`` (a password, secret, token
 18 or more characters in all) and ``hex`` (16 or more digits). Added kinds: ``forge``, ``package``, ``signed``, ``private``.
 Spans are code points of the text, end exclusive, of the whole match. Null and empty texts have none. Repeated rows are scanned each on its own.
 A text of any content and length is read in time about linear in its length, and none raises.
+Invalid UTF-8 is read with replacement characters, one code point each.
 """
 
 from __future__ import annotations
@@ -191,14 +192,19 @@ def _rows(col: pa.Array):
     words = automaton()
     for i in range(len(off) - 1):
         part = raw[off[i] : off[i + 1]].tobytes()
-        yield i, part, words
+        try:
+            text = part.decode()
+        except UnicodeDecodeError:
+            text = part.decode("utf-8", "replace")
+            part = text.encode()
+        yield i, text, part, words
 
 
 def _scan(batches):
     for batch in batches:
         found = []
-        for _, part, words in _rows(batch.column("text")):
-            found.append([{"start": a, "end": b, "kind": k} for a, b, k in spans(part.decode(), part, words)])
+        for _, text, part, words in _rows(batch.column("text")):
+            found.append([{"start": a, "end": b, "kind": k} for a, b, k in spans(text, part, words)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
@@ -211,15 +217,15 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``<kind>`` (overlapping spans as one, named by the first) and ``n_chars`` brought up to date.
 
-    Null and empty texts stay as they are.
+    Null and empty texts stay as they are, and so do the bytes of texts without secrets.
     """
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            for i, part, words in _rows(batch.column(names.index("text"))):
-                found = spans(text := part.decode(), part, words)
+            texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
+            for i, text, part, words in _rows(batch.column(names.index("text"))):
+                found = spans(text, part, words)
                 if not found:
                     continue
                 out, at, name = [], 0, ""
@@ -228,8 +234,8 @@ def redact(docs: DataFrame) -> DataFrame:
                         out += [text[at:a], f"<{kind}>"]
                         name = kind
                     at = max(at, b)
-                texts[i] = "".join(out) + text[at:]
-            yield batch.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+                texts[i] = ("".join(out) + text[at:]).encode()
+            yield batch.set_column(names.index("text"), "text", pa.array(texts, pa.binary()).view(pa.string()))
 
     out = docs.mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -11,6 +11,7 @@ The labelled urls are a bounded sample: at most ``LABELLED`` rows, the smallest
 the others in their likeness. Without labelled urls, or with labels of one kind only, the score is constant. A url that a rule decides has no score.
 A null url, or one without ``://``, has empty host and path, fits no rule and is judged by its features (of the empty url if null). An empty table gives an empty result. Repeated rows get equal
 verdicts; extra columns are ignored.
+Invalid UTF-8 is read with replacement characters where the trees count suffixes and words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.common import lean
+from veritally.llm.common import lean, strings
 from veritally.llm.words import text_buffers
 
 # The rules of the production query (verdict, host, path).
@@ -41,7 +42,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules) -> Column:
-    """struct<rule, verdict> of the longest rule that fits, else null (of equally long ones the first)."""
+    """struct<rule, verdict> of the longest rule that fits, else null (of equally long ones the last in ``rules``)."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
@@ -105,7 +106,7 @@ def features(batch, stats: list[dict[str, tuple[float, float]]]) -> np.ndarray:
         _count(*query, _one("=") | _one("&")), _count(*host, _one("-")), _count(*host, _one(".")), _longest(*host, _CONSONANT),
     ]
     for key, known in zip(PARTS[3:], stats, strict=True):
-        found = np.array([known.get(k, known[""]) for k in batch.column(key).to_pylist()], float).reshape(-1, 2)
+        found = np.array([known.get(k, known[""]) for k in strings(batch.column(key))], float).reshape(-1, 2)
         columns += [found[:, 0], found[:, 1]]
     return np.stack(columns, axis=1).astype(float)
 
@@ -134,7 +135,7 @@ def fit(rows: pa.Table) -> Trees:
     prior = float(y.mean()) if len(y) else 0.5
     stats = []
     for key in PARTS[3:]:
-        names, inverse = np.unique(np.array(rows.column(key).to_pylist(), dtype=object).astype(str), return_inverse=True)
+        names, inverse = np.unique(np.array(strings(rows.column(key)), dtype=object).astype(str), return_inverse=True)
         bad, n = np.bincount(inverse, y, len(names)), np.bincount(inverse, minlength=len(names))
         stats.append({"": (prior, 0.0)} | {k: ((b + 20 * prior) / (m + 20), math.log1p(m)) for k, b, m in zip(names.tolist(), bad.tolist(), n.tolist(), strict=True) if k})
     base = math.log((prior + 1e-6) / (1 - prior + 1e-6))

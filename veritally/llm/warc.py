@@ -16,6 +16,7 @@ Method
 Null page_ids stand first. Ids may be any long. Rows with the page_id of the response of their payload are all responses. A url is percent-encoded where it holds
 control characters or blanks; a null url gives no target. Extra columns are ignored. Without rows there is an empty manifest.
 The archive's folder may be on any store that both Spark and pyarrow know by URI.
+A payload holds the bytes of the html as they are, valid UTF-8 or not; an url that isn't is written with replacement characters.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm.common import lean, scratch_path, small, written
+from veritally.llm.common import lean, scratch_path, small, strings, written
 
 REVISIT_BYTES = 1000
 ROLL_BYTES = 32 << 20
@@ -125,14 +126,14 @@ def _writer(root: str, roll: int, date: str):
         done, open_, n, part = [], None, 0, 0
         try:
             for batch in batches:
-                for shard, page_id, url, html, size, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "size", "digest", "refers_to")), strict=True):
+                for shard, page_id, url, html, size, digest, refers_to in zip(*(batch.column(c).to_pylist() if c != "url" else strings(batch.column(c)) for c in ("shard", "page_id", "url", "html", "size", "digest", "refers_to")), strict=True):
                     if open_ and (shard != open_.shard or open_.bytes >= roll):
                         part = part + 1 if shard == open_.shard else 0
                         done.append(open_.close(n))
                         open_ = None
                     if not open_:
                         open_, n = _File(root, f"shard-{shard:06d}-{part:04d}.warc.gz", shard, date), 0
-                    open_.add(page_id, record(page_id, url, (html or "").encode(), size, digest, refers_to, date))
+                    open_.add(page_id, record(page_id, url, html or b"", size, digest, refers_to, date))
                     n += 1
             if open_:
                 done.append(open_.close(n))
@@ -213,7 +214,7 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll
     shard = shard_of(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), F.left("digest", F.lit(16)), "salt")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", F.monotonically_increasing_id()), F.lit(1 << 30)))
     joined = salted.join(first, ["digest", "size"], "left")
-    joined = joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html")).alias("html"), "size", "digest", refers_to.alias("refers_to"), shard.alias("shard"))
+    joined = joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("html").cast("binary")).alias("html"), "size", "digest", refers_to.alias("refers_to"), shard.alias("shard"))
     dealt = joined.repartitionById(max(1, len(cuts)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
     dealt.mapInArrow(lean(_writer(f"{root}/data", roll_bytes, date)), MANIFEST).write.json(f"{root}/manifest")
     return spark.read.schema(MANIFEST).json(f"{root}/manifest")
