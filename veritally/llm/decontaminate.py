@@ -10,10 +10,10 @@ Method
      Where a size has few fingerprints they are entered under all values within 2 bits; where it has many, under those within 1, and a window looks up all values within 1 of its own.
   4. *Verification.* Each hit names an item and a place. There the item and the L words of the text are compared exactly, by the larger of two similarities of their
      shingles: the Jaccard similarity, and the sum of the weights of the shingles that they share by that of all they have. A shingle of k words weighs
-     1 / (different items that have it), counted over all items, so what many items share counts less; shingles that no item has weigh 1. It must be at least ``num / den``.
+     1 / (different items that have it), counted over all items, so what many items share counts less; shingles that the item doesn't have weigh 1. It must be at least ``num / den``.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items are taken in blocks of about ``ITEMS_AT_ONCE`` items and ``ITEM_BYTES`` of text at most (one item if it is longer), so what is sent
-to the executors is bounded, and every document meets every item; a pass over the documents takes a block. The weights that aren't 1 are sent once for all blocks. Null or empty items and texts match nothing; items and documents without an id match with a null id. Items of fewer than k words count as one shingle. Equal items match each on
+to the executors is bounded, and every document meets every item; a pass over the documents takes a block. A block carries the weights of its own shingles; the counts of all are a table. Null or empty items and texts match nothing; items and documents without an id match with a null id. Items of fewer than k words count as one shingle. Equal items match each on
 its own. Repeated documents give repeated rows. Extra columns are ignored.
 """
 
@@ -99,10 +99,16 @@ def _item_shingles(k: int):
     return run
 
 
-def shared_weights(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several different items (other words) have, ascending, and their weights."""
+def shared_shingles(items: DataFrame, k: int) -> DataFrame:
+    """(s, count): the shingles that several different items (other words) have, and how many, as a table."""
     each = items.select("text").mapInArrow(lean(_item_shingles(k)), "words binary, shingles array<long>").withColumn("item", F.sha2("words", 256)).drop("words")
-    found = each.dropDuplicates(["item"]).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").toArrow()
+    return each.dropDuplicates(["item"]).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1")
+
+
+def weights_of(items: DataFrame, shared: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the shared shingles that these items have, ascending, and their weights: at most as many as the items have words."""
+    mine = items.select("text").mapInArrow(lean(_item_shingles(k)), "words binary, shingles array<long>").select(F.explode("shingles").alias("s")).distinct()
+    found = shared.join(mine, "s").toArrow()
     s = found.column("s").to_numpy().view(_U)
     order = np.argsort(s)
     return s[order], (1.0 / found.column("count").to_numpy())[order]
@@ -156,8 +162,8 @@ class Table:
 class Index:
     """Fingerprints and shingles of one block of items. What is sent is compact; a worker makes the tables when it first needs them."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int):
-        self.k = k
+    def __init__(self, items: list[tuple[int, str]], k: int, shared: tuple[np.ndarray, np.ndarray] = (np.zeros(0, _U), np.zeros(0))):
+        self.k, self.shared = k, shared
         self.ids = [i for i, _ in items]
         self.sets, self.length = [], []
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -180,15 +186,15 @@ class Index:
             self.tables[w] = Table(self.by_size[w][0])
         return self.tables[w]
 
-    def similarity(self, item: int, words: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> float:
+    def similarity(self, item: int, words: np.ndarray) -> float:
         mine = self.sets[item]
         other = np.unique(W.shingles(words, np.array([0, len(words)]), self.k)[0])
         both = np.intersect1d(mine, other, assume_unique=True)
         plain = len(both) / (len(mine) + len(other) - len(both))
-        common = _weigh(both, *shared)
-        return max(plain, common / (_weigh(mine, *shared) + _weigh(other, *shared) - common))
+        common = _weigh(both, *self.shared)
+        return max(plain, common / (_weigh(mine, *self.shared) + len(other) - len(both)))
 
-    def search(self, words: np.ndarray, off: np.ndarray, least: float, shared: tuple[np.ndarray, np.ndarray]):
+    def search(self, words: np.ndarray, off: np.ndarray, least: float):
         """Yields (row, item position, similarity, start word)."""
         if not len(words):
             return
@@ -212,20 +218,20 @@ class Index:
             for r, i, at in np.unique(np.concatenate(places), axis=0).tolist() if places else ():
                 if best.get((r, i), (0.0,))[0] == 1.0:
                     continue
-                s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))], shared)
+                s = self.similarity(i, words[at : min(at + self.length[i], int(off[r + 1]))])
                 if s >= least and s > best.get((r, i), (0.0,))[0]:
                     best[r, i] = (s, at)
         for (r, i), (s, at) in sorted(best.items()):
             yield r, i, s, at - int(off[r])
 
 
-def _leaks(index, least: float, weights):
+def _leaks(index, least: float):
     def run(batches):
-        found, shared = index.value, weights.value
+        found = index.value
         for batch in batches:
             ids = batch.column("doc_id")
             for a, _, h, off in W.hashed_words(batch.column("text"), CHUNK):
-                rows = [(ids[a + r].as_py(), found.ids[i], s, at, found.length[i]) for r, i, s, at in found.search(h, off, least, shared)]
+                rows = [(ids[a + r].as_py(), found.ids[i], s, at, found.length[i]) for r, i, s, at in found.search(h, off, least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
@@ -242,13 +248,13 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-size // ITEM_BYTES))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    weights = spark.sparkContext.broadcast(shared_weights(items, k))
+    shared = written(shared_shingles(items, k), "leaks-shared")
     out = spark.createDataFrame([], SCHEMA)
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
         if rows:
-            index = spark.sparkContext.broadcast(Index(rows, k))
-            out = out.union(docs.select("doc_id", "text").mapInArrow(lean(_leaks(index, num / den, weights)), SCHEMA))
+            index = spark.sparkContext.broadcast(Index(rows, k, weights_of(items.where(F.col("block") == b), shared, k)))
+            out = out.union(docs.select("doc_id", "text").mapInArrow(lean(_leaks(index, num / den)), SCHEMA))
     return out
 
 
