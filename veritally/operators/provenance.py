@@ -8,6 +8,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritally.storage import small
+from veritally.versions import Versions
+
 KEY = ["system", "subset", "subset_hash", "config_hash"]
 
 
@@ -32,6 +35,56 @@ def new_locks(wanted: DataFrame, history: DataFrame) -> DataFrame:
     return reasoned.join(history.select(*KEY), KEY, "left_anti")
 
 
+class LockRefused(RuntimeError):
+    """A lock that may not be written."""
+
+
+def lock_blockers(systems: DataFrame, prices: DataFrame) -> DataFrame:
+    """(system, blocker) for ``systems`` (system, price_id string, checkpoint map<string,string>): what keeps a system from being locked. ``prices`` has a column price_id."""
+    unpriced = systems.where("price_id IS NOT NULL").join(prices.select("price_id").distinct(), "price_id", "left_anti").select("system", F.concat(F.lit("no price for "), "price_id").alias("blocker"))
+    field = F.explode(F.map_entries("checkpoint")).alias("f")
+    unset = systems.select("system", field).where("coalesce(f.value, '') = ''").select("system", F.concat(F.lit("checkpoint."), "f.key", F.lit(" is not set")).alias("blocker"))
+    return unpriced.union(unset)
+
+
+def read_lock_documents(spark, path: str, upto: int | None = None) -> DataFrame:
+    """(number, the fields of a lock): the history that `write_locks` has made; empty if there is none."""
+    from veritally.sources.files import LOCK
+
+    numbers = [n for n in Versions(spark, path).numbers() if upto is None or n <= upto]
+    if not numbers:
+        return spark.createDataFrame([], f"number long, {LOCK}")
+    read = spark.read.schema(LOCK).json([f"{path}/{n:010d}.json" for n in numbers])
+    return read.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("long").alias("number"), "*")
+
+
+def write_locks(wanted: DataFrame, blockers: DataFrame, path: str, most: int = 1000) -> int:
+    """Appends the wanted locks (the fields of a lock; few) to the history at ``path``, all or none; returns the number of their document.
+
+    Refused are locks without a reason, of a system with a blocker, and of a key that the history has. Of two writers of one key one is refused: the second finds its number taken, reads again and then meets the key.
+    """
+    spark = wanted.sparkSession
+    entries = wanted.select(*KEY, "reason", F.to_json(F.struct(*wanted.columns)).alias("line")).limit(most + 1).collect()
+    if not entries or len(entries) > most:
+        raise LockRefused(f"between 1 and {most} locks can be written at once")
+    if any(not (e["reason"] or "").strip() for e in entries):
+        raise LockRefused("a lock needs a reason")
+    stopped = [f"{r['system']}: {r['blocker']}" for r in blockers.join(F.broadcast(wanted.select("system").distinct()), "system", "left_semi").orderBy("system", "blocker").limit(20).collect()]
+    if stopped:
+        raise LockRefused("; ".join(stopped))
+    keys = [tuple(e[k] for k in KEY) for e in entries]
+    if len(set(keys)) < len(keys):
+        raise LockRefused("a key is wanted twice")
+
+    def document(last: int) -> str:
+        taken = read_lock_documents(spark, path, last).join(F.broadcast(wanted.select(*KEY)), KEY, "left_semi").select("system", "subset").orderBy("system", "subset").limit(20).collect()
+        if taken:
+            raise LockRefused("already locked: " + ", ".join(f"{r['system']} on {r['subset']}" for r in taken))
+        return "\n".join(e["line"] for e in entries) + "\n"
+
+    return Versions(spark, path).append(document)
+
+
 def lock_status(wanted: DataFrame, history: DataFrame) -> DataFrame:
     """Per wanted configuration: ``locked``, or which components differ from the latest lock of its system and subset (null if there is none)."""
     last = history.groupBy("system", "subset").agg(F.max_by(F.struct("components", "config_hash", "subset_hash"), "pos").alias("_l"))
@@ -76,8 +129,11 @@ def run_warnings(runs: DataFrame) -> DataFrame:
 
 
 def in_order(ids: DataFrame, examples: DataFrame) -> DataFrame:
-    """Rows of ``examples`` for the ids of a subset (id, position), with the position; sort by it at the sink."""
-    return examples.join(F.broadcast(ids), "id")
+    """Rows of ``examples`` for the ids of a subset (id, position), with the position, in its order over range partitions; an id that has no example is an error that names one."""
+    rows = examples.join(small(ids).select("id"), "id", "left_semi").withColumn("_there", F.lit(True))
+    found = ids.join(small(rows), "id", "left")
+    known = F.assert_true(F.coalesce("_there", F.lit(False)), F.concat(F.lit("not in the split: "), F.col("id").cast("string")))
+    return found.where(known.isNull()).drop("_there").repartitionByRange("position").sortWithinPartitions("position")
 
 
 def half_width(low: Column, high: Column) -> Column:
