@@ -36,7 +36,9 @@ def test_normal_forms(value):
     assert value(text.loose(F.lit("What's-up, DOC?! `x’y"))) == "whats up doc xy"
     assert value(text.token_estimate(F.lit(""))) == 0 and value(text.token_estimate(F.lit("abcde"))) == 2 and value(text.token_estimate(F.lit("a"))) == 1
     assert value(text.slug(F.lit("  GPU T4 / (x2) "))) == "gpu-t4-x2" and value(text.price_key(F.lit("A b"), F.lit("Paid"))) == "a-b/paid"
-    assert value(text.format_percent(F.lit(-0.0001))) == "0.0 %" and value(text.format_p(F.lit(0.0001))) == "<0.001" and value(text.format_usd(F.lit(1234.5))) == "$1,234"
+    assert value(text.format_percent(F.lit(-0.0001))) == "0.0 %" and value(text.format_p(F.lit(0.0001))) == "<0.001" and [value(text.format_usd(F.lit(x))) for x in (1234.5, 383.98, 1.2, 1.0, 0.6, 0.1, 0.0139, 0.0)] == ["$1,234.50", "$383.98", "$1.20", "$1.00", "$0.600", "$0.100", "$0.0139", "$0.0000"]
+    assert [value(text.format_difference(F.lit(x))) for x in (0.0321, -0.0321, -0.0001, 0.0)] == ["+3.2 pp", "-3.2 pp", "+0.0 pp", "+0.0 pp"]
+    assert value(text.format_difference_interval(F.lit(-0.032), F.lit(-0.06), F.lit(-0.004))) == "-3.2 pp [-6.0, -0.4]" and value(text.format_interval(F.lit(0.912), F.lit(0.886), F.lit(0.934))) == "91.2% [88.6, 93.4]"
 
 
 @pytest.mark.parametrize(
@@ -111,3 +113,17 @@ def test_headers(value):
     assert value(headers.duration_seconds(F.lit("1m30.5s"), F.lit(0.0))) == 90.5
     assert value(headers.backoff_seconds(F.lit(10), F.lit(1.0), F.lit(None).cast("double"))) == 60.0
     assert value(headers.retry_after_seconds(F.lit(" "), F.lit(0.0))) is None
+
+
+def test_usage_fields(value):
+    from veritally.functions import calls
+
+    def usage(json, **options):
+        return tuple(value(calls.usage_of(F.try_parse_json(F.lit(json)), **options)))
+
+    assert usage('{"usage":{"prompt_cache_hit_tokens":3,"cached_tokens":7}}') == (None, None, 3, None, True)
+    assert usage('{"usage":{"cached_tokens":7,"prompt_cache_hit_tokens":true}}') == (None, None, 7, None, True)
+    assert usage('{"usage":{"prompt_tokens":"10","completion_tokens":2.0,"prompt_tokens_details":{"cached_tokens":2.9}}}') == (10, 2, 2, None, True)
+    assert usage('{"usage":{"prompt_tokens":"1.5","completion_tokens":false,"prompt_tokens_details":[1]}}') == (None, None, None, None, True)
+    assert usage('{"usage":[1]}') == usage("{}") == usage('{"usage":null}') == (None, None, None, None, False)
+    assert usage('{"usage":{"completion_tokens":4,"completion_tokens_details":{"reasoning_tokens":" 5 "}}}', reasoning_inside=False) == (None, 9, None, 5, True)

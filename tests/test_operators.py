@@ -320,3 +320,68 @@ def test_resamples_in_one_pass(spark):
     assert (ci.high - ci.low) / 2 == pytest.approx(half, rel=0.08) and ci.value == pytest.approx((ci.low + ci.high) / 2, abs=half / 4)
     one = resample.interval(df.where("i = 1").withColumn("z", F.col("y")).withColumn("w", F.col("y")), [F.col("i")], "f1", ["y", "z", "w"], 50).first()
     assert one.n == 1 and one.low is not None
+
+
+def test_contained_patterns_of_all_lengths(spark, monkeypatch):
+    """Against the definition: patterns within each other, within words, of one character, empty, repeated, null; in one block or several."""
+    import random
+
+    from veritally.operators import containment
+
+    rng = random.Random(6)
+    make = lambda k: "".join(rng.choices("ab é\n", k=k))
+    texts = [(i, make(rng.randint(0, 40))) for i in range(60)] + [(60, None), (61, ""), (5, "again ab"), (None, "ab")]
+    patterns = [(i, make(rng.randint(1, 5))) for i in range(40)] + [(40, ""), (41, None), (42, "ab"), (43, "ab"), (44, "a" * 200)]
+    a, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(patterns, "item_id long, pattern string")
+    want = sorted(((j, i) for i, t in texts if t is not None for j, p in patterns if p is not None and p in t), key=repr)
+    for at_once in (100_000, 7):
+        monkeypatch.setattr(containment, "PATTERNS", at_once)
+        got = containment.contained(a, "doc_id", b, "item_id")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert containment.contained(a.limit(0), "doc_id", b, "item_id").count() == containment.contained(a, "doc_id", b.limit(0), "item_id").count() == 0
+
+
+def test_strongest_and_spread(spark):
+    from veritally.operators.scoring import spread, strongest
+
+    scored = spark.createDataFrame([(s, i, e) for s, es in {"a": [1, 1, 0], "b": [1, 0, 1], "c": [1, 1], "d": [1, 1, 1]}.items() for i, e in enumerate(es)], "system string, id int, em int")
+    subset = spark.range(3).select(F.col("id").cast("int").alias("id"))
+    order = lambda *rows: spark.createDataFrame(rows, "system string, place int, eligible boolean")
+    assert tuple(strongest(scored, subset, order(("a", 2, True), ("b", 1, True), ("c", 0, True), ("d", 3, False))).first()) == ("b", 2, 3)
+    assert strongest(scored, subset, order(("c", 0, True))).count() == 0
+    summary = spark.createDataFrame([("ref", 0.9, 0.5), ("x", 0.7, 0.6), ("y", 0.8, 0.4)], "system string, m double, k double")
+    assert sorted(map(tuple, spread(summary, "ref", ["m", "k"]).collect())) == [("k", 0.5, 0.4, 0.6), ("m", 0.9, 0.7, 0.8)]
+    assert spread(summary, "none", ["m"]).count() == spread(summary.limit(1), "ref", ["m"]).count() == 0
+
+
+def test_trust_checks(spark):
+    runs = spark.createDataFrame(
+        [("a", 2, 2, True, 0, 1.0, 1.0, True, "h", "h"), ("b", 1, 2, False, 3, 1.0, 2.0, True, "g", "h"), ("c", None, None, None, None, None, None, False, None, None)],
+        "system string, n int, n_subset int, locked boolean, n_estimated int, price_then double, price_now double, has_summary boolean, ran_hash string, subset_hash string",
+    )
+    got = {}
+    for r in provenance.run_warnings(runs).collect():
+        got.setdefault(r.system, []).append(r.warning.split(":")[0])
+    assert got == {"b": ["different subset", "partial", "not locked", "estimated tokens", "price changed"], "c": ["no summary"]}
+    examples = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    predictions = spark.createDataFrame([("a", "1"), ("a", "9"), ("b", "2"), ("a", "8")], "system string, id string")
+    assert [tuple(r) for r in provenance.unknown_ids(predictions, examples).collect()] == [("a", 2)]
+    ids = spark.createDataFrame([("3", 0), ("1", 1), ("3", 2)], "id string, position int")
+    assert [r.id for r in provenance.in_order(ids, examples).collect()] == ["3", "1", "3"]
+    with pytest.raises(Exception, match="not in the split: 7"):
+        provenance.in_order(spark.createDataFrame([("7", 0)], "id string, position int"), examples).collect()
+
+
+def test_small_helpers(spark):
+    from veritally.functions import multiset, text
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
+    assert one(provenance.plain_number(F.lit(float("nan")))) is None and one(provenance.plain_number(F.lit(float("-inf")))) is None and one(provenance.plain_number(F.lit(2.5))) == 2.5
+    assert one(text.run_name(F.lit("a"), F.lit("b"))) == "a__b"
+    f = one(provenance.fingerprint_columns({"b": F.lit('"x"'), "a": F.lit("1")}))
+    assert f.asDict() == provenance.fingerprint({"a": 1, "b": "x"})
+    said = [one(errors.answer_text(F.lit("x"), F.lit(v), F.lit(f))) for v, f in ((True, False), (False, True), (False, False))]
+    assert said == ["x", "(no answer: the call failed)", "(invalid output)"]
+    pairs = lambda *kv: multiset.pairs(F.array(*(F.struct(F.lit(k).alias("type"), F.lit(v).alias("value")) for k, v in kv)))
+    assert tuple(one(errors.unmatched(pairs(("a", "1"), ("a", "1")), pairs(("a", "1"), ("b", "2"), ("b", "2"))))) == (2, 1)

@@ -96,21 +96,32 @@ def message_text(content: Column) -> Column:
 
 
 def _integer(v: Column, path: str) -> Column:
-    """A JSON integer; booleans, fractions and strings aren't."""
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+    """A count: a JSON integer, a number cut to one, or a string of digits; booleans and anything else aren't."""
+    found = F.try_variant_get(v, path, "variant")
+    kind = F.schema_of_variant(found)
+    number = F.try_variant_get(v, path, "double")
+    whole = F.when(F.abs(number) < 2.0**63, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long"))
+    text = F.trim(F.try_variant_get(v, path, "string"))
+    return F.when(kind == "BIGINT", F.try_variant_get(v, path, "bigint")).when((kind == "DOUBLE") | kind.startswith("DECIMAL") | (kind == "FLOAT"), whole).when((kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+
+
+# Fields of a usage object; of the cached tokens the first that is there counts.
+CACHED = ("$.usage.prompt_tokens_details.cached_tokens", "$.usage.prompt_cache_hit_tokens", "$.usage.cached_tokens")
+REASONING, PROMPT, COMPLETION = "$.usage.completion_tokens_details.reasoning_tokens", "$.usage.prompt_tokens", "$.usage.completion_tokens"
 
 
 def usage_of(payload: Column, reasoning_inside: bool = True) -> Column:
-    """Token counts of a response's usage object, whose field names vary; null where not reported.
+    """Token counts of a response's usage object, whose field names vary; null where not reported. ``reported`` says that there is such an object.
 
     With ``reasoning_inside`` false, reasoning tokens are reported beside the completion and are added to it.
     """
-    cached = F.coalesce(*(_integer(payload, p) for p in ("$.usage.prompt_tokens_details.cached_tokens", "$.usage.cached_tokens", "$.usage.prompt_cache_hit_tokens")))
-    reasoning = _integer(payload, "$.usage.completion_tokens_details.reasoning_tokens")
-    prompt, completion = _integer(payload, "$.usage.prompt_tokens"), _integer(payload, "$.usage.completion_tokens")
+    cached = F.coalesce(*(_integer(payload, p) for p in CACHED))
+    reasoning = _integer(payload, REASONING)
+    prompt, completion = _integer(payload, PROMPT), _integer(payload, COMPLETION)
     if not reasoning_inside:
         completion = completion + F.coalesce(reasoning, F.lit(0))
-    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), cached.alias("cached_tokens"), reasoning.alias("reasoning_tokens"), (prompt.isNotNull() & completion.isNotNull()).alias("reported"))
+    reported = F.coalesce(F.schema_of_variant(F.try_variant_get(payload, "$.usage", "variant")).startswith("OBJECT"), F.lit(False))
+    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), cached.alias("cached_tokens"), reasoning.alias("reasoning_tokens"), reported.alias("reported"))
 
 
 def complete_usage(usage: Column, prompt_estimate: Column, completion_estimate: Column) -> Column:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Seconds of a unit.
 UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0}
+# Fixed value: a number with its unit.
 _PART = r"(\d+(?:\.\d+)?)(ms|s|m|h|d)"
 #: Fixed value: what hints at a daily quota.
 DAILY = r"(?i)per[\s_-]*day|daily|\bRPD\b|\bTPD\b"
+# Fixed value: above it a number is a time, not a duration.
 _EPOCH = 1e9
 
 

@@ -89,8 +89,30 @@ def format_p(p: Column) -> Column:
 
 
 def format_usd(x: Column) -> Column:
-    """More digits for smaller amounts."""
-    return F.concat(F.lit("$"), F.when(F.abs(x) >= 100, F.format_number(x, 0)).when(F.abs(x) >= 1, F.format_number(x, 2)).otherwise(F.format_number(x, 4)))
+    """Cents from a dollar on, with thousands marked; three digits from ten cents on, four below."""
+    return F.concat(F.lit("$"), F.when(x >= 1, F.format_number(x, 2)).when(x >= 0.1, F.format_number(x, 3)).otherwise(F.format_number(x, 4)))
+
+
+def signed(x: Column, digits: int = 1) -> Column:
+    """With its sign; what rounds to zero is plus zero."""
+    r = F.bround(x, digits)
+    return F.format_string(f"%+.{digits}f", F.when(r == 0, F.lit(0.0)).otherwise(r))
+
+
+def format_difference(x: Column) -> Column:
+    """A difference of shares in signed percentage points."""
+    return F.concat(signed(x * 100), F.lit(" pp"))
+
+
+def format_interval(value: Column, low: Column, high: Column) -> Column:
+    """A share with its interval, in percent."""
+    plain = lambda c: F.format_string("%.1f", c * 100)
+    return F.concat(plain(value), F.lit("% ["), plain(low), F.lit(", "), plain(high), F.lit("]"))
+
+
+def format_difference_interval(value: Column, low: Column, high: Column) -> Column:
+    """A difference with its interval, in signed points."""
+    return F.concat(format_difference(value), F.lit(" ["), signed(low * 100), F.lit(", "), signed(high * 100), F.lit("]"))
 
 
 def format_points(half: Column) -> Column:

@@ -25,6 +25,13 @@ def fingerprint(components: dict) -> dict[str, str]:
     return each | {"config": hashlib.sha256(canonical(each).encode()).hexdigest()}
 
 
+def fingerprint_columns(components: dict[str, Column]) -> Column:
+    """struct of a SHA-256 per component and of ``config`` over all of them, for components that are columns of canonical JSON."""
+    each = {k: F.sha2(components[k], 256) for k in sorted(components)}
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":"'), h, F.lit('"')) for k, h in each.items())), F.lit("}"))
+    return F.struct(*(h.alias(k) for k, h in each.items()), F.sha2(whole, 256).alias("config"))
+
+
 def prompt_fingerprint(messages: Column) -> Column:
     return F.sha2(F.to_json(messages), 256)
 
@@ -120,14 +127,25 @@ def plain_number(x: Column) -> Column:
 
 
 def run_warnings(runs: DataFrame) -> DataFrame:
-    """(system, warning): partial, unlocked, estimated or repriced runs."""
-    notes = F.array(
+    """(system, warning): runs without a summary, partial, unlocked, estimated or repriced ones, and those on another subset than the present one.
+
+    ``runs`` may have has_summary boolean, ran_hash and subset_hash string; where a run has no summary nothing else is known of it.
+    """
+    there = F.col("has_summary") if "has_summary" in runs.columns else F.lit(True)
+    moved = F.coalesce(F.col("ran_hash") != F.col("subset_hash"), F.lit(False)) if {"ran_hash", "subset_hash"} <= set(runs.columns) else F.lit(False)
+    notes = F.when(~there, F.array(F.lit("no summary: cost, latency and provenance are unknown"))).otherwise(F.array(
+        F.when(moved, F.lit("different subset: the ids have changed since the run")),
         F.when(F.col("n") < F.col("n_subset"), F.concat(F.lit("partial: "), F.col("n").cast("string"), F.lit(" of "), F.col("n_subset").cast("string"))),
         F.when(~F.col("locked"), F.lit("not locked")), F.when(F.col("n_estimated") > 0, F.lit("estimated tokens")), F.when(F.col("price_then") != F.col("price_now"), F.lit("price changed")),
-    )
+    ))
     return runs.select("system", F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("warning"))
 
 
+def unknown_ids(predictions: DataFrame, examples: DataFrame) -> DataFrame:
+    """(system, n): predictions (system, id) for ids that no example has, counted per system; systems without any aren't listed."""
+    return predictions.join(examples.select("id"), "id", "left_anti").groupBy("system").agg(F.count("*").alias("n"))
+
+
 def in_order(ids: DataFrame, examples: DataFrame) -> DataFrame:
     """Rows of ``examples`` for the ids of a subset (id, position), with the position, in its order over range partitions; an id that has no example is an error that names one."""
     rows = examples.join(small(ids).select("id"), "id", "left_semi").withColumn("_there", F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import multiset
 from veritally.functions.stats import f1, precision, ratio, recall
+from veritally.storage import small
 
 SCORES = ("em", "intent_ok", "valid", "tp", "fp", "fn", "n_pred", "n_unfound")
 
@@ -48,3 +49,22 @@ def best_epoch(scores: DataFrame, by: list[str]) -> DataFrame:
     """Per group the row (epoch, correct) with most correct answers, the earlier epoch among equals; rows without an epoch don't count."""
     best = scores.where("epoch IS NOT NULL").groupBy(*by).agg(F.max_by(F.struct("epoch", "correct"), F.struct("correct", -F.col("epoch"))).alias("_b"))
     return best.select(*by, "_b.*")
+
+
+def strongest(scored: DataFrame, subset: DataFrame, systems: DataFrame, metric: str = "em") -> DataFrame:
+    """One row (system, correct, n): of the ``systems`` (system, place, eligible boolean) that are eligible and have answered every id of ``subset``, the one with most correct answers; of equals the first by place.
+
+    No row if there is none.
+    """
+    size = subset.count()
+    by = scored.join(small(subset.select("id")), "id", "left_semi").groupBy("system").agg(F.sum(metric).alias("correct"), F.countDistinct("id").alias("n"))
+    whole = by.where(F.col("n") == size).join(F.broadcast(systems.where("eligible")), "system")
+    return whole.orderBy(F.col("correct").desc(), "place").limit(1).select("system", "correct", "n")
+
+
+def spread(summary: DataFrame, reference: str, metrics: list[str]) -> DataFrame:
+    """(metric, reference, low, high): the reference system's value, and the range of the other systems'. Without a reference row, or without others, there is none."""
+    long = summary.select("system", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))))
+    mine = F.col("system") == reference
+    out = long.groupBy("metric").agg(F.max(F.when(mine, F.col("v"))).alias("reference"), F.min(F.when(~mine, F.col("v"))).alias("low"), F.max(F.when(~mine, F.col("v"))).alias("high"))
+    return out.where("reference IS NOT NULL AND low IS NOT NULL")

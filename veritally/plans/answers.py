@@ -90,36 +90,66 @@ def prompt_hashes(spark, d):
 
 
 def usage_normalised(spark, d):
+    """Usage objects of all spellings, made of event numbers: several fields for one thing, numbers as strings and fractions, booleans, no object."""
     e = table(configure(spark), d, "events").select("event_id")
     n = F.col("event_id") % 50
-    payload = F.when(F.col("event_id") % 4 == 0, F.format_string('{"usage":{"prompt_tokens":%d,"completion_tokens":7,"prompt_tokens_details":{"cached_tokens":3}}}', n)).when(F.col("event_id") % 4 == 1, F.format_string('{"usage":{"prompt_tokens":%d,"cached_tokens":2,"completion_tokens":true}}', n))
-    payload = payload.when(F.col("event_id") % 4 == 2, F.format_string('{"usage":{"prompt_tokens":%d,"completion_tokens":4,"prompt_cache_hit_tokens":1,"completion_tokens_details":{"reasoning_tokens":5}}}', n)).otherwise("{}")
+    forms = (
+        '{"usage":{"prompt_tokens":%d,"completion_tokens":7,"prompt_tokens_details":{"cached_tokens":3},"cached_tokens":9}}', '{"usage":{"prompt_tokens":"%d","cached_tokens":2,"completion_tokens":true}}',
+        '{"usage":{"prompt_tokens":%d.0,"completion_tokens":4,"cached_tokens":8,"prompt_cache_hit_tokens":1,"completion_tokens_details":{"reasoning_tokens":5}}}', '{"usage":[%d]}',
+        '{"usage":{"prompt_tokens":"%d.5","completion_tokens":6.9,"prompt_tokens_details":[1],"prompt_cache_hit_tokens":false,"cached_tokens":4}}',
+    )
+    payload = F.element_at(F.array(*(F.format_string(f, n) for f in forms)), (F.col("event_id") % len(forms) + 1).cast("int"))
     u = calls.complete_usage(calls.usage_of(F.try_parse_json(payload), reasoning_inside=False), F.lit(100).cast("long"), F.lit(20).cast("long"))
     return e.select("event_id", u.alias("u")).select("event_id", "u.prompt_tokens", "u.completion_tokens", "u.cached_tokens", "u.reasoning_tokens", "u.reported", "u.estimated")
 
 
 def content_texts(spark, d):
-    made = configure(spark).createDataFrame([(1, '"plain"'), (2, '[{"type":"text","text":"a"},{"text":"b"},{"image":1}]'), (3, "7"), (4, "null")], "i int, j string")
-    return made.select("i", calls.message_text(F.try_parse_json("j")).alias("text"))
+    """The turns' texts as contents of messages: strings, lists of parts, and what is neither."""
+    c = table(configure(spark), d, "conversations")
+    quoted = F.regexp_extract(F.to_json(F.array("text")), r"(?s)^\[(.*)\]$", 1)
+    parts = F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.left("text", F.lit(5)).alias("text"))), F.to_json(F.struct(F.substring("text", 6, 1 << 30).alias("text"))), F.lit('{"image":1}'))
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    content = F.when(k == 0, quoted).when(k == 1, F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))).when(k == 2, F.length("text").cast("string")).otherwise(F.lit("null"))
+    return c.select("conv_id", "turn", F.md5(calls.message_text(F.try_parse_json(content))).alias("text_md5"))
 
 
-_DURATIONS = ["1m30.5s", "250ms", "2", "0", "-3", "1700000060", "1h", "1d2h", "5 m 3s", "soon", "", "3x", "1m x"]
+def _spelled(n, k):
+    """Durations of event numbers in the spellings of headers, and some that aren't any."""
+    s = lambda c: c.cast("string")
+    forms = (F.concat(s(n % 59), F.lit("m"), s(n % 7), F.lit(".5s")), F.concat(s(n), F.lit("ms")), F.concat(F.lit(" "), s(n)), F.concat(s(n % 24), F.lit("H "), s(n % 60), F.lit("m")), F.concat(F.lit("soon "), s(n)), s(n + 1_700_000_000), F.concat(s(n), F.lit("x")), F.concat(F.lit("-"), s(n)))
+    return F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
 
 
 def duration_parse(spark, d):
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(_DURATIONS)], "i int, x string")
-    return rows.select("i", F.round(headers.duration_seconds(F.col("x"), F.lit(1.7e9)), 6).alias("seconds"))
+    e = table(spark, d, "events").select("event_id", _spelled(F.col("event_id") % 5000, F.col("event_id")).alias("x"))
+    return e.select("event_id", F.round(headers.duration_seconds(F.col("x"), F.lit(1.7e9)), 6).alias("seconds"))
 
 
 def retry_hints(spark, d):
-    rows = [(1, {"retry-after": "12"}), (2, {"retry-after": "Tue, 14 Nov 2023 22:14:20 GMT"}), (3, {"x-ratelimit-reset-tokens": "2m", "x-ratelimit-remaining-tokens": "0", "x-ratelimit-reset-requests": "9m", "x-ratelimit-remaining-requests": "4"}), (4, {"x-ratelimit-reset": "7s"}), (5, {"date": "x"})]
-    df = spark.createDataFrame(rows, "i int, h map<string,string>")
-    return df.select("i", F.round(headers.reset_seconds(F.col("h"), F.lit(1.7e9)), 6).alias("seconds"), F.size(headers.limit_headers(F.col("h"))).alias("kept"))
+    """Headers made of the events' numbers and times."""
+    e = table(configure(spark), d, "events")
+    n, now = F.col("event_id") % 500, F.unix_seconds(F.col("ts").cast("timestamp")).cast("double") - 60
+    s = lambda c: c.cast("string")
+    date = F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    kinds = (
+        F.create_map(F.lit("Retry-After"), s(n)),
+        F.create_map(F.lit("retry-after"), date, F.lit("date"), F.lit("x")),
+        F.create_map(F.lit("x-ratelimit-reset-tokens"), F.concat(s(n % 9), F.lit("m")), F.lit("X-RateLimit-Remaining-tokens"), F.lit("0"), F.lit("x-ratelimit-reset-requests"), F.lit("90m"), F.lit("x-ratelimit-remaining-requests"), s(n + 1)),
+        F.create_map(F.lit("x-ratelimit-reset"), F.concat(s(n), F.lit("s"))),
+        F.create_map(F.lit("date"), s(n)),
+    )
+    h = F.element_at(F.array(*kinds), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    kept = headers.limit_headers(h)
+    return e.select("event_id", F.round(headers.reset_seconds(kept, now), 6).alias("seconds"), F.size(kept).alias("kept"))
+
+
+_BODIES = ("limit per day reached", "RPD ", "xrpdx", "requests per_minute", "Daily cap", "tokens per-day", "TPD")
 
 
 def daily_quota_hints(spark, d):
-    df = spark.createDataFrame([(1, "Limit per day reached"), (2, "RPD 100"), (3, "xrpdx"), (4, "requests per_minute"), (5, None)], "i int, body string")
-    return df.select("i", headers.daily_quota(F.col("body")).alias("daily"))
+    e = table(spark, d, "events")
+    body = F.concat("event_type", F.element_at(F.array(*(F.lit(f" {b}") for b in _BODIES)), (F.col("event_id") % len(_BODIES) + 1).cast("int")), F.when(F.col("event_id") % 10 > 0, F.col("user_id").cast("string")))
+    return e.select("event_id", headers.daily_quota(body).alias("daily"))
 
 
 def backoff_delays(spark, d):
@@ -162,11 +192,11 @@ def error_category_counts(spark, d):
     return errors.category_counts(e, "category")
 
 
-_COMPONENTS = {"prompt": {"k": 10, "text": "Answer."}, "model": "m1", "params": {"temperature": 0}}
-
-
 def config_fingerprint(spark, d):
-    return spark.createDataFrame(sorted(provenance.fingerprint(_COMPONENTS).items()), "component string, hash string")
+    """Fingerprints of a configuration per customer: model and parameters by nation, the prompt by segment."""
+    c = table(spark, d, "customer")
+    parts = {"prompt": F.to_json(F.struct((F.col("c_custkey") % 20).alias("k"), F.col("c_mktsegment").alias("text"))), "model": F.concat(F.lit('"m'), F.col("c_nationkey").cast("string"), F.lit('"')), "params": F.to_json(F.struct((F.col("c_nationkey") % 3).alias("temperature")))}
+    return c.select("c_custkey", provenance.fingerprint_columns(parts).alias("f")).select("c_custkey", "f.*")
 
 
 def _history(spark, d):
@@ -198,8 +228,14 @@ def probe_plan(spark, d):
 
 
 def model_catalogue(spark, d):
-    rows = [(1, '[{"id":"a","rate_limit_tier":"gold","tier":"x"},{"id":"b","tier":"basic"}]'), (2, '{"models":[{"id":"c"}]}'), (3, "oops")]
-    return configure(spark).createDataFrame(rows, "i int, j string").select("i", F.explode(probes.catalogue(F.col("j"))).alias("m")).select("i", "m.id", "m.tier")
+    """Catalogues of nations, whose models are customers, as lists and as objects; some aren't any."""
+    c = table(configure(spark), d, "customer")
+    tier = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
+    entry = F.to_json(F.struct(F.col("c_name").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("r"), tier)).alias("rate_limit_tier"), tier.alias("tier")))
+    lists = c.groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]")).alias("j"))
+    k = F.col("c_nationkey") % 3
+    j = F.when(k == 0, F.col("j")).when(k == 1, F.concat(F.lit('{"models":'), "j", F.lit("}"))).otherwise(F.concat(F.lit("oops "), "j"))
+    return lists.select("c_nationkey", F.explode(probes.catalogue(j)).alias("m")).select("c_nationkey", "m.id", "m.tier")
 
 
 def paired_items(spark, d):
@@ -224,7 +260,13 @@ def _price_list(spark):
 
 
 def resolved_prices(spark, d):
-    return comparison.resolved_prices(_systems(spark), _price_list(spark))
+    """Suppliers as systems, whose names and billing are spelled in their own way; nations as the price list."""
+    s = table(spark, d, "supplier")
+    name = F.concat(F.lit("  Model: "), F.col("s_nationkey").cast("string"), F.lit(" ("), (F.col("s_suppkey") % 5).cast("string"), F.lit("B)"))
+    systems = s.select(F.col("s_name").alias("system"), name.alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "Paid").otherwise("FREE").alias("billing"))
+    n = table(spark, d, "nation")
+    prices = n.select(F.concat(F.lit("model-"), F.col("n_nationkey").cast("string"), F.lit("-"), F.col("n_regionkey").cast("string"), F.lit("b/paid")).alias("key"), (F.col("n_nationkey") / 4.0).alias("price_in"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") / 8.0).alias("price_cached"), (F.col("n_regionkey") + 1.0).alias("price_out"))
+    return comparison.resolved_prices(systems, prices)
 
 
 def system_comparison(spark, d):
@@ -315,26 +357,41 @@ ORACLE_SQL = {
     "render_prompts": f"SELECT item_id, {_PROMPT} AS prompt FROM benchmark",
     "sft_records": f"SELECT item_id, {_PROMPT} || '|assistant:ok' AS record FROM benchmark",
     "prompt_completion": "SELECT item_id, 5::BIGINT AS n_prompt, 'user:' || text AS completion FROM benchmark",
-    "usage_normalised": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 100 ELSE event_id % 50 END AS prompt_tokens, CAST(CASE event_id % 4 WHEN 0 THEN 7 WHEN 2 THEN 9 ELSE 20 END AS BIGINT) AS completion_tokens, CAST(CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS BIGINT) AS cached_tokens, CAST(CASE event_id % 4 WHEN 2 THEN 5 END AS BIGINT) AS reasoning_tokens, event_id % 4 IN (0, 2) AS reported, event_id % 4 IN (1, 3) AS estimated FROM events",
-    "content_texts": "SELECT * FROM (VALUES (1, 'plain'), (2, 'ab'), (3, NULL), (4, NULL)) t(i, text)",
-    "duration_parse": "SELECT * FROM (VALUES (0, 90.5::DOUBLE), (1, 0.25), (2, 2), (3, 0), (4, 0), (5, 60), (6, 3600), (7, 93600), (8, NULL), (9, NULL), (10, NULL), (11, NULL), (12, NULL)) t(i, seconds)",
-    "retry_hints": "SELECT * FROM (VALUES (1, 12::DOUBLE, 1), (2, 60, 1), (3, 120, 4), (4, 7, 1), (5, NULL, 0)) t(i, seconds, kept)",
-    "daily_quota_hints": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false)) t(i, daily)",
+    "usage_normalised": """WITH p AS (SELECT event_id, CAST([format('{{"usage":{{"prompt_tokens":{},"completion_tokens":7,"prompt_tokens_details":{{"cached_tokens":3}},"cached_tokens":9}}}}', event_id % 50), format('{{"usage":{{"prompt_tokens":"{}","cached_tokens":2,"completion_tokens":true}}}}', event_id % 50),
+ format('{{"usage":{{"prompt_tokens":{}.0,"completion_tokens":4,"cached_tokens":8,"prompt_cache_hit_tokens":1,"completion_tokens_details":{{"reasoning_tokens":5}}}}}}', event_id % 50), format('{{"usage":[{}]}}', event_id % 50),
+ format('{{"usage":{{"prompt_tokens":"{}.5","completion_tokens":6.9,"prompt_tokens_details":[1],"prompt_cache_hit_tokens":false,"cached_tokens":4}}}}', event_id % 50)][event_id % 5 + 1] AS JSON) AS j FROM events),
+f AS (SELECT event_id, json_type(j, '$.usage') = 'OBJECT' AS reported, list_transform(['$.usage.prompt_tokens', '$.usage.completion_tokens', '$.usage.completion_tokens_details.reasoning_tokens', '$.usage.prompt_tokens_details.cached_tokens', '$.usage.prompt_cache_hit_tokens', '$.usage.cached_tokens'],
+ lambda x: CASE WHEN json_type(j, x) IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string(j, x) AS BIGINT) WHEN json_type(j, x) = 'DOUBLE' THEN CAST(trunc(CAST(json_extract_string(j, x) AS DOUBLE)) AS BIGINT) WHEN json_type(j, x) = 'VARCHAR' AND regexp_full_match(json_extract_string(j, x), '[0-9]+') THEN CAST(json_extract_string(j, x) AS BIGINT) END) AS v FROM p)
+SELECT event_id, coalesce(v[1], 100) AS prompt_tokens, coalesce(v[2] + coalesce(v[3], 0), 20) AS completion_tokens, coalesce(v[4], v[5], v[6]) AS cached_tokens, v[3] AS reasoning_tokens, reported, v[1] IS NULL OR v[2] IS NULL AS estimated FROM f""",
+    "content_texts": """WITH j AS (SELECT conv_id, turn, CAST(CASE (conv_id + turn) % 4 WHEN 0 THEN to_json(text) WHEN 1 THEN json_array(json_object('type', 'text', 'text', text[:5]), json_object('text', text[6:]), json_object('image', 1)) WHEN 2 THEN to_json(length(text)) ELSE 'null' END AS JSON) AS j FROM conversations)
+SELECT conv_id, turn, md5(CASE json_type(j) WHEN 'VARCHAR' THEN json_extract_string(j, '$') WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(j AS JSON[]), lambda x: coalesce(json_extract_string(x, '$.text'), '')), '') END) AS text_md5 FROM j""",
+    "duration_parse": r"""WITH n AS (SELECT event_id, event_id % 5000 AS n FROM events), x AS (SELECT event_id, lower(trim([n % 59 || 'm' || n % 7 || '.5s', n || 'ms', ' ' || n, n % 24 || 'H ' || n % 60 || 'm', 'soon ' || n, CAST(n + 1700000000 AS VARCHAR), n || 'x', '-' || n][event_id % 8 + 1])) AS x FROM n),
+p AS (SELECT event_id, x, TRY_CAST(x AS DOUBLE) AS v, regexp_extract_all(x, '(\d+(?:\.\d+)?)(ms|s|m|h|d)', 1) AS q, regexp_extract_all(x, '(\d+(?:\.\d+)?)(ms|s|m|h|d)', 2) AS u, array_to_string(regexp_extract_all(x, '(\d+(?:\.\d+)?)(ms|s|m|h|d)'), '') AS r FROM x)
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN greatest(0, CASE WHEN v > 1e9 THEN v - 1.7e9 ELSE v END) WHEN r <> '' AND r = replace(x, ' ', '') THEN list_sum(list_transform(list_zip(q, u), lambda z: CAST(z[1] AS DOUBLE) * CASE z[2] WHEN 'ms' THEN 0.001 WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END)) END, 6)::DOUBLE AS seconds FROM p""",
+    "retry_hints": r"""WITH e AS (SELECT event_id, event_id % 500 AS n, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) - 60 AS now, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS date FROM events),
+h AS (SELECT event_id, now, [[{'k': 'Retry-After', 'v': CAST(n AS VARCHAR)}], [{'k': 'retry-after', 'v': date}, {'k': 'date', 'v': 'x'}], [{'k': 'x-ratelimit-reset-tokens', 'v': n % 9 || 'm'}, {'k': 'X-RateLimit-Remaining-tokens', 'v': '0'}, {'k': 'x-ratelimit-reset-requests', 'v': '90m'}, {'k': 'x-ratelimit-remaining-requests', 'v': CAST(n + 1 AS VARCHAR)}],
+ [{'k': 'x-ratelimit-reset', 'v': n || 's'}], [{'k': 'date', 'v': CAST(n AS VARCHAR)}]][event_id % 5 + 1] AS h FROM e),
+l AS (SELECT event_id, now, unnest(h) AS x FROM h), k AS (SELECT event_id, now, lower(x.k) AS k, x.v AS v FROM l WHERE lower(x.k) LIKE 'x-ratelimit%' OR lower(x.k) = 'retry-after'),
+w AS (SELECT event_id, max(CASE WHEN k = 'retry-after' THEN greatest(0, coalesce(TRY_CAST(v AS DOUBLE), epoch(try_strptime(v, '%a, %d %b %Y %H:%M:%S GMT')) - now)) END) AS retry, count(*) AS kept FROM k GROUP BY event_id),
+r AS (SELECT a.event_id, max(CAST(regexp_extract(a.v, '\d+') AS DOUBLE) * CASE WHEN a.v LIKE '%m' THEN 60 ELSE 1 END) AS reset FROM k a LEFT JOIN k b ON a.event_id = b.event_id AND b.k = replace(a.k, '-reset', '-remaining') WHERE a.k LIKE 'x-ratelimit-reset%' AND coalesce(b.v IN ('0', '0.0'), true) GROUP BY 1)
+SELECT event_id, round(coalesce(retry, reset), 6)::DOUBLE AS seconds, CAST(coalesce(kept, 0) AS INTEGER) AS kept FROM events LEFT JOIN w USING (event_id) LEFT JOIN r USING (event_id)""",
+    "daily_quota_hints": rf"""SELECT event_id, coalesce(regexp_matches(event_type || [{", ".join(f"' {b}'" for b in _BODIES)}][event_id % {len(_BODIES)} + 1] || CASE WHEN event_id % 10 > 0 THEN CAST(user_id AS VARCHAR) END, '(?i)per[\s_-]*day|daily|\bRPD\b|\bTPD\b'), false) AS daily FROM events""",
     "backoff_delays": "SELECT r_regionkey AS i, round(greatest(least(60, pow(2, r_regionkey)) * 0.75, CASE WHEN r_regionkey > 2 THEN 120.0 ELSE 0.0 END), 6)::DOUBLE AS seconds FROM region",
     "degenerate_texts": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' OR (length(text) >= 8 AND len(list_distinct(string_split(text, ''))) <= 2) OR length(regexp_replace(text, '[^�]', '', 'g')) > length(text) // 4 AS degenerate FROM documents",
     "quality_gate_reasons": f"WITH {LOG_SQL}, s AS (SELECT concurrency, count(*) AS n, round(avg(CASE WHEN pos % 10 = 0 THEN 1 ELSE 0 END), 9) AS degenerate, round(avg(CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END), 9) AS truncated, round(avg(CASE WHEN failed THEN 1 ELSE 0 END), 9) AS failed, round(avg(CASE WHEN NOT failed AND pos % 2 = 0 THEN 1 ELSE 0 END), 9) AS valid FROM log GROUP BY concurrency) SELECT *, concat_ws('; ', CASE WHEN degenerate > 0.05 THEN 'degenerate texts' END, CASE WHEN truncated > 0.2 THEN 'truncated texts' END, CASE WHEN failed > 0.05 THEN 'failed calls' END, CASE WHEN valid < 0.5 THEN 'few valid answers' END) AS reasons FROM s",
     "error_strata_sample": f"{_S}, w AS (SELECT system, id, CASE WHEN valid = 0 THEN 'invalid' WHEN intent_ok = 0 THEN 'intent' ELSE 'slots' END AS kind FROM scored WHERE em = 0) SELECT system, kind, id FROM w QUALIFY row_number() OVER (PARTITION BY system, kind ORDER BY md5('{sampling.SEED}:' || system || ':' || kind || ':' || id), id) <= 10",
     "slot_differences": f"{_S}, {_DIFFERENCES} SELECT id, CASE WHEN NOT ok THEN 'no valid answer' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN pred_intent <> intent THEN 'intent ' || pred_intent || ' (gold ' || intent || ')' END, notes), ''), 'none') END AS difference FROM item LEFT JOIN notes USING (id) WHERE system = 'A'",
     "error_category_counts": "SELECT CASE WHEN event_id % 6 = 0 OR event_id % 7 = 0 THEN '(blank)' ELSE event_type END AS category, count(*) AS n FROM events GROUP BY 1",
-    "config_fingerprint": """WITH c AS (SELECT * FROM (VALUES ('model', sha256('"m1"')), ('params', sha256('{"temperature":0}')), ('prompt', sha256('{"k":10,"text":"Answer."}'))) t(component, hash)) SELECT * FROM c UNION ALL SELECT 'config', sha256('{' || string_agg('"' || component || '":"' || hash || '"', ',' ORDER BY component) || '}') FROM c""",
+    "config_fingerprint": """WITH c AS (SELECT c_custkey, sha256('"m' || c_nationkey || '"') AS model, sha256('{"temperature":' || c_nationkey % 3 || '}') AS params, sha256('{"k":' || c_custkey % 20 || ',"text":"' || c_mktsegment || '"}') AS prompt FROM customer) SELECT *, sha256('{"model":"' || model || '","params":"' || params || '","prompt":"' || prompt || '"}') AS config FROM c""",
     "lock_status": "WITH h AS (SELECT n_nationkey AS pos, 's' || n_nationkey % 4 AS system, 'm' || n_nationkey % 3 AS m, 'p' || n_nationkey % 2 AS p FROM nation), w AS (SELECT * FROM h WHERE pos >= 18), l AS (SELECT * FROM h WHERE pos < 20 QUALIFY row_number() OVER (PARTITION BY system ORDER BY pos DESC) = 1) SELECT w.system, 'S500' AS subset, EXISTS (SELECT 1 FROM h WHERE h.pos < 20 AND h.system = w.system AND h.m = w.m AND h.p = w.p) AS locked, concat_ws(',', CASE WHEN w.m <> l.m THEN 'model' END, CASE WHEN w.p <> l.p THEN 'prompt' END) AS changed FROM w LEFT JOIN l USING (system)",
     "new_locks": "WITH h AS (SELECT CAST(n_nationkey AS BIGINT) AS pos, 's' || n_nationkey % 4 AS system, n_nationkey % 3 AS m, n_nationkey % 2 AS p FROM nation) SELECT pos, system FROM h w WHERE pos >= 5 AND NOT EXISTS (SELECT 1 FROM h WHERE h.pos < 7 AND h.system = w.system AND h.m = w.m AND h.p = w.p)",
     "merged_probes": "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'new' ELSE 'old' END AS state, n_name FROM nation",
     "probe_plan": "SELECT c_mktsegment AS endpoint, c_nationkey % 3 AS model, min(c_custkey) AS pos, arg_min(c_name, c_custkey) AS system FROM customer GROUP BY 1, 2",
-    "model_catalogue": "SELECT * FROM (VALUES (1, 'a', 'gold'), (1, 'b', 'basic'), (2, 'c', NULL)) t(i, id, tier)",
+    "model_catalogue": "SELECT c_nationkey, c_name AS id, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'r' ELSE '' END || c_mktsegment END AS tier FROM customer WHERE c_nationkey % 3 < 2",
     "paired_items": f"{_S} SELECT 'B' AS system, count(*) AS n, count(*) FILTER (b.em = 1 AND a.em = 0) AS only_system, count(*) FILTER (b.em = 0 AND a.em = 1) AS only_reference FROM scored a JOIN scored b USING (id) WHERE a.system = 'A' AND b.system = 'B'",
     "comparison_report": f"{_S}, s AS (SELECT system, count(*) AS n, avg(em) AS e, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f FROM scored GROUP BY system) SELECT system, n, round(e, 9) AS exact_match, round(f, 9) AS slot_f1, round((e - (SELECT e FROM s WHERE system = 'A')) * 100, 6) AS points, printf('%.1f', round(e * 100, 1)) || ' %' AS cell FROM s",
-    "resolved_prices": "SELECT 'model-one-4b/paid' AS key, 'A' AS system, 'Model One (4B)' AS name, 'Paid' AS billing, 1.0::DOUBLE AS price_in, 0.25::DOUBLE AS price_cached, 2.0::DOUBLE AS price_out UNION ALL SELECT 'model-two/free', 'B', 'model: two', 'FREE', 0.5, NULL, 1.0 UNION ALL SELECT 'none/paid', 'C', 'none', 'paid', NULL, NULL, NULL",
+    "resolved_prices": """WITH s AS (SELECT s_name AS system, '  Model: ' || s_nationkey || ' (' || s_suppkey % 5 || 'B)' AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Paid' ELSE 'FREE' END AS billing FROM supplier), k AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') || '/' || lower(billing) AS key FROM s),
+p AS (SELECT 'model-' || n_nationkey || '-' || n_regionkey || 'b/paid' AS key, n_nationkey / 4.0::DOUBLE AS price_in, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 8.0::DOUBLE END AS price_cached, n_regionkey + 1.0::DOUBLE AS price_out FROM nation) SELECT * FROM k LEFT JOIN p USING (key)""",
     "system_comparison": f"""{_S}, {LOG_SQL}, pl AS (SELECT * FROM (VALUES ('A', 1.0::DOUBLE, 0.25::DOUBLE, 2.0::DOUBLE), ('B', 0.5, 0.5, 1.0)) t(system, pi, pc, po)),
 ca AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'B' END AS system, sum(length(text)) AS pr, count(*) AS co FROM conversations GROUP BY conv_id),
 cc AS (SELECT system, count(*) AS calls, sum((pr * pi + co * po) / 1e6) / count(*) AS usd_per_call, sum((pr * pi + co * po) / 1e6) / count(*) * 1000 AS upper_per_1k, sum(((pr - least(40, pr)) * pi + least(40, pr) * pc + co * po) / 1e6) / count(*) * 1000 AS lower_per_1k FROM ca JOIN pl USING (system) GROUP BY system),
@@ -346,7 +403,7 @@ sl AS (SELECT system, min(latency_s) FILTER (r >= greatest(1, ceil(round(50 * m
 SELECT system, n, round(exact_match, 6) AS exact_match, round(intent_accuracy, 6) AS intent_accuracy, round(schema_valid, 6) AS schema_valid, round(slot_precision, 6) AS slot_precision, round(slot_recall, 6) AS slot_recall, round(slot_f1, 6) AS slot_f1, round(unfound_rate, 6) AS unfound_rate,
  n_pairs, round(points, 6) AS points, only_system, only_reference, round(p, 6) AS p, calls, round(usd_per_call, 6) AS usd_per_call, round(upper_per_1k, 6) AS upper_per_1k, round(lower_per_1k, 6) AS lower_per_1k, round(p50, 6) AS p50, round(p95, 6) AS p95,
  CASE WHEN system = 'B' THEN 'estimated tokens; not locked; partial: ' || n || ' of ' || (n + 1) ELSE '' END AS warnings, round(0.5 * 730 / usd_per_call, 6) AS break_even,
- concat_ws(' | ', printf('%.1f', round(exact_match * 100, 1)) || ' %', CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END, '$' || CASE WHEN upper_per_1k >= 1 THEN printf('%.2f', upper_per_1k) ELSE printf('%.4f', upper_per_1k) END) AS cells
+ concat_ws(' | ', printf('%.1f', round(exact_match * 100, 1)) || ' %', CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END, '$' || CASE WHEN upper_per_1k >= 1 THEN format('{{:,.2f}}', upper_per_1k) WHEN upper_per_1k >= 0.1 THEN printf('%.3f', upper_per_1k) ELSE printf('%.4f', upper_per_1k) END) AS cells
 FROM su LEFT JOIN pp USING (system) LEFT JOIN cc USING (system) LEFT JOIN sl USING (system)""",
     "run_warnings": "WITH r AS (SELECT s_name AS system, s_suppkey AS k FROM supplier) SELECT system, 'partial: ' || k % 3 || ' of 2' AS warning FROM r WHERE k % 3 < 2 UNION ALL SELECT system, 'not locked' FROM r WHERE k % 2 <> 0 UNION ALL SELECT system, 'estimated tokens' FROM r WHERE k % 5 > 0 UNION ALL SELECT system, 'price changed' FROM r WHERE k % 7 = 0",
     "stream_run_log": f"WITH {LOG_SQL} SELECT key, count(DISTINCT at_us // 86400000000) AS days, count(*) AS n, count(*) FILTER (failed) AS failed FROM log GROUP BY key",

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from veritally.functions.text import loose, normalize_value, parse_markup
 from veritally.operators import audit, resample
+from veritally.operators.containment import contained
 from veritally.plans.bindings import CORPUS_SQL, SLOTS_SQL, corpus, examples, table
-from veritally.storage import small, written
+from veritally.storage import written
 
 
 
@@ -117,27 +118,23 @@ def leakage_guard(spark, d):
     return twice.crossJoin(F.broadcast(c.agg(F.count_if(F.col("split") != "train").alias("rows_not_train"))))
 
 
-def benchmark_contamination(spark, d, words: int = 8):
-    """Documents that hold a benchmark text verbatim: an equi-join on the hash of words inside the text finds candidates, a substring test decides.
+def benchmark_contamination(spark, d):
+    """Documents that hold a benchmark text verbatim."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("pattern"))
+    return contained(table(spark, d, "documents").select("doc_id", "text"), "doc_id", items, "item_id")
 
-    A text's first and last word may be glued to others in a document, those between them can't. A text with too few of those is held against every document.
-    """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda w, i: F.xxhash64(F.slice(w, i, words))
-    items = table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("_w"))
-    long = items.where(F.size("_w") >= words + 2).select("item_id", "item", gram(F.col("_w"), 2).alias("g"))
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    docs = texts.withColumn("_w", split(F.col("text"))).where(F.size("_w") >= words)
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: gram(F.col("_w"), i))).alias("g"))
-    pairs = written(grams.join(small(long.select("g", "item_id")), "g").select("doc_id", "item_id").distinct(), "contained")
-    found = texts.join(small(pairs), "doc_id").join(small(long.select("item_id", "item")), "item_id").where(F.contains("text", "item"))
-    short = items.where(F.size("_w") < words + 2).select("item_id", "item")
-    return found.select("item_id", "doc_id").union(texts.join(small(short), F.contains("text", "item")).select("item_id", "doc_id"))
+
+def source_mentions(spark, d):
+    """How many texts hold the names of sources and languages, short patterns that many texts have."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    names = docs.select(F.explode(F.array("lang", "source")).alias("pattern")).distinct().select(F.xxhash64("pattern").alias("name_id"), "pattern")
+    found = contained(docs, "doc_id", names, "name_id").groupBy("name_id").agg(F.count("*").alias("texts"))
+    return names.join(found, "name_id").select(F.col("pattern").alias("name"), "texts")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (split_sizes_rollup, label_coverage, scenario_histogram, slot_stats, duplicates_within_train, duplicate_kinds, overlap_strict, overlap_loose, shared_test_rows, unseen_text_em, expected_vs_actual, integrity_counts, markup_parse, normalize_text, loose_text, leakage_guard, benchmark_contamination)
+    for f in (split_sizes_rollup, label_coverage, scenario_histogram, slot_stats, duplicates_within_train, duplicate_kinds, overlap_strict, overlap_loose, shared_test_rows, unseen_text_em, expected_vs_actual, integrity_counts, markup_parse, normalize_text, loose_text, leakage_guard, benchmark_contamination, source_mentions)
 }
 
 _STRICT = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
@@ -170,5 +167,6 @@ SELECT count(*) FILTER (NOT seen) AS n, round(avg(quality) FILTER (NOT seen), 9)
     "normalize_text": f"SELECT doc_id, md5({_STRICT}) AS text_md5, length({_STRICT}) AS n FROM documents",
     "loose_text": f"SELECT doc_id, md5({_LOOSE}) AS text_md5, length({_LOOSE}) AS n FROM documents",
     "leakage_guard": f"{_C} SELECT (SELECT count(*) FROM (SELECT id FROM corpus GROUP BY id HAVING count(*) > 1)) AS repeated_ids, count(*) FILTER (split <> 'train') AS rows_not_train FROM corpus",
+    "source_mentions": "WITH n AS (SELECT DISTINCT unnest([lang, source]) AS name FROM documents) SELECT name, count(*) AS texts FROM n JOIN documents ON contains(text, name) GROUP BY name",
     "benchmark_contamination": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions.stats import ratio
-from veritally.operators.scoring import SCORES, item_scores, summarize
+from veritally.operators.scoring import SCORES, item_scores, spread, strongest, summarize
 from veritally.plans.bindings import SLOTS_SQL, answered, table
 
 
@@ -40,15 +40,14 @@ def weakest_scenario(spark, d):
 
 
 def strongest_system(spark, d):
-    """By exact matches, the earlier of equals."""
-    by = scored(spark, d).groupBy("system").agg(F.sum("em").alias("correct"), F.count("*").alias("n"))
-    return by.orderBy(F.col("correct").desc(), "system").limit(1)
+    """Of the systems that have answered all orders, in the order B, A."""
+    systems = spark.createDataFrame([("B", 1, True), ("A", 2, True), ("C", 0, True)], "system string, place int, eligible boolean")
+    return strongest(scored(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), systems)
 
 
 def metric_spread(spark, d):
-    by = summarize(scored(spark, d), ["system"])
-    long = by.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("exact_match", "intent_accuracy", "slot_f1")))))
-    return long.groupBy("metric").agg(F.round(F.min("v"), 9).alias("low"), F.round(F.max("v"), 9).alias("high"))
+    """B against the range of the others."""
+    return _rounded(spread(summarize(scored(spark, d), ["system"]), "B", ["exact_match", "intent_accuracy", "slot_f1"]), ["metric"])
 
 
 def score_record(spark, d):
@@ -77,8 +76,8 @@ ORACLE_SQL = {
     "slot_counts_multiset": f"{_W} SELECT system, id, tp, fp, fn FROM scored",
     "exact_match_items": f"{_W} SELECT system, id, em, intent_ok, valid FROM scored",
     "weakest_scenario": f"{_W} SELECT system, scenario, round(e, 9) AS exact_match FROM (SELECT system, scenario, avg(em) AS e, row_number() OVER (PARTITION BY system ORDER BY avg(em), scenario) AS r FROM scored GROUP BY system, scenario) WHERE r = 1",
-    "strongest_system": f"{_W} SELECT system, CAST(sum(em) AS BIGINT) AS correct, count(*) AS n FROM scored GROUP BY system ORDER BY correct DESC, system LIMIT 1",
-    "metric_spread": f"{_W}, m AS (SELECT system, avg(em) AS a, avg(intent_ok) AS b, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS c FROM scored GROUP BY ALL) SELECT 'exact_match' AS metric, round(min(a), 9) AS low, round(max(a), 9) AS high FROM m UNION ALL SELECT 'intent_accuracy', round(min(b), 9), round(max(b), 9) FROM m UNION ALL SELECT 'slot_f1', round(min(c), 9), round(max(c), 9) FROM m",
+    "strongest_system": f"{_W} SELECT system, CAST(sum(em) AS BIGINT) AS correct, count(*) AS n FROM scored GROUP BY system HAVING count(*) = (SELECT count(*) FROM orders) ORDER BY correct DESC, system DESC LIMIT 1",
+    "metric_spread": f"{_W}, m AS (SELECT system, avg(em) AS exact_match, avg(intent_ok) AS intent_accuracy, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS slot_f1 FROM scored GROUP BY ALL), l AS (UNPIVOT m ON exact_match, intent_accuracy, slot_f1 INTO NAME metric VALUE v) SELECT metric, round(max(v) FILTER (system = 'B'), 9) AS reference, round(min(v) FILTER (system <> 'B'), 9) AS low, round(max(v) FILTER (system <> 'B'), 9) AS high FROM l GROUP BY metric",
     "score_record": f"{_W} SELECT system, count(*) AS n, CAST(sum(em) AS BIGINT) AS correct FROM scored GROUP BY ALL",
     "unfound_value_rate": "WITH v AS (SELECT lang, text, unnest([substring(text, 1, 12), source, CAST(doc_id AS VARCHAR)]) AS value FROM documents) SELECT lang, count(*) AS n_pred, CAST(sum(CASE WHEN contains(text, value) THEN 0 ELSE 1 END) AS BIGINT) AS n_unfound, round(sum(CASE WHEN contains(text, value) THEN 0 ELSE 1 END) / count(*), 9) AS rate FROM v GROUP BY ALL",
 }
