@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritally.operators.ranks import with_rank
+from veritally.sources import jsonl
 from veritally.storage import written
 
 RAW = "id string, locale string, partition string, scenario string, intent string, utt string, annot_utt string, worker_id string"
@@ -100,23 +101,21 @@ def read_chat_with_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The prediction log; empty if there is none yet."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], PREDICTION)
-    return spark.read.schema(PREDICTION).json(path)
+    return jsonl.read_rows(spark, path, PREDICTION).drop("file", "line")
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, commit: str | None = None) -> None:
+    """All of the rows or none; under a ``commit`` name once, however often it is tried."""
+    jsonl.append_rows(rows, path, commit)
 
 
 def read_locks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOCK).json(path)
+    return jsonl.read_rows(spark, path, LOCK).drop("file", "line")
 
 
-def append_locks(rows: DataFrame, path: str) -> None:
-    """History only grows."""
-    rows.write.mode("append").json(path)
+def append_locks(rows: DataFrame, path: str, commit: str | None = None) -> None:
+    """History only grows. `provenance.write_locks` refuses what must not be locked."""
+    jsonl.append_rows(rows, path, commit)
 
 
 def read_config(path: str) -> dict:
