@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veritally.functions import calls, text
-from veritally.operators import audit, load, provenance, quality_gate, scoring
+from veritally.operators import audit, load, provenance, quality_gate, scoring, subsets, waves
 from veritally.plans.answers import run_warnings
 from veritally.plans.bindings import CORPUS_SQL, LOG_SQL, corpus, run_log, table
 from veritally.session import configure
 from veritally.sources import files
-from veritally.storage import scratch_path
+from veritally.storage import scratch_path, written
+from veritally.versions import VersionedTable
 
 
 def examples_file(spark, d):
@@ -130,13 +132,75 @@ def iso_times(spark, d):
     return e.select("event_id", text.iso_time(F.when(F.col("event_id") % 10 > 0, F.unix_timestamp(F.col("ts").cast("timestamp")))).alias("time"))
 
 
+def _calls(batches):
+    """Answers to customers: those of some numbers fail, and failures can be tried again."""
+    for batch in batches:
+        pos, key = (batch.column(c).to_pylist() for c in ("pos", "key"))
+        failed = [k > 100 and k % 100 < 9 for k in key]
+        text = lambda s: pa.array([s if f else None for f in failed], pa.string())  # noqa: E731, B023
+        null = lambda t: pa.array([None] * len(key), t)  # noqa: E731, B023
+        columns = [pa.array(pos, pa.int64()), pa.array(key, pa.int64()), text("boom"), text("retries"), pa.array([True if f else None for f in failed], pa.bool_()), null(pa.int32()), null(pa.string()), null(pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["pos", *_CALL_NAMES])
+
+
+_CALL = "key long, error string, error_kind string, retriable boolean, status_code int, config_hash string, reset_at double"
+_CALL_NAMES = [c.split()[0] for c in _CALL.split(", ")]
+
+
+def committed_waves(spark, d):
+    """All customers answered in waves of 50; the run stops at eight failures in a row, and is resumed to its end. Per customer: its rows, and the wave of its last."""
+    log = waves.Waves(spark, scratch_path(spark, "waves"), _CALL, "key")
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    size = max(50, items.count() // 12)  # a few waves at any size
+    first = log.run(items, _calls, [F.col("key")], waves.Limits(wave=size))
+    if first.status != waves.COMPLETE:
+        log.run(items, _calls, [F.col("key")], waves.Limits(wave=size, fail_streak=1 << 30), resume=True)
+    return log.rows().groupBy("key").agg(F.count("*").alias("n"), F.max_by(F.col("error").isNotNull(), "pos").alias("failed"), F.lit(first.status).alias("first_run"), F.max(F.when(F.col("wave") <= first.wave, 1).otherwise(0)).cast("long").alias("in_first"))
+
+
+def merged_table(spark, d):
+    """Orders merged into a table that changes as a whole."""
+    t = VersionedTable(spark, scratch_path(spark, "versioned"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("state"))
+    t.merge(o.where("id % 3 < 2").withColumn("state", F.lit("old")), "id")
+    t.merge(o.where("id % 3 > 0"), "id")
+    return t.read().groupBy("state").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def lock_documents(spark, d):
+    """Locks of nations' systems, written one region after the other; those with a blocker or a key that is locked are refused."""
+    n = table(spark, d, "nation")
+    system = F.concat(F.lit("s"), (F.col("n_nationkey") % 7).cast("string"))
+    systems = n.select(system.alias("system"), F.concat(F.lit("p"), (F.col("n_nationkey") % 7).cast("string")).alias("price_id"), F.create_map(F.lit("repo"), F.when(F.col("n_nationkey") % 7 != 3, F.col("n_name"))).alias("checkpoint"))
+    blockers = written(provenance.lock_blockers(systems, n.where("n_nationkey % 7 <> 5").select(F.concat(F.lit("p"), (F.col("n_nationkey") % 7).cast("string")).alias("price_id"))).distinct(), "blockers")
+    wanted = n.select(F.lit(1).alias("lock_version"), system.alias("system"), F.lit("S").alias("subset"), F.lit("h").alias("subset_hash"), F.concat(F.lit("c"), (F.col("n_nationkey") % 2).cast("string")).alias("config_hash"), F.create_map(F.lit("model"), system).alias("components"), F.col("n_name").alias("reason"), F.col("n_nationkey").alias("at"))
+    path = scratch_path(spark, "lock-documents")
+    for key in sorted(r[0] for r in n.select("n_nationkey").collect()):  # nations are a dimension; each is a writer of its own
+        try:
+            provenance.write_locks(wanted.where(F.col("at") == key).drop("at"), blockers, path)
+        except provenance.LockRefused:
+            pass
+    return provenance.read_lock_documents(spark, path).select("number", "system", "config_hash", "reason")
+
+
+def subset_documents(spark, d):
+    """The document of two nested subsets of the test documents, written, read and checked against rows of which some are gone."""
+    full = corpus(spark, d).select("split", F.col("scenario").alias("stratum"), "id", "doc_id")
+    test = full.where("split = 'test'")
+    members = test.where("doc_id % 20 = 0").withColumn("subset", F.lit("L")).union(test.where("doc_id % 100 = 0").withColumn("subset", F.lit("S"))).select("subset", "stratum", "id")
+    plan = [{"name": "L", "split": "test", "floor": 0}, {"name": "S", "split": "test", "parent": "L", "floor": 0}]
+    path = scratch_path(spark, "subsets")
+    subsets.write_subsets(spark, path, subsets.document(members, full, plan, 7, 0))
+    return subsets.drift(spark, subsets.read_subsets(spark, path), full.where("doc_id % 40 > 0 OR split <> 'test'"))
+
+
 def warning_kinds(spark, d):
     return provenance.distinct_warnings(run_warnings(spark, d))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (examples_file, chat_file, prediction_log_file, lock_history_file, prompt_text_file, prompt_json_file, throughput_documents, category_file, label_inventory, response_formats, probe_gate, operating_notes, best_epochs, half_widths, iso_times, warning_kinds)
+    for f in (examples_file, chat_file, prediction_log_file, lock_history_file, prompt_text_file, prompt_json_file, throughput_documents, category_file, label_inventory, response_formats, probe_gate, operating_notes, best_epochs, half_widths, iso_times, warning_kinds, committed_waves, merged_table, lock_documents, subset_documents)
 }
 
 _C = f"WITH {CORPUS_SQL}"
@@ -160,5 +224,11 @@ ORACLE_SQL = {
     "best_epochs": "SELECT lang, epoch, correct FROM (SELECT lang, nullif(doc_id % 4, 0) AS epoch, CAST(sum(quality) AS BIGINT) AS correct FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) WHERE epoch IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY correct DESC, epoch) = 1",
     "half_widths": "WITH h AS (SELECT event_type, (max(value) - min(value)) / 2 AS half FROM events GROUP BY 1) SELECT event_type, round(half, 9) AS half, round(max(half) OVER (), 9) AS widest, printf('%.1f pp', half * 100) AS cell FROM h",
     "iso_times": "SELECT event_id, CASE WHEN event_id % 10 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' ELSE 'unknown' END AS time FROM events",
+    "committed_waves": """WITH s AS (SELECT greatest(50, count(*) // 12) AS size, count(*) AS n FROM customer), c AS (SELECT c_custkey AS key, c_custkey > 100 AND c_custkey % 100 < 9 AS failed, row_number() OVER (ORDER BY c_custkey) AS t FROM customer),
+i AS (SELECT *, t - coalesce(max(CASE WHEN NOT failed THEN t END) OVER (ORDER BY t), 0) AS run FROM c), w AS (SELECT i.*, (t - 1) // size + 1 AS wave FROM i, s), f AS (SELECT min(wave) AS stop FROM w WHERE failed AND run >= 8)
+SELECT key, CASE WHEN stop IS NULL OR NOT failed OR wave > stop THEN 1 ELSE 2 END AS n, failed, CASE WHEN stop IS NULL THEN 'complete' ELSE 'too_many_errors' END AS first_run, CAST(CASE WHEN stop IS NULL OR wave <= stop THEN 1 ELSE 0 END AS BIGINT) AS in_first FROM w, f""",
+    "merged_table": "WITH m AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE 'old' END AS state, o_orderkey AS id FROM orders) SELECT state, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM m GROUP BY state",
+    "lock_documents": "WITH w AS (SELECT n_nationkey AS k, 's' || n_nationkey % 7 AS system, 'c' || n_nationkey % 2 AS config_hash, n_name AS reason FROM nation WHERE n_nationkey % 7 NOT IN (3, 5)), f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY system, config_hash ORDER BY k) = 1) SELECT row_number() OVER (ORDER BY k) AS number, system, config_hash, reason FROM f",
+    "subset_documents": f"{_C}, t AS (SELECT doc_id FROM corpus WHERE split = 'test'), g AS (SELECT count(*) AS was, count(*) FILTER (doc_id % 40 > 0) AS now, count(*) FILTER (doc_id % 40 = 0 AND doc_id % 20 = 0) AS l, count(*) FILTER (doc_id % 40 = 0 AND doc_id % 100 = 0) AS s FROM t) SELECT 'split test' AS what, 'had ' || was || ' ids, has ' || now AS note FROM g UNION ALL SELECT 'subset L', l || ' ids aren''t in the split' FROM g UNION ALL SELECT 'subset S', s || ' ids aren''t in the split' FROM g",
     "warning_kinds": "WITH k AS (SELECT s_suppkey AS k FROM supplier), w AS (SELECT 'partial' AS warning FROM k WHERE k % 3 < 2 UNION ALL SELECT 'not locked' FROM k WHERE k % 2 <> 0 UNION ALL SELECT 'estimated tokens' FROM k WHERE k % 5 > 0 UNION ALL SELECT 'price changed' FROM k WHERE k % 7 = 0) SELECT warning, count(*) AS n FROM w GROUP BY 1",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions.stats import disagreement, verdict
-from veritally.operators import resample, retrieval, sampling
+from veritally.operators import resample, retrieval, sampling, subsets
 from veritally.operators.scoring import item_scores
 from veritally.plans.bindings import CORPUS_SQL, SLOTS_SQL, answered, corpus, table
 
@@ -78,7 +78,8 @@ def nested_subset_prefix(spark, d):
 
 
 def subset_hash(spark, d):
-    return corpus(spark, d).where("split <> 'train'").groupBy("split").agg(F.count("*").alias("n"), sampling.id_set_hash(F.col("id")).alias("hash"))
+    """Order-free hashes of the ids of two splits."""
+    return subsets.tree_hash(corpus(spark, d).where("split <> 'train'").select("split", "id"), ["split"])
 
 
 def cycled_prompts(spark, d):
@@ -99,7 +100,9 @@ def bag_embeddings(spark, d):
 
 
 def vector_cache_key(spark, d):
-    return table(spark, d, "benchmark").agg(retrieval.cache_key(F.col("item_id"), F.col("text"), "test").alias("key"))
+    """The key under which the vectors of all documents and their texts are kept."""
+    lines = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.md5("text")).alias("id"))
+    return subsets.tree_hash(lines).select("n", F.sha2(F.concat(F.lit("test\n"), "hash"), 256).alias("key"))
 
 
 QUERIES = {f.__name__: f for f in (summary_with_ci, ratio_with_ci, precision_with_ci, recall_with_ci, f1_with_ci, paired_bootstrap_labels, mcnemar_exact, numpy_bootstrap, allocate_subsets, nested_subset_prefix, subset_hash, cycled_prompts, topk_cosine, bag_embeddings, vector_cache_key)}
@@ -119,6 +122,12 @@ SELECT system, n, round({value}, 9) AS value, round(low, 9) AS low, round(high,
 
 _MC = "least(1.0, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))) FROM range(least(a_only, b_only) + 1) k(i)))"
 
+def _tree_sql(by: str) -> str:
+    """``h`` (by, n, hash) of sets ``o`` (by, id) of up to LEAF * LEAF ids."""
+    return f"""r AS (SELECT {by}, id, (row_number() OVER (PARTITION BY {by} ORDER BY id) - 1) // {subsets.LEAF} AS k FROM o), f AS (SELECT {by}, k, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS f FROM r GROUP BY ALL),
+h AS (SELECT {by}, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN any_value(f) ELSE sha256(string_agg(f, chr(10) ORDER BY k)) END AS hash FROM f GROUP BY {by})"""
+
+
 def _alloc_sql(name: str, total: int, sizes: str) -> str:
     """Recursive CTEs ``{name}_r`` and ``{name}`` (p, the picks as a list): one pick is moved a step, until ``total`` are picked. ``sizes`` yields k and n, the list of sizes."""
     more = "list_transform(range(1, k + 1), lambda i: CASE WHEN p[i] < n[i] THEN ideal[i] - p[i] ELSE -1e300 END)"
@@ -143,9 +152,9 @@ ORACLE_SQL = {
     "mcnemar_exact": f"{_DRAW} SELECT n, a_only, b_only, round({_MC}, 9) AS p, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'no difference shown' END AS verdict, (low > 0 OR high < 0) <> ({_MC} < 0.05) AS disagree FROM t, c",
     "allocate_subsets": f"{_ALLOC} SELECT * FROM p",
     "nested_subset_prefix": f"{_ALLOC}, o AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('{sampling.SEED}:' || lang || ':' || doc_id), doc_id) AS place FROM documents) SELECT subset, lang, doc_id FROM o JOIN p USING (lang) WHERE place <= picks",
-    "subset_hash": f"WITH {CORPUS_SQL} SELECT split, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS hash FROM corpus WHERE split <> 'train' GROUP BY split",
+    "subset_hash": f"WITH {CORPUS_SQL}, o AS (SELECT DISTINCT split, id FROM corpus WHERE split <> 'train'), {_tree_sql('split')} SELECT * FROM h",
     "cycled_prompts": "WITH o AS (SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id)) - 1 AS p, count(*) OVER () AS n FROM benchmark) SELECT r.i AS request, item_id FROM range(100) r(i) JOIN o ON r.i % o.n = o.p",
     "topk_cosine": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
     "bag_embeddings": "WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS w FROM benchmark), c AS (SELECT item_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS cell, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS x FROM c",
-    "vector_cache_key": "SELECT sha256('test' || chr(10) || string_agg(CAST(item_id AS VARCHAR) || chr(9) || md5(text), chr(10) ORDER BY CAST(item_id AS VARCHAR) || chr(9) || md5(text))) AS key FROM benchmark",
+    "vector_cache_key": f"WITH o AS (SELECT DISTINCT 0 AS g, doc_id || chr(9) || md5(text) AS id FROM documents), {_tree_sql('g')} SELECT n, sha256('test' || chr(10) || hash) AS key FROM h",
 }
