@@ -385,3 +385,27 @@ def test_small_helpers(spark):
     assert said == ["x", "(no answer: the call failed)", "(invalid output)"]
     pairs = lambda *kv: multiset.pairs(F.array(*(F.struct(F.lit(k).alias("type"), F.lit(v).alias("value")) for k, v in kv)))
     assert tuple(one(errors.unmatched(pairs(("a", "1"), ("a", "1")), pairs(("a", "1"), ("b", "2"), ("b", "2"))))) == (2, 1)
+
+
+def test_neighbours_by_cells(spark):
+    """The same rows as comparing all with all; of vectors in tight groups few are compared."""
+    from veritally.operators import neighbours
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = np.concatenate([centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16)) * 0.05, rng.normal(size=(40, 16)), np.zeros((3, 16))])
+    x[7] = x[8] = x[9] * 2
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    queries = vectors.where("id % 25 = 0 OR id > 1535 OR id = 8").select(F.col("id").alias("q"), "v")
+    for pivots, k in ((None, 5), (1, 3), (200, 40)):
+        got, count = neighbours.Neighbours(vectors, pivots).topk(queries, k, 6)
+        want = retrieval.topk(queries, vectors, k, 6)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+        c = count.first()
+        assert c["all"] == queries.count() * len(x) and c.compared <= c["all"]
+        if pivots is None:
+            assert c.compared < c["all"] / 5
+    few = vectors.where("id < 3")
+    assert neighbours.Neighbours(few).topk(queries.where("q = 0"), 10)[0].count() == 3
+    assert neighbours.Neighbours(vectors.limit(0)).topk(queries, 2)[0].count() == 0
+    assert neighbours.Neighbours(vectors.where("id > 1539")).topk(queries.where("q = 0"), 2, 6)[0].count() == 2

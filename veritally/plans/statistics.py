@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions.stats import disagreement, verdict
-from veritally.operators import resample, retrieval, sampling, subsets
+from veritally.operators import neighbours, resample, retrieval, sampling, subsets
 from veritally.operators.scoring import item_scores
 from veritally.plans.bindings import CORPUS_SQL, SLOTS_SQL, answered, corpus, table
 
@@ -94,6 +94,13 @@ def topk_cosine(spark, d):
     return retrieval.topk(queries, index, 10, digits=6).select("q", "id", "score", "rank")
 
 
+def topk_by_cells(spark, d):
+    """The same by the metric index."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = e.where("id % 100 = 0").select(F.col("id").alias("q"), "v")
+    return neighbours.Neighbours(e).topk(queries, 10, digits=6)[0].select("q", "id", "score", "rank")
+
+
 def bag_embeddings(spark, d):
     b = table(spark, d, "benchmark").select("item_id", retrieval.hashed_bag(F.col("text")).alias("v"))
     return b.select("item_id", F.posexplode("v").alias("cell", "x")).where("x > 0").select("item_id", "cell", F.round("x", 9).alias("x"))
@@ -105,7 +112,7 @@ def vector_cache_key(spark, d):
     return subsets.tree_hash(lines).select("n", F.sha2(F.concat(F.lit("test\n"), "hash"), 256).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (summary_with_ci, ratio_with_ci, precision_with_ci, recall_with_ci, f1_with_ci, paired_bootstrap_labels, mcnemar_exact, numpy_bootstrap, allocate_subsets, nested_subset_prefix, subset_hash, cycled_prompts, topk_cosine, bag_embeddings, vector_cache_key)}
+QUERIES = {f.__name__: f for f in (summary_with_ci, ratio_with_ci, precision_with_ci, recall_with_ci, f1_with_ci, paired_bootstrap_labels, mcnemar_exact, numpy_bootstrap, allocate_subsets, nested_subset_prefix, subset_hash, cycled_prompts, topk_cosine, topk_by_cells, bag_embeddings, vector_cache_key)}
 
 _DRAW = f"""WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, quality AS a, 1 - toxic AS b FROM labels), {resample.resampled_sql("l", ["a", "b"], RESAMPLES)},
 t AS (SELECT count(*) AS n, count(*) FILTER (a = 1 AND b = 0) AS a_only, count(*) FILTER (b = 1 AND a = 0) AS b_only, avg(a) - avg(b) AS difference, avg(a) AS ma, sum(a) / sum(b) AS rt FROM l),
@@ -142,6 +149,7 @@ def _alloc_sql(name: str, total: int, sizes: str) -> str:
 _ALLOC = f"""WITH RECURSIVE n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), l AS (SELECT list(lang ORDER BY lang) AS langs, list(n ORDER BY lang) AS n, count(*) AS k FROM n),
 {_alloc_sql('d100', 100, 'SELECT k, n FROM l')}, {_alloc_sql('d50', 50, 'SELECT k, p AS n FROM d100')},
 p AS (SELECT 'D100' AS subset, unnest(langs) AS lang, unnest(p) AS picks FROM l, d100 UNION ALL SELECT 'D50', unnest(langs), unnest(p) FROM l, d50)"""
+_TOPK = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"
 ORACLE_SQL = {
     "summary_with_ci": f"{_DRAW} SELECT n, round(t.ma, 9) AS value, (SELECT round(quantile_cont(a / w, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(a / w, 0.975), 9) FROM s) AS high FROM t",
     "ratio_with_ci": f"{_DRAW} SELECT n, round(t.rt, 9) AS value, (SELECT round(quantile_cont(a / b, 0.025), 9) FROM s) AS low, (SELECT round(quantile_cont(a / b, 0.975), 9) FROM s) AS high FROM t",
@@ -154,7 +162,8 @@ ORACLE_SQL = {
     "nested_subset_prefix": f"{_ALLOC}, o AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('{sampling.SEED}:' || lang || ':' || doc_id), doc_id) AS place FROM documents) SELECT subset, lang, doc_id FROM o JOIN p USING (lang) WHERE place <= picks",
     "subset_hash": f"WITH {CORPUS_SQL}, o AS (SELECT DISTINCT split, id FROM corpus WHERE split <> 'train'), {_tree_sql('split')} SELECT * FROM h",
     "cycled_prompts": "WITH o AS (SELECT item_id, row_number() OVER (ORDER BY md5('7:' || item_id)) - 1 AS p, count(*) OVER () AS n FROM benchmark) SELECT r.i AS request, item_id FROM range(100) r(i) JOIN o ON r.i % o.n = o.p",
-    "topk_cosine": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+    "topk_cosine": _TOPK,
+    "topk_by_cells": _TOPK,
     "bag_embeddings": "WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS w FROM benchmark), c AS (SELECT item_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS cell, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS x FROM c",
     "vector_cache_key": f"WITH o AS (SELECT DISTINCT 0 AS g, doc_id || chr(9) || md5(text) AS id FROM documents), {_tree_sql('g')} SELECT n, sha256('test' || chr(10) || hash) AS key FROM h",
 }
