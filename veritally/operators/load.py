@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.functions import cost
 from veritally.operators.ranks import percentiles, with_rank
+from veritally.storage import small
 
 P95_LIMIT_S = 1.0
 
@@ -37,12 +38,12 @@ def operating_note(levels_: DataFrame) -> DataFrame:
 
 def cost_by_load(levels_: DataFrame, rentals: DataFrame) -> DataFrame:
     """Levels by price bases (both few): cost per thousand calls (null without throughput) and calls a month."""
-    return levels_.crossJoin(F.broadcast(rentals)).select("concurrency", "basis", cost.hosted_per_thousand(F.col("usd_per_hour"), F.col("requests_per_s")).alias("usd_per_1k"), cost.monthly_capacity(F.col("requests_per_s")).alias("capacity"), "p95")
+    return levels_.crossJoin(small(rentals)).select("concurrency", "basis", cost.hosted_per_thousand(F.col("usd_per_hour"), F.col("requests_per_s")).alias("usd_per_1k"), cost.monthly_capacity(F.col("requests_per_s")).alias("capacity"), "p95")
 
 
 def break_even(levels_: DataFrame, rentals: DataFrame, calls: DataFrame) -> DataFrame:
     """Per system, basis and level: the calls a month at which renting costs as much as calls at ``usd_per_call``, and whether the level's capacity holds them."""
-    each = levels_.crossJoin(F.broadcast(rentals)).crossJoin(F.broadcast(calls))
+    each = levels_.crossJoin(small(rentals)).crossJoin(small(calls))
     volume = cost.break_even_calls(F.col("usd_per_hour"), F.col("usd_per_call"))
     return each.select("model", "basis", "concurrency", volume.alias("calls"), (volume <= cost.monthly_capacity(F.col("requests_per_s"))).alias("within"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions import calls, headers, text
-from veritally.operators import chat, comparison, errors, probes, provenance, quality_gate, sampling
+from veritally.operators import chat, comparison, errors, probes, provenance, quality_gate, resample, sampling
 from veritally.operators.scoring import SCORES, item_scores, summarize
 from veritally.plans.bindings import LOG_SQL, SLOTS_SQL, answered, examples, run_log, table
 from veritally.session import configure
+from veritally.storage import written
 
 #: What is done to an answer's JSON, by order number modulo 12.
 DEFECTS = 12
@@ -281,6 +282,28 @@ def system_comparison(spark, d):
     return out.select("system", *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c != "system"))
 
 
+def comparison_sections(spark, d):
+    """The sections of the comparison as lines: scores per scenario, unseen texts (orders of the first half of the keys stand for them), cost by load of the hosted system, and provenance."""
+    system = lambda c: F.element_at(F.array(F.lit("A"), F.lit("B")), (c % 2 + 1).cast("int"))
+    s = written(_scored(spark, d), "scored")
+    unseen = s.select("id").distinct().where("id % 4 = 1")
+    log = written(run_log(spark, d).withColumn("key", system(F.col("key"))), "log")
+    rentals = spark.createDataFrame([("on_demand", 0.5), ("spot", 0.25)], "basis string, usd_per_hour double")
+    calls_ = table(spark, d, "conversations").groupBy(system(F.col("conv_id")).alias("system")).agg((F.sum(F.length("text")) / 1e6 / F.countDistinct("conv_id")).alias("usd_per_call"))
+    runs = s.select("system").distinct().select("system", F.concat(F.lit("c"), "system").alias("config_hash"), F.lit("h").alias("subset_hash"))
+    locks = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("number"), F.lit("A").alias("system"), F.when(F.col("n_nationkey") % 2 == 0, "cA").otherwise("old").alias("config_hash"), F.lit("h").alias("subset_hash"), F.col("n_name").alias("reason"))
+    sections = [comparison.scenario_scores(s), comparison.unseen_scores(s, unseen, 1000), comparison.hosted_costs(log, 86_400.0 * 30, rentals, "A", calls_), comparison.run_provenance(runs, log.select("key", "pos", "model", "failed"), locks)]
+    out = comparison.full_report(s.groupBy("system").agg(F.count("*").alias("n")), sections)
+    r = lambda c: F.round(c, 6)
+    text_of = lambda *cs: F.concat_ws(" ", *(c.cast("string") for c in cs))
+    return out.select(
+        "system", "n", F.array_join(F.transform("scenarios", lambda x: text_of(x["scenario"], x["n"], (x["exact_match"] * x["n"]).cast("int"), x["weakest"])), ";").alias("scenarios"),
+        "unseen.excluded", *(r(F.col(f"unseen.{c}")).alias(c) for c in ("exact_match", "low", "high")), F.col("unseen.n").alias("n_unseen"),
+        F.size("load").alias("n_load"), r(F.aggregate("load", F.lit(0.0), lambda a, x: a + x["usd_per_1k"])).alias("usd"), r(F.aggregate("load", F.lit(0.0), lambda a, x: a + x["break_even"] / 1e6)).alias("break_even"), F.size(F.filter("load", lambda x: x["meets_limit"])).alias("meeting"),
+        "provenance.locked", "provenance.reason", "provenance.models", "provenance.changed",
+    )
+
+
 def run_warnings(spark, d):
     c = table(spark, d, "supplier")
     k = F.col("s_suppkey")
@@ -320,7 +343,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_call_validity, json_known_labels, parsed_calls, chat_validation_issues, chat_turn_issues, chat_report, render_prompts, sft_records, prompt_completion, prompt_hashes, usage_normalised, content_texts, duration_parse, retry_hints, daily_quota_hints, backoff_delays,
-        degenerate_texts, compressible_texts, quality_gate_reasons, error_strata_sample, slot_differences, error_category_counts, config_fingerprint, lock_status, new_locks, merged_probes, probe_plan, model_catalogue, paired_items, comparison_report, resolved_prices, system_comparison, run_warnings, stream_run_log, stream_rate_limit,
+        degenerate_texts, compressible_texts, quality_gate_reasons, error_strata_sample, slot_differences, error_category_counts, config_fingerprint, lock_status, new_locks, merged_probes, probe_plan, model_catalogue, paired_items, comparison_report, resolved_prices, system_comparison, comparison_sections, run_warnings, stream_run_log, stream_rate_limit,
     )
 }
 
@@ -405,6 +428,16 @@ SELECT system, n, round(exact_match, 6) AS exact_match, round(intent_accuracy, 6
  CASE WHEN system = 'B' THEN 'estimated tokens; not locked; partial: ' || n || ' of ' || (n + 1) ELSE '' END AS warnings, round(0.5 * 730 / usd_per_call, 6) AS break_even,
  concat_ws(' | ', printf('%.1f', round(exact_match * 100, 1)) || ' %', CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END, '$' || CASE WHEN upper_per_1k >= 1 THEN format('{{:,.2f}}', upper_per_1k) WHEN upper_per_1k >= 0.1 THEN printf('%.3f', upper_per_1k) ELSE printf('%.4f', upper_per_1k) END) AS cells
 FROM su LEFT JOIN pp USING (system) LEFT JOIN cc USING (system) LEFT JOIN sl USING (system)""",
+    "comparison_sections": f"""{_S}, {LOG_SQL}, y AS (SELECT CASE WHEN key % 2 = 0 THEN 'A' ELSE 'B' END AS key, pos, model, failed, concurrency, latency_s FROM log),
+e AS (SELECT system, scenario, count(*) AS n, CAST(sum(em) AS INTEGER) AS c, row_number() OVER (PARTITION BY system ORDER BY avg(em), scenario) = 1 AS weak FROM scored GROUP BY system, scenario), sc AS (SELECT system, CAST(sum(n) AS BIGINT) AS n, string_agg(scenario || ' ' || n || ' ' || c || ' ' || weak, ';' ORDER BY scenario) AS scenarios FROM e GROUP BY system),
+l AS (SELECT system, em, row_number() OVER (ORDER BY system, id) - 1 AS pos FROM scored WHERE id % 4 = 1), {resample.resampled_sql("l", ["em"], 1000, ("system",))},
+q AS (SELECT system, round(quantile_cont(em / w, 0.025), 6) AS low, round(quantile_cont(em / w, 0.975), 6) AS high FROM s GROUP BY system), un AS (SELECT system, count(*) AS n_unseen, round(avg(em), 6) AS exact_match FROM l GROUP BY system),
+rr AS (SELECT *, row_number() OVER (PARTITION BY concurrency, failed ORDER BY latency_s) AS r, count(*) OVER (PARTITION BY concurrency, failed) AS m FROM y), lv AS (SELECT concurrency, count(*) FILTER (NOT failed) / (86400.0 * 30) AS rps, count(*) FILTER (failed) AS errors, max(latency_s) FILTER (NOT failed AND r = greatest(1, CAST(ceil(round(95 * m / 100.0, 9)) AS BIGINT))) AS p95 FROM rr GROUP BY concurrency),
+cl AS (SELECT sum(length(text)) / 1e6 / count(DISTINCT conv_id) AS usd FROM conversations WHERE conv_id % 2 = 1),
+ld AS (SELECT 'A' AS system, CAST(count(*) AS INTEGER) AS n_load, round(sum(h / (rps * 3600) * 1000), 6) AS usd, round(sum(h * 730 / cl.usd / 1e6), 6) AS break_even, CAST(count(*) FILTER (coalesce(p95 <= 1 AND errors = 0, false)) AS INTEGER) AS meeting FROM lv, cl, (VALUES (0.5::DOUBLE), (0.25)) b(h)),
+md AS (SELECT key AS system, model, min(pos) AS first FROM y WHERE NOT failed AND model IS NOT NULL GROUP BY ALL), mo AS (SELECT system, string_agg(model, ',' ORDER BY first) AS models, count(*) > 1 AS changed FROM md GROUP BY system),
+lk AS (SELECT 'A' AS system, arg_max(n_name, n_nationkey) AS reason FROM nation WHERE n_nationkey % 2 = 0)
+SELECT system, n, scenarios, n - n_unseen AS excluded, exact_match, low, high, n_unseen, n_load, usd, break_even, meeting, reason IS NOT NULL AS locked, reason, models, changed FROM sc LEFT JOIN un USING (system) LEFT JOIN q USING (system) LEFT JOIN ld USING (system) LEFT JOIN lk USING (system) LEFT JOIN mo USING (system)""",
     "run_warnings": "WITH r AS (SELECT s_name AS system, s_suppkey AS k FROM supplier) SELECT system, 'partial: ' || k % 3 || ' of 2' AS warning FROM r WHERE k % 3 < 2 UNION ALL SELECT system, 'not locked' FROM r WHERE k % 2 <> 0 UNION ALL SELECT system, 'estimated tokens' FROM r WHERE k % 5 > 0 UNION ALL SELECT system, 'price changed' FROM r WHERE k % 7 = 0",
     "stream_run_log": f"WITH {LOG_SQL} SELECT key, count(DISTINCT at_us // 86400000000) AS days, count(*) AS n, count(*) FILTER (failed) AS failed FROM log GROUP BY key",
 }
