@@ -102,3 +102,37 @@ def test_subset_document(spark, tmp_path):
     subsets.write_subsets(spark, path, doc)
     with pytest.raises(ValueError, match="subset L"):
         subsets.read_subsets(spark, path)
+
+
+def test_members_of_archives(spark, tmp_path, monkeypatch):
+    """Ranges of a plain tar give each line once, wherever they are cut; a compressed one is streamed."""
+    import io
+    import tarfile
+
+    from veritally.sources import archive
+
+    text = "\n".join(["é" * (i % 17) + str(i) for i in range(300)])
+    for end in ("", "\n", "\n\n"):
+        data = (text + end).encode()
+        for mode, name in (("w", "a.tar"), ("w:gz", "a.tar.gz")):
+            with tarfile.open(tmp_path / name, mode) as tar:
+                for member, content in (("x/other/aa.jsonl", b"no\n"), ("x" * 120 + "/data/aa.jsonl", data), ("x/data/bb.jsonl", b"")):
+                    info = tarfile.TarInfo(member)
+                    info.size = len(content)
+                    tar.addfile(info, io.BytesIO(content))
+        want, at = [], 0
+        for line in data.split(b"\n")[: None if not end else -1]:
+            want.append((at, line.decode()))
+            at += len(line) + 1
+        for size, read in ((1 << 20, 1 << 20), (37, 5), (1, 1000)):
+            monkeypatch.setattr(archive, "RANGE_BYTES", size)
+            monkeypatch.setattr(archive, "READ_BYTES", read)
+            for name in ("a.tar", "a.tar.gz"):
+                r = archive.TarReader(str(tmp_path / name), "/data/aa.jsonl")
+                parts = r.partitions()
+                assert len(parts) == (1 if name.endswith("gz") else -(-len(data) // size))
+                assert [(p, v) for part in parts for b in r.read(part) for p, v in zip(b["at"].to_pylist(), b["value"].to_pylist(), strict=True)] == want
+    assert [b for part in archive.TarReader(str(tmp_path / "a.tar"), "bb.jsonl").partitions() for b in archive.TarReader(str(tmp_path / "a.tar"), "bb.jsonl").read(part)] == []
+    with pytest.raises(FileNotFoundError):
+        archive.TarReader(str(tmp_path / "a.tar"), "cc.jsonl").partitions()
+    assert archive.read_member(spark, str(tmp_path / "a.tar"), "/data/aa.jsonl").count() == len(want)

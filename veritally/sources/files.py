@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tarfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators.ranks import with_rank
 from veritally.sources import jsonl
+from veritally.sources.archive import read_member
 from veritally.storage import written
 
 RAW = "id string, locale string, partition string, scenario string, intent string, utt string, annot_utt string, worker_id string"
@@ -25,19 +25,10 @@ LOCK = "lock_version int, system string, subset string, subset_hash string, conf
 SPLITS = ("train", "dev", "test")
 
 
-def archive_locale(spark: SparkSession, archive: str, locale: str, target: str) -> DataFrame:
-    """The rows of member ``*/data/{locale}.jsonl`` of a tar.gz. The member is unpacked to ``target`` (a folder all machines see), which Spark reads in parallel; blank lines don't count."""
-    suffix = f"/data/{locale}.jsonl"
-    out = Path(target) / f"{locale}.jsonl"
-    with tarfile.open(archive, "r:gz") as tar:
-        member = next((m for m in tar if m.isfile() and ("/" + m.name).endswith(suffix)), None)
-        if member is None:
-            raise FileNotFoundError(f"{archive} has no member that ends in {suffix}")
-        out.parent.mkdir(parents=True, exist_ok=True)
-        with tar.extractfile(member) as source, open(out, "wb") as sink:
-            while block := source.read(1 << 20):
-                sink.write(block)
-    return spark.read.schema(RAW).json(str(out)).where("id IS NOT NULL")
+def archive_locale(spark: SparkSession, archive: str, locale: str) -> DataFrame:
+    """The rows of member ``*/data/{locale}.jsonl`` of a tar or tar.gz, which executors read in place; blank lines don't count."""
+    lines = read_member(spark, archive, f"/data/{locale}.jsonl").where(F.trim("value") != "")
+    return lines.select(F.from_json("value", RAW).alias("_r")).select("_r.*").where("id IS NOT NULL")
 
 
 def to_examples(raw: DataFrame) -> DataFrame:
