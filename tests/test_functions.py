@@ -24,7 +24,7 @@ def slots(pairs):
 
 @pytest.mark.parametrize(
     ("pred", "gold", "want"),
-    [([("d", "x"), ("d", "x")], [("d", "x")], (1, 1, 0)), ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "9")], (1, 2, 1)), (None, None, (0, 0, 0)), ([], [("a", "1")], (0, 0, 1)), ([("a", "Six  AM")], [("a", "six am")], (1, 0, 0)), ([("x", "x"), ("x", "x"), ("y", "y")], [("x", "x"), ("z", "z"), ("x", "x"), ("x", "x")], (2, 1, 2))],
+    [([("size", "m")] * 3, [("size", "m")] * 2, (2, 1, 0)), ([("p", "u"), ("q", "v")], [("q", "v"), ("q", "w"), ("r", "u")], (1, 1, 2)), (None, None, (0, 0, 0)), ([], [("k", "v"), ("k", "v")], (0, 0, 2)), ([("k", "Two \t Words")], [("k", "two words")], (1, 0, 0)), ([("x", "x"), ("x", "x"), ("y", "y")], [("x", "x"), ("z", "z"), ("x", "x"), ("x", "x")], (2, 1, 2))],
 )
 def test_multiset_counts(value, pred, gold, want):
     r = value(multiset.counts(multiset.pairs(slots(pred)), multiset.pairs(slots(gold))))
@@ -36,16 +36,16 @@ def test_normal_forms(value):
     assert value(text.loose(F.lit("What's-up, DOC?! `x’y"))) == "whats up doc xy"
     assert value(text.token_estimate(F.lit(""))) == 0 and value(text.token_estimate(F.lit("abcde"))) == 2 and value(text.token_estimate(F.lit("a"))) == 1
     assert value(text.slug(F.lit("  GPU T4 / (x2) "))) == "gpu-t4-x2" and value(text.price_key(F.lit("A b"), F.lit("Paid"))) == "a-b/paid"
-    assert value(text.format_percent(F.lit(-0.0001))) == "0.0 %" and value(text.format_p(F.lit(0.0001))) == "<0.001" and [value(text.format_usd(F.lit(x))) for x in (1234.5, 383.98, 1.2, 1.0, 0.6, 0.1, 0.0139, 0.0)] == ["$1,234.50", "$383.98", "$1.20", "$1.00", "$0.600", "$0.100", "$0.0139", "$0.0000"]
-    assert [value(text.format_difference(F.lit(x))) for x in (0.0321, -0.0321, -0.0001, 0.0)] == ["+3.2 pp", "-3.2 pp", "+0.0 pp", "+0.0 pp"]
-    assert value(text.format_difference_interval(F.lit(-0.032), F.lit(-0.06), F.lit(-0.004))) == "-3.2 pp [-6.0, -0.4]" and value(text.format_interval(F.lit(0.912), F.lit(0.886), F.lit(0.934))) == "91.2% [88.6, 93.4]"
+    assert value(text.format_percent(F.lit(-0.0001))) == "0.0 %" and value(text.format_p(F.lit(0.0001))) == "<0.001" and [value(text.format_usd(F.lit(x))) for x in (98765.4, 51.37, 1.0, 0.875, 0.1, 0.0421, 0.0)] == ["$98,765.40", "$51.37", "$1.00", "$0.875", "$0.100", "$0.0421", "$0.0000"]
+    assert [value(text.format_difference(F.lit(x))) for x in (0.1278, -0.0534, -0.0001, 0.0)] == ["+12.8 pp", "-5.3 pp", "+0.0 pp", "+0.0 pp"]
+    assert value(text.format_difference_interval(F.lit(0.017), F.lit(-0.008), F.lit(0.041))) == "+1.7 pp [-0.8, +4.1]" and value(text.format_interval(F.lit(0.735), F.lit(0.701), F.lit(0.768))) == "73.5% [70.1, 76.8]"
 
 
 @pytest.mark.parametrize(
     ("annotated", "plain", "found", "dropped", "malformed"),
     [
-        ("wake me at [time : five am] [date : friday]", "wake me at five am friday", [("time", "five am"), ("date", "friday")], 0, False),
-        ("set [time : 5 : 30] up", "set 5 : 30 up", [("time", "5 : 30")], 0, False),
+        ("send [count : two boxes] to [city : Old Town] now", "send two boxes to Old Town now", [("count", "two boxes"), ("city", "Old Town")], 0, False),
+        ("mix [ratio : 3 : 1 : 2] well", "mix 3 : 1 : 2 well", [("ratio", "3 : 1 : 2")], 0, False),
         ("a [x : ] b [y :  ] c", "a  b   c", [], 2, False),
         ("[a : 1] [a : 1]", "1 1", [("a", "1"), ("a", "1")], 0, False),
         ("plain", "plain", [], 0, False),
@@ -60,9 +60,9 @@ def test_markup(value, annotated, plain, found, dropped, malformed):
 def test_nearest_rank(spark):
     from veritally.operators.ranks import percentiles, with_rank
 
-    df = spark.createDataFrame([("a", float(v)) for v in (15, 20, 35, 40, 50)] + [("b", float(v)) for v in range(1, 21)] + [("b", None)], "g string, v double")
-    got = {r["g"]: r for r in percentiles(df, "v", ["g"], [0, 30, 40, 50, 75, 95, 100]).collect()}
-    assert [got["a"][f"p{q}"] for q in (0, 30, 40, 50, 75, 100)] == [15, 20, 20, 35, 40, 50] and got["b"]["p95"] == 19
+    df = spark.createDataFrame([("a", float(v)) for v in (3, 8, 21, 34, 89, 144, 233)] + [("b", float(v)) for v in range(1, 41)] + [("b", None)], "g string, v double")
+    got = {r["g"]: r for r in percentiles(df, "v", ["g"], [0, 14, 15, 50, 85, 86, 95, 100]).collect()}
+    assert [got["a"][f"p{q}"] for q in (0, 14, 15, 50, 85, 86, 100)] == [3, 3, 8, 34, 144, 233, 233] and got["b"]["p95"] == 38
     hundred = spark.range(1, 101).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("g"))
     assert percentiles(hundred, "v", ["g"], [7]).first()["p7"] == 7
     ranked = with_rank(spark.range(1000).repartition(7), [F.col("id").desc()])

@@ -274,8 +274,12 @@ def test_run_pending_goes_on_where_it_stopped(spark, tmp_path):
     path = str(tmp_path / "log")
     first = runlog.run_pending(items, spark.createDataFrame([], schema), "key", answer, schema, path)
     assert sorted(r["key"] for r in first.collect()) == [1, 2, 3]
-    again = runlog.run_pending(items, spark.read.schema(schema).json(path), "key", answer, schema, path)
-    assert [r["key"] for r in again.collect()] == [2]
+    from veritally.sources import jsonl
+
+    log = jsonl.read_rows(spark, path, schema).drop("file", "line")
+    for _ in range(2):
+        again = runlog.run_pending(items, log, "key", answer, schema, path, commit="second")
+        assert [r["key"] for r in again.collect()] == [2] and jsonl.read_lines(spark, path).count() == 4
 
 
 def test_checks(spark):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.operators.scan import decaying, lay, running
+from veritally.sources import jsonl
 from veritally.storage import written
 
 MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
@@ -116,20 +119,13 @@ def last_headers(log: DataFrame, by: list[str]) -> DataFrame:
     return log.where(F.size("headers") > 0).groupBy(*by).agg(F.max_by("headers", "pos").alias("headers"))
 
 
-def run_pending(items: DataFrame, log: DataFrame, id_: str, answer, schema: str, path: str) -> DataFrame:
-    """Answers the items that have no final row and appends the answers to the log at ``path``; returns what was appended.
+def run_pending(items: DataFrame, log: DataFrame, id_: str, answer, schema: str, path: str, commit: str | None = None) -> DataFrame:
+    """Answers the items that have no final row and appends the answers to the JSONL log at ``path``, all or none; returns what this append has put there.
 
-    ``answer`` maps Arrow batches of items to batches of ``schema`` on the executors. Files appear when Spark commits them, so a lost executor leaves no half-written row, and a
-    run that was stopped goes on where the log ends.
+    ``answer`` maps Arrow batches of items to batches of ``schema`` on the executors. A lost executor leaves no half-written row, an append that is tried again under its ``commit`` name changes nothing, and what other
+    writers append meanwhile isn't returned. `waves` has runs with limits.
     """
-    rows = pending(items, log, id_).mapInArrow(answer, schema)
-    before = _files(rows.sparkSession, path)
-    rows.write.mode("append").json(path)
-    new = sorted(_files(rows.sparkSession, path) - before)
-    return rows.sparkSession.read.schema(schema).json(new) if new else rows.sparkSession.createDataFrame([], schema)
-
-
-def _files(spark, path: str) -> set[str]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {f.getPath().toString() for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-")} if fs.exists(hadoop) else set()
+    spark, name = items.sparkSession, commit or uuid.uuid4().hex
+    jsonl.append_rows(pending(items, log, id_).mapInArrow(answer, schema), path, name)
+    files = jsonl.files_of(path, name)
+    return jsonl.read_rows(spark, path, schema).where(F.col("file").isin(files)).drop("file", "line")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritally.functions.text import order_hash
+from veritally.operators.ranks import with_rank
 from veritally.storage import small, written
 
 # Fixed values.
@@ -74,8 +75,8 @@ def id_set_hash(ids: Column) -> Column:
 
 
 def cycle(items: DataFrame, order: Column, requests: int, name: str = "request") -> DataFrame:
-    """Requests 0 .. requests - 1, each with the item at its number modulo the number of items, in seeded order. Items are a prompt file."""
-    placed = items.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
+    """Requests 0 .. requests - 1, each with the item at its number modulo the number of items, in seeded order; ranks are made over range partitions."""
+    placed = with_rank(items.withColumn("_order", order), [F.col("_order")], name="_place").drop("_order").withColumn("_place", F.col("_place") - 1)
     n = items.count()
     asked = items.sparkSession.range(requests).select(F.col("id").alias(name), F.pmod("id", F.lit(n)).alias("_place"))
-    return asked.join(placed, "_place").drop("_place")
+    return asked.join(placed.where(F.col("_place") < requests), "_place").drop("_place")

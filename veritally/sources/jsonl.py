@@ -169,6 +169,13 @@ def append_lines(lines: DataFrame, path: str, commit: str | None = None) -> None
     (writer.option("commit", commit) if commit else writer).save(path)
 
 
+def files_of(path: str, commit: str) -> list[str]:
+    """The files that an append of this name has put into the log."""
+    system, root = _open(path)
+    with system.open_input_stream(f"{root}/commits/{commit}.json") as f:
+        return [x["file"] for x in json.loads(f.read())["files"]]
+
+
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, line, the fields of ``schema``) of a log; a line that isn't JSON is an error that names it."""
     lines = read_lines(spark, path).where(F.trim("value") != "")
