@@ -212,14 +212,17 @@ def read_back(pages: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for i in range(batch.num_rows):
                 if batch.column("pack")[i].as_py() != pack:
                     pack, open_ = batch.column("pack")[i].as_py(), []
-                tokens, loss, nodes = batch.column("tokens")[i].as_py(), batch.column("loss")[i].as_py(), batch.column("nodes")[i].as_py()
+                tokens, nodes = batch.column("tokens")[i].values.to_numpy().tolist(), batch.column("nodes")[i].as_py()
+                loss = batch.column("loss")[i].values.to_numpy(zero_copy_only=False)
                 page_at = nodes[0]["start"]
                 for node in nodes:
                     own = slice(node["start"] - page_at, node["end"] - page_at)
                     ids = tokens[own]
                     cut = ids.index(text_mark)
                     role, text = said(ids[1:cut]), said(ids[cut + 1 : -1])
-                    masked = unescape(said([t for t, m in zip(ids, loss[own], strict=True) if m]))
+                    under = np.flatnonzero(loss[own]).tolist()
+                    masked = [ids[k] for k in under]
+                    masked = unescape(text if masked == ids[cut + 1 : -1] else said(masked))
                     turns_hash, loss_hash, n, n_loss, n_all = open_[node["depth"] - 1] if node["depth"] else (hashlib.sha256(), hashlib.sha256(), 0, 0, 0)
                     turns_hash, loss_hash = turns_hash.copy(), loss_hash.copy()
                     turns_hash.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
